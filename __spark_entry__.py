@@ -107,6 +107,124 @@ def q_call_kpis_rollup(spark, d):
     return _out(CL.call_kpis(c, [S.ARRIVAL_MONTH, "berth_id"], rollup=True))
 
 
+# ---------------------------------------------------------------------------
+# M2 — typed calls, profiles, berth dimension, eligibility
+# ---------------------------------------------------------------------------
+from berthwise.operators import berths as BR  # noqa: E402
+from berthwise.operators import eligibility as EL  # noqa: E402
+from berthwise.operators import vessels as VS  # noqa: E402
+
+NOW = "2024-01-01 00:00:00"
+
+
+def _typed(spark, d):
+    return VS.to_calls(_clean(spark, d), NOW)
+
+
+@_register("typed_calls", f"""
+SELECT port_id, CAST(call_id AS BIGINT) AS call_id, name, vessel_type, CAST(gross_tonnage AS BIGINT) AS gross_tonnage,
+  {_r('length_m')} AS length_m, {_r('draft_m')} AS draft_m, cargo_import, cargo_export,
+  {_r('tonnage_import')} AS tonnage_import, {_r('tonnage_export')} AS tonnage_export,
+  CAST(tugs_at_berthing AS BIGINT) AS tugs_at_berthing, CAST(arrival_month AS BIGINT) AS arrival_month,
+  CAST(arrival_dow AS BIGINT) AS arrival_dow, {_ts('eta')} AS eta, false AS is_priority
+FROM v_typed""")
+def q_typed_calls(spark, d):
+    return _out(_typed(spark, d))
+
+
+@_register("profile_check", """
+SELECT CAST(t.call_id AS BIGINT) AS call_id,
+  concat_ws(',',
+    CASE WHEN p.p_type IS NULL THEN 'profile' END,
+    CASE WHEN p.p_type IS NOT NULL AND NOT (t.length_m BETWEEN p.len_lo AND p.len_hi) THEN 'length' END,
+    CASE WHEN p.p_type IS NOT NULL AND NOT (t.draft_m BETWEEN greatest(p.draft_lo, 7.0) AND least(p.draft_hi, 14.0)) THEN 'draft' END,
+    CASE WHEN p.p_type IS NOT NULL AND NOT (t.gross_tonnage BETWEEN p.gross_lo AND p.gross_hi) THEN 'tonnage' END,
+    CASE WHEN p.p_type IS NOT NULL AND NOT (t.tugs_at_berthing BETWEEN p.tugs_lo AND p.tugs_hi) THEN 'tugs' END
+  ) AS violations
+FROM v_typed t LEFT JOIN v_profiles p
+  ON t.vessel_type = p.p_type AND coalesce(t.cargo_import, '') = p.p_import AND coalesce(t.cargo_export, '') = p.p_export""")
+def q_profile_check(spark, d):
+    c = VS.check_profiles(_typed(spark, d))
+    return _out(c.select("call_id", F.array_join("violations", ",").alias("violations")))
+
+
+@_register("cargo_options", """
+SELECT vessel_type,
+  CASE WHEN len(imp) = 0 THEN 'General Cargo' ELSE array_to_string(imp, '|') END AS imports,
+  CASE WHEN len(exp) = 0 THEN '' ELSE array_to_string(exp, '|') END AS exports
+FROM (SELECT vessel_type,
+        list_sort(list_filter(list_distinct(list(trim(cargo_import))), lambda x: x <> '')) AS imp,
+        list_sort(list_filter(list_distinct(list(trim(cargo_export))), lambda x: x <> '')) AS exp
+      FROM v_typed GROUP BY vessel_type) g""")
+def q_cargo_options(spark, d):
+    o = VS.cargo_options(_typed(spark, d))
+    return o.select("vessel_type", F.array_join("imports", "|").alias("imports"),
+                    F.array_join("exports", "|").alias("exports"))
+
+
+@_register("first_calls", f"""
+SELECT CAST(call_id AS BIGINT) AS call_id, name, {_ts('eta')} AS eta
+FROM v_typed ORDER BY eta, call_id LIMIT 50""")
+def q_first_calls(spark, d):
+    return _out(VS.build_queue(_typed(spark, d), 50).select("call_id", "name", "eta"))
+
+
+@_register("terminal_capacity", """
+SELECT port_id, terminal_name, CAST(count(*) AS BIGINT) AS n_berths, CAST(min(ordinal) AS BIGINT) AS first_ordinal,
+  array_to_string(list_sort(list(berth_id)), ',') AS berth_ids
+FROM v_berths GROUP BY port_id, terminal_name""")
+def q_terminal_capacity(spark, d):
+    t = BR.terminal_capacity(td.berths(spark, d))
+    return _out(t.withColumn("berth_ids", F.array_join("berth_ids", ",")))
+
+
+def _elig(spark, d):
+    return EL.eligible_pairs(td.vessels(spark, d), td.berths(spark, d))
+
+
+@_register("eligibility_summary", """
+SELECT v.port_id, CAST(v.call_id AS BIGINT) AS call_id, CAST(count(e.berth_id) AS BIGINT) AS eligible_count,
+  count(e.berth_id) > 0 AS has_eligible,
+  arg_min(e.berth_id, e.ordinal) AS first_berth, arg_max(e.berth_id, e.ordinal) AS last_berth
+FROM v_vessels v LEFT JOIN v_elig e ON v.port_id = e.port_id AND v.call_id = e.call_id
+GROUP BY v.port_id, v.call_id""")
+def q_eligibility_summary(spark, d):
+    s = EL.eligibility_summary(td.vessels(spark, d), _elig(spark, d))
+    return _out(s.select("port_id", "call_id", "eligible_count", "has_eligible",
+                         F.try_element_at("eligible_berths", F.lit(1)).alias("first_berth"),
+                         F.try_element_at("eligible_berths", F.lit(-1)).alias("last_berth")))
+
+
+@_register("violation_counts", """
+SELECT port_id, CAST(call_id AS BIGINT) AS call_id,
+  CAST(count_if(r = 'depth') AS BIGINT) AS n_depth, CAST(count_if(r = 'length') AS BIGINT) AS n_length,
+  CAST(count_if(r = 'cargo') AS BIGINT) AS n_cargo, CAST(count_if(r = 'type') AS BIGINT) AS n_type
+FROM (
+  SELECT v.port_id, v.call_id,
+    CASE WHEN NOT (b.depth_m >= v.draft_m) THEN 'depth'
+         WHEN NOT (b.quay_length_m >= v.length_m) THEN 'length'
+         WHEN NOT (len(b.allowed_cargos) = 0 OR len(v.cargos) = 0 OR len(list_intersect(b.allowed_cargos, v.cargos)) > 0) THEN 'cargo'
+         WHEN NOT (len(b.allowed_types) = 0 OR list_contains(b.allowed_types, v.vessel_type)) THEN 'type' END AS r
+  FROM v_vcargo v JOIN v_berths b ON v.port_id = b.port_id) x
+WHERE r IS NOT NULL GROUP BY port_id, call_id""")
+def q_violation_counts(spark, d):
+    return _out(EL.violation_counts(td.vessels(spark, d), td.berths(spark, d)))
+
+
+@_register("terminal_attribution", """
+SELECT port_id, CAST(call_id AS BIGINT) AS call_id, arg_min(terminal_name, ordinal) AS terminal_name
+FROM v_elig GROUP BY port_id, call_id""")
+def q_terminal_attribution(spark, d):
+    return _out(EL.attribute_terminal(_elig(spark, d)))
+
+
+@_register("infeasible_calls", """
+SELECT v.port_id, CAST(v.call_id AS BIGINT) AS call_id, v.name FROM v_vessels v
+WHERE NOT EXISTS (SELECT 1 FROM v_elig e WHERE e.port_id = v.port_id AND e.call_id = v.call_id)""")
+def q_infeasible_calls(spark, d):
+    return _out(EL.infeasible_calls(td.vessels(spark, d), _elig(spark, d)).select("port_id", "call_id", "name"))
+
+
 # ---------------------------------------------------------------------------
 # Contract
 # ---------------------------------------------------------------------------

@@ -163,10 +163,9 @@ VESSEL_PROFILES = [
 # ============================================================================
 RAW_CALLS_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
 
-_SPECS = T.StructType([
-    T.StructField("quay_length_m", T.StringType()),
-    T.StructField("depth_m", T.StringType()),
-])
+# Terminal specifications are free-form; a map keeps "{}" (no specs) apart
+# from "specs without length/depth" (numbers and arrays arrive as JSON text).
+_SPECS = T.MapType(T.StringType(), T.StringType())
 _TERMINAL = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("type", T.StringType()),

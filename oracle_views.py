@@ -51,6 +51,8 @@ SELECT * FROM (
     CASE WHEN svc0 IS NULL OR svc0 = 0 THEN svc_days ELSE svc0 END AS service_time_hours
   FROM (
     SELECT call_id, trim("Poste Accostage") AS berth_id, "Navire" AS vessel_name,
+      "Type Navire", "Jauge Brute", "Longueur", "Tirant Eau", "Marchandise DAP Import",
+      "Marchandise DAP Export", "Tonnage DAP Import", "Tonnage DAP Export", "Nbr Remorque Accostage",
       arr_dt AS arrival_datetime, brt_dt AS berthing_datetime, unb_dt AS unberthing_datetime,
       CASE WHEN arr_dt IS NULL OR brt_dt IS NULL THEN NULL
            ELSE CAST(greatest(epoch_us(brt_dt) - epoch_us(arr_dt), 0) AS DOUBLE) / 3600000000.0 END AS waiting_time_hours,
@@ -71,6 +73,32 @@ WHERE arrival_datetime IS NOT NULL AND berthing_datetime IS NOT NULL AND unberth
   AND service_time_hours BETWEEN 0.5 AND 720.0
 """
 
+VIEWS["v_typed"] = """
+SELECT 'P0' AS port_id, call_id, vessel_name AS name,
+  coalesce(trim("Type Navire"), 'CARGO_GENERAL') AS vessel_type,
+  CAST(trunc(coalesce(TRY_CAST(trim("Jauge Brute") AS DOUBLE), 0)) AS INTEGER) AS gross_tonnage,
+  coalesce(TRY_CAST(trim("Longueur") AS DOUBLE), 150.0) AS length_m,
+  coalesce(TRY_CAST(trim("Tirant Eau") AS DOUBLE), 8.0) AS draft_m,
+  coalesce(trim("Marchandise DAP Import"), 'General Cargo') AS cargo_import,
+  coalesce(trim("Marchandise DAP Export"), '') AS cargo_export,
+  coalesce(TRY_CAST(trim("Tonnage DAP Import") AS DOUBLE), 0.0) AS tonnage_import,
+  coalesce(TRY_CAST(trim("Tonnage DAP Export") AS DOUBLE), 0.0) AS tonnage_export,
+  CAST(trunc(coalesce(TRY_CAST(trim("Nbr Remorque Accostage") AS DOUBLE), 1)) AS INTEGER) AS tugs_at_berthing,
+  arrival_month, arrival_day_of_week AS arrival_dow, arrival_datetime AS eta
+FROM v_clean
+"""
+
+VIEWS["v_profiles"] = """
+SELECT * FROM (VALUES
+  ('PORTE_CONTENEUR', 'Containers', 'Containers', 150.0, 300.0, 9.5, 13.0, 15000, 80000, 2, 4),
+  ('VRAQUIER', 'Grains', '', 150.0, 220.0, 8.5, 12.0, 20000, 60000, 2, 3),
+  ('VRAQUIER', 'Coal', '', 140.0, 200.0, 8.0, 11.0, 15000, 45000, 2, 3),
+  ('VRAQUIER', '', 'Phosphates', 170.0, 240.0, 9.0, 12.5, 25000, 55000, 2, 4),
+  ('CARGO_GENERAL', 'General Cargo', '', 100.0, 180.0, 7.0, 10.0, 5000, 25000, 1, 2),
+  ('ROULIER', 'Ro-Ro', 'Ro-Ro', 140.0, 200.0, 6.5, 9.0, 10000, 30000, 1, 2)
+) t(p_type, p_import, p_export, len_lo, len_hi, draft_lo, draft_hi, gross_lo, gross_hi, tugs_lo, tugs_hi)
+"""
+
 VIEWS["v_vessels"] = f"""
 SELECT 'P' || CAST(p_partkey % 5 AS VARCHAR) AS port_id,
   p_partkey AS call_id,
@@ -107,7 +135,7 @@ VIEWS["v_vcargo"] = """
 SELECT port_id, call_id, vessel_type, length_m, draft_m,
   list_distinct(list_filter([CASE WHEN trim(cargo_import) IN ('', 'nan', 'NaN') THEN NULL ELSE trim(cargo_import) END,
                              CASE WHEN trim(cargo_export) IN ('', 'nan', 'NaN') THEN NULL ELSE trim(cargo_export) END],
-                            x -> x IS NOT NULL)) AS cargos
+                            lambda x: x IS NOT NULL)) AS cargos
 FROM v_vessels
 """
 
