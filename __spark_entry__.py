@@ -225,6 +225,232 @@ def q_infeasible_calls(spark, d):
     return _out(EL.infeasible_calls(td.vessels(spark, d), _elig(spark, d)).select("port_id", "call_id", "name"))
 
 
+# ---------------------------------------------------------------------------
+# M3 — interval algebra, snapshots, schedule KPIs, time series
+# ---------------------------------------------------------------------------
+from berthwise.operators import intervals as IV  # noqa: E402
+from berthwise.operators import kpi as KP  # noqa: E402
+
+
+def _mts(x: str) -> str:
+    return _ts(f"make_timestamp({x})")
+
+
+@_register("busy_islands", f"""
+SELECT berth_id, {_mts('isl_s')} AS island_start, {_mts('isl_e')} AS island_end,
+  CAST(n AS BIGINT) AS n_reservations FROM v_islands""")
+def q_busy_islands(spark, d):
+    return _out(IV.merge_busy(td.reservations(spark, d)))
+
+
+@_register("conflict_flags", """
+SELECT berth_id, CAST(count(*) AS BIGINT) AS n_reservations, CAST(count_if(s < pm) AS BIGINT) AS n_flagged
+FROM (SELECT berth_id, epoch_us(start_time) AS s,
+             max(epoch_us(end_time)) OVER (PARTITION BY berth_id ORDER BY epoch_us(start_time), epoch_us(end_time), call_id
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+      FROM v_res) f
+GROUP BY berth_id""")
+def q_conflict_flags(spark, d):
+    f = IV.conflict_flags(td.reservations(spark, d))
+    return _out(f.groupBy("berth_id").agg(F.count(F.lit(1)).alias("n_reservations"),
+                                          F.count_if("overlaps_earlier").alias("n_flagged")))
+
+
+@_register("conflict_pairs", f"""
+SELECT a.berth_id, CAST(a.call_id AS BIGINT) AS call_id_a, CAST(b.call_id AS BIGINT) AS call_id_b,
+  {_ts('greatest(a.start_time, b.start_time)')} AS overlap_start, {_ts('least(a.end_time, b.end_time)')} AS overlap_end
+FROM v_res a JOIN v_res b ON a.berth_id = b.berth_id AND a.call_id < b.call_id
+  AND a.start_time < b.end_time AND a.end_time > b.start_time""")
+def q_conflict_pairs(spark, d):
+    return _out(IV.find_conflicts(td.reservations(spark, d)))
+
+
+@_register("next_free_slot", f"""
+SELECT CAST(p.probe_id AS BIGINT) AS probe_id, p.berth_id, {_ts('p.t')} AS t,
+  {_ts('coalesce(make_timestamp(i.isl_e), p.t)')} AS next_free
+FROM v_probes p LEFT JOIN v_islands i ON i.berth_id = p.berth_id
+  AND i.isl_s <= epoch_us(p.t) + 60000000 AND i.isl_e > epoch_us(p.t)""")
+def q_next_free_slot(spark, d):
+    isl = IV.merge_busy(td.reservations(spark, d))
+    return _out(IV.next_slot(isl, td.probes(spark, d)))
+
+
+@_register("occupancy_at", f"""
+SELECT {_ts('i.t')} AS t, r.berth_id, CAST(arg_min(r.call_id, (r.start_time, r.call_id)) AS BIGINT) AS call_id,
+  CAST(count(*) AS BIGINT) AS n_active
+FROM v_instants i JOIN v_res r ON r.start_time <= i.t AND i.t < r.end_time
+GROUP BY i.t, r.berth_id""")
+def q_occupancy_at(spark, d):
+    o = IV.occupancy_at(td.reservations(spark, d), td.instants(spark, d))
+    return _out(o.select("t", "berth_id", "call_id", "n_active"))
+
+
+@_register("port_snapshot", f"""
+SELECT {_ts('i.t')} AS t, CAST(coalesce(o.n, 0) AS BIGINT) AS occupied_count,
+  CAST(50 - coalesce(o.n, 0) AS BIGINT) AS free_count,
+  round(coalesce(o.n, 0) / 50.0, 6) AS utilization,
+  coalesce(o.ids, '') AS occupied_berths
+FROM v_instants i LEFT JOIN (
+  SELECT t, count(DISTINCT berth_id) AS n, array_to_string(list_sort(list(DISTINCT berth_id)), ',') AS ids
+  FROM (SELECT i.t, r.berth_id FROM v_instants i JOIN v_res r ON r.start_time <= i.t AND i.t < r.end_time) x
+  GROUP BY t) o ON o.t = i.t""")
+def q_port_snapshot(spark, d):
+    res = td.reservations(spark, d)
+    inst = td.instants(spark, d)
+    occ = IV.occupancy_at(res, inst)
+    s = IV.port_snapshot(res.select("berth_id").distinct(), occ, inst)
+    return _out(s.select("t", "occupied_count", "free_count", "utilization",
+                         F.array_join("occupied_berths", ",").alias("occupied_berths")))
+
+
+@_register("window_availability", """
+SELECT CAST(p.call_id AS BIGINT) AS call_id, p.berth_id,
+  NOT EXISTS (SELECT 1 FROM v_res r WHERE r.berth_id = p.berth_id
+              AND r.start_time < p.prop_end AND r.end_time > p.prop_start) AS available
+FROM v_proposals p""")
+def q_window_availability(spark, d):
+    a = IV.is_available(td.reservations(spark, d), td.proposals(spark, d))
+    return _out(a.select("call_id", "berth_id", "available"))
+
+
+@_register("occupancy_series", f"""
+WITH b AS (SELECT min(isl_s) AS t0, max(isl_e) AS t1 FROM v_islands0),
+ticks AS (SELECT t0 + k * 3600000000 AS t FROM b, range(0, (t1 - t0) // 3600000000 + 1) r(k))
+SELECT {_mts('ticks.t')} AS timestamp, CAST(count(i.berth_id) AS BIGINT) AS occupied,
+  CAST(50 - count(i.berth_id) AS BIGINT) AS free, round(count(i.berth_id) / 50.0, 6) AS utilization
+FROM ticks LEFT JOIN v_islands0 i ON i.isl_s <= ticks.t AND ticks.t < i.isl_e
+GROUP BY ticks.t""")
+def q_occupancy_series(spark, d):
+    isl = IV.merge_busy(td.reservations(spark, d), gap_seconds=0)
+    return _out(KP.occupancy_series(isl, 50))
+
+
+@_register("slot_progress", f"""
+SELECT CAST(call_id AS BIGINT) AS call_id,
+  {_r("greatest(epoch_us(end_time) - epoch_us(TIMESTAMP '1998-01-01 00:00:00'), 0) / 3600000000.0")} AS remaining_hours,
+  {_r('''CASE WHEN epoch_us(end_time) - epoch_us(start_time) <= 0 THEN 0.0
+       ELSE least(greatest((epoch_us(TIMESTAMP '1998-01-01 00:00:00') - epoch_us(start_time))
+                  / (epoch_us(end_time) - epoch_us(start_time)) * 100.0, 0.0), 100.0) END''')} AS progress_pct,
+  TIMESTAMP '1998-01-01 00:00:00' >= end_time AS is_complete
+FROM v_res""")
+def q_slot_progress(spark, d):
+    p = IV.slot_progress(td.reservations(spark, d), "1998-01-01 00:00:00")
+    return _out(p.select("call_id", "remaining_hours", "progress_pct", "is_complete"))
+
+
+@_register("unknown_berths", """
+SELECT CAST(p.probe_id AS BIGINT) AS probe_id, p.berth_id FROM v_probes p
+WHERE p.berth_id NOT IN (SELECT berth_id FROM v_clean)""")
+def q_unknown_berths(spark, d):
+    known = _clean(spark, d).select(F.col(S.BERTH_ID).alias("berth_id"))
+    return _out(IV.unknown_berths(td.probes(spark, d), known).select("probe_id", "berth_id"))
+
+
+_PLAN_KPI = """
+  CAST(count(*) AS BIGINT) AS total_vessels,
+  round(avg(wait_us) / 3600000000.0, 6) AS avg_wait_hours,
+  round(max(wait_us) / 3600000000.0, 6) AS max_wait_hours,
+  round(min(wait_us) / 3600000000.0, 6) AS min_wait_hours,
+  CAST(count_if(wait_us < 360000000) AS BIGINT) AS direct_berth_count,
+  round(count_if(wait_us < 360000000) / count(*), 6) AS direct_berth_rate,
+  round(sum(service_us) / 3600000000.0, 6) AS total_service_hours"""
+
+
+@_register("schedule_kpis", f"SELECT CAST(plan_id AS BIGINT) AS plan_id, {_PLAN_KPI} FROM v_pw GROUP BY plan_id")
+def q_schedule_kpis(spark, d):
+    return _out(KP.schedule_kpis(td.plans(spark, d)))
+
+
+@_register("schedule_totals", """
+SELECT CAST(plan_id AS BIGINT) AS plan_id, round(sum(wait_us) / 3600000000.0, 6) AS total_wait_hours,
+  round(avg(wait_us) / 3600000000.0, 6) AS avg_wait_hours FROM v_pw GROUP BY plan_id""")
+def q_schedule_totals(spark, d):
+    return _out(KP.schedule_totals(td.plans(spark, d)))
+
+
+@_register("berth_utilization", """
+SELECT CAST(plan_id AS BIGINT) AS plan_id,
+  round(least(1.0, (sum(service_us) / 3600000000.0) / (7 * 720.0)), 6) AS utilization
+FROM v_pw GROUP BY plan_id""")
+def q_berth_utilization(spark, d):
+    return _out(KP.berth_utilization(td.plans(spark, d), 7, horizon_hours=720.0))
+
+
+@_register("schedule_accuracy", """
+SELECT CAST(p.plan_id AS BIGINT) AS plan_id, CAST(count(a.actual_time) AS BIGINT) AS matched,
+  round(CASE WHEN count(a.actual_time) > 0 THEN
+    count_if(abs(epoch_us(p.scheduled_start) - epoch_us(a.actual_time)) <= 3600000000) / count(a.actual_time)
+  ELSE 0.0 END, 6) AS accuracy
+FROM v_plans p LEFT JOIN v_actual a ON a.call_id = p.call_id GROUP BY p.plan_id""")
+def q_schedule_accuracy(spark, d):
+    return _out(KP.schedule_accuracy(td.plans(spark, d), td.actual_berthing(spark, d)))
+
+
+@_register("throughput_daily", f"""
+SELECT CAST(plan_id AS BIGINT) AS plan_id, {_ts("date_trunc('day', scheduled_start)")} AS period_start,
+  CAST(count(*) AS BIGINT) AS vessels_served FROM v_plans GROUP BY ALL""")
+def q_throughput_daily(spark, d):
+    return _out(KP.throughput(td.plans(spark, d)))
+
+
+@_register("late_arrivals", """
+SELECT CAST(p.call_id AS BIGINT) AS call_id,
+  round((epoch_us(a.actual_time) - epoch_us(p.eta)) / 3600000000.0, 6) AS delay_hours,
+  epoch_us(a.actual_time) - epoch_us(p.eta) > 7200000000 AS is_late
+FROM v_plans p JOIN v_actual a ON a.call_id = p.call_id""")
+def q_late_arrivals(spark, d):
+    la = KP.late_arrivals(td.plans(spark, d), td.actual_berthing(spark, d))
+    return _out(la.select("call_id", "delay_hours", "is_late"))
+
+
+_QS_SQL = """
+WITH b AS (SELECT plan_id, min(epoch_us(eta)) AS t0, max(epoch_us(predicted_end)) AS t1 FROM v_plans GROUP BY plan_id),
+ticks AS (SELECT plan_id, t0 + k * 3600000000 AS t FROM b, range(0, (t1 - t0) // 3600000000 + 1) r(k)),
+qs AS (
+  SELECT ticks.plan_id, ticks.t, count(p.call_id) AS queue_length
+  FROM ticks LEFT JOIN v_plans p ON p.plan_id = ticks.plan_id
+    AND epoch_us(p.eta) <= ticks.t AND ticks.t < epoch_us(p.scheduled_start)
+  GROUP BY ticks.plan_id, ticks.t)"""
+
+
+@_register("queue_series", _QS_SQL + f"""
+SELECT CAST(plan_id AS BIGINT) AS plan_id, {_mts('t')} AS timestamp, CAST(queue_length AS BIGINT) AS queue_length
+FROM qs""")
+def q_queue_series(spark, d):
+    return _out(KP.queue_series(td.plans(spark, d)))
+
+
+@_register("congestion_peaks", _QS_SQL + f"""
+SELECT CAST(plan_id AS BIGINT) AS plan_id, {_mts('t')} AS timestamp, CAST(queue_length AS BIGINT) AS queue_length
+FROM qs WHERE queue_length > 4 ORDER BY queue_length DESC, plan_id, t LIMIT 20""")
+def q_congestion_peaks(spark, d):
+    return _out(KP.congestion_peaks(KP.queue_series(td.plans(spark, d)), k=20, threshold=4))
+
+
+@_register("kpi_history", """
+SELECT CAST(plan_id AS BIGINT) AS plan_id, CAST(n AS BIGINT) AS vessels_served,
+  round(round(w / n / 3600000000.0, 2), 6) AS avg_wait_h, round(round(w / 3600000000.0, 2), 6) AS total_wait_h,
+  CAST(sum(n) OVER (ORDER BY plan_id) AS BIGINT) AS cumulative_served,
+  round(sum(w) OVER (ORDER BY plan_id) / 3600000000.0, 6) AS cumulative_wait_hours,
+  round(sum(w) OVER (ORDER BY plan_id) / sum(n) OVER (ORDER BY plan_id) / 3600000000.0, 6) AS avg_cumulative_wait
+FROM (SELECT plan_id, count(*) AS n, sum(wait_us) AS w FROM v_pw GROUP BY plan_id) g""")
+def q_kpi_history(spark, d):
+    return _out(KP.kpi_history(td.plans(spark, d)))
+
+
+@_register("queue_board", f"""
+SELECT CAST(call_id AS BIGINT) AS call_id,
+  CAST(row_number() OVER (PARTITION BY port_id ORDER BY eta, call_id) AS BIGINT) AS rank,
+  round((epoch_us(TIMESTAMP '1998-01-01 00:00:00') - epoch_us(eta)) / 3600000000.0, 6) AS hours_waiting,
+  CASE vessel_type WHEN 'PORTE_CONTENEUR' THEN 'Container Ship' WHEN 'VRAQUIER' THEN 'Bulk Carrier'
+       WHEN 'CARGO_GENERAL' THEN 'General Cargo' WHEN 'ROULIER' THEN 'Ro-Ro' ELSE vessel_type END AS type_label,
+  coalesce(nullif(cargo_import, ''), cargo_export) AS cargo_label, '—' AS priority_label
+FROM v_typed WHERE eta <= TIMESTAMP '1998-01-01 00:00:00'""")
+def q_queue_board(spark, d):
+    b = KP.queue_board(_typed(spark, d), "1998-01-01 00:00:00")
+    return _out(b.select("call_id", "rank", "hours_waiting", "type_label", "cargo_label", "priority_label"))
+
+
 # ---------------------------------------------------------------------------
 # Contract
 # ---------------------------------------------------------------------------

@@ -201,3 +201,26 @@ def ais_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("value") / 50.0, 2).alias("draft_m"),
         F.when(k % 4 == 0, F.lit("ROULIER")).alias("vessel_type")))
     return e.select(k.alias("msg_id"), _sec(F.col("ts")).alias("received_at"), payload.alias("value"))
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-free-slot probes (berth, instant) from ``orders``."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    k = F.col("o_orderkey")
+    return o.select(k.alias("probe_id"), ((F.col("o_custkey") + 7) % 50).cast("string").alias("berth_id"),
+                    _hours((k * 5) % 48, F.col("o_orderdate")).alias("t"))
+
+
+def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot instants: noon of every order date."""
+    o = table(spark, sf_dir, "orders").select("o_orderdate")
+    return o.select(_hours(F.lit(12), F.col("o_orderdate")).alias("t")).distinct()
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed berth windows to test for availability, from ``orders``."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    k = F.col("o_orderkey")
+    s = _hours((k * 3) % 24, F.col("o_orderdate"))
+    return o.select(k.alias("call_id"), ((F.col("o_custkey") + 1) % 50).cast("string").alias("berth_id"),
+                    s.alias("prop_start"), _hours(1 + k % 12, s).alias("prop_end"))

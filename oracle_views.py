@@ -182,6 +182,52 @@ FROM v_plans WHERE call_id % 6 <> 0
 """
 
 
+VIEWS["v_islands"] = """
+SELECT berth_id, min(s) AS isl_s, max(e) AS isl_e, count(*) AS n
+FROM (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm + 60000000 THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY berth_id ORDER BY s, e, call_id ROWS UNBOUNDED PRECEDING) AS isl
+      FROM (SELECT berth_id, call_id, epoch_us(start_time) AS s, epoch_us(end_time) AS e,
+                   max(epoch_us(end_time)) OVER (PARTITION BY berth_id ORDER BY epoch_us(start_time), epoch_us(end_time), call_id
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+            FROM v_res) f) g
+GROUP BY berth_id, isl
+"""
+
+VIEWS["v_islands0"] = """
+SELECT berth_id, min(s) AS isl_s, max(e) AS isl_e
+FROM (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY berth_id ORDER BY s, e, call_id ROWS UNBOUNDED PRECEDING) AS isl
+      FROM (SELECT berth_id, call_id, epoch_us(start_time) AS s, epoch_us(end_time) AS e,
+                   max(epoch_us(end_time)) OVER (PARTITION BY berth_id ORDER BY epoch_us(start_time), epoch_us(end_time), call_id
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+            FROM v_res) f) g
+GROUP BY berth_id, isl
+"""
+
+VIEWS["v_probes"] = """
+SELECT o_orderkey AS probe_id, CAST((o_custkey + 7) % 50 AS VARCHAR) AS berth_id,
+  CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST((o_orderkey * 5) % 48 AS BIGINT)) AS t
+FROM orders
+"""
+
+VIEWS["v_instants"] = """
+SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) + INTERVAL 12 HOUR AS t FROM orders
+"""
+
+VIEWS["v_proposals"] = """
+SELECT o_orderkey AS call_id, CAST((o_custkey + 1) % 50 AS VARCHAR) AS berth_id,
+  CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST((o_orderkey * 3) % 24 AS BIGINT)) AS prop_start,
+  CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST((o_orderkey * 3) % 24 + 1 + o_orderkey % 12 AS BIGINT)) AS prop_end
+FROM orders
+"""
+
+VIEWS["v_pw"] = """
+SELECT *, greatest(epoch_us(scheduled_start) - epoch_us(eta), 0) AS wait_us,
+  epoch_us(predicted_end) - epoch_us(scheduled_start) AS service_us
+FROM v_plans
+"""
+
+
 def _deps(sql: str, names: list[str]) -> list[str]:
     order = list(VIEWS)
     need: set[str] = set()
@@ -208,4 +254,7 @@ def with_views(sql: str, *names: str) -> str:
     if not names_needed:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names_needed)
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"
