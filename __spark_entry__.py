@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from berthwise import schema as S
+from berthwise.functions.time import from_us
 from berthwise.sources import testdata as td
 from oracle_views import with_views
 
@@ -451,6 +452,138 @@ def q_queue_board(spark, d):
     return _out(b.select("call_id", "rank", "hours_waiting", "type_label", "cargo_label", "priority_label"))
 
 
+# ---------------------------------------------------------------------------
+# M4 — what-if transforms, FIFO replay, scenario KPIs
+# ---------------------------------------------------------------------------
+from berthwise.operators import replay as RP  # noqa: E402
+from berthwise.operators import scenarios as SC  # noqa: E402
+
+CLOSURE_START = "2024-01-10 00:00:00"
+
+
+def _queue(spark, d):
+    return td.queue(spark, d).withColumn("pos", F.col("call_id"))
+
+
+@_register("fifo_single", f"""
+SELECT pool, CAST(call_id AS BIGINT) AS call_id, {_mts('st')} AS start_time,
+  round((st - a) / 3600000000.0, 6) AS wait_hours,
+  {_mts('max(CASE WHEN st = a THEN a END) OVER (PARTITION BY pool ORDER BY a, call_id ROWS UNBOUNDED PRECEDING)')} AS busy_start
+FROM (SELECT *, cprev + max(a - cprev) OVER (PARTITION BY pool ORDER BY a, call_id ROWS UNBOUNDED PRECEDING) AS st
+      FROM (SELECT pool, call_id, epoch_us(eta) AS a, svc_us,
+              CAST(coalesce(sum(svc_us) OVER (PARTITION BY pool ORDER BY epoch_us(eta), call_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cprev
+            FROM v_queue) x) y""")
+def q_fifo_single(spark, d):
+    f = RP.fifo_one(_queue(spark, d), ["pool"])
+    return _out(f.select("pool", "call_id", from_us("start_us").alias("start_time"),
+                         ((F.col("start_us") - F.col("a_us")) / 3.6e9).alias("wait_hours"),
+                         from_us("busy_start").alias("busy_start")))
+
+
+_FIFO_SQL = """
+WITH RECURSIVE q AS MATERIALIZED (
+  SELECT v.pool, v.call_id, epoch_us(v.eta) AS a, v.svc_us, k.k,
+         row_number() OVER (PARTITION BY v.pool ORDER BY v.eta, v.call_id) AS n
+  FROM v_queue v JOIN v_pool_k k ON k.pool = v.pool),
+r AS (
+  SELECT pool, n, call_id, a, a AS st, svc_us,
+         list_sort(list_concat(list_transform(range(k - 1), lambda x: CAST(-1 AS BIGINT)), [a + svc_us])) AS srv
+  FROM q WHERE n = 1
+  UNION ALL
+  SELECT q.pool, q.n, q.call_id, q.a, greatest(q.a, r.srv[1]) AS st, q.svc_us,
+         list_sort(list_concat(r.srv[2:], [greatest(q.a, r.srv[1]) + q.svc_us])) AS srv
+  FROM r JOIN q ON q.pool = r.pool AND q.n = r.n + 1),
+h AS (SELECT max(epoch_us(eta)) + max(svc_us) + 86400000000 AS hz FROM v_queue)"""
+
+
+@_register("fifo_replay", _FIFO_SQL + f"""
+SELECT r.pool, CAST(r.call_id AS BIGINT) AS call_id, {_mts('r.st')} AS start_time,
+  {_mts('r.st + r.svc_us')} AS end_time, round((r.st - r.a) / 3600000000.0, 6) AS wait_hours
+FROM r, h WHERE r.st < h.hz""")
+def q_fifo_replay(spark, d):
+    out = RP.fifo_replay(_queue(spark, d), ["pool"], td.pool_capacity(spark))
+    return _out(out.select("pool", "call_id", "start_time", "end_time", "wait_hours"))
+
+
+_LIST_SQL = "(SELECT *, row_number() OVER (ORDER BY eta, call_id) AS rn FROM v_queue)"
+
+
+@_register("wi_densify", f"""
+SELECT CAST(call_id AS BIGINT) AS call_id, false AS is_extra, name, {_ts('eta')} AS eta FROM v_queue
+UNION ALL
+SELECT CAST(call_id AS BIGINT), true, name || '_EXTRA',
+  {_mts('a + CAST(round_even((na - a) / 2.0, 0) AS BIGINT)')}
+FROM (SELECT call_id, name, epoch_us(eta) AS a,
+             lead(epoch_us(eta)) OVER (ORDER BY eta, call_id) AS na FROM v_queue) x
+WHERE na IS NOT NULL""")
+def q_wi_densify(spark, d):
+    w = SC.wi_densify(_queue(spark, d))
+    return _out(w.select("call_id", "is_extra", "name", "eta"))
+
+
+@_register("wi_closure", f"""
+SELECT CAST(call_id AS BIGINT) AS call_id, {_ts(f'''CASE WHEN eta >= TIMESTAMP '{CLOSURE_START}'
+  AND eta < TIMESTAMP '{CLOSURE_START}' + INTERVAL 24 HOUR
+  THEN TIMESTAMP '{CLOSURE_START}' + INTERVAL 24 HOUR + INTERVAL 10 MINUTE ELSE eta END''')} AS eta
+FROM v_queue""")
+def q_wi_closure(spark, d):
+    return _out(SC.wi_closure(_queue(spark, d), CLOSURE_START).select("call_id", "eta"))
+
+
+@_register("wi_delay", f"""
+SELECT CAST(call_id AS BIGINT) AS call_id,
+  {_ts("CASE WHEN rn = 6 THEN eta + INTERVAL 6 HOUR ELSE eta END")} AS eta
+FROM {_LIST_SQL} l""")
+def q_wi_delay(spark, d):
+    return _out(SC.wi_delay(_queue(spark, d)).select("call_id", "eta"))
+
+
+@_register("wi_conflict", f"""
+SELECT CAST(call_id AS BIGINT) AS call_id,
+  {_ts("CASE WHEN rn <= 2 THEN (SELECT eta FROM " + _LIST_SQL + " f WHERE f.rn = 1) ELSE eta END")} AS eta
+FROM {_LIST_SQL} l""")
+def q_wi_conflict(spark, d):
+    return _out(SC.wi_conflict(_queue(spark, d)).select("call_id", "eta"))
+
+
+OFFLINE = ["view-2", "error-1"]
+
+
+def _scenario_capacity(spark):
+    """(scenario, pool, k): each pool's berths ``pool-0 .. pool-(k-1)``;
+    in S4 the offline ones are removed."""
+    base = td.pool_capacity(spark)
+    off = F.size(F.filter(F.array(*[F.lit(b) for b in OFFLINE]),
+                          lambda b: F.startswith(b, F.concat(F.col("pool"), F.lit("-")))
+                          & (F.split(b, "-").getItem(1).cast("int") < F.col("k"))))
+    out = None
+    for name in SC.SCENARIOS:
+        k = F.col("k") - off if name == "S4_Maintenance" else F.col("k")
+        df = base.select(F.lit(name).alias("scenario"), "pool", k.cast("int").alias("k"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _scenarios(spark, d):
+    calls = _queue(spark, d)
+    allsc = SC.all_scenarios(calls, CLOSURE_START).withColumn("pos", SC.scenario_order_key())
+    cap = _scenario_capacity(spark)
+    rep = RP.fifo_replay(allsc, ["scenario", "pool"], cap, horizon_by=["scenario"])
+    total = cap.groupBy("scenario").agg(F.sum("k").alias("capacity"))
+    return RP.scenario_kpis(rep, total)
+
+
+@_register("scenario_kpis")
+def q_scenario_kpis(spark, d):
+    return _out(_scenarios(spark, d))
+
+
+@_register("scenario_table")
+def q_scenario_table(spark, d):
+    return _out(RP.scenario_table(_scenarios(spark, d)))
+
+
 # ---------------------------------------------------------------------------
 # Contract
 # ---------------------------------------------------------------------------

@@ -51,3 +51,17 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str
     else:
         val = F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
     return j.withColumn(out, val).drop("_local", "_carry")
+
+
+def next_value(df: DataFrame, keys: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
+    """Add ``out`` = ``value`` of the next row of the same ``keys`` in
+    (``bucket``, ``order``) order (NULL for the last row) — a skew-safe
+    ``lead``: inside a bucket an ordinary lead; the last row of a bucket takes
+    the first value of the next non-empty bucket."""
+    w = Window.partitionBy(*keys, bucket).orderBy(*order)
+    local = F.lead(value).over(w)
+    firsts = df.groupBy(*keys, bucket).agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    wb = Window.partitionBy(*keys).orderBy(bucket)
+    nxt = firsts.select(*keys, bucket, F.lead("_first").over(wb).alias("_next_bucket_first"))
+    j = df.withColumn("_local", local).join(nxt, [*keys, bucket], "inner")
+    return j.withColumn(out, F.coalesce("_local", "_next_bucket_first")).drop("_local", "_next_bucket_first")
