@@ -584,6 +584,125 @@ def q_scenario_table(spark, d):
     return _out(RP.scenario_table(_scenarios(spark, d)))
 
 
+# ---------------------------------------------------------------------------
+# M5 — plan scoring, earliest slot, planners, ML
+# ---------------------------------------------------------------------------
+from berthwise.operators import ml as ML  # noqa: E402
+from berthwise.plans import dispatch as DP  # noqa: E402
+from berthwise.plans import repair as RPR  # noqa: E402
+from berthwise.plans import scoring as SCO  # noqa: E402
+
+_SCORE_SQL = """
+SELECT CAST(plan_id AS BIGINT) AS plan_id, CAST(count(*) AS BIGINT) AS n_assigned,
+  sum(wait_us) / 3600000000.0 AS total_wait_hours, 1.0 / (1.0 + sum(wait_us) / 3600000000.0) AS fitness
+FROM v_pw GROUP BY plan_id"""
+
+
+@_register("plan_scores", f"""
+SELECT plan_id, n_assigned, round(total_wait_hours, 6) AS total_wait_hours, round(fitness, 6) AS fitness
+FROM ({_SCORE_SQL}) s""")
+def q_plan_scores(spark, d):
+    return _out(SCO.score_plans(td.plans(spark, d)))
+
+
+@_register("best_plan", f"""
+SELECT plan_id, n_assigned, round(total_wait_hours, 6) AS total_wait_hours, round(fitness, 6) AS fitness
+FROM ({_SCORE_SQL}) s ORDER BY fitness DESC, plan_id LIMIT 1""")
+def q_best_plan(spark, d):
+    return _out(SCO.best_plan(SCO.score_plans(td.plans(spark, d))))
+
+
+@_register("plan_enrichment", f"""
+SELECT CAST(p.plan_id AS BIGINT) AS plan_id, CAST(p.call_id AS BIGINT) AS call_id, p.berth_id,
+  b.terminal_name, {_ts('p.scheduled_start + to_microseconds(q.svc_us)')} AS predicted_end,
+  round(greatest(epoch_us(p.scheduled_start) - epoch_us(q.eta), 0) / 3600000000.0, 6) AS predicted_wait_hours
+FROM v_plans p JOIN v_queue q ON q.call_id = p.call_id LEFT JOIN v_berths b ON b.berth_id = p.berth_id""")
+def q_plan_enrichment(spark, d):
+    plan = td.plans(spark, d).select("plan_id", "pos", "call_id", "berth_id", "scheduled_start")
+    e = SCO.enrich_plan(plan, td.queue(spark, d), td.berths(spark, d))
+    return _out(e.select("plan_id", "call_id", "berth_id", "terminal_name", "predicted_end",
+                         "predicted_wait_hours"))
+
+
+@_register("earliest_slot", f"""
+SELECT e.port_id, CAST(e.call_id AS BIGINT) AS call_id,
+  arg_min(e.berth_id, (coalesce(i.isl_e, epoch_us(v.eta)), e.ordinal)) AS berth_id,
+  {_mts('min(coalesce(i.isl_e, epoch_us(v.eta)))')} AS scheduled_start
+FROM v_elig e JOIN v_vessels v ON v.port_id = e.port_id AND v.call_id = e.call_id
+LEFT JOIN v_islands i ON i.berth_id = e.berth_id
+  AND i.isl_s <= epoch_us(v.eta) + 60000000 AND i.isl_e > epoch_us(v.eta)
+GROUP BY e.port_id, e.call_id""")
+def q_earliest_slot(spark, d):
+    isl = IV.merge_busy(td.reservations(spark, d))
+    return _out(DP.earliest_slot(_elig(spark, d), td.vessels(spark, d), isl))
+
+
+@_register("time_split", """
+SELECT CAST(call_id AS BIGINT) AS call_id,
+  row_number() OVER (ORDER BY arrival_datetime, call_id) <= floor(0.8 * count(*) OVER ()) AS is_train
+FROM v_clean""")
+def q_time_split(spark, d):
+    return _out(ML.time_split(_clean(spark, d)).select("call_id", "is_train"))
+
+
+def _ml_frame(spark, d):
+    c = _clean(spark, d)
+    t = VS.to_calls(c, NOW).drop("arrival_month", "arrival_dow")
+    return t.join(c.select("call_id", S.SERVICE_HOURS, S.ARRIVAL_DT, S.ARRIVAL_MONTH, S.ARRIVAL_DOW), "call_id") \
+            .withColumnRenamed(S.ARRIVAL_MONTH, "arrival_month").withColumnRenamed(S.ARRIVAL_DOW, "arrival_dow")
+
+
+@_register("service_model_metrics")
+def q_service_model_metrics(spark, d):
+    _, metrics = ML.train(_ml_frame(spark, d), production=False)
+    return _out(metrics)
+
+
+@_register("service_predictions")
+def q_service_predictions(spark, d):
+    frame = _ml_frame(spark, d)
+    model, _ = ML.train(frame, production=False)
+    return _out(ML.score(model, frame).select("call_id", "predicted_service_hours"))
+
+
+def _plan_calls(spark, d):
+    v = td.vessels(spark, d).withColumn("pos", F.col("call_id"))
+    return v.withColumn("plan_day", F.to_date("eta"))
+
+
+def _port_islands(spark, d):
+    isl = IV.merge_busy(td.reservations(spark, d))
+    return isl.join(td.berths(spark, d).select("berth_id", "port_id"), "berth_id", "inner")
+
+
+@_register("greedy_plan")
+def q_greedy_plan(spark, d):
+    g = DP.greedy_plan(_plan_calls(spark, d), _elig(spark, d), _port_islands(spark, d))
+    return _out(g.select("port_id", "call_id", "berth_id", "scheduled_start", "predicted_end", "beyond_window"))
+
+
+@_register("plan_sweep")
+def q_plan_sweep(spark, d):
+    p = DP.sweep_plans(_plan_calls(spark, d), _elig(spark, d), _port_islands(spark, d), n_plans=4)
+    scores = SCO.score_plans(p.join(td.vessels(spark, d).select("call_id", "eta"), "call_id"),
+                             by=("port_id", "plan_day", "plan_id"))
+    return _out(SCO.best_plan(scores, by=("port_id", "plan_day")))
+
+
+@_register("plan_repair")
+def q_plan_repair(spark, d):
+    p = td.plans(spark, d).withColumn(
+        "svc_us", F.timestamp_diff("MICROSECOND", F.col("scheduled_start"), F.col("predicted_end")))
+    r = RPR.repair_plans(p)
+    return _out(r.select("plan_id", "call_id", "berth_id", "scheduled_start", "predicted_end"))
+
+
+@_register("reservation_admission")
+def q_reservation_admission(spark, d):
+    a = RPR.admit(td.reservations(spark, d).withColumn("pos", F.col("call_id")))
+    return _out(a.select("call_id", "berth_id", "accepted"))
+
+
 # ---------------------------------------------------------------------------
 # Contract
 # ---------------------------------------------------------------------------

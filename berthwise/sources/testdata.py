@@ -3,7 +3,7 @@
 No vessel data ships with the benchmark, so each domain table is derived
 deterministically from one benchmark table (every row of it), which keeps the
 work of each query proportional to the input size.  The same definitions are
-restated in SQL for the DuckDB oracle (``oracle_sql.py`` at the repo root).
+restated in SQL for the DuckDB oracle (``oracle_views.py`` at the repo root).
 
 Timestamps are truncated to whole seconds so hour values have short exact
 decimal expansions on both engines.
@@ -83,9 +83,9 @@ def vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed calls (one per ``part`` row) for eligibility work."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     k = F.col("p_partkey")
-    base = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    base = F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
     exp = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit("nan")).otherwise(_ptype(k % 6))
-    eta = F.timestamp_add("MINUTE", (k * 37) % 43200, base)
+    eta = F.timestamp_add("MINUTE", (k * 7919) % 3153600, base)
     return p.select(
         F.concat(F.lit("P"), (k % N_PORTS).cast("string")).alias("port_id"),
         k.alias("call_id"),
@@ -103,6 +103,7 @@ def vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.weekday(eta).alias("arrival_dow"),
         eta.alias("eta"),
         (k % 10 == 0).alias("is_priority"),
+        ((1 + k % 10) * 3_600_000_000).alias("svc_us"),
     )
 
 

@@ -108,7 +108,8 @@ SELECT 'P' || CAST(p_partkey % 5 AS VARCHAR) AS port_id,
   6 + p_size / 8.0 AS draft_m,
   p_type AS cargo_import,
   CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'nan' ELSE {_PT}[p_partkey % 6 + 1] END AS cargo_export,
-  TIMESTAMP '2024-06-01 00:00:00' + to_minutes(CAST((p_partkey * 37) % 43200 AS BIGINT)) AS eta
+  TIMESTAMP '1995-01-01 00:00:00' + to_minutes(CAST((p_partkey * 7919) % 3153600 AS BIGINT)) AS eta,
+  (1 + p_partkey % 10) * 3600000000 AS svc_us
 FROM part
 """
 
