@@ -700,6 +700,28 @@ def q_reservation_admission(spark, d):
     return _out(a.select("call_id", "berth_id", "accepted"))
 
 
+# ---------------------------------------------------------------------------
+# M6 — live feed (batch twins of the streams)
+# ---------------------------------------------------------------------------
+
+@_register("ais_calls", f"""
+SELECT CAST(msg_id AS BIGINT) AS call_id, name, coalesce(vessel_type, 'CARGO_GENERAL') AS vessel_type,
+  {_r('draft_m')} AS draft_m, 150.0 AS length_m, 'General Cargo' AS cargo_import, {_ts('eta')} AS eta,
+  CAST(month(eta) AS BIGINT) AS arrival_month, CAST(isodow(eta) - 1 AS BIGINT) AS arrival_dow
+FROM v_ais WHERE name IS NOT NULL""")
+def q_ais_calls(spark, d):
+    ok, _ = VS.ais_to_calls(td.ais_messages(spark, d), NOW)
+    return _out(ok.select("call_id", "name", "vessel_type", "draft_m", "length_m", "cargo_import", "eta",
+                          "arrival_month", "arrival_dow"))
+
+
+@_register("ais_rejects", """
+SELECT CAST(msg_id AS BIGINT) AS msg_id, 'missing name' AS reason FROM v_ais WHERE name IS NULL""")
+def q_ais_rejects(spark, d):
+    _, bad = VS.ais_to_calls(td.ais_messages(spark, d), NOW)
+    return _out(bad.select("msg_id", "reason"))
+
+
 # ---------------------------------------------------------------------------
 # Contract
 # ---------------------------------------------------------------------------

@@ -219,7 +219,7 @@ def ais_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(k % 11 == 0, F.lit(None)).otherwise(F.concat(F.lit("U"), F.col("user_id").cast("string")))
     payload = F.to_json(F.struct(
         name.alias("name"), eta_txt.alias("eta"),
-        F.round(F.col("value") / 50.0, 2).alias("draft_m"),
+        (6 + (k % 80) / 10.0).alias("draft_m"),
         F.when(k % 4 == 0, F.lit("ROULIER")).alias("vessel_type")))
     return e.select(k.alias("msg_id"), _sec(F.col("ts")).alias("received_at"), payload.alias("value"))
 

@@ -229,6 +229,16 @@ FROM v_plans
 """
 
 
+VIEWS["v_ais"] = """
+SELECT event_id AS msg_id,
+  CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'U' || CAST(user_id AS VARCHAR) END AS name,
+  date_trunc('second', ts) AS eta,
+  6 + (event_id % 80) / 10.0 AS draft_m,
+  CASE WHEN event_id % 4 = 0 THEN 'ROULIER' END AS vessel_type
+FROM events
+"""
+
+
 def _deps(sql: str, names: list[str]) -> list[str]:
     order = list(VIEWS)
     need: set[str] = set()
