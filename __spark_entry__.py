@@ -700,6 +700,23 @@ def q_reservation_admission(spark, d):
     return _out(a.select("call_id", "berth_id", "accepted"))
 
 
+@_register("maintenance_capacity", """
+SELECT port_id, terminal_name, CAST(count(*) AS BIGINT) AS n_berths, CAST(min(ordinal) AS BIGINT) AS first_ordinal,
+  array_to_string(list_sort(list(berth_id)), ',') AS berth_ids
+FROM v_berths WHERE berth_id NOT IN ('72', '30') GROUP BY port_id, terminal_name""")
+def q_maintenance_capacity(spark, d):
+    t = BR.terminal_capacity(SC.wi_offline(td.berths(spark, d)))
+    return _out(t.withColumn("berth_ids", F.array_join("berth_ids", ",")))
+
+
+@_register("maintenance_attribution", """
+SELECT port_id, CAST(call_id AS BIGINT) AS call_id, arg_min(terminal_name, ordinal) AS terminal_name
+FROM v_elig WHERE berth_id NOT IN ('72', '30') GROUP BY port_id, call_id""")
+def q_maintenance_attribution(spark, d):
+    elig = EL.eligible_pairs(td.vessels(spark, d), SC.wi_offline(td.berths(spark, d)))
+    return _out(EL.attribute_terminal(elig))
+
+
 # ---------------------------------------------------------------------------
 # M6 — live feed (batch twins of the streams)
 # ---------------------------------------------------------------------------

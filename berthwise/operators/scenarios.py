@@ -137,6 +137,18 @@ def wi_conflict(calls: DataFrame, list_by: list[str] | None = None, pos: str = "
     return _unkey(out.drop("_two", "_first_eta"), added)
 
 
+def wi_offline(berths: DataFrame, ids=tuple(S.MAINTENANCE_BERTHS), key: str = "berth_id") -> DataFrame:
+    """WI4: the berth dimension without the berths taken offline; terminal
+    pools and attribution are then recomputed from it (A9, J5)."""
+    off = berths.sparkSession.createDataFrame([(i,) for i in ids], f"{key} string")
+    return berths.join(F.broadcast(off), key, "left_anti")
+
+
+def pooled_capacity(n_berths: int, removed: int) -> int:
+    """WI4/WI7 single-pool capacity: ``max(1, n - removed)``."""
+    return max(1, n_berths - removed)
+
+
 def all_scenarios(calls: DataFrame, closure_start, list_by: list[str] | None = None,
                   pos: str = "pos") -> DataFrame:
     """The seven scenario inputs in one table tagged ``scenario``.
