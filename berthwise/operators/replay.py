@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.time import HOUR_US, from_us, to_us
-from berthwise.operators.scan import bucket_of, running
+from berthwise.operators.scan import bucket_of
 
 H = float(HOUR_US)
 
@@ -43,27 +43,38 @@ def fifo_one(df: DataFrame, part: list[str], eta: str = "eta", svc_us: str = "sv
     Adds ``a_us``, ``start_us``, ``end_us``, ``busy_start``.
 
     Closed form ``start_i = C_{i-1} + max_{j<=i}(a_j - C_{j-1})`` evaluated in
-    two levels.  Inside a (part, day) bucket: local exclusive service sum
-    ``c`` and local running max ``m`` of ``a - c``.  Over bucket rows (one per
-    day): the service carried in ``Cc`` and the carried maximum ``Mc`` of
-    earlier buckets.  Then ``start = c + max(Mc + Cc, m)``."""
+    two levels with one shuffle of the calls.  Inside a (part, day) bucket:
+    local exclusive service sum ``c``, ``x = a - c`` and its running maxima
+    ``m`` (inclusive) / ``mp`` (exclusive).  One row per bucket carries the
+    service ``Cc`` and the maximum ``Mc`` of earlier buckets; with
+    ``thr = Mc + Cc``:  ``start = c + max(thr, m)``; a row opens a busy period
+    iff ``x >= max(thr, mp)``; a bucket holds an opening iff its maximum
+    reaches ``thr``, and its last opening is the first row attaining that
+    maximum — so busy starts need no second pass over the calls."""
     unb = Window.unboundedPreceding
     d = df.withColumn("a_us", to_us(eta)).withColumn("_bkt", bucket_of("a_us"))
     w = Window.partitionBy(*part, "_bkt").orderBy("a_us", pos)
     d = d.withColumn("_c", F.coalesce(F.sum(svc_us).over(w.rowsBetween(unb, -1)), F.lit(0)).cast("bigint"))
     d = d.withColumn("_x", F.col("a_us") - F.col("_c"))
-    d = d.withColumn("_m", F.max("_x").over(w.rowsBetween(unb, 0)))
-    # one row per (part, day): carried service and carried maximum
-    b = d.groupBy(*part, "_bkt").agg(F.sum(svc_us).alias("_S"), F.max("_x").alias("_Mt"))
+    d = d.withColumns({"_m": F.max("_x").over(w.rowsBetween(unb, 0)),
+                       "_mp": F.max("_x").over(w.rowsBetween(unb, -1))})
+    # one row per (part, day): bounded by pools x days, not by calls
+    b = d.groupBy(*part, "_bkt").agg(
+        F.sum(svc_us).alias("_S"), F.max("_x").alias("_Mt"),
+        F.max_by("a_us", F.struct(F.col("_x"), -F.col("a_us"))).alias("_At"))
     wb = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(unb, -1)
     b = b.withColumn("_Cc", F.coalesce(F.sum("_S").over(wb), F.lit(0)).cast("bigint"))
     b = b.withColumn("_Mc", F.max(F.col("_Mt") - F.col("_Cc")).over(wb))
-    d = d.join(b.select(*part, "_bkt", "_Cc", "_Mc"), [*part, "_bkt"], "inner")
-    d = d.withColumn("start_us", F.col("_c") + F.greatest(F.col("_Mc") + F.col("_Cc"), F.col("_m")))
+    b = b.withColumn("_thr", F.col("_Mc") + F.col("_Cc"))
+    b = b.withColumn("_open_a", F.when(F.coalesce(F.col("_Mt") >= F.col("_thr"), F.lit(True)), F.col("_At")))
+    b = b.withColumn("_last_open", F.max("_open_a").over(wb))
+    d = d.join(b.select(*part, "_bkt", "_thr", "_last_open"), [*part, "_bkt"], "inner")
+    d = d.withColumn("start_us", F.col("_c") + F.greatest(F.col("_thr"), F.col("_m")))
     d = d.withColumn("end_us", F.col("start_us") + F.col(svc_us))
-    d = d.withColumn("_opens", F.when(F.col("start_us") == F.col("a_us"), F.col("a_us")))
-    d = running(d, part, "_bkt", ["a_us", pos], "_opens", "busy_start", "max", inclusive=True)
-    return d.drop("_c", "_x", "_m", "_Cc", "_Mc", "_opens", "_bkt")
+    opens = F.coalesce(F.col("_x") >= F.greatest(F.col("_thr"), F.col("_mp")), F.lit(True))
+    d = d.withColumn("_opens", F.when(opens, F.col("a_us")))
+    d = d.withColumn("busy_start", F.greatest(F.max("_opens").over(w.rowsBetween(unb, 0)), F.col("_last_open")))
+    return d.drop("_c", "_x", "_m", "_mp", "_thr", "_last_open", "_opens", "_bkt")
 
 
 _FOLD_SCHEMA = "start_us long, end_us long"

@@ -94,6 +94,7 @@ def compare_scenarios(calls: DataFrame, capacity: DataFrame, closure_start, pool
 
     ``capacity``: (scenario, pool..., k).  The scenario union feeds several
     branches of the replay plan, so it is checkpointed once."""
+    calls = cut_lineage(calls)          # read by all seven scenario branches
     allsc = SC.all_scenarios(calls, closure_start, list_by).withColumn("pos", SC.scenario_order_key())
     allsc = cut_lineage(allsc)
     part = ["scenario", *pool_cols]
