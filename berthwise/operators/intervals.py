@@ -120,17 +120,19 @@ def free_berths(berths: DataFrame, occupied: DataFrame, instants: DataFrame, t:
     """Per instant, the berths with no active reservation, as a sorted
     array.  The berth list is aggregated per port (one row), so the instants
     are never crossed with the berth table row by row."""
-    inst = instants.select(t, *([port] if port else [])).distinct()
-    if not port:   # one port: join on a constant key (one berth-list row)
-        port = "_port"
-        berths, occupied, inst = (x.withColumn(port, F.lit(0)) for x in (berths, occupied, inst))
+    free_of = lambda occ_col, all_col: F.sort_array(
+        F.array_except(all_col, F.coalesce(occ_col, F.array().cast("array<string>"))))
+    if not port:
+        # one port: its berth list is a single value (scalar subquery)
+        allb = berths.agg(F.sort_array(F.collect_set(key))).scalar()
+        occ = occupied.groupBy(t).agg(F.collect_set(key).alias("_occ"))
+        j = instants.select(t).distinct().join(occ, t, "left")
+        return j.select(t, free_of(F.col("_occ"), allb).alias("free_berths"))
     allb = berths.groupBy(port).agg(F.array_sort(F.collect_set(key)).alias("_all"))
     occ = occupied.groupBy(t, port).agg(F.collect_set(key).alias("_occ"))
     # the berth lists are one row per port (bounded by the port dimension)
-    j = inst.join(occ, [t, port], "left").join(F.broadcast(allb), port, "inner")
-    free = F.array_sort(F.array_except("_all", F.coalesce("_occ", F.array().cast("array<string>"))))
-    cols = [t] + ([] if port == "_port" else [port])
-    return j.select(*cols, free.alias("free_berths"))
+    j = instants.select(t, port).distinct().join(occ, [t, port], "left").join(F.broadcast(allb), port, "inner")
+    return j.select(t, port, free_of(F.col("_occ"), F.col("_all")).alias("free_berths"))
 
 
 def eligible_free(elig: DataFrame, occupied: DataFrame, t: str = "t", key: str = "berth_id") -> DataFrame:

@@ -136,12 +136,12 @@ def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str
                              _fold_schema([c for c in keep if c not in ("start_us", "end_us")], types)))
     out = one.select(*keep).unionByName(folded.select(*keep))
     hb = horizon_by if horizon_by is not None else [c for c in part if c not in pool_cols]
-    hz = (calls.groupBy(*hb) if hb else calls.groupBy()).agg(
-        (F.max(to_us(eta)) + F.max(svc_us) + F.lit(24 * HOUR_US)).alias("_horizon"))
-    if not hb:
-        out, hz, hb = out.withColumn("_one", F.lit(1)), hz.withColumn("_one", F.lit(1)), ["_one"]
-    # one horizon row per scenario: a bounded broadcast
-    out = out.join(F.broadcast(hz), hb, "inner").drop("_one")
+    horizon = F.max(to_us(eta)) + F.max(svc_us) + F.lit(24 * HOUR_US)
+    if hb:
+        # one horizon row per scenario: a bounded broadcast
+        out = out.join(F.broadcast(calls.groupBy(*hb).agg(horizon.alias("_horizon"))), hb, "inner")
+    else:
+        out = out.withColumn("_horizon", calls.agg(horizon).scalar())
     out = out.filter(F.col("start_us") < F.col("_horizon")).drop("_horizon")
     return out.withColumns({
         "start_time": from_us("start_us"),

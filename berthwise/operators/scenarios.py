@@ -92,35 +92,36 @@ def _nth_in_list(calls: DataFrame, n: int, keys: list[str], pos: str) -> DataFra
         .otherwise(F.min_by("call_id", "_r")).alias("_target"))
 
 
-def wi_delay(calls: DataFrame, target: DataFrame | None = None, hours: int = S.LATE_SCENARIO_DELAY_HOURS,
+def _target_col(calls: DataFrame, n: int, list_by: list[str] | None, pos: str):
+    """(frame, target id column): per-list targets joined on ``list_by``; for
+    a single list a scalar subquery (top-n only, evaluated once)."""
+    if list_by:
+        t = _nth_in_list(calls, n, list(list_by), pos)
+        # one target row per list: bounded by the number of lists
+        return calls.join(F.broadcast(t), list(list_by), "left"), F.col("_target")
+    one = calls.withColumn(_ONE, F.lit(0))
+    return calls, _nth_in_list(one, n, [_ONE], pos).select("_target").scalar()
+
+
+def wi_delay(calls: DataFrame, hours: int = S.LATE_SCENARIO_DELAY_HOURS,
              list_by: list[str] | None = None, pos: str = "pos", nth: int = 6) -> DataFrame:
-    """WI5: the target call (default: the 6th in list order, else the 1st)
-    arrives ``hours`` later.  ``target`` holds ``list_by`` + ``_target``."""
-    c, keys, added = _keyed(calls, list_by)
-    t = target if target is not None else _nth_in_list(c, nth, keys, pos)
-    if added and target is not None:
-        t = t.withColumn(_ONE, F.lit(0))
-    # one target row per list: bounded by the number of lists
-    c = c.join(F.broadcast(t), keys, "left")
-    hit = F.col("call_id") == F.col("_target")
+    """WI5: the ``nth`` call in list order (default the 6th, else the 1st)
+    arrives ``hours`` later."""
+    c, target = _target_col(calls, nth, list_by, pos)
+    hit = F.col("call_id") == target
     out = c.withColumn("eta", F.when(hit, F.timestamp_add("HOUR", F.lit(hours), F.col("eta")))
-                       .otherwise(F.col("eta"))).drop("_target")
-    return _unkey(out, added)
+                       .otherwise(F.col("eta")))
+    return out.drop("_target") if list_by else out
 
 
-def wi_priority(calls: DataFrame, target: DataFrame | None = None, list_by: list[str] | None = None,
-                pos: str = "pos") -> DataFrame:
+def wi_priority(calls: DataFrame, list_by: list[str] | None = None, pos: str = "pos", nth: int = 1) -> DataFrame:
     """WI6: move the target call (default: the first in list order) to the
     front of the list.  Replay requests at ETA, so this only changes the
     order among equal ETAs: the target gets the smallest position."""
-    c, keys, added = _keyed(calls, list_by)
-    t = target if target is not None else _nth_in_list(c, 1, keys, pos)
-    if added and target is not None:
-        t = t.withColumn(_ONE, F.lit(0))
-    c = c.join(F.broadcast(t), keys, "left")
+    c, target = _target_col(calls, nth, list_by, pos)
     lowest = F.lit(-(2 ** 62)).cast("bigint")
-    out = c.withColumn(pos, F.when(F.col("call_id") == F.col("_target"), lowest).otherwise(F.col(pos)))
-    return _unkey(out.drop("_target"), added)
+    out = c.withColumn(pos, F.when(F.col("call_id") == target, lowest).otherwise(F.col(pos)))
+    return out.drop("_target") if list_by else out
 
 
 def wi_conflict(calls: DataFrame, list_by: list[str] | None = None, pos: str = "pos") -> DataFrame:
@@ -131,10 +132,14 @@ def wi_conflict(calls: DataFrame, list_by: list[str] | None = None, pos: str = "
             .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2))
     t = head.groupBy(*keys).agg(F.collect_list("call_id").alias("_two"),
                                 F.min_by("eta", "_r").alias("_first_eta"))
+    if added:     # single list: two scalar subqueries over the top-2
+        two, first_eta = t.select("_two").scalar(), t.select("_first_eta").scalar()
+        hit = F.array_contains(two, F.col("call_id"))
+        return calls.withColumn("eta", F.when(hit, first_eta).otherwise(F.col("eta")))
     c = c.join(F.broadcast(t), keys, "left")
     hit = F.array_contains(F.col("_two"), F.col("call_id"))
     out = c.withColumn("eta", F.when(hit, F.col("_first_eta")).otherwise(F.col("eta")))
-    return _unkey(out.drop("_two", "_first_eta"), added)
+    return out.drop("_two", "_first_eta")
 
 
 def wi_offline(berths: DataFrame, ids=tuple(S.MAINTENANCE_BERTHS), key: str = "berth_id") -> DataFrame:
