@@ -167,10 +167,13 @@ def occupancy_series(islands: DataFrame, n_berths: int, step_hours: float = 1.0,
     overlapping bookings count a berth once."""
     step = int(step_hours * HOUR_US)
     key = by or "_all"
-    i = islands if by else islands.withColumn(key, F.lit(0))
-    p = i.select(key, to_us("island_start").alias("_a"), to_us("island_end").alias("_b"))
-    bounds = p.groupBy(key).agg(F.min("_a").alias("_t0"), F.max("_b").alias("_t1"))
-    s = _difference_series(p.join(bounds, key), key, "_a", "_b", "_t0", "_t1", step, "occupied")
+    p = islands.select(*([by] if by else []), to_us("island_start").alias("_a"), to_us("island_end").alias("_b"))
+    if by:
+        bounds = p.groupBy(by).agg(F.min("_a").alias("_t0"), F.max("_b").alias("_t1"))
+        ev = p.join(bounds, by)
+    else:   # one series: the grid bounds are two scalars
+        ev = p.withColumns({key: F.lit(0), "_t0": p.agg(F.min("_a")).scalar(), "_t1": p.agg(F.max("_b")).scalar()})
+    s = _difference_series(ev, key, "_a", "_b", "_t0", "_t1", step, "occupied")
     s = s.withColumns({"free": F.lit(n_berths) - F.col("occupied"),
                        "utilization": F.col("occupied") / F.lit(float(max(n_berths, 1)))})
     return s if by else s.drop(key)
