@@ -522,6 +522,15 @@ def q_wi_densify(spark, d):
     return _out(w.select("call_id", "is_extra", "name", "eta"))
 
 
+@_register("inter_arrivals", f"""
+SELECT CAST(call_id AS BIGINT) AS call_id, {_mts('na')} AS next_eta,
+  round((na - a) / 3600000000.0, 6) AS gap_hours,
+  {_mts('a + CAST(round_even((na - a) / 2.0, 0) AS BIGINT)')} AS midpoint
+FROM (SELECT call_id, epoch_us(eta) AS a, lead(epoch_us(eta)) OVER (ORDER BY eta, call_id) AS na FROM v_queue) x""")
+def q_inter_arrivals(spark, d):
+    return _out(SC.inter_arrivals(_queue(spark, d)).select("call_id", "next_eta", "gap_hours", "midpoint"))
+
+
 @_register("wi_closure", f"""
 SELECT CAST(call_id AS BIGINT) AS call_id, {_ts(f'''CASE WHEN eta >= TIMESTAMP '{CLOSURE_START}'
   AND eta < TIMESTAMP '{CLOSURE_START}' + INTERVAL 24 HOUR

@@ -45,13 +45,13 @@ def schedule_totals(plan: DataFrame, by: str = "plan_id") -> DataFrame:
         F.coalesce(F.avg("wait_us") / F.lit(H), F.lit(0.0)).alias("avg_wait_hours"))
 
 
-def schedule_kpis(plan: DataFrame, by: str = "plan_id") -> DataFrame:
+def schedule_kpis(plan: DataFrame, by: str = "plan_id", plan_ids: DataFrame | None = None) -> DataFrame:
     """A2: vessels, avg/max/min wait, direct count and rate, total service
-    hours per plan.  (A plan with no rows has no group; callers needing a
-    zero row left-join their plan ids and coalesce.)"""
+    hours per plan.  With ``plan_ids`` (one row per plan) an empty plan
+    reports a row of zeros."""
     p = with_plan_measures(plan)
     n = F.count(F.lit(1))
-    return p.groupBy(by).agg(
+    g = p.groupBy(by).agg(
         n.alias("total_vessels"),
         (F.avg("wait_us") / F.lit(H)).alias("avg_wait_hours"),
         (F.max("wait_us") / F.lit(H)).alias("max_wait_hours"),
@@ -59,6 +59,10 @@ def schedule_kpis(plan: DataFrame, by: str = "plan_id") -> DataFrame:
         F.count_if(_direct()).alias("direct_berth_count"),
         (F.count_if(_direct()) / n).alias("direct_berth_rate"),
         (F.sum("service_us") / F.lit(H)).alias("total_service_hours"))
+    if plan_ids is None:
+        return g
+    out = plan_ids.select(by).distinct().join(g, by, "left")
+    return out.fillna(0, subset=[c for c in g.columns if c != by])
 
 
 def format_kpis(kpis: DataFrame) -> DataFrame:

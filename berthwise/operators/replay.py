@@ -164,10 +164,15 @@ def scenario_kpis(replayed: DataFrame, capacity_total: DataFrame, by: str = "sce
         svc_h.alias("_svc_h"), horizon_h.alias("_hz_h"),
         F.count_if((F.col("start_us") - F.col("a_us")) < F.lit(int(S.DIRECT_BERTHING_HOURS * HOUR_US)))
         .alias("zero_wait"))
-    g = g.join(capacity_total, by, "inner")
+    # every scenario of the capacity table reports, an empty one with zeros
+    g = capacity_total.join(g, by, "left")
     util = F.when((F.col("capacity") > 0) & (F.col("_hz_h") > 0),
                   F.col("_svc_h") / (F.col("capacity") * F.col("_hz_h"))).otherwise(F.lit(0.0))
-    return g.select(by, "served", "avg_wait_hours", "max_wait_hours", util.alias("utilization"), "zero_wait")
+    z = F.lit(0.0)
+    return g.select(by, F.coalesce("served", F.lit(0)).alias("served"),
+                    F.coalesce("avg_wait_hours", z).alias("avg_wait_hours"),
+                    F.coalesce("max_wait_hours", z).alias("max_wait_hours"),
+                    F.coalesce(util, z).alias("utilization"), F.coalesce("zero_wait", F.lit(0)).alias("zero_wait"))
 
 
 def scenario_table(kpis: DataFrame, by: str = "scenario") -> DataFrame:

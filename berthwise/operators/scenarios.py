@@ -52,6 +52,18 @@ def wi_baseline(calls: DataFrame) -> DataFrame:
     return calls
 
 
+def inter_arrivals(calls: DataFrame, list_by: list[str] | None = None, pos: str = "pos") -> DataFrame:
+    """For each call, the next call's ETA in list order, the gap in hours
+    and the midpoint (NULL for the last call).  Skew-safe lead."""
+    keys = list_by or []
+    c = calls.withColumn("_a", to_us("eta")).withColumn("_bkt", bucket_of("_a"))
+    c = next_value(c, keys, "_bkt", ["_a", pos], "_a", "_next_a")
+    half = F.bround((F.col("_next_a") - F.col("_a")) / F.lit(2.0)).cast("bigint")
+    return c.select(*calls.columns, from_us("_next_a").alias("next_eta"),
+                    ((F.col("_next_a") - F.col("_a")) / F.lit(float(HOUR_US))).alias("gap_hours"),
+                    from_us(F.col("_a") + half).alias("midpoint"))
+
+
 def wi_densify(calls: DataFrame, list_by: list[str] | None = None, pos: str = "pos") -> DataFrame:
     """WI2: for every call but the last in list order, add a clone named
     ``name + "_EXTRA"`` at the midpoint between its ETA and the next call's

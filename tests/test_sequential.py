@@ -252,3 +252,26 @@ def test_to_us_roundtrip(spark):
     assert df.select(to_us("t").alias("u")).collect()[0].u == \
         int((T0 - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 + 123_456_789
     assert df.select(F.col("t")).collect()[0].t == _ts(123_456_789)
+
+
+def test_empty_plan_and_scenario_report_zeros(spark):
+    plan = spark.createDataFrame([(0, 1, _ts(0), _ts(H), _ts(3 * H))],
+                                 "plan_id long, call_id long, eta timestamp_ntz, scheduled_start timestamp_ntz, "
+                                 "predicted_end timestamp_ntz")
+    ids = spark.createDataFrame([(0,), (1,)], "plan_id long")
+    k = {r.plan_id: r for r in KP.schedule_kpis(plan, plan_ids=ids).collect()}
+    assert k[1].total_vessels == 0 and k[1].avg_wait_hours == 0.0 and k[1].direct_berth_rate == 0.0
+    assert k[0].total_vessels == 1 and k[0].avg_wait_hours == 1.0
+    cap = spark.createDataFrame([("S1", 2), ("S9", 3)], "scenario string, capacity long")
+    rep = spark.createDataFrame([("S1", 0, H, 3 * H)], "scenario string, a_us long, start_us long, end_us long")
+    s = {r.scenario: r for r in RP.scenario_kpis(rep, cap).collect()}
+    assert s["S9"].served == 0 and s["S9"].utilization == 0.0
+    assert s["S1"].served == 1 and s["S1"].avg_wait_hours == 1.0 and s["S1"].utilization == 0.5
+    t = {r.scenario: r for r in RP.scenario_table(RP.scenario_kpis(rep, cap)).collect()}
+    assert t["S9"].direct_berth_rate_pct == 0.0 and t["S1"].utilization_pct == 50.0
+
+
+def test_inter_arrivals(spark):
+    df = spark.createDataFrame([(i, _ts(i * 3 * H), i) for i in range(4)], "call_id long, eta timestamp_ntz, pos long")
+    r = {x.call_id: x for x in SC.inter_arrivals(df).collect()}
+    assert r[0].gap_hours == 3.0 and r[0].midpoint == _ts(3 * H // 2) and r[3].next_eta is None
