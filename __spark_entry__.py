@@ -25,9 +25,20 @@ _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def _utc(fn):
+    """Timestamps are naive port-local times; all arithmetic assumes a UTC
+    session clock (no DST shifts), so pin it before the plan is built."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def _register(name: str, sql: str | None = None):
     def deco(fn):
-        _Q[name] = fn
+        _Q[name] = _utc(fn)
         if sql is not None:
             _SQL[name] = with_views(sql)
         return fn
