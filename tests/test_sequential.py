@@ -275,3 +275,68 @@ def test_inter_arrivals(spark):
     df = spark.createDataFrame([(i, _ts(i * 3 * H), i) for i in range(4)], "call_id long, eta timestamp_ntz, pos long")
     r = {x.call_id: x for x in SC.inter_arrivals(df).collect()}
     assert r[0].gap_hours == 3.0 and r[0].midpoint == _ts(3 * H // 2) and r[3].next_eta is None
+
+
+def _ref_greedy(calls, elig, islands):
+    """calls: [(call_id, eta_us, svc_us)] of one run; elig: {call: [berths in order]};
+    islands: {berth: [(s, e)]} -> {call: (berth, start)} (linear-scan next slot)."""
+    def nxt(b, t):
+        cand = t
+        for s, e in sorted(islands.get(b, [])):
+            if s > cand + GAP:
+                break
+            if e > cand:
+                cand = e
+        return cand
+    busy, out = {}, {}
+    for cid, eta, svc in sorted(calls, key=lambda c: (c[1], c[0])):
+        best = None
+        for b in elig.get(cid, []):
+            t = nxt(b, max(eta, busy.get(b, eta)))
+            if best is None or t < best[1]:
+                best = (b, t)
+        if best is None:
+            continue
+        busy[best[0]] = best[1] + svc
+        out[cid] = best
+    return out
+
+
+def test_greedy_vs_loop(spark):
+    from berthwise.plans import dispatch as DP
+    rng = random.Random(21)
+    day0 = datetime(2024, 6, 3)
+    calls, elig_rows, res_rows = [], [], []
+    berths = [str(b) for b in range(5)]
+    for i in range(60):
+        eta = rng.randrange(0, 20 * 60) * 60_000_000        # within one day
+        calls.append(("P", i, _ts_day(day0, eta), rng.randrange(1, 8) * H, i))
+        for o, b in enumerate(berths):
+            if rng.random() < 0.5:
+                elig_rows.append(("P", i, b, o))
+    for j in range(25):
+        b = rng.choice(berths)
+        s = rng.randrange(-24 * 60, 40 * 60) * 60_000_000
+        res_rows.append((j, "R", b, _ts_day(day0, s), _ts_day(day0, s + rng.randrange(1, 10) * H)))
+    cdf = spark.createDataFrame(calls, "port_id string, call_id long, eta timestamp_ntz, svc_us long, pos long") \
+        .withColumn("plan_day", F.to_date("eta"))
+    edf = spark.createDataFrame(elig_rows, "port_id string, call_id long, berth_id string, ordinal int")
+    rdf = spark.createDataFrame(res_rows, "call_id long, vessel_name string, berth_id string, start_time timestamp_ntz, "
+                                          "end_time timestamp_ntz")
+    isl = IV.merge_busy(rdf).withColumn("port_id", F.lit("P"))
+    got = {r.call_id: (r.berth_id, r.start_us) for r in DP.greedy_plan(cdf, edf, isl).collect()}
+    epoch = int((day0 - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    ref_el = {}
+    for _, cid, b, o in sorted(elig_rows, key=lambda r: (r[1], r[3])):
+        ref_el.setdefault(cid, []).append(b)
+    ref_isl = {}
+    for _, _, b, s, e in res_rows:
+        ref_isl.setdefault(b, []).append((int((s - datetime(1970, 1, 1)).total_seconds()) * 1_000_000,
+                                         int((e - datetime(1970, 1, 1)).total_seconds()) * 1_000_000))
+    ref = _ref_greedy([(c[1], int((c[2] - day0).total_seconds()) * 1_000_000 + epoch, c[3]) for c in calls],
+                      ref_el, ref_isl)
+    assert got == ref
+
+
+def _ts_day(day0, us):
+    return day0 + timedelta(microseconds=us)
