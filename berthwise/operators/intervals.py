@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.scalar import overlaps
@@ -42,16 +43,32 @@ def covered_days(df: DataFrame, lo: Column, hi: Column, out: str = "_day") -> Da
 def merge_busy(res: DataFrame, gap_seconds: int = S.NEXT_SLOT_GAP_SECONDS, key: str = "berth_id",
                start: str = "start_time", end: str = "end_time", tie: str = "call_id") -> DataFrame:
     """Merge a berth's reservations into busy islands: a reservation joins
-    the current island when it starts no later than the island's running
-    maximum end plus ``gap``.  Returns ``(key, island_start, island_end,
-    n_reservations)``."""
+    the current island when it starts no later than the running maximum end
+    of the earlier reservations plus ``gap``.  Returns ``(key, island_start,
+    island_end, n_reservations)``.
+
+    One shuffle of the reservations, two-level: inside a (berth, day) bucket
+    the local running max end ``lm`` and the local island candidates (start >
+    lm + gap); one row per bucket carries ``Cb`` (max end of earlier buckets)
+    and the last island start of earlier buckets.  Since starts ascend, the
+    rows clearing ``Cb + gap`` are a suffix, so a bucket's last island start is
+    its last candidate when that clears ``Cb + gap``."""
     gap = gap_seconds * 1_000_000
+    unb = Window.unboundedPreceding
     r = _us(res.select(key, start, end, tie), start, end).withColumn("_bkt", bucket_of("_s"))
-    order = ["_s", "_e", tie]
-    r = running(r, [key], "_bkt", order, "_e", "_prev_max", "max", inclusive=False)
-    new = F.col("_prev_max").isNull() | (F.col("_s") > F.col("_prev_max") + F.lit(gap))
-    r = r.withColumn("_start_if_new", F.when(new, F.col("_s")))
-    r = running(r, [key], "_bkt", order, "_start_if_new", "_island", "max", inclusive=True)
+    w = Window.partitionBy(key, "_bkt").orderBy("_s", "_e", tie)
+    r = r.withColumn("_lm", F.max("_e").over(w.rowsBetween(unb, -1)))
+    cand = F.col("_lm").isNull() | (F.col("_s") > F.col("_lm") + F.lit(gap))
+    b = r.groupBy(key, "_bkt").agg(F.max("_e").alias("_E"), F.max(F.when(cand, F.col("_s"))).alias("_L"))
+    wb = Window.partitionBy(key).orderBy("_bkt").rowsBetween(unb, -1)
+    b = b.withColumn("_Cb", F.max("_E").over(wb))
+    opens = F.col("_Cb").isNull() | (F.col("_L") > F.col("_Cb") + F.lit(gap))
+    b = b.withColumn("_last_start", F.max(F.when(opens, F.col("_L"))).over(wb))
+    r = r.join(b.select(key, "_bkt", "_Cb", "_last_start"), [key, "_bkt"], "inner")
+    prev = F.greatest(F.col("_Cb"), F.col("_lm"))
+    new = prev.isNull() | (F.col("_s") > prev + F.lit(gap))
+    r = r.withColumn("_new_s", F.when(new, F.col("_s")))
+    r = r.withColumn("_island", F.greatest(F.max("_new_s").over(w.rowsBetween(unb, 0)), F.col("_last_start")))
     isl = r.groupBy(key, "_island").agg(F.min("_s").alias("_is"), F.max("_e").alias("_ie"),
                                         F.count(F.lit(1)).alias("n_reservations"))
     return isl.select(key, from_us("_is").alias("island_start"), from_us("_ie").alias("island_end"),
