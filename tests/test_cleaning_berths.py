@@ -61,6 +61,12 @@ def test_waiting_keeps_null(spark):
     assert r[S.WAITING_HOURS] is None
 
 
+
+def _port_id(berths):
+    """The document's single port key (test-side lookup)."""
+    return berths.select("port_id").first()[0]
+
+
 @pytest.fixture(scope="module")
 def berths(spark):
     if not os.path.exists(PORT_DOC):
@@ -112,7 +118,7 @@ DEMO = [  # name, type, length, draft, import, export, eta hours -> expected eli
 def test_demo_eligibility(spark, berths):
     rows = [(None, i, n, t, 0, ln, dr, im, ex, 0.0, 0.0, 2, 6, 5, None, False)
             for i, (n, t, ln, dr, im, ex, _, _) in enumerate(DEMO)]
-    calls = spark.createDataFrame(rows, S.CALL_SCHEMA).withColumn("port_id", F.lit("port_of_casablanca"))
+    calls = spark.createDataFrame(rows, S.CALL_SCHEMA).withColumn("port_id", F.lit(_port_id(berths)))
     elig = EL.eligible_pairs(calls, berths)
     summ = {r.call_id: r for r in EL.eligibility_summary(calls, elig).collect()}
     terms = {r.call_id: r.terminal_name for r in EL.attribute_terminal(elig).collect()}
@@ -125,7 +131,7 @@ def test_demo_eligibility(spark, berths):
 
 def test_violation_reasons(spark, berths):
     calls = spark.createDataFrame(
-        [("port_of_casablanca", 1, "DEEP", "VRAQUIER", 0, 100.0, 13.0, "Grains", "", 0.0, 0.0, 1, 6, 5, None, False)],
+        [(_port_id(berths), 1, "DEEP", "VRAQUIER", 0, 100.0, 13.0, "Grains", "", 0.0, 0.0, 1, 6, 5, None, False)],
         S.CALL_SCHEMA)
     v = EL.berth_violations(calls, berths)
     reasons = {r.berth_id: r for r in v.collect()}

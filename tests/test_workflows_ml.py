@@ -119,6 +119,12 @@ DEMO = [
 ]
 
 
+
+def _port_id(berths):
+    """The document's single port key (test-side lookup)."""
+    return berths.select("port_id").first()[0]
+
+
 @pytest.fixture(scope="module")
 def port(spark):
     if not os.path.exists(PORT_DOC):
@@ -127,7 +133,7 @@ def port(spark):
 
 
 def test_allocate_demo(spark, port):
-    rows = [("port_of_casablanca", i, n, t, 20000, ln, dr, im, ex, 0.0, 0.0, 2, 6, 5, T0 + timedelta(hours=h), False)
+    rows = [(_port_id(port), i, n, t, 20000, ln, dr, im, ex, 0.0, 0.0, 2, 6, 5, T0 + timedelta(hours=h), False)
             for i, (n, t, ln, dr, im, ex, h) in enumerate(DEMO)]
     q = spark.createDataFrame(rows, S.CALL_SCHEMA).withColumn("svc_us", F.lit(20 * H))
     q = q.withColumn("plan_day", F.lit(T0.date()))
