@@ -61,7 +61,8 @@ def fifo_one(df: DataFrame, part: list[str], eta: str = "eta", svc_us: str = "sv
     # one row per (part, day): bounded by pools x days, not by calls
     b = d.groupBy(*part, "_bkt").agg(
         F.sum(svc_us).alias("_S"), F.max("_x").alias("_Mt"),
-        F.max_by("a_us", F.struct(F.col("_x"), -F.col("a_us"))).alias("_At"))
+        # first row attaining the bucket maximum = last row setting a strict new running max
+        F.max(F.when(F.col("_mp").isNull() | (F.col("_x") > F.col("_mp")), F.col("a_us"))).alias("_At"))
     wb = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(unb, -1)
     b = b.withColumn("_Cc", F.coalesce(F.sum("_S").over(wb), F.lit(0)).cast("bigint"))
     b = b.withColumn("_Mc", F.max(F.col("_Mt") - F.col("_Cc")).over(wb))
