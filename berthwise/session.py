@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -68,5 +67,15 @@ def cut_lineage(df, spark: SparkSession | None = None):
     return df.checkpoint(eager=True)
 
 
-def env_flag(name: str, default: str = "") -> str:
-    return os.environ.get(name, default)
+# Settings for large clusters (pass as ``extra`` to get_spark or spark-submit
+# --conf): ~256 MB input splits and post-shuffle partitions so a task's data
+# fits executor memory, AQE coalescing / skew splitting on, and enough initial
+# shuffle partitions that AQE has room to coalesce.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
