@@ -22,6 +22,8 @@ Physical plan:
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from typing import Tuple
 
 import numpy as np
 import pandas as pd
@@ -86,27 +88,41 @@ def _fold_schema(cols: list[str], types: dict) -> str:
 
 
 def _make_fold(cols: list[str], pos: str):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a_us", pos], kind="mergesort")
-        k = int(pdf["k"].iloc[0])
-        a = pdf["a_us"].to_numpy(np.int64)
-        s = pdf["svc_us"].to_numpy(np.int64)
-        n = len(a)
-        start = np.empty(n, dtype=np.int64)
+    """k-heap fold over one group, streamed batch by batch.
+
+    Rows arrive in ``(a_us, pos)`` order (secondary sort below); the heap of
+    the k berths' free times is carried across Arrow batches, so memory is one
+    batch plus k values however large the group is.  The order is verified
+    and a violation fails the task instead of producing a wrong schedule."""
+    def fold(key: Tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heap: list[int] = []
-        for i in range(n):
-            ai = int(a[i])
-            if len(heap) < k:
-                st = ai
-                heapq.heappush(heap, st + int(s[i]))
-            else:
-                st = max(ai, heap[0])
-                heapq.heapreplace(heap, st + int(s[i]))
-            start[i] = st
-        out = pdf[cols].copy()
-        out["start_us"] = start
-        out["end_us"] = start + s
-        return out
+        last = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k = int(pdf["k"].iloc[0])
+            a = pdf["a_us"].to_numpy(np.int64)
+            p = pdf[pos].to_numpy(np.int64)
+            s = pdf["svc_us"].to_numpy(np.int64)
+            order_ok = bool(np.all((a[1:] > a[:-1]) | ((a[1:] == a[:-1]) & (p[1:] >= p[:-1]))))
+            if not order_ok or (last is not None and (int(a[0]), int(p[0])) < last):
+                raise RuntimeError("replay input is not in (eta, pos) order within its group")
+            last = (int(a[-1]), int(p[-1]))
+            n = len(a)
+            start = np.empty(n, dtype=np.int64)
+            for i in range(n):
+                ai = int(a[i])
+                if len(heap) < k:
+                    st = ai
+                    heapq.heappush(heap, st + int(s[i]))
+                else:
+                    st = max(ai, heap[0])
+                    heapq.heapreplace(heap, st + int(s[i]))
+                start[i] = st
+            out = pdf[cols].copy()
+            out["start_us"] = start
+            out["end_us"] = start + s
+            yield out
     return fold
 
 
@@ -132,7 +148,11 @@ def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str
     # boundary all k berths are idle, so one heap carried across the bundle
     # gives exactly the per-period result with far fewer Python calls.
     many = many.withColumn("_bundle", F.floor(F.col("busy_start") / F.lit(86_400_000_000)).cast("bigint"))
-    folded = (many.groupBy(*part, "_bundle")
+    # secondary sort: hash-partition by the group, sort by group then (eta, pos);
+    # the grouped map keeps this order, so each group streams in arrival order
+    gkeys = [*part, "_bundle"]
+    many = many.repartition(*gkeys).sortWithinPartitions(*gkeys, "a_us", pos)
+    folded = (many.groupBy(*gkeys)
               .applyInPandas(_make_fold([c for c in keep if c not in ("start_us", "end_us")], pos),
                              _fold_schema([c for c in keep if c not in ("start_us", "end_us")], types)))
     out = one.select(*keep).unionByName(folded.select(*keep))
