@@ -3,12 +3,16 @@
 Both are first-come-wins folds over one berth's rows, so they run as
 ``groupBy(...).applyInPandas`` with the berth in the group key: rows on
 different berths never interact, and different plans never interact, so
-``(plan, berth)`` groups run fully in parallel.
+``(plan, berth)`` groups run fully in parallel.  Each group streams through
+the fold in row order (secondary sort + iterator form), so a busy berth is
+never materialised as one pandas frame; the order is verified per batch.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
+from typing import Tuple
 
 import numpy as np
 import pandas as pd
@@ -18,24 +22,41 @@ from pyspark.sql import functions as F
 from berthwise.functions.time import from_us, to_us
 
 
-def _repair_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("pos", kind="mergesort")
-    accepted: list[tuple[int, int]] = []          # kept sorted by (start, end)
-    starts = np.empty(len(pdf), dtype=np.int64)
-    for i, r in enumerate(pdf.itertuples(index=False)):
-        st = max(int(r.start_us), int(r.eta_us))    # never before the ETA
-        dur = int(r.svc_us)
-        en = st + dur
-        for s0, e0 in accepted:                     # one pass in start order
-            if st < e0 and en > s0:
-                st = e0
-                en = st + dur
-        bisect.insort(accepted, (st, en))
-        starts[i] = st
-    out = pdf.copy()
-    out["start_us"] = starts
-    out["end_us"] = starts + pdf["svc_us"].to_numpy(np.int64)
-    return out
+def _check_order(p: np.ndarray, last):
+    if len(p) and ((np.any(p[1:] < p[:-1])) or (last is not None and int(p[0]) < last)):
+        raise RuntimeError("grouped input is not in row order")
+    return int(p[-1]) if len(p) else last
+
+
+def _repair_group(key: Tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Accepted slots never overlap (a proposal only moves later, past each
+    # overlapping slot in start order), so starts and ends are both sorted:
+    # the one-pass scan reduces to a binary search for the first slot ending
+    # after the proposal, then pushes until a slot starts after it ends.
+    pairs: list[tuple[int, int]] = []   # (start, end), sorted like the source's tuple sort
+    ss: list[int] = []
+    es: list[int] = []
+    last = None
+    for pdf in batches:
+        last = _check_order(pdf["pos"].to_numpy(np.int64), last)
+        starts = np.empty(len(pdf), dtype=np.int64)
+        for i, r in enumerate(pdf.itertuples(index=False)):
+            st = max(int(r.start_us), int(r.eta_us))    # never before the ETA
+            dur = int(r.svc_us)
+            j = bisect.bisect_right(es, st)             # slots ending <= st cannot overlap
+            while j < len(ss) and ss[j] < st + dur:
+                if es[j] > st:                          # overlap: move past this slot
+                    st = es[j]
+                j += 1
+            at = bisect.bisect_left(pairs, (st, st + dur))
+            pairs.insert(at, (st, st + dur))
+            ss.insert(at, st)
+            es.insert(at, st + dur)
+            starts[i] = st
+        out = pdf.copy()
+        out["start_us"] = starts
+        out["end_us"] = starts + pdf["svc_us"].to_numpy(np.int64)
+        yield out
 
 
 def repair_plans(plans: DataFrame, by: tuple[str, ...] = ("plan_id", "berth_id")) -> DataFrame:
@@ -47,26 +68,30 @@ def repair_plans(plans: DataFrame, by: tuple[str, ...] = ("plan_id", "berth_id")
     p = plans.select(*by, "pos", "call_id", to_us("eta").alias("eta_us"),
                      to_us("scheduled_start").alias("start_us"), "svc_us")
     schema = ", ".join(f"`{c}` {t}" for c, t in p.dtypes) + ", end_us bigint"
+    # secondary sort: each (plan, berth) group streams in row order
+    p = p.repartition(*by).sortWithinPartitions(*by, "pos")
     out = p.groupBy(*by).applyInPandas(_repair_group, schema)
     return out.withColumns({"scheduled_start": from_us("start_us"), "predicted_end": from_us("end_us")})
 
 
-def _admit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("pos", kind="mergesort")
+def _admit_group(key: Tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     s_list: list[int] = []      # accepted starts (sorted); accepted slots never overlap
     e_list: list[int] = []
-    ok = np.zeros(len(pdf), dtype=bool)
-    for i, r in enumerate(pdf.itertuples(index=False)):
-        s, e = int(r.s_us), int(r.e_us)
-        j = bisect.bisect_left(s_list, e)           # accepted slots starting before e
-        clash = j > 0 and e_list[j - 1] > s         # the latest of them ends after s?
-        if not clash:
-            s_list.insert(j, s)
-            e_list.insert(j, e)
-            ok[i] = True
-    out = pdf.copy()
-    out["accepted"] = ok
-    return out
+    last = None
+    for pdf in batches:
+        last = _check_order(pdf["pos"].to_numpy(np.int64), last)
+        ok = np.zeros(len(pdf), dtype=bool)
+        for i, r in enumerate(pdf.itertuples(index=False)):
+            s, e = int(r.s_us), int(r.e_us)
+            j = bisect.bisect_left(s_list, e)           # accepted slots starting before e
+            clash = j > 0 and e_list[j - 1] > s         # the latest of them ends after s?
+            if not clash:
+                s_list.insert(j, s)
+                e_list.insert(j, e)
+                ok[i] = True
+        out = pdf.copy()
+        out["accepted"] = ok
+        yield out
 
 
 def admit(requests: DataFrame, key: str = "berth_id", order: str = "pos",
@@ -77,5 +102,7 @@ def admit(requests: DataFrame, key: str = "berth_id", order: str = "pos",
     r = requests.withColumns({"s_us": to_us(start), "e_us": to_us(end)}).withColumnRenamed(order, "pos")
     cols = r.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in r.dtypes) + ", accepted boolean"
+    # secondary sort: each berth's requests stream in request order
+    r = r.repartition(key).sortWithinPartitions(key, "pos")
     out = r.groupBy(key).applyInPandas(_admit_group, schema)
     return out.select(*cols, "accepted").withColumnRenamed("pos", order).drop("s_us", "e_us")

@@ -167,12 +167,14 @@ def _ref_repair(rows):
     return out
 
 
-def test_repair_vs_loop(spark):
-    rng = random.Random(5)
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_repair_vs_loop(spark, seed):
+    rng = random.Random(seed)
     rows = []
-    for i in range(200):
-        eta = rng.randrange(0, 100) * H
-        rows.append((i % 3, i, i, str(rng.randrange(3)), eta, eta + rng.randrange(-3, 6) * H, rng.randrange(1, 9) * H))
+    for i in range(300):
+        eta = rng.randrange(0, 60) * H
+        svc = rng.choice([0, rng.randrange(1, 9) * H, rng.randrange(1, 120) * 60_000_000])
+        rows.append((i % 3, rng.randrange(10 ** 6), i, str(rng.randrange(2)), eta, eta + rng.randrange(-3, 6) * H, svc))
     df = spark.createDataFrame([(p, pos, c, b, _ts(e), _ts(s), v) for p, pos, c, b, e, s, v in rows],
                                "plan_id long, pos long, call_id long, berth_id string, eta timestamp_ntz, "
                                "scheduled_start timestamp_ntz, svc_us long")
