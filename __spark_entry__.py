@@ -706,7 +706,20 @@ def q_plan_sweep(spark, d):
     return _out(SCO.best_plan(scores, by=("port_id", "plan_day")))
 
 
-@_register("plan_repair")
+@_register("plan_repair", f"""
+WITH RECURSIVE q AS MATERIALIZED (
+  SELECT plan_id, berth_id, call_id, greatest(epoch_us(scheduled_start), epoch_us(eta)) AS st0,
+         epoch_us(predicted_end) - epoch_us(scheduled_start) AS dur,
+         row_number() OVER (PARTITION BY plan_id, berth_id ORDER BY pos) AS n FROM v_plans),
+r AS (
+  SELECT plan_id, berth_id, n, call_id, dur, st0 AS st, [[st0, st0 + dur]] AS slots FROM q WHERE n = 1
+  UNION ALL
+  SELECT q.plan_id, q.berth_id, q.n, q.call_id, q.dur, x.st, list_append(r.slots, [x.st, x.st + q.dur])
+  FROM r JOIN q ON q.plan_id = r.plan_id AND q.berth_id = r.berth_id AND q.n = r.n + 1,
+  LATERAL (SELECT list_reduce(list_sort(r.slots),
+             lambda acc, y: CASE WHEN acc < y[2] AND acc + q.dur > y[1] THEN y[2] ELSE acc END, q.st0) AS st) x)
+SELECT CAST(plan_id AS BIGINT) AS plan_id, CAST(call_id AS BIGINT) AS call_id, berth_id,
+  {_mts('st')} AS scheduled_start, {_mts('st + dur')} AS predicted_end FROM r""")
 def q_plan_repair(spark, d):
     p = td.plans(spark, d).withColumn(
         "svc_us", F.timestamp_diff("MICROSECOND", F.col("scheduled_start"), F.col("predicted_end")))
@@ -714,7 +727,19 @@ def q_plan_repair(spark, d):
     return _out(r.select("plan_id", "call_id", "berth_id", "scheduled_start", "predicted_end"))
 
 
-@_register("reservation_admission")
+@_register("reservation_admission", """
+WITH RECURSIVE q AS MATERIALIZED (
+  SELECT berth_id, call_id, epoch_us(start_time) AS s, epoch_us(end_time) AS e,
+         row_number() OVER (PARTITION BY berth_id ORDER BY call_id) AS n FROM v_res),
+r AS (
+  SELECT berth_id, n, call_id, true AS acc, [[s, e]] AS slots FROM q WHERE n = 1
+  UNION ALL
+  SELECT q.berth_id, q.n, q.call_id,
+    len(list_filter(r.slots, lambda x: x[1] < q.e AND x[2] > q.s)) = 0,
+    CASE WHEN len(list_filter(r.slots, lambda x: x[1] < q.e AND x[2] > q.s)) = 0
+         THEN list_append(r.slots, [q.s, q.e]) ELSE r.slots END
+  FROM r JOIN q ON q.berth_id = r.berth_id AND q.n = r.n + 1)
+SELECT CAST(call_id AS BIGINT) AS call_id, berth_id, acc AS accepted FROM r""")
 def q_reservation_admission(spark, d):
     a = RPR.admit(td.reservations(spark, d).withColumn("pos", F.col("call_id")))
     return _out(a.select("call_id", "berth_id", "accepted"))
