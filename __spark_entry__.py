@@ -585,17 +585,81 @@ def _scenario_capacity(spark):
     return out
 
 
+_SCEN_SQL = f"""
+WITH RECURSIVE base AS MATERIALIZED (
+  SELECT pool, call_id, eta, svc_us, call_id AS pos, false AS is_extra,
+         row_number() OVER (ORDER BY eta, call_id) AS rn FROM v_queue),
+sc AS MATERIALIZED (
+  SELECT 'S1_Baseline' AS scenario, pool, call_id, eta, svc_us, pos, is_extra FROM base
+  UNION ALL SELECT 'S2_Congestion', pool, call_id, eta, svc_us, pos, is_extra FROM base
+  UNION ALL SELECT 'S2_Congestion', pool, call_id, make_timestamp(a + CAST(round_even((na - a) / 2.0, 0) AS BIGINT)),
+                   svc_us, pos, true
+            FROM (SELECT pool, call_id, svc_us, pos, epoch_us(eta) AS a,
+                         lead(epoch_us(eta)) OVER (ORDER BY eta, call_id) AS na FROM base) x WHERE na IS NOT NULL
+  UNION ALL SELECT 'S3_WeatherClosure', pool, call_id,
+                   CASE WHEN eta >= TIMESTAMP '{CLOSURE_START}' AND eta < TIMESTAMP '{CLOSURE_START}' + INTERVAL 24 HOUR
+                        THEN TIMESTAMP '{CLOSURE_START}' + INTERVAL 24 HOUR + INTERVAL 10 MINUTE ELSE eta END,
+                   svc_us, pos, is_extra FROM base
+  UNION ALL SELECT 'S4_Maintenance', pool, call_id, eta, svc_us, pos, is_extra FROM base
+  UNION ALL SELECT 'S5_LateArrival', pool, call_id, CASE WHEN rn = 6 THEN eta + INTERVAL 6 HOUR ELSE eta END,
+                   svc_us, pos, is_extra FROM base
+  UNION ALL SELECT 'S6_Priority', pool, call_id, eta, svc_us,
+                   CASE WHEN rn = 1 THEN -4611686018427387904 ELSE pos END, is_extra FROM base
+  UNION ALL SELECT 'S7_Conflict', pool, call_id,
+                   CASE WHEN rn <= 2 THEN (SELECT eta FROM base WHERE rn = 1) ELSE eta END, svc_us, pos, is_extra
+            FROM base),
+cap AS (SELECT 'S1_Baseline' AS scenario, pool, k AS k FROM v_pool_k UNION ALL SELECT 'S2_Congestion' AS scenario, pool, k AS k FROM v_pool_k UNION ALL SELECT 'S3_WeatherClosure' AS scenario, pool, k AS k FROM v_pool_k UNION ALL SELECT 'S4_Maintenance' AS scenario, pool, k - CASE pool WHEN 'view' THEN 1 WHEN 'error' THEN 1 ELSE 0 END AS k FROM v_pool_k UNION ALL SELECT 'S5_LateArrival' AS scenario, pool, k AS k FROM v_pool_k UNION ALL SELECT 'S6_Priority' AS scenario, pool, k AS k FROM v_pool_k UNION ALL SELECT 'S7_Conflict' AS scenario, pool, k AS k FROM v_pool_k),
+q AS MATERIALIZED (
+  SELECT sc.scenario, sc.pool, sc.call_id, epoch_us(sc.eta) AS a, sc.svc_us, cap.k,
+         row_number() OVER (PARTITION BY sc.scenario, sc.pool
+                            ORDER BY sc.eta, CAST(sc.is_extra AS BIGINT) * 4503599627370496 + sc.pos) AS n
+  FROM sc JOIN cap ON cap.scenario = sc.scenario AND cap.pool = sc.pool),
+r AS (
+  SELECT scenario, pool, n, call_id, a, a AS st, svc_us,
+         list_sort(list_concat(list_transform(range(k - 1), lambda x: CAST(-1 AS BIGINT)), [a + svc_us])) AS srv
+  FROM q WHERE n = 1
+  UNION ALL
+  SELECT q.scenario, q.pool, q.n, q.call_id, q.a, greatest(q.a, r.srv[1]), q.svc_us,
+         list_sort(list_concat(r.srv[2:], [greatest(q.a, r.srv[1]) + q.svc_us]))
+  FROM r JOIN q ON q.scenario = r.scenario AND q.pool = r.pool AND q.n = r.n + 1),
+h AS (SELECT scenario, max(epoch_us(eta)) + max(svc_us) + 86400000000 AS hz FROM sc GROUP BY scenario),
+srv AS (SELECT r.* FROM r JOIN h ON h.scenario = r.scenario WHERE r.st < h.hz),
+tot AS (SELECT scenario, sum(k) AS capacity FROM cap GROUP BY scenario),
+g AS (
+  SELECT scenario, count(*) AS served,
+    CAST(sum(st - a) AS DOUBLE) / count(*) / 3600000000.0 AS avg_wait_hours,
+    CAST(max(st - a) AS DOUBLE) / 3600000000.0 AS max_wait_hours,
+    CAST(sum(svc_us) AS DOUBLE) / 3600000000.0 AS svc_h,
+    CAST(max(st + svc_us) - min(st) AS DOUBLE) / 3600000000.0 AS hz_h,
+    count_if(st - a < 360000000) AS zero_wait
+  FROM srv GROUP BY scenario),
+kp AS (
+  SELECT t.scenario, coalesce(g.served, 0) AS served, coalesce(g.avg_wait_hours, 0.0) AS avg_wait_hours,
+    coalesce(g.max_wait_hours, 0.0) AS max_wait_hours,
+    coalesce(CASE WHEN t.capacity > 0 AND g.hz_h > 0 THEN g.svc_h / (t.capacity * g.hz_h) ELSE 0.0 END, 0.0)
+      AS utilization,
+    coalesce(g.zero_wait, 0) AS zero_wait
+  FROM tot t LEFT JOIN g ON g.scenario = t.scenario)"""
+
+
 def _scenarios(spark, d):
     from berthwise.plans import workflows as WF
     return WF.compare_scenarios(_queue(spark, d), _scenario_capacity(spark), CLOSURE_START)["kpis"]
 
 
-@_register("scenario_kpis")
+@_register("scenario_kpis", _SCEN_SQL + """
+SELECT scenario, CAST(served AS BIGINT) AS served, round(avg_wait_hours, 6) AS avg_wait_hours,
+  round(max_wait_hours, 6) AS max_wait_hours, round(utilization, 6) AS utilization,
+  CAST(zero_wait AS BIGINT) AS zero_wait FROM kp""")
 def q_scenario_kpis(spark, d):
     return _out(_scenarios(spark, d))
 
 
-@_register("scenario_table")
+@_register("scenario_table", _SCEN_SQL + """
+SELECT scenario, CAST(served AS BIGINT) AS served, round(avg_wait_hours, 2) AS avg_wait_h,
+  round(max_wait_hours, 2) AS max_wait_h, round(utilization * 100, 1) AS utilization_pct,
+  CAST(zero_wait AS BIGINT) AS direct_berths,
+  round(CASE WHEN served > 0 THEN zero_wait / served * 100 ELSE 0.0 END, 1) AS direct_berth_rate_pct FROM kp""")
 def q_scenario_table(spark, d):
     return _out(RP.scenario_table(_scenarios(spark, d)))
 

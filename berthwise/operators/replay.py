@@ -180,7 +180,8 @@ def scenario_kpis(replayed: DataFrame, capacity_total: DataFrame, by: str = "sce
     horizon_h = (F.max("end_us") - F.min("start_us")) / F.lit(H)
     g = replayed.groupBy(by).agg(
         F.count(F.lit(1)).alias("served"),
-        (F.avg(F.col("start_us") - F.col("a_us")) / F.lit(H)).alias("avg_wait_hours"),
+        # exact BIGINT sum / count (an average of longs would sum doubles)
+        (F.sum(F.col("start_us") - F.col("a_us")) / F.count(F.lit(1)) / F.lit(H)).alias("avg_wait_hours"),
         (F.max(F.col("start_us") - F.col("a_us")) / F.lit(H)).alias("max_wait_hours"),
         svc_h.alias("_svc_h"), horizon_h.alias("_hz_h"),
         F.count_if((F.col("start_us") - F.col("a_us")) < F.lit(int(S.DIRECT_BERTHING_HOURS * HOUR_US)))
