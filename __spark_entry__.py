@@ -756,7 +756,33 @@ def _port_islands(spark, d):
     return isl.join(td.berths(spark, d).select("berth_id", "port_id"), "berth_id", "inner")
 
 
-@_register("greedy_plan")
+@_register("greedy_plan", f"""
+WITH RECURSIVE cc AS MATERIALIZED (
+  SELECT v.port_id, v.call_id, epoch_us(v.eta) AS a, v.svc_us, CAST(v.eta AS DATE) AS d,
+         row_number() OVER (PARTITION BY v.port_id, CAST(v.eta AS DATE) ORDER BY v.eta, v.call_id) AS n
+  FROM v_vessels v WHERE EXISTS (SELECT 1 FROM v_elig e WHERE e.port_id = v.port_id AND e.call_id = v.call_id)),
+el AS MATERIALIZED (SELECT port_id, call_id, berth_id, ordinal FROM v_elig),
+isl AS MATERIALIZED (SELECT berth_id, isl_s, isl_e FROM v_islands),
+r AS (
+  SELECT DISTINCT port_id, d, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS VARCHAR) AS berth_id,
+         CAST(NULL AS BIGINT) AS st, CAST(NULL AS BIGINT) AS svc_us, MAP {{}}::MAP(VARCHAR, BIGINT) AS busy
+  FROM cc
+  UNION ALL
+  SELECT x.port_id, x.d, x.n, x.call_id, x.b, x.st, x.svc_us, map_concat(x.busy, MAP([x.b], [x.st + x.svc_us]))
+  FROM (
+    SELECT c.port_id, c.d, c.n, c.call_id, c.svc_us, r.busy, best.b, best.st
+    FROM r JOIN cc c ON c.port_id = r.port_id AND c.d = r.d AND c.n = r.n + 1,
+    LATERAL (
+      SELECT arg_min(q.berth_id, (q.slot, q.ordinal)) AS b, min(q.slot) AS st FROM (
+        SELECT e.berth_id, e.ordinal, coalesce(max(i.isl_e), e.nb) AS slot
+        FROM (SELECT el.berth_id, el.ordinal, greatest(c.a, coalesce(r.busy[el.berth_id], c.a)) AS nb
+              FROM el WHERE el.port_id = c.port_id AND el.call_id = c.call_id) e
+        LEFT JOIN isl i ON i.berth_id = e.berth_id AND i.isl_s <= e.nb + 60000000 AND i.isl_e > e.nb
+        GROUP BY e.berth_id, e.ordinal, e.nb) q) best) x)
+SELECT port_id, CAST(call_id AS BIGINT) AS call_id, berth_id, {_mts('st')} AS scheduled_start,
+  {_mts('st + svc_us')} AS predicted_end,
+  st + 60000000 > epoch_us(CAST(d + INTERVAL 15 DAY AS TIMESTAMP)) AS beyond_window
+FROM r WHERE n > 0""")
 def q_greedy_plan(spark, d):
     g = DP.greedy_plan(_plan_calls(spark, d), _elig(spark, d), _port_islands(spark, d))
     return _out(g.select("port_id", "call_id", "berth_id", "scheduled_start", "predicted_end", "beyond_window"))
