@@ -17,7 +17,6 @@ from typing import Tuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from berthwise.functions.time import from_us, to_us
 
