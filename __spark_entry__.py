@@ -874,6 +874,35 @@ def q_ais_rejects(spark, d):
     return _out(bad.select("msg_id", "reason"))
 
 
+from berthwise.streaming import live as LV  # noqa: E402
+
+
+@_register("latest_call_state", f"""
+SELECT name, CAST(arg_max(msg_id, (received_at, msg_id)) AS BIGINT) AS msg_id,
+  {_ts('arg_max(received_at, (received_at, msg_id))')} AS received_at,
+  {_ts('arg_max(eta, (received_at, msg_id))')} AS eta,
+  round(arg_max(draft_m, (received_at, msg_id)), 6) AS draft_m
+FROM (SELECT *, eta AS received_at FROM v_ais WHERE name IS NOT NULL) a GROUP BY name""")
+def q_latest_call_state(spark, d):
+    msgs = td.ais_messages(spark, d)
+    ok, _ = VS.ais_to_calls(msgs, NOW)
+    upd = ok.select("name", "eta", "draft_m", F.col("call_id").alias("msg_id")) \
+            .join(msgs.select("msg_id", "received_at"), "msg_id")
+    latest = LV.latest_calls(upd, watermark="1 hour")
+    return _out(latest.select("name", "msg_id", F.col("received_at").cast("timestamp_ntz").alias("received_at"),
+                              "eta", "draft_m"))
+
+
+@_register("congestion_alerts", f"""
+SELECT event_type AS pool, {_ts("date_trunc('hour', ts)")} AS hour_start,
+  CAST(count(DISTINCT user_id) AS BIGINT) AS waiting_calls
+FROM events GROUP BY event_type, date_trunc('hour', ts) HAVING count(DISTINCT user_id) > 4""")
+def q_congestion_alerts(spark, d):
+    ev = td.table(spark, d, "events").select(F.col("event_type").alias("pool"), "user_id", "ts")
+    a = LV.congestion_alerts(ev, watermark="2 hours", threshold=4, port="pool", call="user_id", ts="ts")
+    return _out(a.select("pool", F.col("hour_start").cast("timestamp_ntz").alias("hour_start"), "waiting_calls"))
+
+
 # ---------------------------------------------------------------------------
 # Contract
 # ---------------------------------------------------------------------------

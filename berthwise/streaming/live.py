@@ -59,14 +59,21 @@ def _event_time(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def _dedup(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Drop repeated deliveries: within the watermark on a stream (bounded
+    state), plainly on a static frame (the batch twin)."""
+    return df.dropDuplicatesWithinWatermark(cols) if df.isStreaming else df.dropDuplicates(cols)
+
+
 def latest_calls(calls: DataFrame, watermark: str = "1 hour", key: str = "name",
                  ts: str = "received_at", msg_id: str = "msg_id") -> DataFrame:
     """Last reported state per call (a later message overwrites an
     earlier one).  Duplicated deliveries are dropped within the watermark;
     run in ``update`` output mode."""
-    d = _event_time(calls, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark([msg_id])
+    d = _dedup(_event_time(calls, ts).withWatermark(ts, watermark), [msg_id])
     cols = [c for c in calls.columns if c != key]
-    return d.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_s")) \
+    # latest by event time, ties broken by message id (deterministic)
+    return d.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(F.col(ts), F.col(msg_id))).alias("_s")) \
             .select(key, *[F.col(f"_s.{c}").alias(c) for c in cols])
 
 
@@ -90,7 +97,7 @@ def congestion_alerts(reports: DataFrame, watermark: str = "2 hours", threshold:
     w = _event_time(reports, ts).withWatermark(ts, watermark)
     # plain key for the per-hour dedup (the window struct would be a second event-time column)
     w = w.withColumn("_hour_key", F.window(ts, window).start.cast("long"))
-    d = w.dropDuplicatesWithinWatermark([port, call, "_hour_key"])
+    d = _dedup(w, [port, call, "_hour_key"])
     g = d.groupBy(port, F.window(ts, window).alias("hour")).agg(F.count(F.lit(1)).alias("waiting_calls"))
     return g.filter(F.col("waiting_calls") > threshold).select(
         port, F.col("hour.start").alias("hour_start"), F.col("hour.end").alias("hour_end"), "waiting_calls")
