@@ -893,6 +893,20 @@ def q_latest_call_state(spark, d):
                               "eta", "draft_m"))
 
 
+@_register("replan_triggers", """
+WITH a AS (SELECT * FROM v_ais WHERE name IS NOT NULL),
+p AS (SELECT name, arg_min(eta, (eta, msg_id)) AS planned_eta FROM a GROUP BY name)
+SELECT a.name, CAST(a.msg_id AS BIGINT) AS msg_id,
+  round((epoch_us(a.eta) - epoch_us(p.planned_eta)) / 3600000000.0, 6) AS delay_hours
+FROM a JOIN p ON p.name = a.name WHERE epoch_us(a.eta) - epoch_us(p.planned_eta) > 7200000000""")
+def q_replan_triggers(spark, d):
+    ok, _ = VS.ais_to_calls(td.ais_messages(spark, d), NOW)
+    upd = ok.select("name", "eta", F.col("call_id").alias("msg_id"))
+    plan = upd.groupBy("name").agg(F.min_by("eta", F.struct("eta", "msg_id")).alias("planned_eta"))
+    trig = LV.replan_triggers(upd, plan)
+    return _out(trig.select("name", "msg_id", "delay_hours"))
+
+
 @_register("congestion_alerts", f"""
 SELECT event_type AS pool, {_ts("date_trunc('hour', ts)")} AS hour_start,
   CAST(count(DISTINCT user_id) AS BIGINT) AS waiting_calls
