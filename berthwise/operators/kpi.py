@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from berthwise import schema as S
 from berthwise.functions.time import HOUR_US, from_us, to_us
 from berthwise.operators.scan import bucket_of, running
+from berthwise.session import cut_lineage
 
 H = float(HOUR_US)
 
@@ -175,7 +176,10 @@ def occupancy_series(islands: DataFrame, n_berths: int, step_hours: float = 1.0,
     if by:
         bounds = p.groupBy(by).agg(F.min("_a").alias("_t0"), F.max("_b").alias("_t1"))
         ev = p.join(bounds, by)
-    else:   # one series: the grid bounds are two scalars
+    else:
+        # one series: the islands feed the bounds, the deltas and the spine, so
+        # they are materialised once; the grid bounds are then two scalars
+        p = cut_lineage(p)
         ev = p.withColumns({key: F.lit(0), "_t0": p.agg(F.min("_a")).scalar(), "_t1": p.agg(F.max("_b")).scalar()})
     s = _difference_series(ev, key, "_a", "_b", "_t0", "_t1", step, "occupied")
     s = s.withColumns({"free": F.lit(n_berths) - F.col("occupied"),
