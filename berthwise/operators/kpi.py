@@ -178,9 +178,10 @@ def occupancy_series(islands: DataFrame, n_berths: int, step_hours: float = 1.0,
         ev = p.join(bounds, by)
     else:
         # one series: the islands feed the bounds, the deltas and the spine, so
-        # they are materialised once; the grid bounds are then two scalars
+        # they are materialised once; the two grid bounds are read as scalars
         p = cut_lineage(p)
-        ev = p.withColumns({key: F.lit(0), "_t0": p.agg(F.min("_a")).scalar(), "_t1": p.agg(F.max("_b")).scalar()})
+        t0, t1 = p.agg(F.min("_a"), F.max("_b")).first()
+        ev = p.withColumns({key: F.lit(0), "_t0": F.lit(t0).cast("bigint"), "_t1": F.lit(t1).cast("bigint")})
     s = _difference_series(ev, key, "_a", "_b", "_t0", "_t1", step, "occupied")
     s = s.withColumns({"free": F.lit(n_berths) - F.col("occupied"),
                        "utilization": F.col("occupied") / F.lit(float(max(n_berths, 1)))})
