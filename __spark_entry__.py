@@ -900,7 +900,7 @@ def q_maintenance_attribution(spark, d):
 
 @_register("ais_calls", f"""
 SELECT CAST(msg_id AS BIGINT) AS call_id, name, coalesce(vessel_type, 'CARGO_GENERAL') AS vessel_type,
-  {_r('draft_m')} AS draft_m, 150.0 AS length_m, 'General Cargo' AS cargo_import, {_ts('eta')} AS eta,
+  {_r('draft_m')} AS draft_m, CAST(150.0 AS DOUBLE) AS length_m, 'General Cargo' AS cargo_import, {_ts('eta')} AS eta,
   CAST(month(eta) AS BIGINT) AS arrival_month, CAST(isodow(eta) - 1 AS BIGINT) AS arrival_dow
 FROM v_ais WHERE name IS NOT NULL""")
 def q_ais_calls(spark, d):
