@@ -92,20 +92,20 @@ def conflict_flags(res: DataFrame, key: str = "berth_id", start: str = "start_ti
 def find_conflicts(res: DataFrame, key: str = "berth_id", start: str = "start_time",
                    end: str = "end_time", rid: str = "call_id") -> DataFrame:
     """Every pair of overlapping reservations on a berth, once
-    (``rid_a < rid_b``).  Candidates are limited to the same (berth, day); a
-    pair is reported only in the day where the later of the two starts falls,
-    so long overlaps are not duplicated."""
+    (``rid_a < rid_b``).  Asymmetric range join: the earlier-starting
+    reservation is spread over the days it covers, the later one sits in the
+    day of its start, so a candidate pair needs the later start to fall inside
+    the earlier reservation's days — each overlapping pair is met exactly once,
+    with no all-pairs step per berth."""
     r = _us(res.select(key, rid, start, end), start, end)
-    r = covered_days(r, F.col("_s"), F.col("_e"))
-    a = r.select(F.col(key), F.col("_day"), F.col(rid).alias("a_id"), F.col("_s").alias("a_s"),
-                 F.col("_e").alias("a_e"))
-    b = r.select(F.col(key), F.col("_day"), F.col(rid).alias("b_id"), F.col("_s").alias("b_s"),
-                 F.col("_e").alias("b_e"))
-    j = a.join(b, [key, "_day"]).filter(
-        (F.col("a_id") < F.col("b_id")) & overlaps("a_s", "a_e", "b_s", "b_e")
-        & (F.col("_day") == bucket_of(F.greatest("a_s", "b_s"))))
-    return j.select(key, F.col("a_id").alias(f"{rid}_a"), F.col("b_id").alias(f"{rid}_b"),
-                    from_us(F.greatest("a_s", "b_s")).alias("overlap_start"),
+    a = covered_days(r, F.col("_s"), F.col("_e")).select(
+        F.col(key), F.col("_day"), F.col(rid).alias("a_id"), F.col("_s").alias("a_s"), F.col("_e").alias("a_e"))
+    b = r.select(F.col(key), bucket_of("_s").alias("_day"), F.col(rid).alias("b_id"),
+                 F.col("_s").alias("b_s"), F.col("_e").alias("b_e"))
+    first = (F.col("a_s") < F.col("b_s")) | ((F.col("a_s") == F.col("b_s")) & (F.col("a_id") < F.col("b_id")))
+    j = a.join(b, [key, "_day"]).filter(first & overlaps("a_s", "a_e", "b_s", "b_e"))
+    return j.select(key, F.least("a_id", "b_id").alias(f"{rid}_a"), F.greatest("a_id", "b_id").alias(f"{rid}_b"),
+                    from_us(F.col("b_s")).alias("overlap_start"),
                     from_us(F.least("a_e", "b_e")).alias("overlap_end"))
 
 

@@ -82,6 +82,9 @@ def test_reference_timeline_cases(spark):
 def test_conflict_pairs_vs_loop(spark):
     rng = random.Random(7)
     rows = _rand_res(rng, n_berths=3, n=80)
+    # zero-length and same-start reservations
+    rows += [(100 + i, str(i % 3), r[2], r[2]) for i, r in enumerate(rows[:6])]
+    rows += [(200 + i, r[1], r[2], r[2] + timedelta(hours=1)) for i, r in enumerate(rows[6:12])]
     res = spark.createDataFrame(rows, "call_id long, berth_id string, start_time timestamp_ntz, end_time timestamp_ntz")
     got = sorted((r.call_id_a, r.call_id_b) for r in IV.find_conflicts(res).collect())
     exp = sorted((a[0], b[0]) for a in rows for b in rows
