@@ -200,14 +200,27 @@ def is_available(res: DataFrame, proposals: DataFrame, key: str = "berth_id",
                  start: str = "start_time", end: str = "end_time", pid: str = "call_id",
                  p_start: str = "prop_start", p_end: str = "prop_end", out: str = "available") -> DataFrame:
     """A proposed ``[s, e)`` (identified by ``pid``) is available when no
-    reservation on its berth overlaps it."""
-    r = _us(res.select(key, start, end), start, end)
-    r = covered_days(r, F.col("_s"), F.col("_e")).select(F.col(key).alias("_k"), "_day", "_s", "_e")
-    p = proposals.select(pid, key, F.col(p_start).alias("_p0"), F.col(p_end).alias("_p1"))
+    reservation on its berth overlaps it.  Two intervals overlap iff one
+    starts inside the other, so the clash test is two asymmetric semi-joins:
+    reservations starting inside a proposal (proposal spread over its days,
+    reservation in its start day) and proposals starting inside a
+    reservation (the reverse) — never all pairs of a berth-day."""
+    r = _us(res.select(key, start, end), start, end).select(F.col(key).alias("_k"), "_s", "_e")
+    p = proposals.select(pid, F.col(key).alias("_pk"), F.col(p_start).alias("_p0"), F.col(p_end).alias("_p1"))
     p = p.withColumns({"_ps": to_us("_p0"), "_pe": to_us("_p1")})
-    px = covered_days(p, F.col("_ps"), F.col("_pe"))
-    cond = ((px[key] == r["_k"]) & (px["_day"] == r["_day"]) & overlaps(r["_s"], r["_e"], px["_ps"], px["_pe"]))
-    clash = px.join(r, cond, "left_semi").select(pid).distinct().withColumn("_clash", F.lit(True))
+    # (1) a reservation starts inside the proposal
+    p_days = covered_days(p, F.col("_ps"), F.col("_pe"))
+    r_start = r.withColumn("_day", bucket_of("_s"))
+    c1 = p_days.join(r_start, (p_days["_pk"] == r_start["_k"]) & (p_days["_day"] == r_start["_day"])
+                     & overlaps(r_start["_s"], r_start["_e"], p_days["_ps"], p_days["_pe"])
+                     & (r_start["_s"] >= p_days["_ps"]), "left_semi").select(pid)
+    # (2) the proposal starts inside a reservation
+    r_days = covered_days(r, F.col("_s"), F.col("_e"))
+    p_start_ = p.withColumn("_day", bucket_of("_ps"))
+    c2 = p_start_.join(r_days, (p_start_["_pk"] == r_days["_k"]) & (p_start_["_day"] == r_days["_day"])
+                       & overlaps(r_days["_s"], r_days["_e"], p_start_["_ps"], p_start_["_pe"])
+                       & (r_days["_s"] < p_start_["_ps"]), "left_semi").select(pid)
+    clash = c1.unionByName(c2).distinct().withColumn("_clash", F.lit(True))
     return (proposals.join(clash, pid, "left")
             .withColumn(out, F.col("_clash").isNull()).drop("_clash"))
 

@@ -345,3 +345,20 @@ def test_greedy_vs_loop(spark):
 
 def _ts_day(day0, us):
     return day0 + timedelta(microseconds=us)
+
+
+def test_availability_vs_loop(spark):
+    rng = random.Random(17)
+    rows = _rand_res(rng, n_berths=3, n=60)
+    rows += [(300, "0", rows[0][2], rows[0][2])]                       # zero-length reservation
+    res = spark.createDataFrame(rows, "call_id long, berth_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    props = []
+    for i in range(150):
+        s = _ts(rng.randrange(0, 210 * 60) * 60_000_000)
+        props.append((i, str(rng.randrange(3)), s, s + timedelta(minutes=rng.choice([0, 30, 90, 600]))))
+    props += [(1000 + j, r[1], r[2], r[3]) for j, r in enumerate(rows[:10])]   # equal starts
+    pdf = spark.createDataFrame(props, "call_id long, berth_id string, prop_start timestamp_ntz, prop_end timestamp_ntz")
+    got = {r.call_id: r.available for r in IV.is_available(res, pdf).collect()}
+    for pid, b, s, e in props:
+        exp = not any(rb == b and rs < e and re > s for _, rb, rs, re in rows)
+        assert got[pid] == exp, (pid, b, s, e)
