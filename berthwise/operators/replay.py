@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 from berthwise import schema as S
 from berthwise.functions.time import HOUR_US, from_us, to_us
 from berthwise.operators.scan import bucket_of
+from berthwise.session import cut_lineage
 
 H = float(HOUR_US)
 
@@ -126,8 +127,91 @@ def _make_fold(cols: list[str], pos: str):
     return fold
 
 
+def _as_list(v) -> list[int]:
+    """Arrow list cell (None / ndarray / list) -> list of ints."""
+    return [] if v is None else [int(x) for x in v]
+
+
+def _run_heap(state: list[int], k: int, a, s):
+    """Advance a sorted k-vector of free times over arrivals a / services s."""
+    heap = list(state)
+    heapq.heapify(heap)
+    n = len(a)
+    start = np.empty(n, dtype=np.int64)
+    for i in range(n):
+        ai = int(a[i])
+        if len(heap) < k:
+            st = ai
+            heapq.heappush(heap, st + int(s[i]))
+        else:
+            st = max(ai, heap[0])
+            heapq.heapreplace(heap, st + int(s[i]))
+        start[i] = st
+    return start, sorted(heap)
+
+
+def _make_chunk_fold(cols: list[str], pos: str):
+    """One round: replay a chunk from its current input state ``_in``; emit
+    each row's start and the chunk's final state."""
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a_us", pos], kind="mergesort")
+        k = int(pdf["k"].iloc[0])
+        st, fin = _run_heap(_as_list(pdf["_in"].iloc[0]), k,
+                            pdf["a_us"].to_numpy(np.int64), pdf["svc_us"].to_numpy(np.int64))
+        out = pdf[cols].copy()
+        out["start_us"] = st
+        out["_out"] = [[int(x) for x in fin]] * len(out)
+        return out
+    return fold
+
+
+def _split_hot_periods(hot: DataFrame, part: list[str], pos: str, max_rounds: int = 6
+                       ) -> tuple[DataFrame, DataFrame]:
+    """Exact parallel replay of large busy periods.
+
+    The period is cut into day chunks.  Each round replays every chunk in
+    parallel from an input state (the berths' free times); the next round's
+    input of chunk c is this round's final state of chunk c-1, and chunk 1
+    starts with all berths free (exact at a busy-period start).  The chained
+    system has a unique solution, so a period whose inputs no longer change is
+    solved exactly; in a stable k-server queue the effect of the input state
+    dies out inside a chunk and two or three rounds suffice.  Periods still
+    changing after ``max_rounds`` go to the sequential fold.
+    Returns (solved rows with ``start_us``, rows for the sequential fold)."""
+    grp = [*part, "busy_start"]
+    h = hot.drop("start_us", "end_us").withColumn(
+        "_chunk", F.floor(F.col("a_us") / F.lit(86_400_000_000)).cast("bigint"))
+    h = cut_lineage(h)
+    wl = Window.partitionBy(*grp).orderBy("_chunk")       # one row per chunk (bounded by days)
+    chunks = h.select(*grp, "_chunk").distinct()
+    state = cut_lineage(chunks.withColumn("_in", F.array().cast("array<bigint>")))
+    cols = h.columns + ["_in"]
+    types = dict(h.dtypes)
+    types["_in"] = "array<bigint>"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", start_us bigint, _out array<bigint>"
+    run, changed = None, None
+    for _ in range(max_rounds):
+        run = cut_lineage(h.join(state, [*grp, "_chunk"], "inner")
+                          .groupBy(*grp, "_chunk").applyInPandas(_make_chunk_fold(cols, pos), schema))
+        outs = run.groupBy(*grp, "_chunk").agg(F.first("_out").alias("_out"))
+        nxt = outs.select(*grp, "_chunk", F.coalesce(F.lag("_out").over(wl), F.array().cast("array<bigint>"))
+                          .alias("_in"))
+        diff = (nxt.alias("n").join(state.alias("o"), [*grp, "_chunk"])
+                .filter(F.col("n._in") != F.col("o._in")).select(*grp).distinct())
+        changed = cut_lineage(diff)
+        if changed.limit(1).count() == 0:
+            break
+        state = cut_lineage(nxt)
+    keep = [c for c in hot.columns if c not in ("start_us", "end_us")]
+    solved = (run.join(changed, grp, "left_anti").select(*keep, "start_us")
+              .withColumn("end_us", F.col("start_us") + F.col("svc_us")))
+    fallback = hot.join(changed, grp, "left_semi")
+    return solved, fallback
+
+
 def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str = "eta",
-                svc_us: str = "svc_us", pos: str = "pos", horizon_by: list[str] | None = None) -> DataFrame:
+                svc_us: str = "svc_us", pos: str = "pos", horizon_by: list[str] | None = None,
+                hot_rows: int | None = 200_000) -> DataFrame:
     """Q1: pooled k-server FIFO replay.
 
     ``calls`` has ``part`` columns, ``eta``, ``svc_us`` (service µs) and
@@ -143,6 +227,15 @@ def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str
     keep = d.columns
     one = d.filter(F.col("k") <= 1)
     many = d.filter(F.col("k") > 1)
+    solved = None
+    if hot_rows:
+        # busy periods above hot_rows rows are split exactly by bracketing
+        sizes = many.groupBy(*part, "busy_start").agg(F.count(F.lit(1)).alias("_n"))
+        big = sizes.filter(F.col("_n") >= hot_rows).select(*part, "busy_start")
+        hot = many.join(big, [*part, "busy_start"], "left_semi")
+        many = many.join(big, [*part, "busy_start"], "left_anti")
+        solved, fallback = _split_hot_periods(hot, part, pos)
+        many = many.unionByName(fallback)
     types = dict(d.dtypes)
     # Bundle consecutive busy periods by the day they open: at every period
     # boundary all k berths are idle, so one heap carried across the bundle
@@ -156,6 +249,8 @@ def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str
               .applyInPandas(_make_fold([c for c in keep if c not in ("start_us", "end_us")], pos),
                              _fold_schema([c for c in keep if c not in ("start_us", "end_us")], types)))
     out = one.select(*keep).unionByName(folded.select(*keep))
+    if solved is not None:
+        out = out.unionByName(solved.select(*keep))
     hb = horizon_by if horizon_by is not None else [c for c in part if c not in pool_cols]
     horizon = F.max(to_us(eta)) + F.max(svc_us) + F.lit(24 * HOUR_US)
     if hb:
