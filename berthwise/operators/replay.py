@@ -17,6 +17,10 @@ Physical plan:
   the start of a single-server busy period all k berths are idle and the
   periods are independent (bundled per opening day to amortise the Python
   call).  Pools with k = 1 use W4 directly.
+* A busy period of at least ``hot_rows`` rows (a pool that never idles) is
+  cut into day chunks replayed in parallel rounds until every chunk's input
+  state is stable (exact fixed point, see ``_split_hot_periods``); periods
+  that do not settle within the round cap use the streamed sequential fold.
 """
 
 from __future__ import annotations
@@ -211,7 +215,7 @@ def _split_hot_periods(hot: DataFrame, part: list[str], pos: str, max_rounds: in
 
 def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str = "eta",
                 svc_us: str = "svc_us", pos: str = "pos", horizon_by: list[str] | None = None,
-                hot_rows: int | None = 200_000) -> DataFrame:
+                hot_rows: int | None = 1_000_000) -> DataFrame:
     """Q1: pooled k-server FIFO replay.
 
     ``calls`` has ``part`` columns, ``eta``, ``svc_us`` (service µs) and
@@ -219,23 +223,30 @@ def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str
     pool columns (a subset of ``part``) to ``k``; it is one row per pool, a
     dimension bounded by the berth table.  ``horizon_by`` (default: ``part``
     minus the pool columns) scopes the horizon; rows starting at or after it
-    are not served.  Output adds ``start_time``, ``end_time``, ``wait_hours``.
+    are not served.  Busy periods with at least ``hot_rows`` rows are
+    replayed in parallel day chunks (``None`` disables).  Output adds
+    ``start_time``, ``end_time``, ``wait_hours``.
     """
     pool_cols = [c for c in capacity.columns if c != "k"]
     d = calls.join(F.broadcast(capacity), pool_cols, "inner")
+    # a busy period can only reach hot_rows when the input does (one count)
+    check_hot = bool(hot_rows) and d.count() >= hot_rows
     d = fifo_one(d, part, eta, svc_us, pos)
+    if check_hot:
+        d = cut_lineage(d)       # read by the size check, the k = 1 rows and the folds
     keep = d.columns
     one = d.filter(F.col("k") <= 1)
     many = d.filter(F.col("k") > 1)
     solved = None
-    if hot_rows:
-        # busy periods above hot_rows rows are split exactly by bracketing
+    if check_hot:
+        # busy periods of at least hot_rows rows are replayed in parallel chunks
         sizes = many.groupBy(*part, "busy_start").agg(F.count(F.lit(1)).alias("_n"))
-        big = sizes.filter(F.col("_n") >= hot_rows).select(*part, "busy_start")
-        hot = many.join(big, [*part, "busy_start"], "left_semi")
-        many = many.join(big, [*part, "busy_start"], "left_anti")
-        solved, fallback = _split_hot_periods(hot, part, pos)
-        many = many.unionByName(fallback)
+        big = cut_lineage(sizes.filter(F.col("_n") >= hot_rows).select(*part, "busy_start"))
+        if big.limit(1).count():
+            hot = many.join(F.broadcast(big), [*part, "busy_start"], "left_semi")
+            many = many.join(F.broadcast(big), [*part, "busy_start"], "left_anti")
+            solved, fallback = _split_hot_periods(hot, part, pos)
+            many = many.unionByName(fallback)
     types = dict(d.dtypes)
     # Bundle consecutive busy periods by the day they open: at every period
     # boundary all k berths are idle, so one heap carried across the bundle
