@@ -72,3 +72,24 @@ def test_eligible_free_accuracy_and_remaining(spark):
     queue = spark.createDataFrame([("P", 1), ("P", 2), ("P", 3)], "port_id string, call_id long")
     assigned = spark.createDataFrame([("P", 2)], "port_id string, call_id long")
     assert sorted(r.call_id for r in EL.remaining_queue(queue, assigned).collect()) == [1, 3]
+
+
+def test_earliest_slot_with_busy_and_ties(spark):
+    from berthwise.plans import dispatch as DP
+    elig = spark.createDataFrame([("P", 1, "A", 0), ("P", 1, "B", 1), ("P", 2, "A", 0), ("P", 2, "B", 1)],
+                                 "port_id string, call_id long, berth_id string, ordinal int")
+    calls = spark.createDataFrame([("P", 1, T0), ("P", 2, T0 + timedelta(hours=1))],
+                                  "port_id string, call_id long, eta timestamp_ntz")
+    res = spark.createDataFrame([(9, "X", "A", T0, T0 + timedelta(hours=3))], RES)
+    isl = IV.merge_busy(res)
+    # no busy state: call 1 -> B at its ETA (A is reserved); call 2 -> B at its ETA
+    got = {r.call_id: (r.berth_id, r.scheduled_start) for r in DP.earliest_slot(elig, calls, isl).collect()}
+    assert got == {1: ("B", T0), 2: ("B", T0 + timedelta(hours=1))}
+    # B busy until +5 h: call 2 now waits for A's reservation to end at +3 h
+    busy = spark.createDataFrame([("B", T0 + timedelta(hours=5))], "berth_id string, busy_until timestamp_ntz")
+    got = {r.call_id: (r.berth_id, r.scheduled_start) for r in DP.earliest_slot(elig, calls, isl, busy).collect()}
+    assert got[2] == ("A", T0 + timedelta(hours=3))
+    # equal slots: the first berth in berth order wins
+    free = IV.merge_busy(res.filter("call_id < 0"))
+    got = {r.call_id: r.berth_id for r in DP.earliest_slot(elig, calls, free).collect()}
+    assert got == {1: "A", 2: "A"}
