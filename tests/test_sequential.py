@@ -341,6 +341,11 @@ def test_greedy_vs_loop(spark):
     ref = _ref_greedy([(c[1], int((c[2] - day0).total_seconds()) * 1_000_000 + epoch, c[3]) for c in calls],
                       ref_el, ref_isl)
     assert got == ref
+    # a look-ahead too short for some runs: flagged runs are re-planned wider
+    short = DP._greedy_once(cdf, edf, isl, ["port_id"], "plan_day", window_days=0)
+    assert short.filter("beyond_window").count() > 0
+    wide = {r.call_id: (r.berth_id, r.start_us) for r in DP.greedy_plan(cdf, edf, isl, window_days=1).collect()}
+    assert wide == ref
 
 
 def _ts_day(day0, us):
