@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berthwise.llm import exact, mixing, simhash
+from berthwise.llm import exact, mixing, packing, simhash
 from berthwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 def op10_simhash_near_dedup(spark, sf_dir):
     d = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _word_bpe() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op3_pack_sequences(spark, sf_dir):
+    return packing.digest(packing.packed(table(spark, sf_dir, "documents"), _word_bpe()))
