@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berthwise.llm import exact, mixing, packing, simhash
-from berthwise.llm.common import table
+from berthwise.llm import exact, mixing, packing, rules, secrets, simhash
+from berthwise.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,69 @@ def _word_bpe() -> str:
 @_query
 def op3_pack_sequences(spark, sf_dir):
     return packing.digest(packing.packed(table(spark, sf_dir, "documents"), _word_bpe()))
+
+
+@_query
+def op5_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    ledger = saved(secrets.scan(docs), "ledger")
+    base = [r.kind for r in secrets.RULES if r.base]
+    found = secrets.by_path(docs, ledger, ["doc_id"])
+    of = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *[of(k) for k in base],
+                        F.sha2(secrets.as_text(F.filter("found", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
+                        secrets.as_text(F.col("found")).alias("spans"))
+
+
+def _duck_spans(kind: str, pattern: str, keep: str, rank: int) -> str:
+    """Spans of one kind: what splitting leaves between the matches places them."""
+    return rf"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, stop - len AS start, stop FROM (
+  SELECT doc_id, length(m) AS len, m, sum(length(b) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, unnest(range(len(ms))) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS bs FROM d)))
+  WHERE {keep}"""
+
+
+_ASSIGN = (r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|"
+           r"[aA][pP][iI]_?[kK][eE][yY])[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)")
+ORACLES["op5_secret_scan"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_duck_spans('assign', _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 8", 0)}
+UNION ALL {_duck_spans('access', 'AKIA[A-Z0-9]+', 'len >= 16', 1)}
+UNION ALL {_duck_spans('hex', '[0-9a-f]+', 'len >= 32', 2)}
+UNION ALL {_duck_spans('github', 'gh[pousr]_[A-Za-z0-9]{36,}', 'len >= 40', 3)}
+UNION ALL {_duck_spans('private_key', '-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----', 'len >= 1', 4)}),
+w AS (SELECT *, kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) AS x FROM s),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
+  count(*) FILTER (rank = 2) AS n_hex, string_agg(x, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+  string_agg(x, ',' ORDER BY start, rank) AS spans FROM w GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+  CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id"""
+
+
+@_query
+def op1_quality_rules(spark, sf_dir):
+    return rules.judged(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+ORACLES["op1_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS u FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w) AS n_words, length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(ln.n - ln.u, 0) AS n_dup_lines,
+  coalesce(ln.n, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper_n, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS letters,
+  length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS marks
+  FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN ln ON d.doc_id = ln.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 10 * n_symbols <= n_words AND 2 * n_words <= word_chars
+    AND word_chars <= 15 * n_words AND (n_dup_lines < 3 OR 10 * n_dup_lines <= 3 * n_lines) AND 2 * upper_n <= letters AND 10 * marks <= n_words AS kept
+FROM m"""
