@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berthwise.llm import exact, mixing, packing, rules, secrets, simhash
+from berthwise.llm import cnn, exact, langid, mixing, packing, rules, secrets, simhash, warc
 from berthwise.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,33 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 10 * n_symbols <= n_words AND 2 * n_words <= word_chars
     AND word_chars <= 15 * n_words AND (n_dup_lines < 3 OR 10 * n_dup_lines <= 3 * n_lines) AND 2 * upper_n <= letters AND 10 * marks <= n_words AS kept
 FROM m"""
+
+
+@_query
+def op8_language_crf(spark, sf_dir):
+    out = langid.identified(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (~langid.in_training()).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op9_quality_cnn(spark, sf_dir):
+    out = cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (~langid.in_training()).alias("held_out"), "score",
+                      F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@_query
+def op4_warc_bundles(spark, sf_dir):
+    r = warc.read(warc.archived(table(spark, sf_dir, "pages")), with_payload=False)
+    return r.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                    warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+ORACLES["op4_warc_bundles"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+q AS (SELECT *, [CAST('0x' || x[5 * i + 1:5 * i + 5] AS BIGINT) for i in range(8)] AS v FROM s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string([(
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1] for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM q"""
