@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berthwise.llm import cnn, exact, langid, mixing, packing, rules, secrets, simhash, warc
+from berthwise.llm import cnn, exact, langid, mixing, packing, rules, secrets, simhash, substring, warc
 from berthwise.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,23 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string([(
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1] for i in range(32)], '') AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM q"""
+
+
+@_query
+def op7_substring_dedup(spark, sf_dir):
+    c = substring.cleaned(table(spark, sf_dir, "documents"))
+    return c.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+word AS (SELECT doc_id, w[i] AS x, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+mark AS (SELECT word.doc_id, word.i, x, max(later.i) OVER (PARTITION BY word.doc_id ORDER BY word.i) AS last
+  FROM word LEFT JOIN later ON word.doc_id = later.doc_id AND word.i = later.i),
+r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (last IS NOT NULL AND last + 19 >= i) AS gone,
+  string_agg(x, ' ' ORDER BY i) FILTER (last IS NULL OR last + 19 < i) AS kept FROM mark GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
