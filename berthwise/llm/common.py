@@ -31,17 +31,3 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def empty_if_null(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
-
-
-def row_keyed(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``_h``, a content hash: (id, _h) tells apart rows that share an id but
-    not a text, so a join back on both never mixes texts."""
-    return df.withColumn("_h", F.xxhash64(F.col(text)))
-
-
-def null_safe(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
-    cond = None
-    for c in cols:
-        e = a[c].eqNullSafe(b[c])
-        cond = e if cond is None else cond & e
-    return cond

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,44 +225,38 @@ def sample(docs: DataFrame, per_label: int = 100, seed: int = 0) -> list[tuple[s
     return [(r["lang"], r["text"]) for r in known.where(F.col("u") < F.element_at(limit, F.col("lang"))).select("lang", "text").collect()]
 
 
+def _judged(batches: Iterator[pd.DataFrame], crf: Crf | None, batch_words: int) -> Iterator[tuple[pd.DataFrame, list, np.ndarray]]:
+    """(rows, languages, scores); the words of some documents are labelled together."""
+    for pdf in batches:
+        lo, n, words = 0, 0, []
+        for hi, text in enumerate(pdf["text"], 1):
+            w = words_of(text) if text else []
+            words.append(w if w and any(c.isalpha() for c in text) else [])
+            n += len(w)
+            if n >= batch_words or hi == len(pdf):
+                pred, score = ["und"] * len(words), np.zeros(len(words))
+                live = [i for i, x in enumerate(words) if x and crf is not None]
+                if live:
+                    sizes = np.array([len(words[i]) for i in live])
+                    at = np.cumsum(sizes) - sizes
+                    run = [x for i in live for x in words[i]]
+                    first = np.zeros(len(run), dtype=bool)
+                    first[at] = True
+                    mean = np.add.reduceat(crf.marginals(run, first), at, axis=0) / sizes[:, None]
+                    score[live] = np.clip(mean.max(axis=1), 0.0, 1.0)
+                    for i, k in zip(live, mean.argmax(axis=1)):
+                        pred[i] = crf.labels[k]
+                yield pdf.iloc[lo:hi], pred, score
+                lo, n, words = hi, 0, []
+
+
 def predict(docs: DataFrame, model: Crf | None, batch_words: int = 200_000) -> DataFrame:
     """(doc_id, lang_pred, score) per row of ``docs``."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        crf = sent.value
-
-        def judge(ids: list, docs_words: list[list[bytes]], letters: list[bool]) -> pd.DataFrame:
-            pred, score = ["und"] * len(ids), np.zeros(len(ids))
-            live = [i for i, (w, ok) in enumerate(zip(docs_words, letters)) if crf is not None and w and ok]
-            if live:
-                sizes = np.array([len(docs_words[i]) for i in live])
-                at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                words = [x for i in live for x in docs_words[i]]
-                first = np.zeros(len(words), dtype=bool)
-                first[at] = True
-                mean = np.add.reduceat(crf.marginals(words, first), at, axis=0) / sizes[:, None]
-                for i, k, p in zip(live, mean.argmax(axis=1), mean.max(axis=1)):
-                    pred[i], score[i] = crf.labels[k], min(1.0, max(0.0, float(p)))
-            return pd.DataFrame({"doc_id": ids, "lang_pred": pred, "score": score})
-
-        ids: list = []
-        texts: list = []
-        letters: list = []
-        n = 0
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                w = words_of(text) if text else []
-                ids.append(doc_id)
-                texts.append(w)
-                letters.append(bool(w) and any(c.isalpha() for c in text))
-                n += len(w)
-                if n >= batch_words:
-                    yield judge(ids, texts, letters)
-                    ids, texts, letters, n = [], [], [], 0
-        if ids:
-            yield judge(ids, texts, letters)
+        for rows, pred, score in _judged(batches, sent.value, batch_words):
+            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "lang_pred": pred, "score": score})
     src = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = src.mapInPandas(run, "doc_id string, lang_pred string, score double")
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
@@ -270,3 +265,16 @@ def predict(docs: DataFrame, model: Crf | None, batch_words: int = 200_000) -> D
 def identified(docs: DataFrame, per_label: int = 100) -> DataFrame:
     """Fit on the labelled training rows of ``docs`` and predict all its rows."""
     return predict(docs, fit(sample(docs, per_label)))
+
+
+def filtered(docs: DataFrame, least: float, per_label: int = 100, batch_words: int = 200_000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with a score of ``least`` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, per_label)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pd.DataFrame({"text": batch.column("text").cast(pa.string()).to_pandas()})
+            keep = [p != "und" and s >= least for _, pred, score in _judged(iter([text]), sent.value, batch_words)
+                    for p, s in zip(pred, score)]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

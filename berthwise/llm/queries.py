@@ -43,14 +43,14 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _word_bpe() -> str:
+def word_bpe() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 @_query
 def op3_pack_sequences(spark, sf_dir):
-    return packing.digest(packing.packed(table(spark, sf_dir, "documents"), _word_bpe()))
+    return packing.digest(packing.packed(table(spark, sf_dir, "documents"), word_bpe()))
 
 
 @_query

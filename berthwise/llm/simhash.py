@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from berthwise.llm.common import saved
 
@@ -53,13 +54,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+    """(doc_id, h, fp): fp is the fingerprint's bits as a signed long, h a hash of the text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInPandas(run, "doc_id bigint, fp bigint")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "h": pdf["h"], "fp": fp})
+    # Ids pass as text, so that nulls beside them don't make them floats.
+    src = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), F.xxhash64("text").alias("h"),
+                      F.col("text").cast("string").alias("text"))
+    return src.mapInPandas(run, "doc_id string, h bigint, fp bigint").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -139,13 +142,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, segments: int = 2) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (smallest doc_id that
-    links reach, itself included)."""
+    """One row per row of ``docs``: doc_id, h, fp, component_id (smallest doc_id that links reach,
+    itself included) and stays (whether it is that row; of rows with its id, the smallest text hash)."""
     every = saved(fingerprints(docs, shingle), "fingerprints")
-    distinct = saved(every.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    distinct = saved(every.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
     comp = components(linked(distinct.select("fp"), max_bits, segments))
     named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = saved(named.join(least, "root").select("fp", "component_id"), "component-ids")
-    return every.join(ids, "fp").select("doc_id", "fp", "component_id")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    ids = saved(named.join(least, "root").select("fp", "least"), "component-ids")
+    return every.join(ids, "fp").select("doc_id", "h", "fp", F.col("least.doc_id").alias("component_id"),
+                                        (row == F.col("least")).alias("stays"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component; one of rows that repeat it."""
+    stay = near_duplicates(docs, shingle, max_bits).where("stays").select(F.struct("doc_id", "h").alias("_key"))
+    own = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
+    return (docs.withColumn("_key", own).join(stay, "_key", "left_semi").withColumn("_nth", nth)
+            .where("_nth = 1").select(*docs.columns))

@@ -56,7 +56,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text index, anchor, first window, windows) of each run of windows with one anchor."""
+    """(text index, anchor, first window, windows) of each run of windows with one anchor in one place;
+    a run has at most window - gram + 1 windows."""
     flat = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     inside = ~_SPACE[flat]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside])))
@@ -78,18 +79,24 @@ def segments(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ..
         g += word[j:j + m] * p
     g = _mix(g)
     width, span = window - gram + 1, 1
-    low = g
+    w = n - window + 1
+
+    def smaller(low: np.ndarray, at: np.ndarray, shift: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        left, right = low[:size], low[shift:shift + size]
+        first = left <= right
+        return np.where(first, left, right), np.where(first, at[:size], at[shift:shift + size])
+    low, place = g, np.arange(m)
     while span * 2 <= width:
-        low = np.minimum(low[:-span], low[span:])
+        low, place = smaller(low, place, span, len(low) - span)
         span *= 2
-    w = n - window + 1
-    low = np.minimum(low[:w], low[width - span:width - span + w])
+    low, place = smaller(low, place, width - span, w)
     ok = doc[:w] == doc[window - 1:]
     i = np.flatnonzero(ok)
     if not len(i):
         return none
-    d, a = doc[i], low[i]
-    starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])]))
+    d, a, place = doc[i], low[i], place[i]
+    # One run per place of the anchor: equal windows of one text lie in different runs.
+    starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (d[1:] != d[:-1])]))
     count = np.diff(np.concatenate([starts, [len(i)]]))
     first_word = np.searchsorted(doc, np.arange(len(texts)))
     return d[starts], a[starts].view(np.int64), i[starts] - first_word[d[starts]], count
@@ -185,12 +192,6 @@ def earlier_spans(shard: list[tuple[list, tuple, int]], window: int) -> Iterator
             yield k, lo, hi
 
 
-def _repeats_inside(words: list, window: int) -> bool:
-    """Whether a window may occur twice in the segment."""
-    n = len(words) - window + 1
-    return n > window or words[n - 1] in words[n:2 * n - 1]
-
-
 _CUT = "route bigint, doc_id bigint, h bigint, start bigint, stop bigint, words binary"
 
 
@@ -218,12 +219,6 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                     size += len(raw[hi])
                     hi += 1
                 d, a, start, n = segments(raw[lo:hi], window, gram)
-                most = (1 << _N) - 1
-                if len(n) and n.max() > most:        # very long runs: several segments
-                    parts = -(-n // most)
-                    rep = np.repeat(np.arange(len(n)), parts)
-                    k = np.arange(len(rep)) - np.repeat(np.cumsum(parts) - parts, parts)
-                    d, a, start, n = d[rep], a[rep], start[rep] + k * most, np.minimum(n[rep] - k * most, most)
                 at = (hs[lo:hi][d].astype(np.int64) << (_START + _N)) | (start << _N) | n
                 yield pd.DataFrame({"anchor": a, "doc_id": ids[lo:hi][d], "at": at})
                 lo = hi
@@ -294,7 +289,7 @@ def _match(window: int, shard_words: int):
 
         def close() -> int:
             """Move a finished route's segments to the shard if a window can repeat in them."""
-            if len(group) > 1 or (group and _repeats_inside(group[0][0], window)):
+            if len(group) > 1:
                 shard.extend(group)
                 n = sum(len(g[0]) for g in group)
             else:
