@@ -968,9 +968,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return _Q["call_kpis_by_berth"](spark, SMOKE_DIR)
 
 
+def _training_data():
+    """The training-data subpackage and the corpus pipeline, where they are installed."""
+    import importlib.util
+    if not (importlib.util.find_spec("berthwise.llm") and importlib.util.find_spec("corpus_pipeline")):
+        return {}, {}
+    import corpus_pipeline
+    from berthwise.llm import queries as llm
+    q, o = dict(llm.QUERIES), dict(llm.ORACLES)
+    q["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        o["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return q, o
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    return {**_Q, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **_training_data()[1]}
