@@ -971,7 +971,8 @@ def entry(spark: SparkSession) -> DataFrame:
 def _training_data():
     """The training-data subpackage and the corpus pipeline, where they are installed."""
     import importlib.util
-    if not (importlib.util.find_spec("berthwise.llm") and importlib.util.find_spec("corpus_pipeline")):
+    found = [importlib.util.find_spec(m) for m in ("berthwise.llm", "corpus_pipeline")]
+    if not all(s and s.origin for s in found):
         return {}, {}
     import corpus_pipeline
     from berthwise.llm import queries as llm
