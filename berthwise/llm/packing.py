@@ -4,10 +4,7 @@ A document's ids (its tokens and one end id) are cut into pieces of binary
 lengths: as many full sequences as fit, then one piece for each set bit of the
 rest, longest first.  Pieces of one length form a bucket, and each piece is a sequence of its
 own: no sequence crosses documents and none is padded, because all lengths are
-powers of two.  Sequences are numbered without gaps, bucket after bucket.
-
-Texts are tokenised once, in Arrow batches, and the pieces are written with
-their ids to the shared folder; numbering reads only the small columns back.
+powers of two.  One Arrow pass, no shuffle.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed
 as often as they occur; a null ``doc_id`` stays null; an empty table gives an empty
@@ -16,22 +13,25 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
+import struct
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from berthwise.llm.common import saved
 
 SEQUENCE = 2048
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
+TOGETHER = 32                    # longer texts cost the library more per word
+# Words that normalisation only makes lower case: ASCII and Latin letters and signs, no white space or controls.
+_PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u0148\u014a-\u017e]+").fullmatch
+# Byte-level text: printable bytes stand for themselves, the others for the code points from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_TEXT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class WordTokenizer:
@@ -47,54 +47,96 @@ class WordTokenizer:
         import json
 
         from tokenizers import Tokenizer
+        spec = json.load(open(path, encoding="utf-8"))
         self.lib = Tokenizer.from_file(path)
+        self.model = self.lib.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.cached = cached
-        self.by_word = not self.crosses_space(json.load(open(path)))
+        self.by_word = not self.crosses_space(spec)
+        self.special = [t["content"].lower() for t in spec.get("added_tokens", [])]
+        self.split = self.part_pattern(spec)
+
+    @staticmethod
+    def part_pattern(spec: dict):
+        """The tokenizer's own split pattern, if its parts go to the model as lower-case byte text and nothing else."""
+        norm = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if norm != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in pre] != ["Split", "ByteLevel"] \
+                or pre[1].get("add_prefix_space") or pre[1].get("use_regex") or spec["model"]["type"] != "BPE":
+            return None
+        return regex.compile(pre[0]["pattern"]["Regex"])
 
     @staticmethod
     def crosses_space(spec: dict) -> bool:
         pre = spec.get("pre_tokenizer") or {}
         parts = pre.get("pretokenizers", [pre])
         splits = [p for p in parts if p.get("type") == "Split"]
-        drops = any(p.get("behavior") == "Removed" and p.get("invert") and r"[^\s" in str(p.get("pattern")) for p in splits)
+        drops = any(p.get("behavior") == "Removed" and p.get("invert") and r"[^\s" in p["pattern"].get("Regex", "") for p in splits)
         glued = any(any(ch.isspace() for ch in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
                     for t in spec.get("added_tokens", []))
         return not drops or glued
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words, many to a call; token offsets tell whose they are."""
+        """Ids of new words.  Those of plain Latin letters and signs, which normalisation only makes lower
+        case, share the ids of their parts; the others go through the library."""
+        if self.split is None:
+            return self._encode(words)
+        rest = []
+        find, parts, young = self.split.findall, self.parts, self.young
+        for w in words:
+            text = w.decode("utf-8").lower()
+            if not _PLAIN(text) or ("<" in text and any(t in text for t in self.special)):
+                rest.append(w)
+                continue
+            found = find(text)
+            try:
+                young[w] = b"".join([parts[p] for p in found])
+            except KeyError:
+                for p in found:
+                    if p not in parts:
+                        shown = p if p.isascii() else p.encode("utf-8").decode("latin-1").translate(_BYTE_TEXT)
+                        ids = [t.id for t in self.model.tokenize(shown)]
+                        parts[p] = struct.pack(f"<{len(ids)}I", *ids)
+                young[w] = b"".join([parts[p] for p in found])
+        if len(parts) > 2 * self.cached:
+            parts.clear()
+        if rest:
+            self._encode(rest)
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Words through the library, ``TOGETHER`` to a text; token offsets tell whose they are."""
         texts = [w.decode("utf-8") for w in words]
-        for lo in range(0, len(words), 4096):
-            part = texts[lo:lo + 4096]
-            enc = self.lib.encode(" ".join(part), add_special_tokens=False)
-            ends = list(accumulate(len(t) + 1 for t in part))
-            ids = np.array(enc.ids, dtype="<u4")
-            at = np.searchsorted(ends, np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(ids)), side="right")
-            cuts = np.searchsorted(at, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            for k, w in enumerate(words[lo:lo + 4096]):
-                self.young[w] = raw[4 * cuts[k]:4 * cuts[k + 1]]
+        cuts = range(0, len(words), TOGETHER)
+        for lo, enc in zip(cuts, self.lib.encode_batch([" ".join(texts[i:i + TOGETHER]) for i in cuts], add_special_tokens=False)):
+            raw = np.array(enc.ids, dtype="<u4").tobytes()
+            starts = [o[0] for o in enc.offsets]
+            at = end = 0
+            for w, t in zip(words[lo:lo + TOGETHER], texts[lo:lo + TOGETHER]):
+                end += len(t) + 1
+                first = at
+                while at < len(starts) and starts[at] < end:
+                    at += 1
+                self.young[w] = raw[4 * first:4 * at]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
-        out = []
-        for text in texts:
-            words = text.encode("utf-8").split()
-            distinct = set(words)
-            new = distinct.difference(self.young)
-            if new:
-                seen = self.old.keys() & new
-                for w in seen:
-                    self.young[w] = self.old[w]
-                if len(seen) < len(new):
-                    self._learn(list(new.difference(seen)))
-            out.append(b"".join(map(self.young.__getitem__, words)))
-            if len(self.young) > self.cached:
-                self.old, self.young = self.young, {}
+        split = [t.encode("utf-8").split() for t in texts]
+        distinct = set()
+        for words in split:
+            distinct.update(words)
+        new = distinct.difference(self.young)
+        seen = self.old.keys() & new
+        for w in seen:
+            self.young[w] = self.old[w]
+        self._learn(list(new.difference(seen)))
+        of = self.young.__getitem__
+        out = [b"".join(map(of, words)) for words in split]
+        if len(self.young) > self.cached:
+            self.old, self.young = self.young, {}
         return out
 
 
@@ -104,17 +146,21 @@ def binary_lengths(total: int, sequence: int = SEQUENCE) -> list[int]:
     return [sequence] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids, task, nth): ids are little-endian unsigned 32-bit;
-    (task, length, nth) numbers the pieces of each length in the task that made them."""
+def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, ids, sequence_id, offset) of every piece; ids are little-endian
+    unsigned 32-bit.
+
+    A sequence's number has its bucket on top, then the task that made it, then its place in the task:
+    buckets lie together, numbers are never shared, and nothing is counted or moved for them."""
     if sequence & (sequence - 1):
         raise ValueError("the sequence length must be a power of two")
     end = np.array([end_id], dtype="<u4").tobytes()
+    top = sequence.bit_length()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = WordTokenizer(tokenizer)
         task = TaskContext.get().partitionId()
-        made: dict[int, int] = {}
+        made = [0] * (top + 1)
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo:lo + 256]
@@ -123,43 +169,16 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
                     ids += end
                     start, n = 0, len(ids) // 4
                     for length in binary_lengths(n, sequence):
-                        nth = made[length] = made.get(length, -1) + 1
-                        rows.append((doc_id, start, length, n, ids[4 * start:4 * (start + length)], task, nth))
+                        bucket = top - length.bit_length()
+                        rows.append((doc_id, start, length, n, ids[4 * start:4 * (start + length)],
+                                     bucket << 57 | task << 33 | made[bucket], 0))
+                        made[bucket] += 1
                         start += length
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids", "task", "nth"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-    # Ids as text pass through pandas without becoming floats beside nulls.
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
+    # Ids pass as text, so that nulls beside them don't make them floats.
     src = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInPandas(_whole_ids(run), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, task bigint, nth bigint")
-
-
-def _whole_ids(run):
-    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def exact():
-            for pdf in batches:
-                yield pdf.assign(doc_id=[None if x is None else int(x) for x in pdf["doc_id"]]) if len(pdf) else pdf
-        yield from run(exact())
-    return wrapped
-
-
-def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Pieces with their ``ids``, ``sequence_id`` and ``offset``."""
-    p = saved(pieces(docs, tokenizer, sequence, end_id), "pieces")
-    counts = p.groupBy("length", "task").agg(F.count("*").alias("n"))
-    # A row per task and length: the numbers before each are summed per length, and
-    # the lengths (at most log2(sequence) + 1) are stacked, longest first.
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    longer = Window.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.groupBy("length").agg(F.sum("n").alias("all")).select(
-        "length", F.coalesce(F.sum("all").over(longer), F.lit(0)).alias("base"))
-    first = (counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-             .join(F.broadcast(bases), "length").select("length", "task", (F.col("base") + F.col("before")).alias("first")))
-    # Rows: input tasks times lengths; it is one row for some 10^5 bytes of input or
-    # more, so the planner's own size check decides whether to broadcast it.
-    return p.join(first, ["length", "task"]).select(
-        "doc_id", "start", "length", "doc_tokens", "ids", (F.col("first") + F.col("nth")).alias("sequence_id"),
-        F.lit(0).cast("bigint").alias("offset"))
+    out = src.mapInPandas(run, "doc_id string, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint")
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def digest(p: DataFrame) -> DataFrame:

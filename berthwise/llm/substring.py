@@ -9,9 +9,10 @@ each shard goes just where its text can match:
 1. Every window has an anchor, the smallest hash among its ``GRAM``-word sequences.  Equal windows have equal
    anchors, so only windows whose anchor occurs twice can repeat.  Neighbouring windows mostly share an
    anchor and make one segment.
-2. Segments with a repeated anchor are cut from the texts and dealt by anchor, salted.  Copies of a
-   segment are settled at once: all but the first start later.  Anchors of more than ``HOT`` segments (a common short line) are
-   dealt by their whole windows instead, so what meets in one task stays small.
+2. Segments with a repeated anchor are cut from the texts and dealt by anchor.  Copies of a
+   segment are settled at once: all but the first start later.  Anchors of more than ``HOT`` segments (a
+   common line) are dealt by their whole windows instead, salted and then once more without salt, so what meets in
+   one task stays small.  Texts that are whole copies of others are settled before that by their digests.
 3. What is left of some anchors makes a reference shard.  Its suffix automaton, each state with the first place
    its strings end, is built once, and the shard's segments are streamed through it: the
    matching statistics, capped at the window length, find the state of each window and
@@ -192,7 +193,8 @@ def earlier_spans(shard: list[tuple[list, tuple, int]], window: int) -> Iterator
             yield k, lo, hi
 
 
-_CUT = "route bigint, doc_id bigint, h bigint, start bigint, stop bigint, words binary"
+_CUT = "route bigint, hot boolean, doc_id bigint, h bigint, start bigint, stop bigint, words binary"
+_COLUMNS = [c.split()[0] for c in _CUT.split(", ")]
 
 
 def _ints(ids) -> list:
@@ -200,7 +202,7 @@ def _ints(ids) -> list:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["route", "doc_id", "h", "start", "stop", "words"])
+    out = pd.DataFrame(rows, columns=_COLUMNS)
     out["doc_id"] = out["doc_id"].astype("Int64")
     return out
 
@@ -233,7 +235,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _cut(window: int):
-    """Segments of each text with repeated anchors: (route, doc_id, h, start, stop, words)."""
+    """Segments of each text with repeated anchors, those of hot anchors window by window."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -244,10 +246,10 @@ def _cut(window: int):
                     if x["hot"]:
                         for i in range(start, start + n):
                             w = b" ".join(words[i:i + window])
-                            rows.append((xxhash.xxh64_intdigest(w) - (1 << 63), doc_id, h, i, i + window, w))
+                            rows.append((xxhash.xxh64_intdigest(w) - (1 << 63), True, doc_id, h, i, i + window, w))
                     else:
                         stop = start + n + window - 1
-                        rows.append((x["anchor"], doc_id, h, start, stop, b" ".join(words[start:stop])))
+                        rows.append((x["anchor"], False, doc_id, h, start, stop, b" ".join(words[start:stop])))
                     if len(rows) >= 20_000:
                         yield _frame(rows)
                         rows = []
@@ -255,132 +257,130 @@ def _cut(window: int):
     return run
 
 
-def _settle_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (route, words, doc_id, start).  The first of equal segments goes on with its
-    words; the others start later: they are spans, without words."""
-    last = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        words, route = pdf["words"].to_numpy(), pdf["route"].to_numpy()
-        doc, start = np.array(_ints(pdf["doc_id"]), dtype=object), pdf["start"].to_numpy()
-        if last is not None:                           # the last group may go on
-            words, doc = np.append(last[0], words), np.append(last[2], doc)
-            route, start = np.append(last[1], route), np.append(last[3], start)
-        new = np.concatenate([[True], (route[1:] != route[:-1]) | (words[1:] != words[:-1])])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        later = (doc != doc[head]) | (start != start[head])
-        k = head[-1]
-        last = (words[k:k + 1], route[k], doc[k:k + 1], start[k])
-        later = later[len(later) - len(pdf):]
-        out = pdf[["route", "doc_id", "h", "start", "stop", "words"]].copy()
-        out["doc_id"] = pd.array(_ints(pdf["doc_id"]), dtype="Int64")
-        out["words"] = np.where(later, None, pdf["words"])
-        yield out
-
-
-def _match(window: int, shard_words: int):
-    """Rows sorted by (deal, words, doc_id, start): spans pass, the segments of some routes make a shard."""
+def _match(window: int, shard_words: int, last: bool = False):
+    """Rows sorted by (route, words, doc_id, start) to spans without words.
+
+    The first of equal segments stays, the others start later and are spans.  What stays of
+    some routes makes a shard.  The windows of hot routes are dealt over salts: those that stay
+    pass with their words, to meet once more (``last``)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard: list = []                                # (words, place, start, doc_id, h)
-        held = 0
         group: list = []
+        out: list = []
+        held = 0
         route = prev = None
 
-        def close() -> int:
-            """Move a finished route's segments to the shard if a window can repeat in them."""
-            if len(group) > 1:
-                shard.extend(group)
-                n = sum(len(g[0]) for g in group)
-            else:
-                n = 0
-            group.clear()
-            return n
-
-        def spans() -> pd.DataFrame:
-            rows = [(None, shard[k][3], shard[k][4], a, b, None) for k, a, b in
-                    earlier_spans([s[:3] for s in shard], window)]
+        def spans() -> None:
+            for k, a, b in earlier_spans([x[:3] for x in shard], window):
+                out.append((None, False, shard[k][3], shard[k][4], a, b, None))
             shard.clear()
-            return _frame(rows).drop(columns=["route", "words"])
 
         for pdf in batches:
-            settled = pdf["words"].isna()
-            if settled.any():
-                out = pdf.loc[settled, ["doc_id", "h", "start", "stop"]].copy()
-                out["doc_id"] = pd.array(_ints(out["doc_id"]), dtype="Int64")
-                yield out
-            live = pdf[~settled]
-            for r, doc, h, start, stop, words in zip(live["route"], _ints(live["doc_id"]), live["h"], live["start"],
-                                                     live["stop"], live["words"]):
+            for r, hot, doc, h, start, stop, words in zip(pdf["route"], pdf["hot"], _ints(pdf["doc_id"]), pdf["h"],
+                                                          pdf["start"], pdf["stop"], pdf["words"]):
                 if r != route:
-                    held += close()
+                    if len(group) > 1:                  # a window can be in two segments
+                        shard.extend(group)
+                        held += sum(len(g[0]) for g in group)
+                        if held >= shard_words:
+                            spans()
+                            held = 0
+                    group.clear()
                     route, prev = r, None
-                    if held >= shard_words:
-                        yield spans()
-                        held = 0
                 if prev is not None and prev[0] == words:
-                    if (doc, start) != prev[1:]:         # equal to an earlier segment
-                        yield _frame([(None, doc, h, start, stop, None)]).drop(columns=["route", "words"])
-                        continue
-                else:
-                    prev = (words, doc, start)
-                group.append((words.split(b" "), (doc is not None, doc or 0), int(start), doc, h))
-        held += close()
-        if shard:
-            yield spans()
+                    if (doc, start) != prev[1:]:
+                        out.append((None, False, doc, h, start, stop, None))
+                    continue
+                prev = (words, doc, start)
+                if not hot:
+                    group.append((words.split(b" "), (doc is not None, doc or 0), int(start), doc, h))
+                elif not last:
+                    out.append((r, True, doc, h, start, stop, words))
+            if out:
+                yield _frame(out)
+                out.clear()
+        if len(group) > 1:
+            shard.extend(group)
+        spans()
+        if out:
+            yield _frame(out)
+    return run
+
+
+def _kept(window: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
+                words = (text or "").encode("utf-8").split()
+                n = len(words)
+                if spans is not None and len(spans):
+                    if any(s["start"] < 0 for s in spans):          # a copy of a smaller row's text
+                        words = [] if n >= window else words
+                    else:
+                        mark = np.zeros(n + 1, dtype=np.int64)
+                        np.add.at(mark, [s["start"] for s in spans], 1)
+                        np.add.at(mark, [s["stop"] for s in spans], -1)
+                        keep = np.cumsum(mark[:n]) == 0
+                        words = [w for w, k in zip(words, keep) if k]
+                rows.append((doc_id, n, n - len(words), b" ".join(words).decode("utf-8")))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
     return run
 
 
-def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-            words = (text or "").encode("utf-8").split()
-            n = len(words)
-            if spans is not None and len(spans):
-                mark = np.zeros(n + 1, dtype=np.int64)
-                np.add.at(mark, [s["start"] for s in spans], 1)
-                np.add.at(mark, [s["stop"] for s in spans], -1)
-                keep = np.cumsum(mark[:n]) == 0
-                words = [w for w, k in zip(words, keep) if k]
-            rows.append((doc_id, n, n - len(words), b" ".join(words).decode("utf-8")))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, h) of rows whose whole text also is that of a smaller doc_id."""
+    t = keyed(docs).where("text is not null").select("doc_id", "h", F.unhex(F.sha2("text", 256)).alias("sha"))
+    # Null ids come first, so a text that a row without id has is its copy in all others.
+    least = t.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none"), F.count("*").alias("c"))
+    least = saved(least.where("c > 1").drop("c"), "copied-texts")
+    return t.join(least, "sha").where("doc_id > least or (none and doc_id is not null)").select("doc_id", "h").distinct()
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, salts: int = SALTS,
-                   shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, h, start, stop): word spans covered by windows that also start earlier."""
-    occ = saved(anchors(docs, window, gram), "anchors")
+                   shard_words: int = SHARD_WORDS, without: DataFrame | None = None) -> DataFrame:
+    """(doc_id, h, start, stop): word spans covered by windows that also start earlier; the rows
+    ``without`` (doc_id, h) are not asked, and must repeat smaller rows."""
+    occ = anchors(docs, window, gram)
     twice = saved(occ.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
                   .select("anchor", (F.col("c") > hot).alias("hot")), "repeated-anchors")
     h = F.shiftrightunsigned("at", _START + _N)
     start = F.shiftrightunsigned("at", _N).bitwiseAND(F.lit((1 << _START) - 1))
     runs = (occ.join(twice, "anchor").groupBy("doc_id", h.alias("h"))
-            .agg(F.collect_list(F.struct("anchor", start.alias("start"), F.col("at").bitwiseAND(F.lit((1 << _N) - 1)).alias("n"),
-                                         "hot")).alias("runs")))
-    key = F.struct("doc_id", "h")
-    texts = keyed(docs).select(key.alias("key"), "text")
-    cut = (texts.join(runs.select(key.alias("key"), "runs"), "key")
+            .agg(F.collect_list(F.struct("anchor", start.cast("int").alias("start"),
+                                         F.col("at").bitwiseAND(F.lit((1 << _N) - 1)).cast("short").alias("n"), "hot")).alias("runs")))
+    key = F.struct("doc_id", "h").alias("key")
+    runs = runs.select(key, "runs")
+    if without is not None:
+        runs = runs.join(without.select(key), "key", "left_anti")
+    texts = keyed(docs).select(key, "text")
+    cut = (texts.join(runs, "key")
            .select(F.col("key.doc_id").cast("string").alias("doc_id"), F.col("key.h").alias("h"), "text", "runs")
            .mapInPandas(_cut(window), _CUT))
-    as_text = [F.col("doc_id").cast("string").alias("doc_id") if c == "doc_id" else F.col(c)
-               for c in ("route", "doc_id", "h", "start", "stop", "words")]
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
-    firsts = (cut.withColumn("salt", salt).repartition("route", "salt")
-              .sortWithinPartitions("route", "words", "doc_id", "start").select(*as_text)
-              .mapInPandas(_settle_copies, _CUT))
-    deal = F.when(F.col("words").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("route"))
-    return (firsts.withColumn("deal", deal).repartition("deal")
-            .sortWithinPartitions("deal", "route", "words", "doc_id", "start").select(*as_text)
-            .mapInPandas(_match(window, shard_words), "doc_id bigint, h bigint, start bigint, stop bigint"))
-
-
-def cleaned(docs: DataFrame, **how) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed and ``kept``, the words that stay joined by one space."""
-    key = F.struct("doc_id", "h")
-    spans = (repeated_spans(docs, **how).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-             .select(key.alias("key"), "spans"))
-    texts = keyed(docs).select(key.alias("key"), "text")
-    out = (texts.join(spans, "key", "left").select(F.col("key.doc_id").cast("string").alias("doc_id"), "text", "spans")
-           .mapInPandas(_kept, "doc_id string, n_words bigint, n_removed bigint, kept string"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0)
+    order = ["route", "words", "doc_id", "start"]
+
+    def dealt(rows: DataFrame, by: list[str], last: bool) -> DataFrame:
+        met = rows.repartition(*by).sortWithinPartitions(*order)
+        return met.select(*[F.col(c).cast("string").alias(c) if c == "doc_id" else F.col(c) for c in _COLUMNS]) \
+            .mapInPandas(_match(window, shard_words, last), _CUT)
+    met = dealt(cut.withColumn("salt", salt), ["route", "salt"], False)
+    # Both branches read one exchange; only the second one's few rows move again.
+    span = ["doc_id", "h", "start", "stop"]
+    return met.where("not hot").select(*span).unionByName(dealt(met.where("hot"), ["route"], True).select(*span))
+
+
+def cleaned(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_removed and ``kept``, the words that stay joined by one space.
+
+    A row whose whole text a smaller doc_id has repeats all its windows, so it is not cut into segments."""
+    whole = copies(docs)
+    spans = repeated_spans(docs, window, without=whole, **how).unionByName(
+        whole.select("doc_id", "h", F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("stop")))
+    key = F.struct("doc_id", "h").alias("key")
+    spans = (spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"),
+                                                                     F.col("stop").cast("int").alias("stop"))).alias("spans")).select(key, "spans"))
+    out = (keyed(docs).select(key, "text").join(spans, "key", "left")
+           .select(F.col("key.doc_id").cast("string").alias("doc_id"), "text", "spans")
+           .mapInPandas(_kept(window), "doc_id string, n_words bigint, n_removed bigint, kept string"))
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
