@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 SEQUENCE = 2048
 END_ID = 1
-CACHED_WORDS = 250_000
+CACHED_WORDS = 350_000
 TOGETHER = 32                    # longer texts cost the library more per word
 # Words that normalisation only makes lower case: ASCII and Latin letters and signs, no white space or controls.
 _PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u0148\u014a-\u017e]+").fullmatch
@@ -100,7 +100,7 @@ class WordTokenizer:
                         ids = [t.id for t in self.model.tokenize(shown)]
                         parts[p] = struct.pack(f"<{len(ids)}I", *ids)
                 young[w] = b"".join([parts[p] for p in found])
-        if len(parts) > 2 * self.cached:
+        if len(parts) > 3 * self.cached // 2:
             parts.clear()
         if rest:
             self._encode(rest)
@@ -140,6 +140,16 @@ class WordTokenizer:
         return out
 
 
+_IN_WORKER: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The worker process's tokenizer; later tasks find the words of earlier ones."""
+    if path not in _IN_WORKER:
+        _IN_WORKER[path] = WordTokenizer(path)
+    return _IN_WORKER[path]
+
+
 def binary_lengths(total: int, sequence: int = SEQUENCE) -> list[int]:
     """Piece lengths of a document: full sequences, then the set bits of the rest."""
     full, rest = divmod(total, sequence)
@@ -158,7 +168,7 @@ def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
     top = sequence.bit_length()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = WordTokenizer(tokenizer)
+        tok = tokenizer_of(tokenizer)
         task = TaskContext.get().partitionId()
         made = [0] * (top + 1)
         for pdf in batches:
