@@ -81,16 +81,15 @@ def findings(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
          text: str = "text") -> DataFrame:
     """New ledger rows: the unseen (blob, rule, version) pairs of ``versions`` with their spans."""
-    spark = versions.sparkSession
-    pairs = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+    pairs = F.inline(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]))
     b = blobs(versions, text).select("blob", F.col("_text").alias("text"))
     if ledger is None:
         distinct = b.distinct()                       # map-side first: a hot blob crosses once a task
-        due = distinct.select("blob").crossJoin(F.broadcast(pairs))          # pairs: one row a rule
+        due = distinct.select("blob").select("blob", pairs)
         spans = findings(distinct, rules)
     else:
         seen = ledger.select("blob", "kind", "version").distinct()
-        due = saved(b.select("blob").distinct().crossJoin(F.broadcast(pairs))
+        due = saved(b.select("blob").distinct().select("blob", pairs)
                     .join(seen, ["blob", "kind", "version"], "left_anti"), "due")
         distinct = b.join(due.select("blob").distinct(), "blob", "left_semi").distinct()
         spans = findings(distinct, rules).join(due, ["blob", "kind", "version"], "left_semi")
