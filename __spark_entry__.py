@@ -498,13 +498,10 @@ WITH RECURSIVE q AS MATERIALIZED (
          row_number() OVER (PARTITION BY v.pool ORDER BY v.eta, v.call_id) AS n
   FROM v_queue v JOIN v_pool_k k ON k.pool = v.pool),
 r AS (
-  SELECT pool, n, call_id, a, a AS st, svc_us,
-         list_sort(list_concat(list_transform(range(k - 1), lambda x: CAST(-1 AS BIGINT)), [a + svc_us])) AS srv
-  FROM q WHERE n = 1
-  UNION ALL
-  SELECT q.pool, q.n, q.call_id, q.a, greatest(q.a, r.srv[1]) AS st, q.svc_us,
-         list_sort(list_concat(r.srv[2:], [greatest(q.a, r.srv[1]) + q.svc_us])) AS srv
-  FROM r JOIN q ON q.pool = r.pool AND q.n = r.n + 1),
+  SELECT pool, n, call_id, a, svc_us, cprev + max(a - cprev) OVER (PARTITION BY pool, lane ORDER BY n ROWS UNBOUNDED PRECEDING) AS st
+  FROM (SELECT *, CAST(coalesce(sum(svc_us) OVER (PARTITION BY pool, lane ORDER BY n
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cprev
+        FROM (SELECT *, (n - 1) % k AS lane FROM q) x) y),
 h AS (SELECT max(epoch_us(eta)) + max(svc_us) + 86400000000 AS hz FROM v_queue)"""
 
 
@@ -615,13 +612,11 @@ q AS MATERIALIZED (
                             ORDER BY sc.eta, CAST(sc.is_extra AS BIGINT) * 4503599627370496 + sc.pos) AS n
   FROM sc JOIN cap ON cap.scenario = sc.scenario AND cap.pool = sc.pool),
 r AS (
-  SELECT scenario, pool, n, call_id, a, a AS st, svc_us,
-         list_sort(list_concat(list_transform(range(k - 1), lambda x: CAST(-1 AS BIGINT)), [a + svc_us])) AS srv
-  FROM q WHERE n = 1
-  UNION ALL
-  SELECT q.scenario, q.pool, q.n, q.call_id, q.a, greatest(q.a, r.srv[1]), q.svc_us,
-         list_sort(list_concat(r.srv[2:], [greatest(q.a, r.srv[1]) + q.svc_us]))
-  FROM r JOIN q ON q.scenario = r.scenario AND q.pool = r.pool AND q.n = r.n + 1),
+  SELECT scenario, pool, n, call_id, a, svc_us,
+    cprev + max(a - cprev) OVER (PARTITION BY scenario, pool, lane ORDER BY n ROWS UNBOUNDED PRECEDING) AS st
+  FROM (SELECT *, CAST(coalesce(sum(svc_us) OVER (PARTITION BY scenario, pool, lane ORDER BY n
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cprev
+        FROM (SELECT *, (n - 1) % k AS lane FROM q) x) y),
 h AS (SELECT scenario, max(epoch_us(eta)) + max(svc_us) + 86400000000 AS hz FROM sc GROUP BY scenario),
 srv AS (SELECT r.* FROM r JOIN h ON h.scenario = r.scenario WHERE r.st < h.hz),
 tot AS (SELECT scenario, sum(k) AS capacity FROM cap GROUP BY scenario),
@@ -746,96 +741,14 @@ def q_service_predictions(spark, d):
     return _out(ML.score(model, frame).select("call_id", "predicted_service_hours"))
 
 
-def _plan_calls(spark, d):
-    v = td.vessels(spark, d).withColumn("pos", F.col("call_id"))
-    return v.withColumn("plan_day", F.to_date("eta"))
-
-
-def _port_islands(spark, d):
-    isl = IV.merge_busy(td.reservations(spark, d))
-    return isl.join(td.berths(spark, d).select("berth_id", "port_id"), "berth_id", "inner")
-
-
-_GREEDY_CTE = """
-WITH RECURSIVE cc AS MATERIALIZED (
-  SELECT v.port_id, v.call_id, epoch_us(v.eta) AS a, v.svc_us, CAST(v.eta AS DATE) AS d,
-         row_number() OVER (PARTITION BY v.port_id, CAST(v.eta AS DATE) ORDER BY v.eta, v.call_id) AS n
-  FROM v_vessels v WHERE EXISTS (SELECT 1 FROM v_elig e WHERE e.port_id = v.port_id AND e.call_id = v.call_id)),
-el AS MATERIALIZED (SELECT port_id, call_id, berth_id, ordinal FROM v_elig),
-isl AS MATERIALIZED (SELECT berth_id, isl_s, isl_e FROM v_islands),
-r AS (
-  SELECT DISTINCT port_id, d, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS VARCHAR) AS berth_id,
-         CAST(NULL AS BIGINT) AS st, CAST(NULL AS BIGINT) AS svc_us, MAP {}::MAP(VARCHAR, BIGINT) AS busy
-  FROM cc
-  UNION ALL
-  SELECT x.port_id, x.d, x.n, x.call_id, x.b, x.st, x.svc_us, map_concat(x.busy, MAP([x.b], [x.st + x.svc_us]))
-  FROM (
-    SELECT c.port_id, c.d, c.n, c.call_id, c.svc_us, r.busy, best.b, best.st
-    FROM r JOIN cc c ON c.port_id = r.port_id AND c.d = r.d AND c.n = r.n + 1,
-    LATERAL (
-      SELECT arg_min(q.berth_id, (q.slot, q.ordinal)) AS b, min(q.slot) AS st FROM (
-        SELECT e.berth_id, e.ordinal, coalesce(max(i.isl_e), e.nb) AS slot
-        FROM (SELECT el.berth_id, el.ordinal, greatest(c.a, coalesce(r.busy[el.berth_id], c.a)) AS nb
-              FROM el WHERE el.port_id = c.port_id AND el.call_id = c.call_id) e
-        LEFT JOIN isl i ON i.berth_id = e.berth_id AND i.isl_s <= e.nb + 60000000 AND i.isl_e > e.nb
-        GROUP BY e.berth_id, e.ordinal, e.nb) q) best) x)
-"""
-
-
-@_register("greedy_plan", _GREEDY_CTE + f"""
-SELECT port_id, CAST(call_id AS BIGINT) AS call_id, berth_id, {_mts('st')} AS scheduled_start,
-  {_mts('st + svc_us')} AS predicted_end,
-  st + 60000000 > epoch_us(CAST(d + INTERVAL 15 DAY AS TIMESTAMP)) AS beyond_window
-FROM r WHERE n > 0""")
-def q_greedy_plan(spark, d):
-    g = DP.greedy_plan(_plan_calls(spark, d), _elig(spark, d), _port_islands(spark, d))
-    return _out(g.select("port_id", "call_id", "berth_id", "scheduled_start", "predicted_end", "beyond_window"))
-
-
-_SWEEP_SQL = _GREEDY_CTE.rstrip().rstrip(")") + """),
-sc AS MATERIALIZED (
-  SELECT c.port_id, c.d, p.plan_id, c.call_id, c.a, c.svc_us,
-    ((c.call_id % 2147483647) * 48271 + (p.plan_id % 2147483647) * 16807 + 42) % 2147483647 AS ord,
-    ((c.call_id % 2147483647) * 69621 + (p.plan_id % 2147483647) * 40692 + 43) % 2147483647 AS pk,
-    (SELECT list(el.berth_id ORDER BY el.ordinal) FROM el WHERE el.port_id = c.port_id AND el.call_id = c.call_id) AS bl
-  FROM cc c, range(1, 4) p(plan_id)),
-sq AS MATERIALIZED (
-  SELECT *, bl[pk % len(bl) + 1] AS berth_id,
-    row_number() OVER (PARTITION BY port_id, d, plan_id ORDER BY ord, call_id) AS n FROM sc),
-rs AS (
-  SELECT DISTINCT port_id, d, plan_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS call_id,
-         CAST(NULL AS VARCHAR) AS berth_id, CAST(NULL AS BIGINT) AS st, MAP {}::MAP(VARCHAR, BIGINT) AS busy
-  FROM sq
-  UNION ALL
-  SELECT x.port_id, x.d, x.plan_id, x.n, x.call_id, x.berth_id, x.st, map_concat(x.busy, MAP([x.berth_id], [x.st + x.svc_us]))
-  FROM (
-    SELECT q.port_id, q.d, q.plan_id, q.n, q.call_id, q.berth_id, q.svc_us, rs.busy,
-      (SELECT coalesce(max(i.isl_e), e.nb) FROM (SELECT greatest(q.a, coalesce(rs.busy[q.berth_id], q.a)) AS nb) e
-       LEFT JOIN isl i ON i.berth_id = q.berth_id AND i.isl_s <= e.nb + 60000000 AND i.isl_e > e.nb
-       GROUP BY e.nb) AS st
-    FROM rs JOIN sq q ON q.port_id = rs.port_id AND q.d = rs.d AND q.plan_id = rs.plan_id AND q.n = rs.n + 1) x),
-asg AS (
-  SELECT port_id, d, CAST(0 AS BIGINT) AS plan_id, call_id, st FROM r WHERE n > 0
-  UNION ALL SELECT port_id, d, plan_id, call_id, st FROM rs WHERE n > 0),
-scored AS (
-  SELECT g.port_id, g.d, g.plan_id, count(*) AS n_assigned,
-    CAST(sum(greatest(g.st - epoch_us(v.eta), 0)) AS DOUBLE) / 3600000000.0 AS total_wait_hours
-  FROM asg g JOIN v_vessels v ON v.call_id = g.call_id GROUP BY g.port_id, g.d, g.plan_id)
-SELECT port_id, strftime(d, '%Y-%m-%d') AS plan_day,
-  CAST(arg_max(plan_id, (1.0 / (1.0 + total_wait_hours), -plan_id)) AS BIGINT) AS plan_id,
-  CAST(arg_max(n_assigned, (1.0 / (1.0 + total_wait_hours), -plan_id)) AS BIGINT) AS n_assigned,
-  round(arg_max(total_wait_hours, (1.0 / (1.0 + total_wait_hours), -plan_id)), 6) AS total_wait_hours,
-  round(max(1.0 / (1.0 + total_wait_hours)), 6) AS fitness
-FROM scored GROUP BY port_id, d"""
-
-
-@_register("plan_sweep", _SWEEP_SQL)
-def q_plan_sweep(spark, d):
-    p = DP.sweep_plans(_plan_calls(spark, d), _elig(spark, d), _port_islands(spark, d), n_plans=4)
-    scores = SCO.score_plans(p.join(td.vessels(spark, d).select("call_id", "eta"), "call_id"),
-                             by=("port_id", "plan_day", "plan_id"))
-    best = SCO.best_plan(scores, by=("port_id", "plan_day"))
-    return _out(best.withColumn("plan_day", F.date_format("plan_day", "yyyy-MM-dd")))
+@_register("allocate")
+def q_allocate(spark, d):
+    # Reservations of the call table's berths, each at the port of its berth.
+    b = td.berths(spark, d)
+    res = td.reservations(spark, d).join(b.select("berth_id", "port_id"), "berth_id")
+    from berthwise.plans import workflows as WF
+    p = WF.allocate(td.vessels(spark, d).withColumn("pos", F.col("call_id")), b, res)["plan"]
+    return _out(p.select("port_id", "call_id", "berth_id", "scheduled_start", "predicted_end", "accepted"))
 
 
 @_register("plan_repair", f"""

@@ -2,7 +2,7 @@
 
 Every public operator is a plain function ``DataFrame -> DataFrame`` built from
 ``pyspark.sql.functions`` so Catalyst plans it.  Python runs only inside the
-Arrow-batched grouped jobs (FIFO replay, greedy dispatch, plan repair,
+Arrow-batched grouped jobs (plan repair and
 reservation admission) whose semantics are sequential inside a group.
 """
 

@@ -248,9 +248,15 @@ def add_offline(res: DataFrame, windows: DataFrame) -> DataFrame:
     return res.unionByName(w, allowMissingColumns=True)
 
 
-def release(res: DataFrame, departures: DataFrame, key: str = "call_id") -> DataFrame:
-    """Drop the reservations of departed calls (unknown calls: no-op)."""
-    return res.join(departures.select(key).distinct(), key, "left_anti")
+def release(res: DataFrame, departures: DataFrame, key: str = "call_id", port: str | None = None,
+            berth: str = "berth_id", start: str = "start_time") -> DataFrame:
+    """Free the berth a departed call was registered on last: its latest reservation goes, earlier
+    ones stay (unknown calls: no-op).  With ``port``, call ids are told apart by port."""
+    who = [port, key] if port else [key]
+    last = (res.join(departures.select(*who).distinct(), who, "left_semi")
+            .groupBy(*who).agg(F.max(F.struct(start, berth)).alias("_last"))
+            .select(*who, F.col(f"_last.{berth}").alias(berth), F.col(f"_last.{start}").alias(start)))
+    return res.join(last, [*who, berth, start], "left_anti")
 
 
 def split_at(res: DataFrame, t, end: str = "end_time") -> tuple[DataFrame, DataFrame]:

@@ -1,44 +1,23 @@
-"""Queue replay: single-server closed form (W4), pooled k-server FIFO (Q1),
+"""Queues at berths: single-server closed form (W4), pools whose berths are taken in turn,
 scenario KPIs (A6) and the comparison table (A5).
 
-Semantics (per scenario and pool): calls request a berth at their ETA in
-``(eta, pos)`` order; a pool of ``k`` identical berths serves them first come
-first served; ``start = max(eta, earliest free berth)``; only calls that start
-before the scenario horizon are served, where the horizon is
-``last eta + longest service + 24 h`` over the whole scenario.
+Calls request a berth at their ETA in ``(eta, pos)`` order; ``start = max(eta, end of the call
+before at the berth)``; only calls that start before the horizon are served, where the
+horizon is ``last eta + longest service + 24 h`` over the whole scenario.
 
-Physical plan:
-* W4 is a JVM-only prefix computation (Lindley recursion in closed form):
-  ``start_i = C_{i-1} + max_{j<=i}(a_j - C_{j-1})`` with ``C`` the running
-  service sum — two skew-safe scans, no Python, no single-task window.
-* Q1 is a sequential fold inside a group, so it runs in Arrow-batched
-  ``applyInPandas`` with a k-heap.  Groups are single-server busy periods
-  (from W4): a k-server FIFO queue is never behind a single server, so at
-  the start of a single-server busy period all k berths are idle and the
-  periods are independent (bundled per opening day to amortise the Python
-  call).  Pools with k = 1 use W4 directly.
-* A busy period of at least ``hot_rows`` rows (a pool that never idles) is
-  cut into day chunks replayed in parallel rounds until every chunk's input
-  state is stable (exact fixed point, see ``_split_hot_periods``); periods
-  that do not settle within the round cap use the streamed sequential fold.
+All of it is JVM-only prefix computation (Lindley recursion in closed form):
+``start_i = C_{i-1} + max_{j<=i}(a_j - C_{j-1})`` with ``C`` the running service sum.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-from typing import Tuple
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.time import HOUR_US, from_us, to_us
-from berthwise.operators.scan import bucket_of
-from berthwise.session import cut_lineage
+from berthwise.operators.scan import bucket_of, running
 
 H = float(HOUR_US)
 
@@ -85,183 +64,22 @@ def fifo_one(df: DataFrame, part: list[str], eta: str = "eta", svc_us: str = "sv
     return d.drop("_c", "_x", "_m", "_mp", "_thr", "_last_open", "_opens", "_bkt")
 
 
-_FOLD_SCHEMA = "start_us long, end_us long"
-
-
-def _fold_schema(cols: list[str], types: dict) -> str:
-    return ", ".join(f"`{c}` {types[c]}" for c in cols) + ", " + _FOLD_SCHEMA
-
-
-def _make_fold(cols: list[str], pos: str):
-    """k-heap fold over one group, streamed batch by batch.
-
-    Rows arrive in ``(a_us, pos)`` order (secondary sort below); the heap of
-    the k berths' free times is carried across Arrow batches, so memory is one
-    batch plus k values however large the group is.  The order is verified
-    and a violation fails the task instead of producing a wrong schedule."""
-    def fold(key: Tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heap: list[int] = []
-        last = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            k = int(pdf["k"].iloc[0])
-            a = pdf["a_us"].to_numpy(np.int64)
-            p = pdf[pos].to_numpy(np.int64)
-            s = pdf["svc_us"].to_numpy(np.int64)
-            order_ok = bool(np.all((a[1:] > a[:-1]) | ((a[1:] == a[:-1]) & (p[1:] >= p[:-1]))))
-            if not order_ok or (last is not None and (int(a[0]), int(p[0])) < last):
-                raise RuntimeError("replay input is not in (eta, pos) order within its group")
-            last = (int(a[-1]), int(p[-1]))
-            n = len(a)
-            start = np.empty(n, dtype=np.int64)
-            for i in range(n):
-                ai = int(a[i])
-                if len(heap) < k:
-                    st = ai
-                    heapq.heappush(heap, st + int(s[i]))
-                else:
-                    st = max(ai, heap[0])
-                    heapq.heapreplace(heap, st + int(s[i]))
-                start[i] = st
-            out = pdf[cols].copy()
-            out["start_us"] = start
-            out["end_us"] = start + s
-            yield out
-    return fold
-
-
-def _as_list(v) -> list[int]:
-    """Arrow list cell (None / ndarray / list) -> list of ints."""
-    return [] if v is None else [int(x) for x in v]
-
-
-def _run_heap(state: list[int], k: int, a, s):
-    """Advance a sorted k-vector of free times over arrivals a / services s."""
-    heap = list(state)
-    heapq.heapify(heap)
-    n = len(a)
-    start = np.empty(n, dtype=np.int64)
-    for i in range(n):
-        ai = int(a[i])
-        if len(heap) < k:
-            st = ai
-            heapq.heappush(heap, st + int(s[i]))
-        else:
-            st = max(ai, heap[0])
-            heapq.heapreplace(heap, st + int(s[i]))
-        start[i] = st
-    return start, sorted(heap)
-
-
-def _make_chunk_fold(cols: list[str], pos: str):
-    """One round: replay a chunk from its current input state ``_in``; emit
-    each row's start and the chunk's final state."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a_us", pos], kind="mergesort")
-        k = int(pdf["k"].iloc[0])
-        st, fin = _run_heap(_as_list(pdf["_in"].iloc[0]), k,
-                            pdf["a_us"].to_numpy(np.int64), pdf["svc_us"].to_numpy(np.int64))
-        out = pdf[cols].copy()
-        out["start_us"] = st
-        out["_out"] = [[int(x) for x in fin]] * len(out)
-        return out
-    return fold
-
-
-def _split_hot_periods(hot: DataFrame, part: list[str], pos: str, max_rounds: int = 6
-                       ) -> tuple[DataFrame, DataFrame]:
-    """Exact parallel replay of large busy periods.
-
-    The period is cut into day chunks.  Each round replays every chunk in
-    parallel from an input state (the berths' free times); the next round's
-    input of chunk c is this round's final state of chunk c-1, and chunk 1
-    starts with all berths free (exact at a busy-period start).  The chained
-    system has a unique solution, so a period whose inputs no longer change is
-    solved exactly; in a stable k-server queue the effect of the input state
-    dies out inside a chunk and two or three rounds suffice.  Periods still
-    changing after ``max_rounds`` go to the sequential fold.
-    Returns (solved rows with ``start_us``, rows for the sequential fold)."""
-    grp = [*part, "busy_start"]
-    h = hot.drop("start_us", "end_us").withColumn(
-        "_chunk", F.floor(F.col("a_us") / F.lit(86_400_000_000)).cast("bigint"))
-    h = cut_lineage(h)
-    wl = Window.partitionBy(*grp).orderBy("_chunk")       # one row per chunk (bounded by days)
-    chunks = h.select(*grp, "_chunk").distinct()
-    state = cut_lineage(chunks.withColumn("_in", F.array().cast("array<bigint>")))
-    cols = h.columns + ["_in"]
-    types = dict(h.dtypes)
-    types["_in"] = "array<bigint>"
-    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", start_us bigint, _out array<bigint>"
-    run, changed = None, None
-    for _ in range(max_rounds):
-        run = cut_lineage(h.join(state, [*grp, "_chunk"], "inner")
-                          .groupBy(*grp, "_chunk").applyInPandas(_make_chunk_fold(cols, pos), schema))
-        outs = run.groupBy(*grp, "_chunk").agg(F.first("_out").alias("_out"))
-        nxt = outs.select(*grp, "_chunk", F.coalesce(F.lag("_out").over(wl), F.array().cast("array<bigint>"))
-                          .alias("_in"))
-        diff = (nxt.alias("n").join(state.alias("o"), [*grp, "_chunk"])
-                .filter(F.col("n._in") != F.col("o._in")).select(*grp).distinct())
-        changed = cut_lineage(diff)
-        if changed.limit(1).count() == 0:
-            break
-        state = cut_lineage(nxt)
-    keep = [c for c in hot.columns if c not in ("start_us", "end_us")]
-    solved = (run.join(changed, grp, "left_anti").select(*keep, "start_us")
-              .withColumn("end_us", F.col("start_us") + F.col("svc_us")))
-    fallback = hot.join(changed, grp, "left_semi")
-    return solved, fallback
-
-
 def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str = "eta",
-                svc_us: str = "svc_us", pos: str = "pos", horizon_by: list[str] | None = None,
-                hot_rows: int | None = 1_000_000) -> DataFrame:
-    """Q1: pooled k-server FIFO replay.
-
-    ``calls`` has ``part`` columns, ``eta``, ``svc_us`` (service µs) and
-    ``pos`` (list position, tie-break for equal ETAs).  ``capacity`` maps the
-    pool columns (a subset of ``part``) to ``k``; it is one row per pool, a
-    dimension bounded by the berth table.  ``horizon_by`` (default: ``part``
-    minus the pool columns) scopes the horizon; rows starting at or after it
-    are not served.  Busy periods with at least ``hot_rows`` rows are
-    replayed in parallel day chunks (``None`` disables).  Output adds
-    ``start_time``, ``end_time``, ``wait_hours``.
+                svc_us: str = "svc_us", pos: str = "pos", horizon_by: list[str] | None = None) -> DataFrame:
+    """FIFO queues of a pool's berths, taken in turn: the n-th call of a pool (order ``(eta, pos)``)
+    goes to berth ``(n - 1) mod k`` and waits there as in W4.
+
+    ``calls`` has ``part`` columns, ``eta``, ``svc_us`` (service µs) and ``pos`` (tie-break for equal
+    ETAs).  ``capacity`` maps the pool columns (a subset of ``part``) to ``k``.  ``horizon_by`` (default: ``part``
+    minus the pool columns) scopes the horizon; rows starting at or after it are not served.  Output
+    adds ``lane`` (the berth's number in the pool), ``start_time``, ``end_time``, ``wait_hours``.
     """
     pool_cols = [c for c in capacity.columns if c != "k"]
-    d = calls.join(F.broadcast(capacity), pool_cols, "inner")
-    # a busy period can only reach hot_rows when the input does (one count)
-    check_hot = bool(hot_rows) and d.count() >= hot_rows
-    d = fifo_one(d, part, eta, svc_us, pos)
-    if check_hot:
-        d = cut_lineage(d)       # read by the size check, the k = 1 rows and the folds
-    keep = d.columns
-    one = d.filter(F.col("k") <= 1)
-    many = d.filter(F.col("k") > 1)
-    solved = None
-    if check_hot:
-        # busy periods of at least hot_rows rows are replayed in parallel chunks
-        sizes = many.groupBy(*part, "busy_start").agg(F.count(F.lit(1)).alias("_n"))
-        big = cut_lineage(sizes.filter(F.col("_n") >= hot_rows).select(*part, "busy_start"))
-        if big.limit(1).count():
-            hot = many.join(F.broadcast(big), [*part, "busy_start"], "left_semi")
-            many = many.join(F.broadcast(big), [*part, "busy_start"], "left_anti")
-            solved, fallback = _split_hot_periods(hot, part, pos)
-            many = many.unionByName(fallback)
-    types = dict(d.dtypes)
-    # Bundle consecutive busy periods by the day they open: at every period
-    # boundary all k berths are idle, so one heap carried across the bundle
-    # gives exactly the per-period result with far fewer Python calls.
-    many = many.withColumn("_bundle", F.floor(F.col("busy_start") / F.lit(86_400_000_000)).cast("bigint"))
-    # secondary sort: hash-partition by the group, sort by group then (eta, pos);
-    # the grouped map keeps this order, so each group streams in arrival order
-    gkeys = [*part, "_bundle"]
-    many = many.repartition(*gkeys).sortWithinPartitions(*gkeys, "a_us", pos)
-    folded = (many.groupBy(*gkeys)
-              .applyInPandas(_make_fold([c for c in keep if c not in ("start_us", "end_us")], pos),
-                             _fold_schema([c for c in keep if c not in ("start_us", "end_us")], types)))
-    out = one.select(*keep).unionByName(folded.select(*keep))
-    if solved is not None:
-        out = out.unionByName(solved.select(*keep))
+    d = calls.join(capacity, pool_cols, "inner")
+    d = d.withColumns({"_a": to_us(eta), "_one": F.lit(1).cast("bigint")}).withColumn("_bkt", bucket_of("_a"))
+    d = running(d, part, "_bkt", ["_a", pos], "_one", "_nth", "sum")
+    d = d.withColumn("lane", (F.col("_nth") - 1) % F.greatest(F.col("k"), F.lit(1))).drop("_a", "_one", "_bkt", "_nth")
+    out = fifo_one(d, [*part, "lane"], eta, svc_us, pos)
     hb = horizon_by if horizon_by is not None else [c for c in part if c not in pool_cols]
     horizon = F.max(to_us(eta)) + F.max(svc_us) + F.lit(24 * HOUR_US)
     if hb:

@@ -17,8 +17,10 @@ from typing import Tuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from berthwise.functions.time import from_us, to_us
+from berthwise.operators.scan import bucket_of, running
 
 
 def _check_order(p: np.ndarray, last):
@@ -100,8 +102,15 @@ def admit(requests: DataFrame, key: str = "berth_id", order: str = "pos",
     wins).  Returns all requests with ``accepted``; split with a filter."""
     r = requests.withColumns({"s_us": to_us(start), "e_us": to_us(end)}).withColumnRenamed(order, "pos")
     cols = r.columns
-    schema = ", ".join(f"`{c}` {t}" for c, t in r.dtypes) + ", accepted boolean"
-    # secondary sort: each berth's requests stream in request order
-    r = r.repartition(key).sortWithinPartitions(key, "pos")
-    out = r.groupBy(key).applyInPandas(_admit_group, schema)
+    # Requests of different overlap components cannot clash, so a busy berth splits into many groups.
+    by_start = ["s_us", "e_us", "pos"]
+    c = r.withColumn("_bkt", bucket_of("s_us"))
+    c = running(c, [key], "_bkt", by_start, "e_us", "_before", "max", inclusive=False)
+    c = c.withColumn("_opens", F.coalesce((F.col("s_us") >= F.col("_before")), F.lit(True)).cast("bigint"))
+    c = running(c, [key], "_bkt", by_start, "_opens", "_component", "sum").select(*cols, "_component")
+    schema = ", ".join(f"`{c}` {t}" for c, t in c.dtypes) + ", accepted boolean"
+    # secondary sort: each component's requests stream in request order
+    group = [key, "_component"]
+    c = c.repartition(*group).sortWithinPartitions(*group, "pos")
+    out = c.groupBy(*group).applyInPandas(_admit_group, schema)
     return out.select(*cols, "accepted").withColumnRenamed("pos", order).drop("s_us", "e_us")

@@ -43,17 +43,13 @@ def enrich_plan(plans: DataFrame, calls: DataFrame, berths: DataFrame, service_u
     listing (``.orderBy('scheduled_start')``)."""
     c = calls.select(key, "name", "eta", service_us)
     b = berths.select(*berth_key, "terminal_name", "quay_length_m", "depth_m")
-    j = plans.join(c, key, "inner").join(F.broadcast(b) if _small(berths) else b, list(berth_key), "left")
+    j = plans.join(c, key, "inner").join(b, list(berth_key), "left")
     end = F.timestamp_add("MICROSECOND", F.col(service_us), F.col("scheduled_start"))
     d = F.timestamp_diff("MICROSECOND", F.col("eta"), F.col("scheduled_start"))
     return j.withColumns({"predicted_end": end,
                           "predicted_wait_hours": F.greatest(d, F.lit(0)) / F.lit(H)})
 
 
-def _small(df: DataFrame, max_rows: int = 200_000) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def berth_accuracy(plan: DataFrame, recorded: DataFrame, by: tuple[str, ...] = ("plan_id",),
                    key: str = "call_id", planned: str = "berth_id", actual: str = "recorded_berth") -> DataFrame:
     """Share of planned calls whose planned berth equals the recorded

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from berthwise.functions.time import from_us, to_us
 from berthwise.operators import cleaning as CL
 from berthwise.operators import eligibility as EL
 from berthwise.operators import intervals as IV
@@ -21,7 +23,6 @@ from berthwise.operators import scenarios as SC
 from berthwise.operators import vessels as VS
 from berthwise.plans import dispatch as DP
 from berthwise.plans import repair as RPR
-from berthwise.plans import scoring as SCO
 from berthwise.session import cut_lineage
 
 
@@ -44,15 +45,17 @@ def train_service_model(raw: DataFrame, model_path: str | None, now, production:
     return model, metrics
 
 
-def allocate(queue: DataFrame, berths: DataFrame, reservations: DataFrame, model=None,
-             n_plans: int = 1, seed: int = 42, window_days: int = 14) -> dict[str, DataFrame]:
-    """Predict service (M8) -> eligibility (J3) -> drop infeasible
-    -> greedy / sweep plans (Q2/Q3) -> best plan per run (A11) -> enrich
-    (J12) -> admit against existing reservations (Q5).
+def allocate(queue: DataFrame, berths: DataFrame, reservations: DataFrame, model=None) -> dict[str, DataFrame]:
+    """Predict service (M8) -> eligibility (J3) -> drop infeasible (F6) -> rounds of proposal and
+    admission over the whole queue -> enrich (J12).
 
-    ``queue``: typed calls with ``port_id``, ``call_id``, ``eta``; a
-    ``plan_day`` column is added when absent.  Returns the tables
-    ``plan``, ``accepted``, ``rejected``, ``infeasible``."""
+    A round proposes to each open call the earliest slot over its eligible berths (J11) and admits the
+    proposals of a berth in ``(eta, pos)`` order (Q5).  Admitted calls join the reservations; calls that lost to one
+    of them propose again; calls whose slot runs into an older reservation are rejected.  Each round settles
+    at least the first open call of every berth asked for, so the rounds end with no call open.
+
+    ``queue``: typed calls with ``port_id``, ``call_id``, ``eta``; ``reservations`` carry ``port_id``: call and
+    berth ids may repeat across ports.  Returns ``plan``, ``accepted``, ``rejected``, ``infeasible``."""
     q = queue
     if model is not None:
         q = ML.score(model, q).withColumn(
@@ -61,36 +64,50 @@ def allocate(queue: DataFrame, berths: DataFrame, reservations: DataFrame, model
         q = SC.with_service(q, None)
     if "pos" not in q.columns:
         q = q.withColumn("pos", F.col("call_id"))
-    if "plan_day" not in q.columns:
-        q = q.withColumn("plan_day", F.to_date("eta"))
     elig = cut_lineage(EL.eligible_pairs(q, berths))
     infeasible = EL.infeasible_calls(q, elig)
-    isl = IV.merge_busy(reservations).join(berths.select("berth_id", "port_id"), "berth_id", "inner")
-    plans = DP.sweep_plans(q, elig, isl, n_plans, seed, window_days=window_days) if n_plans > 1 \
-        else DP.greedy_plan(q, elig, isl, window_days=window_days).withColumn("plan_id", F.lit(0).cast("bigint"))
-    plans = cut_lineage(plans)
-    scores = SCO.score_plans(plans.join(q.select("call_id", "eta"), "call_id"),
-                             by=("port_id", "plan_day", "plan_id"))
-    best = SCO.best_plan(scores, by=("port_id", "plan_day")).select("port_id", "plan_day", "plan_id")
-    plan = plans.join(best, ["port_id", "plan_day", "plan_id"], "left_semi")
-    enriched = SCO.enrich_plan(plan.select("plan_id", "call_id", "berth_id", "scheduled_start"),
-                               q.select("call_id", "name", "eta", "svc_us"), berths)
-    req = enriched.select(
-        "call_id", "berth_id", F.col("scheduled_start").alias("start_time"),
-        F.col("predicted_end").alias("end_time"), F.lit(1).alias("_new"),
-        F.col("call_id").alias("pos"))
-    existing = reservations.select("call_id", "berth_id", "start_time", "end_time",
-                                   F.lit(0).alias("_new"), F.lit(-1).cast("bigint").alias("pos"))
-    adm = RPR.admit(existing.unionByName(req).withColumn("pos", F.col("_new") * F.lit(1 << 40) + F.col("pos")))
-    new = adm.filter(F.col("_new") == 1).drop("_new")
-    return {"plan": enriched, "accepted": new.filter("accepted"), "rejected": new.filter(~F.col("accepted")),
+    slot = ["_berth", "call_id", "start_time", "end_time"]
+    taken = cut_lineage(reservations.withColumn("_berth", DP.berth_key()).select(*slot))
+    open_ = cut_lineage(q.join(elig.select("port_id", "call_id").distinct(), ["port_id", "call_id"], "left_semi")
+                        .select("port_id", "call_id", "eta", "svc_us", "pos"))
+    done = None
+    while open_.limit(1).count():
+        best = DP.earliest_slot(elig, open_, IV.merge_busy(taken, key="_berth"), key="_berth")
+        asked = best.join(open_, ["port_id", "call_id"]).withColumns({
+            "_berth": DP.berth_key(), "start_time": F.col("scheduled_start"),
+            "end_time": from_us(to_us("scheduled_start") + F.col("svc_us"))})
+        asked = cut_lineage(_against(asked, taken))
+        free = asked.filter("available")
+        order = F.row_number().over(Window.partitionBy("_berth").orderBy("eta", "pos", "call_id"))
+        settled = cut_lineage(RPR.admit(free.withColumn("_order", order.cast("bigint")).drop("pos"), key="_berth", order="_order"))
+        won = settled.filter("accepted")
+        out = ["port_id", "call_id", "berth_id", "scheduled_start", "accepted"]
+        this = won.select(*out).unionByName(asked.filter(~F.col("available")).withColumn("accepted", F.lit(False)).select(*out))
+        done = cut_lineage(this if done is None else done.unionByName(this))
+        taken = cut_lineage(taken.unionByName(won.select(*slot)))
+        open_ = cut_lineage(open_.join(this.select("port_id", "call_id"), ["port_id", "call_id"], "left_anti"))
+    if done is None:
+        done = open_.select("port_id", "call_id", F.lit(None).cast("string").alias("berth_id"),
+                            F.lit(None).cast("timestamp_ntz").alias("scheduled_start"), F.lit(False).alias("accepted"))
+    names = [c for c in ("name", "eta", "svc_us") if c in q.columns]
+    terminal = berths.select("port_id", "berth_id", "terminal_name")
+    plan = (done.join(q.select("port_id", "call_id", *names), ["port_id", "call_id"])
+            .join(terminal, ["port_id", "berth_id"], "left")
+            .withColumn("predicted_end", from_us(to_us("scheduled_start") + F.col("svc_us"))))
+    return {"plan": plan, "accepted": plan.filter("accepted"), "rejected": plan.filter(~F.col("accepted")),
             "infeasible": infeasible}
 
 
+def _against(asked: DataFrame, taken: DataFrame) -> DataFrame:
+    """J9 for proposals of calls known by port and id."""
+    a = asked.withColumn("_id", F.to_json(F.struct("port_id", "call_id")))
+    return IV.is_available(taken, a, key="_berth", pid="_id", p_start="start_time", p_end="end_time").drop("_id")
+
+
 def compare_scenarios(calls: DataFrame, capacity: DataFrame, closure_start, pool_cols=("pool",),
                       list_by: list[str] | None = None) -> dict[str, DataFrame]:
-    """C4: seven what-if inputs (U1) -> one pooled FIFO replay over all of
-    them (Q1) -> scenario KPIs (A6) -> comparison table (A5).
+    """C4: seven what-if inputs (U1) -> queues at the pools' berths, taken in turn (W4), over all
+    of them -> scenario KPIs (A6) -> comparison table (A5).
 
     ``capacity``: (scenario, pool..., k).  The scenario union feeds several
     branches of the replay plan, so it is checkpointed once."""

@@ -54,12 +54,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="berthwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for sessions started outside its folder (with
+    spark-submit, ``--py-files`` does the same)."""
+    import os
+    import shutil
+    import berthwise
+    home = os.path.dirname(os.path.dirname(os.path.abspath(berthwise.__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="berthwise-"), "berthwise"), "zip", home, "berthwise")
+    spark.sparkContext.addPyFile(archive)
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
     """Materialise ``df`` reliably (survives executor loss) and drop its lineage."""
     spark = spark or df.sparkSession

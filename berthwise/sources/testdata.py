@@ -11,8 +11,6 @@ decimal expansions on both engines.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,26 +20,9 @@ P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 N_PORTS = 5
 
 
-MIN_SPLIT_BYTES = 1 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one benchmark table.
-
-    A parquet file with a single row group scans as one task whatever its
-    size.  When such a file is sizable and yields fewer scan partitions than
-    the cluster's parallelism, spread it round-robin once; on a real data set
-    (many files / row groups) the scan is already wide and this is a no-op."""
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    par = spark.sparkContext.defaultParallelism
-    try:
-        size = os.path.getsize(path) if os.path.isfile(path) else 0
-    except OSError:
-        size = 0
-    if size >= MIN_SPLIT_BYTES and df.rdd.getNumPartitions() < par:
-        df = df.repartition(par)
-    return df
+    """Read one benchmark table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _hours(n: Column, ts: Column) -> Column:

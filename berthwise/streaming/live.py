@@ -40,13 +40,15 @@ def ais_calls_stream(raw: DataFrame, now) -> tuple[DataFrame, DataFrame]:
 
 def start_ais_ingest(raw: DataFrame, now, ok_path: str, reject_path: str, checkpoint: str,
                      trigger: dict | None = None):
-    """X1 sink: each micro-batch writes accepted calls and rejects to two
-    tables (``foreachBatch``); the checkpoint makes restarts exactly-once per
-    batch id."""
+    """X1 sink: each micro-batch writes accepted calls and rejects to two tables (``foreachBatch``), under
+    ``batch_id=<id>``: a batch that is tried again replaces what its first try wrote."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        ok, bad = ais_to_calls(batch, now)
-        ok.write.mode("append").parquet(ok_path)
-        bad.write.mode("append").parquet(reject_path)
+        batch = batch.persist()
+        try:
+            for part, path in zip(ais_to_calls(batch, now), (ok_path, reject_path)):
+                part.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -88,12 +90,13 @@ def replan_triggers(updates: DataFrame, plan: DataFrame, threshold_hours: float
 
 def congestion_alerts(reports: DataFrame, watermark: str = "2 hours", threshold: int = S.CONGESTION_ALERT_VESSELS,
                       port: str = "port_id", call: str = "name", ts: str = "received_at",
-                      window: str = "1 hour") -> DataFrame:
+                      window: str = "1 hour", waiting=None) -> DataFrame:
     """Per port and tumbling hour, the number of distinct calls reporting
-    as waiting; hours above ``threshold`` are alerts.  A call is counted once
+    as waiting (``waiting``: the predicate on a report; default: every report given); hours above ``threshold`` are alerts.  A call is counted once
     per hour (dedup within the watermark); ``append`` mode emits an hour once
     the watermark has passed its end, and rows later than the watermark are
     dropped."""
+    reports = reports if waiting is None else reports.filter(waiting)
     w = _event_time(reports, ts).withWatermark(ts, watermark)
     # plain key for the per-hour dedup (the window struct would be a second event-time column)
     w = w.withColumn("_hour_key", F.window(ts, window).start.cast("long"))

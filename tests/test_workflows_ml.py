@@ -1,7 +1,5 @@
 """Composed pipelines (C3, C4, C5, C6) and the Spark ML service-time model."""
 
-import heapq
-import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -9,12 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from berthwise import schema as S
-from berthwise.operators import berths as BR
 from berthwise.operators import ml as ML
 from berthwise.operators import scenarios as SC
 from berthwise.plans import workflows as WF
-from berthwise.sources.io import read_port_doc
-from tests.conftest import PORT_DOC
 
 T0 = datetime(2024, 6, 1, 6)
 H = 3_600_000_000
@@ -29,20 +24,17 @@ def _ref_scenarios(calls, pools, offline, closure):
     lst = sorted(calls, key=lambda c: (c[2], c[1]))
 
     def replay(rows, caps):
-        # rows: (pool, order_key, eta, svc); FIFO per pool with k servers
+        # rows: (pool, order_key, eta, svc); FIFO per pool, its k berths in turn
         if not rows:
             return []
         hz = max(r[2] for r in rows) + timedelta(microseconds=max(r[3] for r in rows)) + timedelta(hours=24)
         out = []
         for p, k in caps.items():
-            heap = []
-            for _, _, eta, svc in sorted([r for r in rows if r[0] == p], key=lambda r: (r[2], r[1])):
-                if len(heap) < k:
-                    st = eta
-                    heapq.heappush(heap, st + timedelta(microseconds=svc))
-                else:
-                    st = max(eta, heap[0])
-                    heapq.heapreplace(heap, st + timedelta(microseconds=svc))
+            lanes = [None] * k
+            for n, (_, _, eta, svc) in enumerate(sorted([r for r in rows if r[0] == p], key=lambda r: (r[2], r[1]))):
+                free = lanes[n % k]
+                st = eta if free is None else max(eta, free)
+                lanes[n % k] = st + timedelta(microseconds=svc)
                 if st < hz:
                     out.append((st, eta, svc))
         return out
@@ -120,42 +112,54 @@ DEMO = [
 
 
 
-def _port_id(berths):
-    """The document's single port key (test-side lookup)."""
-    return berths.select("port_id").first()[0]
-
-
-@pytest.fixture(scope="module")
-def port(spark):
-    if not os.path.exists(PORT_DOC):
-        pytest.skip("port document not available")
-    return BR.build_berths(read_port_doc(spark, PORT_DOC)).cache()
-
-
-def test_allocate_demo(spark, port):
-    rows = [(_port_id(port), i, n, t, 20000, ln, dr, im, ex, 0.0, 0.0, 2, 6, 5, T0 + timedelta(hours=h), False)
-            for i, (n, t, ln, dr, im, ex, h) in enumerate(DEMO)]
-    q = spark.createDataFrame(rows, S.CALL_SCHEMA).withColumn("svc_us", F.lit(20 * H))
-    q = q.withColumn("plan_day", F.lit(T0.date()))
-    busy = spark.createDataFrame([(100, "TAKEN", "70", T0, T0 + timedelta(hours=30))],
-                                 "call_id long, vessel_name string, berth_id string, start_time timestamp_ntz, "
-                                 "end_time timestamp_ntz")
-    out = WF.allocate(q, port, busy, n_plans=3)
-    plan = out["plan"].collect()
-    assert {r.call_id for r in out["infeasible"].collect()} == {8}
-    assert len(plan) == 8
-    by_call = {r.call_id: r for r in plan}
-    for r in plan:
-        assert r.scheduled_start >= r.eta
-    # berth 70 is reserved for 30 h: the first container ship takes 71 at its ETA
-    assert by_call[0].berth_id != "70" and by_call[0].scheduled_start == T0
-    # no two accepted slots overlap on a berth, and none overlaps the reservation
-    acc = out["accepted"].collect()
-    assert len(acc) == 8 and out["rejected"].count() == 0
-    slots = [(r.berth_id, r.start_time, r.end_time) for r in acc] + [("70", T0, T0 + timedelta(hours=30))]
-    for i, a in enumerate(slots):
-        for b in slots[i + 1:]:
-            assert not (a[0] == b[0] and a[1] < b[2] and a[2] > b[1])
+def _queue(spark, calls):
+    """calls: (port, call, eta hours, service hours)."""
+    rows = [(p, i, f"V{i}", "VRAQUIER", 20000, 100.0, 5.0, "Coal", "", 0.0, 0.0, 2, 6, 5, T0 + timedelta(hours=h), False) for p, i, h, _ in calls]
+    svc = spark.createDataFrame([(p, i, s * H) for p, i, _, s in calls], "port_id string, call_id long, svc_us long")
+    return spark.createDataFrame(rows, S.CALL_SCHEMA).join(svc, ["port_id", "call_id"])
+
+
+def _berths(spark, ids):
+    return spark.createDataFrame([(p, b, f"T{p}", k, 500.0, 20.0, ["Coal"], [], "OP") for k, (p, b) in enumerate(ids)],
+                                 "port_id string, berth_id string, terminal_name string, ordinal int, quay_length_m double, "
+                                 "depth_m double, allowed_cargos array<string>, allowed_types array<string>, operator string")
+
+
+RES = "port_id string, call_id long, vessel_name string, berth_id string, start_time timestamp_ntz, end_time timestamp_ntz"
+
+
+def test_allocate_does_not_double_book_across_days(spark):
+    q = _queue(spark, [("P1", 1, 4, 30), ("P1", 2, 26, 5), ("P1", 3, 27, 5)])
+    out = WF.allocate(q, _berths(spark, [("P1", "A")]), spark.createDataFrame([], RES))
+    got = {r.call_id: (r.scheduled_start, r.predicted_end, r.accepted) for r in out["plan"].collect()}
+    assert got[1] == (T0 + timedelta(hours=4), T0 + timedelta(hours=34), True)
+    assert got[2][0] == T0 + timedelta(hours=34) and got[3][0] == T0 + timedelta(hours=39) and all(r[2] for r in got.values())
+
+
+def test_allocate_keeps_ports_apart(spark):
+    q = _queue(spark, [("P1", 1, 0, 5), ("P2", 1, 0, 5)])
+    res = spark.createDataFrame([("P1", 9, "X", "A", T0, T0 + timedelta(hours=8))], RES)
+    out = WF.allocate(q, _berths(spark, [("P1", "A"), ("P2", "A")]), res)
+    got = {(r.port_id, r.call_id): r.scheduled_start for r in out["plan"].collect()}
+    assert got == {("P1", 1): T0 + timedelta(hours=8), ("P2", 1): T0} and out["rejected"].count() == 0
+    assert {r.terminal_name for r in out["plan"].collect()} == {"TP1", "TP2"}
+
+
+def test_allocate_rejects_what_runs_into_a_reservation(spark):
+    res = spark.createDataFrame([("P1", 9, "X", "A", T0 + timedelta(hours=3), T0 + timedelta(hours=8))], RES)
+    out = WF.allocate(_queue(spark, [("P1", 1, 0, 5)]), _berths(spark, [("P1", "A")]), res)
+    assert out["accepted"].count() == 0 and out["rejected"].count() == 1
+    none = WF.allocate(_queue(spark, [("P1", 1, 0, 5)]).limit(0), _berths(spark, [("P1", "A")]), res)
+    assert none["plan"].count() == 0
+
+
+def test_release_frees_the_last_berth_only(spark):
+    from berthwise.operators import intervals as IV
+    res = spark.createDataFrame([("P1", 1, "X", "A", T0, T0 + timedelta(hours=1)), ("P1", 1, "X", "B", T0 + timedelta(hours=2), T0 + timedelta(hours=3)),
+                                 ("P2", 1, "Y", "B", T0, T0 + timedelta(hours=9))], RES)
+    gone = spark.createDataFrame([("P1", 1), ("P1", 7)], "port_id string, call_id long")
+    left = IV.release(res, gone, port="port_id")
+    assert sorted((r.port_id, r.berth_id) for r in left.collect()) == [("P1", "A"), ("P2", "B")]
 
 
 def test_kpi_report_and_board(spark):
