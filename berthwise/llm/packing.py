@@ -86,11 +86,16 @@ class WordTokenizer:
         rest = []
         find, parts, young = self.split.findall, self.parts, self.young
         for w in words:
-            text = w.decode("utf-8").lower()
-            if not _PLAIN(text) or ("<" in text and any(t in text for t in self.special)):
-                rest.append(w)
-                continue
-            found = find(text)
+            if w.isalpha():                             # ASCII letters: one part
+                found = (w.lower().decode(),)
+            elif w[:-1].isalpha() and 32 < w[-1] < 127:  # and one more for a sign or digit behind them
+                found = (w[:-1].lower().decode(), chr(w[-1]))
+            else:
+                text = w.decode("utf-8").lower()
+                if not _PLAIN(text) or ("<" in text and any(t in text for t in self.special)):
+                    rest.append(w)
+                    continue
+                found = find(text)
             try:
                 young[w] = b"".join([parts[p] for p in found])
             except KeyError:
