@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from berthwise.llm.common import saved
 
-WINDOW, GRAM, HOT, SALTS, SHARD_WORDS = 20, 6, 2000, 16, 50_000
+WINDOW, GRAM, HOT, SALTS, SHARD_WORDS = 20, 6, 2000, 64, 50_000
 _H, _START, _N = 24, 28, 12                                   # bits of a packed place: text hash, start, windows
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
@@ -357,7 +357,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     cut = (texts.join(runs, "key")
            .select(F.col("key.doc_id").cast("string").alias("doc_id"), F.col("key.h").alias("h"), "text", "runs")
            .mapInPandas(_cut(window), _CUT))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0)
+    # By place, not by document: a text of one word repeats one window all along.
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts))).otherwise(0)
     order = ["route", "words", "doc_id", "start"]
 
     def dealt(rows: DataFrame, by: list[str], last: bool) -> DataFrame:
