@@ -1,11 +1,10 @@
 """Plan repair (Q4) and reservation admission (Q5).
 
-Both are first-come-wins folds over one berth's rows, so they run as
-``groupBy(...).applyInPandas`` with the berth in the group key: rows on
-different berths never interact, and different plans never interact, so
-``(plan, berth)`` groups run fully in parallel.  Each group streams through
-the fold in row order (secondary sort + iterator form), so a busy berth is
-never materialised as one pandas frame; the order is verified per batch.
+Both are first-come-wins folds over one berth's rows: rows on different berths
+never interact, and different plans never interact.  Repair runs per ``(plan,
+berth)`` group, admission per overlap component of a berth.  Each group streams
+through the fold in row order (secondary sort), so a busy berth is never
+materialised as one pandas frame.
 """
 
 from __future__ import annotations
@@ -16,8 +15,10 @@ from typing import Tuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from berthwise.functions.time import from_us, to_us
 from berthwise.operators.scan import bucket_of, running
@@ -75,42 +76,47 @@ def repair_plans(plans: DataFrame, by: tuple[str, ...] = ("plan_id", "berth_id")
     return out.withColumns({"scheduled_start": from_us("start_us"), "predicted_end": from_us("end_us")})
 
 
-def _admit_group(key: Tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    s_list: list[int] = []      # accepted starts (sorted); accepted slots never overlap
-    e_list: list[int] = []
-    last = None
-    for pdf in batches:
-        last = _check_order(pdf["pos"].to_numpy(np.int64), last)
-        ok = np.zeros(len(pdf), dtype=bool)
-        for i, r in enumerate(pdf.itertuples(index=False)):
-            s, e = int(r.s_us), int(r.e_us)
-            j = bisect.bisect_left(s_list, e)           # accepted slots starting before e
-            clash = j > 0 and e_list[j - 1] > s         # the latest of them ends after s?
-            if not clash:
-                s_list.insert(j, s)
-                e_list.insert(j, e)
-                ok[i] = True
-        out = pdf.copy()
-        out["accepted"] = ok
-        yield out
+def _admit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First come wins over rows sorted by ``_group``; only the accepted slots of the group at hand are kept."""
+    group = None
+    starts: list[int] = []      # accepted slots never overlap, so starts and ends are both sorted
+    ends: list[int] = []
+    for batch in batches:
+        ok = []
+        for g, s, e in zip(*(batch.column(c).to_pylist() for c in ("_group", "_s", "_e"))):
+            if g != group:
+                group, starts, ends = g, [], []
+            free = s is not None
+            if free:
+                j = bisect.bisect_left(starts, e)           # accepted slots starting before e
+                free = j == 0 or ends[j - 1] <= s           # the latest of them ends by s
+                if free:
+                    starts.insert(j, s)
+                    ends.insert(j, e)
+            ok.append(free)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())],
+                                         names=[*batch.schema.names, "accepted"])
 
 
 def admit(requests: DataFrame, key: str = "berth_id", order: str = "pos",
           start: str = "start_time", end: str = "end_time") -> DataFrame:
     """Q5: apply assignment requests per berth in ``order``; a request that
     overlaps an already accepted slot on the berth is rejected (first come
-    wins).  Returns all requests with ``accepted``; split with a filter."""
-    r = requests.withColumns({"s_us": to_us(start), "e_us": to_us(end)}).withColumnRenamed(order, "pos")
-    cols = r.columns
-    # Requests of different overlap components cannot clash, so a busy berth splits into many groups.
-    by_start = ["s_us", "e_us", "pos"]
-    c = r.withColumn("_bkt", bucket_of("s_us"))
-    c = running(c, [key], "_bkt", by_start, "e_us", "_before", "max", inclusive=False)
-    c = c.withColumn("_opens", F.coalesce((F.col("s_us") >= F.col("_before")), F.lit(True)).cast("bigint"))
-    c = running(c, [key], "_bkt", by_start, "_opens", "_component", "sum").select(*cols, "_component")
-    schema = ", ".join(f"`{c}` {t}" for c, t in c.dtypes) + ", accepted boolean"
-    # secondary sort: each component's requests stream in request order
-    group = [key, "_component"]
-    c = c.repartition(*group).sortWithinPartitions(*group, "pos")
-    out = c.groupBy(*group).applyInPandas(_admit_group, schema)
-    return out.select(*cols, "accepted").withColumnRenamed("pos", order).drop("s_us", "e_us")
+    wins), and so is one without a window or whose end is before its start.  Returns all requests with
+    ``accepted``; split with a filter.
+
+    Requests of different overlap components cannot clash, so a busy berth splits into many groups.  Groups are
+    many and mostly small: they stream through the sorted partitions instead of one Python call each."""
+    s, e = to_us(start), to_us(end)
+    good = s.isNotNull() & e.isNotNull() & (s <= e)
+    r = requests.withColumns({"_berth_key": F.to_json(F.struct(key)), "_s": F.when(good, s), "_e": F.when(good, e),
+                              "_at": F.when(good, s).otherwise(F.lit(0))})
+    by_start = ["_at", "_e", order]
+    r = r.withColumn("_bkt", bucket_of("_at"))
+    r = running(r, ["_berth_key"], "_bkt", by_start, "_e", "_before", "max", inclusive=False)
+    r = r.withColumn("_opens", F.coalesce(F.col("_at") >= F.col("_before"), F.lit(True)).cast("bigint"))
+    r = running(r, ["_berth_key"], "_bkt", by_start, "_opens", "_component", "sum")
+    r = r.select(*requests.columns, "_s", "_e", F.to_json(F.struct("_berth_key", "_component")).alias("_group"))
+    schema = T.StructType([*r.schema.fields, T.StructField("accepted", T.BooleanType())])
+    r = r.repartition("_group").sortWithinPartitions("_group", order)
+    return r.mapInArrow(_admit_rows, schema).select(*requests.columns, "accepted")
