@@ -722,10 +722,7 @@ def q_time_split(spark, d):
 
 
 def _ml_frame(spark, d):
-    c = _clean(spark, d)
-    t = VS.to_calls(c, NOW).drop("arrival_month", "arrival_dow")
-    return t.join(c.select("call_id", S.SERVICE_HOURS, S.ARRIVAL_DT, S.ARRIVAL_MONTH, S.ARRIVAL_DOW), "call_id") \
-            .withColumnRenamed(S.ARRIVAL_MONTH, "arrival_month").withColumnRenamed(S.ARRIVAL_DOW, "arrival_dow")
+    return VS.to_calls(_clean(spark, d), NOW, keep=(S.SERVICE_HOURS, S.ARRIVAL_DT))
 
 
 @_register("service_model_metrics")
@@ -807,6 +804,194 @@ def q_maintenance_attribution(spark, d):
     return _out(EL.attribute_terminal(elig))
 
 
+# ---------------------------------------------------------------------------
+# Sources, berth documents, timeline edits and reports
+# ---------------------------------------------------------------------------
+from berthwise.operators import berths as BD  # noqa: E402
+from berthwise.sources.io import read_calls, write_table  # noqa: E402
+
+
+@_register("csv_round_trip", """
+SELECT berth_id, CAST(count(*) AS BIGINT) AS n_calls, round(sum(waiting_time_hours), 6) AS wait_hours,
+  round(sum(service_time_hours), 6) AS service_hours FROM v_clean GROUP BY berth_id""")
+def q_csv_round_trip(spark, d):
+    import uuid
+    from berthwise.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark)}/calls-{uuid.uuid4().hex}"
+    write_table(td.calls_raw(spark, d), path, fmt="csv")
+    c = CL.clean_calls(read_calls(spark, path))
+    return _out(c.groupBy(F.col(S.BERTH_ID).alias("berth_id")).agg(
+        F.count("*").alias("n_calls"), F.sum(S.WAITING_HOURS).alias("wait_hours"),
+        F.sum(S.SERVICE_HOURS).alias("service_hours")))
+
+
+_DOC_SQL = """
+SELECT 'D' || (s_suppkey // 40) AS port_id, CAST(1000 + s_suppkey AS VARCHAR) AS berth_id, s_suppkey % 40 AS ordinal,
+  s_suppkey % 40 // 8 AS t, s_suppkey % 8 = 7 AS loose FROM supplier"""
+
+
+@_register("berths_of_documents", f"""
+WITH p AS ({_DOC_SQL})
+SELECT port_id, berth_id, CAST(row_number() OVER (PARTITION BY port_id ORDER BY ordinal) - 1 AS BIGINT) AS ordinal,
+  CASE WHEN loose THEN 'UNKNOWN' ELSE 'T' || t END AS terminal_name,
+  CAST(CASE WHEN loose THEN 0 ELSE 200 + t END AS DOUBLE) AS quay_length_m,
+  CAST(CASE WHEN loose THEN 0 ELSE 9 + t END AS DOUBLE) AS depth_m,
+  CASE WHEN loose OR t % 2 = 0 THEN 'UNKNOWN' ELSE 'OP' || t END AS operator
+FROM p""")
+def q_berths_of_documents(spark, d):
+    # A port document for each 40 suppliers; every eighth berth belongs to no terminal.
+    k = F.col("s_suppkey")
+    s = td.table(spark, d, "supplier").select(
+        F.concat(F.lit("D"), F.floor(k / 40).cast("string")).alias("port_id"), (k % 40).alias("ordinal"),
+        (1000 + k).cast("string").alias("berth_id"), F.floor(k % 40 / 8).alias("t"), (k % 8 == 7).alias("loose"))
+    text = F.col("t").cast("string")
+    specs = F.create_map(F.lit("quay_length_m"), (200 + F.col("t")).cast("string"), F.lit("depth_m"),
+                         F.concat((9 + F.col("t")).cast("string"), F.lit(" to "), (12 + F.col("t")).cast("string")))
+    listed = F.sort_array(F.collect_list(F.when(~F.col("loose"), F.concat(F.lit(" "), F.col("berth_id")))))
+    terms = s.groupBy("port_id", "t").agg(listed.alias("berths")).select(
+        "port_id", F.struct(
+            F.concat(F.lit("T"), text).alias("name"), F.lit("quay").alias("type"),
+            F.when(F.col("t") % 2 == 1, F.concat(F.lit("OP"), text)).otherwise("").alias("operator"),
+            specs.alias("specifications"), "berths").alias("term"))
+    terms = terms.groupBy("port_id").agg(F.collect_list("term").alias("terminals"))
+    detail = F.struct(F.array(F.lit("Coal")).alias("cargo_types"), F.array(F.lit("VRAQUIER")).alias("vessel_types"),
+                      F.lit("").alias("notes"))
+    entries = s.groupBy("port_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "berth_id"))).alias("e")).select(
+        "port_id", F.map_from_entries(F.transform("e", lambda x: F.struct(x["berth_id"], detail))).alias("berths_details"))
+    b = BD.build_berths(terms.join(entries, "port_id"))
+    return _out(b.select("port_id", "berth_id", "ordinal", "terminal_name", "quay_length_m", "depth_m", "operator"))
+
+
+@_register("remaining_queue", """
+SELECT CAST(plan_id AS BIGINT) AS plan_id, CAST(call_id AS BIGINT) AS call_id FROM v_plans WHERE call_id % 6 = 0""")
+def q_remaining_queue(spark, d):
+    p = td.plans(spark, d).select("plan_id", "call_id")
+    done = td.actual_berthing(spark, d).join(p, "call_id")
+    return _out(EL.remaining_queue(p, done, ("plan_id", "call_id")))
+
+
+@_register("berth_accuracy", """
+SELECT CAST(plan_id AS BIGINT) AS plan_id, CAST(count(*) AS BIGINT) AS matched,
+  round(avg(CASE WHEN call_id % 4 = 1 THEN 0.0 ELSE 1.0 END), 6) AS berth_accuracy
+FROM v_plans WHERE call_id % 5 <> 0 GROUP BY plan_id""")
+def q_berth_accuracy(spark, d):
+    p = td.plans(spark, d)
+    seen = p.filter("call_id % 5 <> 0").select(
+        "call_id", F.when(F.col("call_id") % 4 == 1, F.lit("none")).otherwise(F.col("berth_id")).alias("recorded_berth"))
+    return _out(SCO.berth_accuracy(p, seen))
+
+
+@_register("service_lookup", """
+SELECT CAST(call_id AS BIGINT) AS call_id, CASE WHEN call_id % 4 = 0 THEN 12.0 ELSE call_id % 40 / 2.0 END AS service_hours
+FROM v_queue""")
+def q_service_lookup(spark, d):
+    q = td.queue(spark, d).drop("svc_us")
+    known = q.filter("call_id % 4 <> 0").select("call_id", (F.col("call_id") % 40 / 2.0).alias("service_hours"))
+    return _out(SC.with_service(q, known).select("call_id", (F.col("svc_us") / 3.6e9).alias("service_hours")))
+
+
+@_register("wi_priority", """
+SELECT CAST(call_id AS BIGINT) AS call_id,
+  CASE WHEN row_number() OVER (ORDER BY eta, call_id) = 1 THEN -4611686018427387904 ELSE CAST(call_id AS BIGINT) END AS pos
+FROM v_queue""")
+def q_wi_priority(spark, d):
+    return _out(SC.wi_priority(_queue(spark, d)).select("call_id", "pos"))
+
+
+@_register("release", """
+SELECT CAST(call_id AS BIGINT) AS call_id, vessel_name, berth_id FROM (
+  SELECT *, rank() OVER (PARTITION BY vessel_name ORDER BY start_time DESC, berth_id DESC) AS r,
+    CAST(substr(vessel_name, 2) AS BIGINT) % 3 = 0 AS gone FROM v_res) x
+WHERE NOT (gone AND r = 1)""")
+def q_release(spark, d):
+    res = td.reservations(spark, d)
+    gone = res.filter(F.substring("vessel_name", 2, 20).cast("bigint") % 3 == 0).select("vessel_name")
+    return _out(IV.release(res, gone, key="vessel_name").select("call_id", "vessel_name", "berth_id"))
+
+
+@_register("split_at", """
+SELECT berth_id, CAST(count_if(end_time <= TIMESTAMP '1995-06-01 00:00:00') AS BIGINT) AS completed,
+  CAST(count_if(end_time > TIMESTAMP '1995-06-01 00:00:00') AS BIGINT) AS active FROM v_res GROUP BY berth_id""")
+def q_split_at(spark, d):
+    done, active = IV.split_at(td.reservations(spark, d), "1995-06-01 00:00:00")
+    both = done.withColumn("done", F.lit(True)).unionByName(active.withColumn("done", F.lit(False)))
+    return _out(both.groupBy("berth_id").agg(F.count_if("done").alias("completed"), F.count_if(~F.col("done")).alias("active")))
+
+
+@_register("take_offline", """
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT call_id AS window_id, berth_id, epoch_us(prop_start) AS s, epoch_us(prop_end) AS e FROM v_proposals p
+  WHERE NOT EXISTS (SELECT 1 FROM v_res r WHERE r.berth_id = p.berth_id
+                    AND r.start_time < p.prop_end AND r.end_time > p.prop_start)),
+q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY berth_id ORDER BY window_id) AS n FROM w),
+r AS (
+  SELECT berth_id, n, window_id, true AS acc, [[s, e]] AS slots FROM q WHERE n = 1
+  UNION ALL
+  SELECT q.berth_id, q.n, q.window_id, len(list_filter(r.slots, lambda x: x[1] < q.e AND x[2] > q.s)) = 0,
+    CASE WHEN len(list_filter(r.slots, lambda x: x[1] < q.e AND x[2] > q.s)) = 0
+         THEN list_append(r.slots, [q.s, q.e]) ELSE r.slots END
+  FROM r JOIN q ON q.berth_id = r.berth_id AND q.n = r.n + 1)
+SELECT CAST(p.call_id AS BIGINT) AS window_id, p.berth_id, coalesce(r.acc, false) AS accepted
+FROM v_proposals p LEFT JOIN r ON r.window_id = p.call_id""")
+def q_take_offline(spark, d):
+    w = td.proposals(spark, d).select(F.col("call_id").alias("window_id"), "berth_id",
+                                      F.col("prop_start").alias("start_time"), F.col("prop_end").alias("end_time"))
+    _, judged = RPR.take_offline(td.reservations(spark, d), w)
+    return _out(judged.select("window_id", "berth_id", "accepted"))
+
+
+@_register("regression_metrics", """
+SELECT round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae,
+  round(1.0 - sum(e * e) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2, CAST(count(*) AS BIGINT) AS n_test
+FROM (SELECT service_time_hours AS y, service_time_hours - waiting_time_hours AS e FROM v_clean) x""")
+def q_regression_metrics(spark, d):
+    c = _clean(spark, d).withColumn("prediction", F.col(S.WAITING_HOURS))
+    return _out(ML.regression_metrics(c))
+
+
+@_register("one_hot", """
+SELECT CAST(call_id AS BIGINT) AS call_id, CAST(vessel_type = 'CARGO_GENERAL' AS BIGINT) AS "vtype_CARGO_GENERAL",
+  CAST(vessel_type = 'PORTE_CONTENEUR' AS BIGINT) AS "vtype_PORTE_CONTENEUR",
+  CAST(vessel_type = 'ROULIER' AS BIGINT) AS "vtype_ROULIER", CAST(vessel_type = 'VRAQUIER' AS BIGINT) AS "vtype_VRAQUIER"
+FROM v_typed""")
+def q_one_hot(spark, d):
+    return _out(ML.one_hot_wide(_typed(spark, d), "vessel_type", "vtype"))
+
+
+@_register("kpi_report", """
+WITH k AS (
+  SELECT plan_id, count(*) AS n, avg(wait_us) / 3600000000.0 AS a, max(wait_us) / 3600000000.0 AS mx,
+    min(wait_us) / 3600000000.0 AS mn, count_if(wait_us < 360000000) AS dn, sum(service_us) / 3600000000.0 AS sv
+  FROM v_pw GROUP BY plan_id),
+l AS (
+  SELECT plan_id, 'total_vessels' AS metric, CAST(n AS DOUBLE) AS value FROM k
+  UNION ALL SELECT plan_id, 'direct_berth_count', dn FROM k
+  UNION ALL SELECT plan_id, 'avg_wait_hours', round(a, 2) FROM k
+  UNION ALL SELECT plan_id, 'max_wait_hours', round(mx, 2) FROM k
+  UNION ALL SELECT plan_id, 'min_wait_hours', round(mn, 2) FROM k
+  UNION ALL SELECT plan_id, 'direct_berth_rate_pct', round(dn / n * 100, 1) FROM k
+  UNION ALL SELECT plan_id, 'total_service_hours', round(sv, 1) FROM k)
+SELECT 'schedule' AS section, CAST(plan_id AS VARCHAR) AS key, metric, round(value, 6) AS value FROM l""")
+def q_kpi_report(spark, d):
+    from berthwise.plans import workflows as WF
+    return _out(WF.kpi_report(td.plans(spark, d)).withColumn("value", F.col("value").cast("double")))
+
+
+@_register("port_board", f"""
+SELECT {_ts('t')} AS t, CAST(count(r.berth_id) AS BIGINT) AS occupied,
+  coalesce(array_to_string(list_sort(list(r.berth_id)), ','), '') AS occupied_berths
+FROM (SELECT TIMESTAMP '1995-06-01 12:00:00' AS t) i
+LEFT JOIN (SELECT DISTINCT berth_id FROM v_res
+           WHERE start_time <= TIMESTAMP '1995-06-01 12:00:00' AND TIMESTAMP '1995-06-01 12:00:00' < end_time) r ON true
+GROUP BY t""")
+def q_port_board(spark, d):
+    from berthwise.plans import workflows as WF
+    res = td.reservations(spark, d)
+    board = WF.port_board(res, _typed(spark, d), res.select("berth_id").distinct(), "1995-06-01 12:00:00")
+    return _out(board["snapshot"].select("t", F.col("occupied_count").alias("occupied"),
+                                         F.array_join("occupied_berths", ",").alias("occupied_berths")))
+
+
 # ---------------------------------------------------------------------------
 # M6 — live feed (batch twins of the streams)
 # ---------------------------------------------------------------------------

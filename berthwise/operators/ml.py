@@ -6,16 +6,18 @@ the driver except the fitted model and a one-row metrics frame.
 
 from __future__ import annotations
 
-import os
+import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from berthwise import schema as S
+from berthwise.functions.time import MINUTE_US, to_us
+from berthwise.operators.scan import DAY_US, bucket_of
 from berthwise.session import cut_lineage
 
 # numeric features, null -> 0
@@ -85,28 +87,38 @@ def choose_pipeline(production: bool, **gbt_args) -> Pipeline:
     return gbt_pipeline(**gbt_args) if production else linear_pipeline()
 
 
+def _boundary(rows: DataFrame, ratio: float):
+    """The last training row (``_t``, ``_k``) of ``rows`` and its place, found by narrowing counts per day
+    and then per minute; only such scalars come to the driver."""
+    take = None
+    for unit in (DAY_US, MINUTE_US):
+        slot = bucket_of(to_us("_t"), unit)
+        per = rows.groupBy(slot.alias("_u")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.orderBy("_u").rowsBetween(Window.unboundedPreceding, 0))
+        per = per.select("_u", "_n", upto.alias("_upto"))       # a row per day, then per minute of one day
+        if take is None:
+            total = per.agg(F.max("_upto")).first()[0] or 0
+            take = math.floor(total * ratio)
+        if take < 1:
+            return None
+        hit = per.filter(F.col("_upto") >= take).orderBy("_u").first()
+        take -= hit["_upto"] - hit["_n"]
+        rows = rows.filter(slot == hit["_u"])
+    rn = F.row_number().over(Window.orderBy("_t", "_k"))
+    return rows.withColumn("_r", rn).filter(F.col("_r") == take).first()
+
+
 def time_split(df: DataFrame, ts: str = S.ARRIVAL_DT, key: str = "call_id",
                ratio: float = S.TRAIN_RATIO) -> DataFrame:
     """Flag the first ``floor(ratio * n)`` rows in ``(ts, key)`` order as
-    training rows (``is_train``), exactly, without a single-partition window:
-    per-day counts -> running count over days (one row per day) -> the
-    boundary day takes only its first rows (window inside that day)."""
-    d = df.withColumn("_day", F.to_date(ts))
-    days = d.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    w_all = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("_day", "_n",
-                       F.coalesce(F.sum("_n").over(w_all), F.lit(0)).alias("_before"),
-                       F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    days = days.withColumn("_take", F.floor(F.col("_total") * F.lit(ratio)).cast("bigint") - F.col("_before"))
-    # one row per calendar day: bounded by the time span, broadcast is safe
-    j = d.join(F.broadcast(days.select("_day", "_n", "_take")), "_day", "inner")
-    full = j.filter(F.col("_take") >= F.col("_n")).withColumn("is_train", F.lit(True))
-    none = j.filter(F.col("_take") <= 0).withColumn("is_train", F.lit(False))
-    edge = j.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_n")))
-    rn = F.row_number().over(Window.partitionBy("_day").orderBy(ts, key))
-    edge = edge.withColumn("is_train", rn <= F.col("_take"))
-    out = full.unionByName(none).unionByName(edge)
-    return out.drop("_day", "_n", "_take")
+    training rows (``is_train``), exactly: the boundary row is found first, then every row is compared
+    with it, in one scan without a shuffle.  ``n`` counts rows with a time; rows without one stay, as test rows."""
+    last = _boundary(df.select(F.col(ts).alias("_t"), F.col(key).alias("_k")).filter("_t IS NOT NULL"), ratio)
+    if last is None:
+        return df.withColumn("is_train", F.lit(False))
+    t = F.lit(last["_t"]).cast(df.schema[ts].dataType)
+    train = (F.col(ts) < t) | ((F.col(ts) == t) & (F.col(key) <= F.lit(last["_k"])))
+    return df.withColumn("is_train", F.coalesce(train, F.lit(False)))
 
 
 def regression_metrics(pred: DataFrame, y: str = TARGET, yhat: str = "prediction") -> DataFrame:
@@ -148,7 +160,9 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel:
-    """SRC4: load a fitted pipeline; a missing path is a clear error."""
-    if "://" not in path and not os.path.exists(path):
+    """SRC4: load a fitted pipeline; a missing path is a clear error.  The file system is that of the path."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         raise FileNotFoundError(f"No service-time model at {path}: run training first.")
     return PipelineModel.load(path)

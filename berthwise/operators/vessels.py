@@ -13,13 +13,14 @@ def _str_or(c: str, default: str) -> Column:
     return F.coalesce(F.trim(F.col(c).cast("string")), F.lit(default))
 
 
-def to_calls(df: DataFrame, now, port_id: str | Column = "P0", call_id: str = "call_id") -> DataFrame:
+def to_calls(df: DataFrame, now, port_id: str | Column = "P0", call_id: str = "call_id",
+             keep: tuple[str, ...] = ()) -> DataFrame:
     """Shape cleaned call-log rows into the typed call schema.
 
     Per-field fallbacks apply when a value is NULL or not numeric; integer
     fields truncate toward zero.  ``now`` (a timestamp literal or Column) is an
     explicit argument so results are reproducible: it stands in for a missing
-    ETA, month or weekday.
+    ETA, month or weekday.  Columns named in ``keep`` pass through.
     """
     now_c = now if isinstance(now, Column) else F.lit(now).cast("timestamp_ntz")
     pid = port_id if isinstance(port_id, Column) else F.lit(port_id)
@@ -45,6 +46,7 @@ def to_calls(df: DataFrame, now, port_id: str | Column = "P0", call_id: str = "c
         F.coalesce(opt(S.ARRIVAL_DOW).cast("int"), F.weekday(now_c)).alias("arrival_dow"),
         F.coalesce(opt(S.ARRIVAL_DT).cast("timestamp_ntz"), now_c).alias("eta"),
         F.lit(False).alias("is_priority"),
+        *keep,
     )
 
 

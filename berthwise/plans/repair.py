@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from berthwise.functions.time import from_us, to_us
+from berthwise.operators.intervals import add_offline, is_available
 from berthwise.operators.scan import bucket_of, running
 
 
@@ -120,3 +121,15 @@ def admit(requests: DataFrame, key: str = "berth_id", order: str = "pos",
     schema = T.StructType([*r.schema.fields, T.StructField("accepted", T.BooleanType())])
     r = r.repartition("_group").sortWithinPartitions("_group", order)
     return r.mapInArrow(_admit_rows, schema).select(*requests.columns, "accepted")
+
+
+def take_offline(res: DataFrame, windows: DataFrame, wid: str = "window_id", key: str = "berth_id",
+                 start: str = "start_time", end: str = "end_time") -> tuple[DataFrame, DataFrame]:
+    """U2 with its check: a window that overlaps a reservation of its berth, or a window of a smaller
+    ``wid`` that was taken, is refused.  Returns the reservations with the accepted windows added, and the
+    windows with ``accepted``."""
+    free = is_available(res, windows, key=key, start=start, end=end, pid=wid, p_start=start, p_end=end)
+    won = admit(free.filter("available"), key=key, order=wid, start=start, end=end)
+    cols = [*windows.columns, "accepted"]
+    judged = won.select(*cols).unionByName(free.filter("not available").withColumn("accepted", F.lit(False)).select(*cols))
+    return add_offline(res, judged.filter("accepted")), judged

@@ -35,10 +35,7 @@ def train_service_model(raw: DataFrame, model_path: str | None, now, production:
     """Clean -> typed calls -> time split -> fit -> metrics -> save.
     Returns ``(model, metrics)``."""
     c = CL.clean_calls(raw)
-    typed = VS.to_calls(c, now, call_id="call_id").drop("arrival_month", "arrival_dow")
-    frame = typed.join(c.select("call_id", CL.S.SERVICE_HOURS, CL.S.ARRIVAL_DT,
-                                F.col(CL.S.ARRIVAL_MONTH).alias("arrival_month"),
-                                F.col(CL.S.ARRIVAL_DOW).alias("arrival_dow")), "call_id")
+    frame = VS.to_calls(c, now, call_id="call_id", keep=(CL.S.SERVICE_HOURS, CL.S.ARRIVAL_DT))
     model, metrics = ML.train(frame, production=production, **gbt_args)
     if model_path:
         ML.save_model(model, model_path)

@@ -93,3 +93,34 @@ def test_earliest_slot_with_busy_and_ties(spark):
     free = IV.merge_busy(res.filter("call_id < 0"))
     got = {r.call_id: r.berth_id for r in DP.earliest_slot(elig, calls, free).collect()}
     assert got == {1: "A", 2: "A"}
+
+
+def test_offline_windows_are_checked(spark):
+    from berthwise.plans import repair as RPR
+    res = spark.createDataFrame([(1, "A", "70", T0, T0 + timedelta(hours=8))], RES)
+    h = lambda n: T0 + timedelta(hours=n)
+    win = spark.createDataFrame([(1, "70", h(7), h(9)), (2, "70", h(8), h(10)), (3, "70", h(9), h(12)), (4, "71", h(0), h(2))],
+                                "window_id long, berth_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    after, judged = RPR.take_offline(res, win)
+    assert {r.window_id: r.accepted for r in judged.collect()} == {1: False, 2: True, 3: False, 4: True}
+    assert after.count() == 3
+
+
+def test_admission_refuses_rows_without_a_window(spark):
+    from berthwise.plans import repair as RPR
+    h = lambda n: T0 + timedelta(hours=n)
+    rows = [(1, "70", h(0), h(4)), (2, "70", None, h(2)), (3, "70", h(3), h(1)), (4, None, h(0), h(1)), (5, "70", h(2), h(5)),
+            (6, None, h(0), h(1)), (7, "70", h(4), h(6))]
+    req = spark.createDataFrame(rows, "pos long, berth_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    got = {r.pos: r.accepted for r in RPR.admit(req).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False, 7: True}
+    assert RPR.admit(req.limit(0)).count() == 0
+
+
+def test_split_keeps_rows_without_a_time(spark):
+    from berthwise.operators import ml as ML
+    rows = [(i, T0 + timedelta(minutes=i // 3)) for i in range(10)] + [(10, None)]
+    df = spark.createDataFrame(rows, "call_id long, t timestamp_ntz")
+    got = {r.call_id: r.is_train for r in ML.time_split(df, ts="t").collect()}
+    assert got == {i: i < 8 for i in range(11)}
+    assert ML.time_split(df.limit(0), ts="t").count() == 0
