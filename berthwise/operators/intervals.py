@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.scalar import overlaps
-from berthwise.functions.time import MINUTE_US, from_us, to_us
-from berthwise.operators.scan import DAY_US, bucket_of, running
+from berthwise.functions.time import HOUR_US, MINUTE_US, from_us, to_us
+from berthwise.operators.scan import DAY_US, bucket_of, running, scan_bucket
 
 GAP_US = S.NEXT_SLOT_GAP_SECONDS * 1_000_000
 
@@ -24,16 +24,16 @@ def _us(df: DataFrame, start: str = "start_time", end: str = "end_time") -> Data
     return df.withColumns({"_s": to_us(start), "_e": to_us(end)})
 
 
-def _day_span(lo: Column, hi_exclusive: Column) -> Column:
-    """Day buckets touched by [lo, hi): at least the bucket of lo."""
-    first = bucket_of(lo)
-    last = F.greatest(first, bucket_of(hi_exclusive - F.lit(1)))
+def _span(lo: Column, hi_exclusive: Column, width_us: int) -> Column:
+    """Buckets touched by [lo, hi): at least the bucket of lo."""
+    first = bucket_of(lo, width_us)
+    last = F.greatest(first, bucket_of(hi_exclusive - F.lit(1), width_us))
     return F.sequence(first, last)
 
 
-def covered_days(df: DataFrame, lo: Column, hi: Column, out: str = "_day") -> DataFrame:
-    """One row per day bucket an interval covers (guarded: ``sequence`` never counts down)."""
-    return df.withColumn(out, F.explode(_day_span(lo, hi)))
+def covered_days(df: DataFrame, lo: Column, hi: Column, out: str = "_day", width_us: int = DAY_US) -> DataFrame:
+    """One row per bucket (default: day) an interval covers (guarded: ``sequence`` never counts down)."""
+    return df.withColumn(out, F.explode(_span(lo, hi, width_us)))
 
 
 # ---------------------------------------------------------------------------
@@ -47,7 +47,7 @@ def merge_busy(res: DataFrame, gap_seconds: int = S.NEXT_SLOT_GAP_SECONDS, key:
     of the earlier reservations plus ``gap``.  Returns ``(key, island_start,
     island_end, n_reservations)``.
 
-    One shuffle of the reservations, two-level: inside a (berth, day) bucket
+    One shuffle of the reservations, two-level: inside a (berth, minute) bucket
     the local running max end ``lm`` and the local island candidates (start >
     lm + gap); one row per bucket carries ``Cb`` (max end of earlier buckets)
     and the last island start of earlier buckets.  Since starts ascend, the
@@ -55,7 +55,7 @@ def merge_busy(res: DataFrame, gap_seconds: int = S.NEXT_SLOT_GAP_SECONDS, key:
     its last candidate when that clears ``Cb + gap``."""
     gap = gap_seconds * 1_000_000
     unb = Window.unboundedPreceding
-    r = _us(res.select(key, start, end, tie), start, end).withColumn("_bkt", bucket_of("_s"))
+    r = _us(res.select(key, start, end, tie), start, end).withColumn("_bkt", scan_bucket("_s"))
     w = Window.partitionBy(key, "_bkt").orderBy("_s", "_e", tie)
     r = r.withColumn("_lm", F.max("_e").over(w.rowsBetween(unb, -1)))
     cand = F.col("_lm").isNull() | (F.col("_s") > F.col("_lm") + F.lit(gap))
@@ -83,7 +83,7 @@ def conflict_flags(res: DataFrame, key: str = "berth_id", start: str = "start_ti
                    end: str = "end_time", tie: str = "call_id") -> DataFrame:
     """J10 (cheap): flag reservations that start before the running maximum
     end of the earlier-ordered reservations on the same berth."""
-    r = _us(res, start, end).withColumn("_bkt", bucket_of("_s"))
+    r = _us(res, start, end).withColumn("_bkt", scan_bucket("_s"))
     r = running(r, [key], "_bkt", ["_s", "_e", tie], "_e", "_prev_max", "max", inclusive=False)
     flag = F.coalesce(F.col("_s") < F.col("_prev_max"), F.lit(False))
     return r.withColumn("overlaps_earlier", flag).drop("_s", "_e", "_bkt", "_prev_max")
@@ -122,9 +122,9 @@ def occupancy_at(res: DataFrame, instants: DataFrame, t: str = "t", key: str = "
     ``instants`` holds column ``t`` (and ``key`` when ``per_key``).  Output:
     ``(t, key, rid, start, end, n_active)``."""
     r = _us(res.select(key, rid, start, end), start, end)
-    r = covered_days(r, F.col("_s"), F.col("_e"))
-    i = instants.withColumn("_t", to_us(t)).withColumn("_day", bucket_of("_t"))
-    on = ["_day"] + ([key] if per_key else [])
+    r = covered_days(r, F.col("_s"), F.col("_e"), "_hour", HOUR_US)
+    i = instants.withColumn("_t", to_us(t)).withColumn("_hour", bucket_of("_t", HOUR_US))
+    on = ["_hour"] + ([key] if per_key else [])
     j = i.join(r, on).filter((F.col("_s") <= F.col("_t")) & (F.col("_t") < F.col("_e")))
     first = F.min_by(F.struct(rid, start, end), F.struct("_s", rid))
     g = j.groupBy(t, key).agg(first.alias("_r"), F.count(F.lit(1)).alias("n_active"))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.time import HOUR_US, from_us, to_us
-from berthwise.operators.scan import bucket_of, running
+from berthwise.operators.scan import scan_bucket, running
 from berthwise.session import cut_lineage
 
 H = float(HOUR_US)
@@ -133,26 +133,24 @@ def _ceil_div(x: Column, step: int) -> Column:
     return ((x - r) / F.lit(step)).cast("bigint") + (r > 0).cast("bigint")
 
 
-def _difference_series(events: DataFrame, by: str, lo_us: str, hi_us: str, t0_us: str, t1_us: str,
-                       step_us: int, out: str) -> DataFrame:
-    """Count of intervals [lo, hi) containing each tick ``t0 + k*step``,
-    ``k = 0..floor((t1 - t0)/step)``, via a difference array: +1 at the first
-    tick >= lo, -1 at the first tick >= hi, then a running sum over ticks.
+def _difference_series(intervals: DataFrame, bounds: DataFrame, by: str, step_us: int, out: str) -> DataFrame:
+    """Count of ``intervals`` (by, _a, _b), half-open, containing each tick ``_t0 + k*step``,
+    ``k = 0..floor((_t1 - _t0)/step)`` of their ``bounds`` (by, _t0, _t1), via a difference array: +1 at the first
+    tick >= _a, -1 at the first tick >= _b, then a running sum over ticks.
     O(rows + ticks) instead of O(rows x ticks)."""
-    lo = _ceil_div(F.col(lo_us) - F.col(t0_us), step_us)
-    hi = _ceil_div(F.col(hi_us) - F.col(t0_us), step_us)
-    e = events.withColumns({"_lo": lo, "_hi": hi}).filter(F.col("_hi") > F.col("_lo"))
-    deltas = (e.select(by, F.col("_lo").alias("k"), F.lit(1).alias("d"))
-              .unionByName(e.select(by, F.col("_hi").alias("k"), F.lit(-1).alias("d")))
-              .groupBy(by, "k").agg(F.sum("d").alias("d")))
-    kmax = ((F.col(t1_us) - F.col(t0_us)) / F.lit(step_us)).cast("bigint")
-    spine = (events.select(by, t0_us, t1_us).distinct()
-             .filter(F.col(t1_us) >= F.col(t0_us))           # guard: sequence never counts down
-             .select(by, t0_us, F.explode(F.sequence(F.lit(0).cast("bigint"), kmax)).alias("k")))
+    e = intervals.join(bounds.select(by, "_t0"), by)
+    e = e.select(by, _ceil_div(F.col("_a") - F.col("_t0"), step_us).alias("_lo"),
+                 _ceil_div(F.col("_b") - F.col("_t0"), step_us).alias("_hi")).filter("_hi > _lo")
+    ends = F.inline(F.array(F.struct(F.col("_lo").alias("k"), F.lit(1).alias("d")),
+                            F.struct(F.col("_hi").alias("k"), F.lit(-1).alias("d"))))
+    deltas = e.select(by, ends).groupBy(by, "k").agg(F.sum("d").alias("d"))
+    kmax = ((F.col("_t1") - F.col("_t0")) / F.lit(step_us)).cast("bigint")
+    spine = (bounds.filter("_t1 >= _t0")                     # guard: sequence never counts down
+             .select(by, "_t0", F.explode(F.sequence(F.lit(0).cast("bigint"), kmax)).alias("k")))
     s = spine.join(deltas, [by, "k"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
     # the spine of one group is bounded by its time span / step, not by its rows
     w = Window.partitionBy(by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return s.select(by, from_us(F.col(t0_us) + F.col("k") * F.lit(step_us)).alias("timestamp"),
+    return s.select(by, from_us(F.col("_t0") + F.col("k") * F.lit(step_us)).alias("timestamp"),
                     F.sum("d").over(w).alias(out))
 
 
@@ -163,7 +161,7 @@ def queue_series(plan: DataFrame, step_hours: float = 1.0, by: str = "plan_id",
     step = int(step_hours * HOUR_US)
     p = plan.select(by, to_us(eta).alias("_a"), to_us(start).alias("_b"), to_us(end).alias("_c"))
     bounds = p.groupBy(by).agg(F.min("_a").alias("_t0"), F.max("_c").alias("_t1"))
-    return _difference_series(p.join(bounds, by), by, "_a", "_b", "_t0", "_t1", step, "queue_length")
+    return _difference_series(p, bounds, by, step, "queue_length")
 
 
 def occupancy_series(islands: DataFrame, n_berths: int, step_hours: float = 1.0, by: str | None = None) -> DataFrame:
@@ -173,16 +171,11 @@ def occupancy_series(islands: DataFrame, n_berths: int, step_hours: float = 1.0,
     step = int(step_hours * HOUR_US)
     key = by or "_all"
     p = islands.select(*([by] if by else []), to_us("island_start").alias("_a"), to_us("island_end").alias("_b"))
-    if by:
-        bounds = p.groupBy(by).agg(F.min("_a").alias("_t0"), F.max("_b").alias("_t1"))
-        ev = p.join(bounds, by)
-    else:
-        # one series: the islands feed the bounds, the deltas and the spine, so
-        # they are materialised once; the two grid bounds are read as scalars
-        p = cut_lineage(p)
-        t0, t1 = p.agg(F.min("_a"), F.max("_b")).first()
-        ev = p.withColumns({key: F.lit(0), "_t0": F.lit(t0).cast("bigint"), "_t1": F.lit(t1).cast("bigint")})
-    s = _difference_series(ev, key, "_a", "_b", "_t0", "_t1", step, "occupied")
+    if not by:
+        # one series: a constant key; the islands are read by the bounds and the deltas, so they are written once
+        p = cut_lineage(p.withColumn(key, F.lit(0)))
+    bounds = p.groupBy(key).agg(F.min("_a").alias("_t0"), F.max("_b").alias("_t1"))
+    s = _difference_series(p, bounds, key, step, "occupied")
     s = s.withColumns({"free": F.lit(n_berths) - F.col("occupied"),
                        "utilization": F.col("occupied") / F.lit(float(max(n_berths, 1)))})
     return s if by else s.drop(key)
@@ -210,7 +203,7 @@ def queue_board(queue: DataFrame, t, by: str = "port_id", eta: str = "eta", key:
     holding most of the queue is still ranked by many tasks."""
     tc = F.lit(t).cast("timestamp_ntz") if not isinstance(t, Column) else t
     q = queue.filter(F.col(eta) <= tc).withColumns({"_a": to_us(eta), "_one": F.lit(1)})
-    q = q.withColumn("_bkt", bucket_of("_a"))
+    q = q.withColumn("_bkt", scan_bucket("_a"))
     q = running(q, [by], "_bkt", ["_a", key], "_one", "rank", "sum", inclusive=True)
     cargo = F.coalesce(F.nullif(F.col("cargo_import"), F.lit("")), F.col("cargo_export"))
     return q.select(

@@ -4,10 +4,10 @@ A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to
 one task; a berth or pool holding a third of all rows would then run in one
 task.  Prefix max and prefix sum are associative, so we scan in two levels:
 
-1. inside ``(key, bucket)`` partitions (bucket = time slice of the order
-   column, e.g. one day) with an ordinary window — bounded by the rows of one
-   key in one slice;
-2. per key over buckets: one row per bucket (bounded by the time span, not
+1. inside ``(key, bucket)`` partitions (bucket = minute of the order
+   column, :func:`scan_bucket`) with an ordinary window — bounded by the rows of one
+   key in one minute, so a busy key spreads over more groups the more rows it has;
+2. per key over buckets: one row per bucket (bounded by the minutes of the time span, not
    by the data), giving a carry-in from all earlier buckets, joined back on
    ``(key, bucket)`` — the same hash partitioning as step 1, so the big side
    is not shuffled again.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DAY_US = 86_400_000_000
+SCAN_US = 60_000_000
 
 
 def bucket_of(us_col, width_us: int = DAY_US) -> Column:
@@ -28,6 +29,11 @@ def bucket_of(us_col, width_us: int = DAY_US) -> Column:
     return F.floor(c / F.lit(width_us)).cast("bigint")
 
 
+def scan_bucket(us_col) -> Column:
+    """The bucket of the scans below."""
+    return bucket_of(us_col, SCAN_US)
+
+
 def _carry(df: DataFrame, keys: list[str], bucket: str, value: str, agg, out: str) -> DataFrame:
     per = df.groupBy(*keys, bucket).agg(agg(value).alias("_b"))
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)

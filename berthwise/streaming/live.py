@@ -7,6 +7,7 @@ Each stream applies the same DataFrame functions as its batch twin, so a
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterator
 
@@ -131,10 +132,14 @@ def _apply_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
         cid = None if pd.isna(r.call_id) else int(r.call_id)
         ok, reason = True, None
         if r.kind in ("assign", "offline"):
-            if any(s < e0 and e > s0 for s0, e0, _ in slots):
+            # accepted slots never overlap: only the latest that starts before this one's end can clash
+            at = None if s is None or e is None or e < s else bisect.bisect_left(slots, e, key=lambda x: x[0])
+            if at is None:
+                ok, reason = False, "no valid window"
+            elif at and slots[at - 1][1] > s:
                 ok, reason = False, "overlaps an accepted slot"
             else:
-                slots.append([s, e, cid if r.kind == "assign" else None])
+                slots.insert(at, [s, e, cid if r.kind == "assign" else None])
         elif r.kind == "release":
             before = len(slots)
             slots = [x for x in slots if x[2] != cid]
@@ -156,7 +161,7 @@ def _apply_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
 def berth_timeline(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Assign / release / offline events per berth, applied in
     ``(event_time, seq)`` order within a micro-batch; an assignment or
-    offline window overlapping an accepted slot is rejected with a reason.
+    offline window overlapping an accepted slot, or without a valid window, is rejected with a reason.
     State per berth holds only slots that end after the watermark.
     Batch twin: :func:`berthwise.plans.repair.admit`."""
     return (_event_time(events, "event_time").withWatermark("event_time", watermark)
