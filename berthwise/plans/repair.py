@@ -62,18 +62,30 @@ def _repair_group(key: Tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Da
         yield out
 
 
-def repair_plans(plans: DataFrame, by: tuple[str, ...] = ("plan_id", "berth_id")) -> DataFrame:
+_FIRST = -(1 << 63)      # position of existing reservations: before every plan row
+
+
+def repair_plans(plans: DataFrame, by: tuple[str, ...] = ("plan_id", "berth_id"), busy: DataFrame | None = None,
+                 key: str = "berth_id") -> DataFrame:
     """Q4: per plan and berth, in plan row order (``pos``): start no earlier
     than the ETA, then scan the berth's accepted slots in start order and push
     the start past each overlapping one; accept.
 
-    ``plans``: by columns, pos, call_id, eta, scheduled_start, svc_us."""
-    p = plans.select(*by, "pos", "call_id", to_us("eta").alias("eta_us"),
+    ``plans``: by columns, pos, call_id, eta, scheduled_start, svc_us.  ``busy``: the berths' existing
+    reservations as disjoint islands (``merge_busy(res, gap_seconds=0)``); they are accepted before any
+    plan row, in every plan."""
+    p = plans.select(*by, F.col("pos").cast("bigint").alias("pos"), "call_id", to_us("eta").alias("eta_us"),
                      to_us("scheduled_start").alias("start_us"), "svc_us")
+    if busy is not None:
+        lo, hi = to_us("island_start"), to_us("island_end")
+        kept = plans.select(*by).distinct().join(busy, key)
+        p = p.unionByName(kept.select(
+            *by, F.lit(_FIRST).cast("bigint").alias("pos"), F.lit(0).cast(p.schema["call_id"].dataType).alias("call_id"),
+            lo.alias("eta_us"), lo.alias("start_us"), (hi - lo).cast(p.schema["svc_us"].dataType).alias("svc_us")))
     schema = ", ".join(f"`{c}` {t}" for c, t in p.dtypes) + ", end_us bigint"
     # secondary sort: each (plan, berth) group streams in row order
     p = p.repartition(*by).sortWithinPartitions(*by, "pos")
-    out = p.groupBy(*by).applyInPandas(_repair_group, schema)
+    out = p.groupBy(*by).applyInPandas(_repair_group, schema).filter(F.col("pos") != F.lit(_FIRST))
     return out.withColumns({"scheduled_start": from_us("start_us"), "predicted_end": from_us("end_us")})
 
 

@@ -86,13 +86,14 @@ def test_berth_timeline_equals_admission(spark, tmp_path):
         ("71", 5, t0 + timedelta(minutes=4), "assign", 5, t0, t0 + timedelta(hours=2)),
         ("71", 6, t0 + timedelta(minutes=5), "release", 5, None, None),
         ("71", 7, t0 + timedelta(minutes=6), "assign", 7, t0, t0 + timedelta(hours=2)),
+        ("71", 8, t0 + timedelta(minutes=7), "assign", 8, None, t0 + timedelta(hours=2)),
     ]
     df = spark.createDataFrame(ev, LV.TIMELINE_EVENT_SCHEMA)
     src = str(tmp_path / "ev")
     df.write.parquet(src)
     stream = spark.readStream.schema(LV.TIMELINE_EVENT_SCHEMA).parquet(src)
     out = {r.seq: r.accepted for r in _run(LV.berth_timeline(stream), "timeline").collect()}
-    assert out == {1: True, 2: False, 3: True, 4: True, 5: True, 6: True, 7: True}
+    assert out == {1: True, 2: False, 3: True, 4: True, 5: True, 6: True, 7: True, 8: False}
     # batch twin on the assign/offline requests of berth 70
     req = df.filter(F.col("kind") != "release").filter(F.col("berth_id") == "70").withColumnRenamed("seq", "pos")
     batch = {r.pos: r.accepted for r in RPR.admit(req).collect()}
