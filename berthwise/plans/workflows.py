@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from berthwise.functions.time import from_us, to_us
 from berthwise.operators import cleaning as CL
@@ -22,7 +21,6 @@ from berthwise.operators import replay as RP
 from berthwise.operators import scenarios as SC
 from berthwise.operators import vessels as VS
 from berthwise.plans import dispatch as DP
-from berthwise.plans import repair as RPR
 from berthwise.session import cut_lineage
 
 
@@ -43,13 +41,13 @@ def train_service_model(raw: DataFrame, model_path: str | None, now, production:
 
 
 def allocate(queue: DataFrame, berths: DataFrame, reservations: DataFrame, model=None) -> dict[str, DataFrame]:
-    """Predict service (M8) -> eligibility (J3) -> drop infeasible (F6) -> rounds of proposal and
-    admission over the whole queue -> enrich (J12).
+    """Predict service (M8) -> eligibility (J3) -> drop infeasible (F6) -> first come, first served over the
+    whole queue -> enrich (J12).
 
-    A round proposes to each open call the earliest slot over its eligible berths (J11) and admits the
-    proposals of a berth in ``(eta, pos)`` order (Q5).  Admitted calls join the reservations; calls that lost to one
-    of them propose again; calls whose slot runs into an older reservation are rejected.  Each round settles
-    at least the first open call of every berth asked for, so the rounds end with no call open.
+    The calls of a port are taken in ``(eta, pos)`` order.  Each gets the earliest slot over its eligible berths (J11), a
+    berth being busy until the last call of this run placed there ends: a call that meets another one of the queue
+    waits for it, however long.  Only calls whose slot runs into an older reservation (J8 doesn't test the length), or
+    that have no ETA or no service time of zero or more, are rejected.
 
     ``queue``: typed calls with ``port_id``, ``call_id``, ``eta``; ``reservations`` carry ``port_id``: call and
     berth ids may repeat across ports.  Returns ``plan``, ``accepted``, ``rejected``, ``infeasible``."""
@@ -63,29 +61,13 @@ def allocate(queue: DataFrame, berths: DataFrame, reservations: DataFrame, model
         q = q.withColumn("pos", F.col("call_id"))
     elig = cut_lineage(EL.eligible_pairs(q, berths))
     infeasible = EL.infeasible_calls(q, elig)
-    slot = ["_berth", "call_id", "start_time", "end_time"]
-    taken = cut_lineage(reservations.withColumn("_berth", DP.berth_key()).select(*slot))
-    open_ = cut_lineage(q.join(elig.select("port_id", "call_id").distinct(), ["port_id", "call_id"], "left_semi")
-                        .select("port_id", "call_id", "eta", "svc_us", "pos"))
-    done = None
-    while open_.limit(1).count():
-        best = DP.earliest_slot(elig, open_, IV.merge_busy(taken, key="_berth"), key="_berth")
-        asked = best.join(open_, ["port_id", "call_id"]).withColumns({
-            "_berth": DP.berth_key(), "start_time": F.col("scheduled_start"),
-            "end_time": from_us(to_us("scheduled_start") + F.col("svc_us"))})
-        asked = cut_lineage(_against(asked, taken))
-        free = asked.filter("available")
-        order = F.row_number().over(Window.partitionBy("_berth").orderBy("eta", "pos", "call_id"))
-        settled = cut_lineage(RPR.admit(free.withColumn("_order", order.cast("bigint")).drop("pos"), key="_berth", order="_order"))
-        won = settled.filter("accepted")
-        out = ["port_id", "call_id", "berth_id", "scheduled_start", "accepted"]
-        this = won.select(*out).unionByName(asked.filter(~F.col("available")).withColumn("accepted", F.lit(False)).select(*out))
-        done = cut_lineage(this if done is None else done.unionByName(this))
-        taken = cut_lineage(taken.unionByName(won.select(*slot)))
-        open_ = cut_lineage(open_.join(this.select("port_id", "call_id"), ["port_id", "call_id"], "left_anti"))
-    if done is None:
-        done = open_.select("port_id", "call_id", F.lit(None).cast("string").alias("berth_id"),
-                            F.lit(None).cast("timestamp_ntz").alias("scheduled_start"), F.lit(False).alias("accepted"))
+    taken = reservations.withColumn("_berth", DP.berth_key())
+    islands = cut_lineage(IV.merge_busy(taken, key="_berth"))
+    feasible = cut_lineage(EL.feasible_calls(q, elig).select("port_id", "call_id", "eta", "svc_us", "pos"))
+    usable = F.col("eta").isNotNull() & F.coalesce(F.col("svc_us") >= 0, F.lit(False))
+    done = DP.first_come(feasible.filter(usable), elig, islands)
+    done = done.unionByName(feasible.filter(~usable).select("port_id", "call_id", F.lit(False).alias("accepted")),
+                            allowMissingColumns=True)
     names = [c for c in ("name", "eta", "svc_us") if c in q.columns]
     terminal = berths.select("port_id", "berth_id", "terminal_name")
     plan = (done.join(q.select("port_id", "call_id", *names), ["port_id", "call_id"])
@@ -95,12 +77,6 @@ def allocate(queue: DataFrame, berths: DataFrame, reservations: DataFrame, model
             "infeasible": infeasible}
 
 
-def _against(asked: DataFrame, taken: DataFrame) -> DataFrame:
-    """J9 for proposals of calls known by port and id."""
-    a = asked.withColumn("_id", F.to_json(F.struct("port_id", "call_id")))
-    return IV.is_available(taken, a, key="_berth", pid="_id", p_start="start_time", p_end="end_time").drop("_id")
-
-
 def compare_scenarios(calls: DataFrame, capacity: DataFrame, closure_start, pool_cols=("pool",),
                       list_by: list[str] | None = None) -> dict[str, DataFrame]:
     """C4: seven what-if inputs (U1) -> queues at the pools' berths, taken in turn (W4), over all

@@ -153,6 +153,71 @@ def test_allocate_rejects_what_runs_into_a_reservation(spark):
     assert none["plan"].count() == 0
 
 
+def test_allocate_keeps_calls_that_met_one_of_the_queue(spark):
+    q = _queue(spark, [("P1", 1, 2, 1), ("P1", 2, 2, 4), ("P1", 3, 3, 1)])
+    q = q.withColumn("eta", F.col("eta") + F.expr("CASE call_id WHEN 2 THEN INTERVAL 5 MINUTES WHEN 3 THEN INTERVAL 30 MINUTES ELSE INTERVAL 0 MINUTES END"))
+    out = WF.allocate(q, _berths(spark, [("P1", "A")]), spark.createDataFrame([], RES))
+    got = {r.call_id: ((r.scheduled_start - T0) / timedelta(hours=1), (r.predicted_end - T0) / timedelta(hours=1)) for r in out["accepted"].collect()}
+    assert got == {1: (2, 3), 2: (3, 7), 3: (7, 8)} and out["rejected"].count() == 0
+
+
+def _ref_allocate(calls, berths, res):
+    """Calls (port, id, eta, hours, length) one after another; berths (port, id, length); res (port, berth, start, end)."""
+    until, out = {}, {}
+    for port, i, eta, svc, length in sorted(calls, key=lambda c: (c[2], c[1])):
+        best = None
+        for p, b, quay in berths:
+            if p != port or quay < length:
+                continue
+            t = max(eta, until.get((p, b), eta))
+            for _, _, s, e in sorted(r for r in res if r[:2] == (p, b)):
+                if s > t + timedelta(minutes=1):
+                    break
+                t = max(t, e)
+            if best is None or t < best[1]:
+                best = b, t
+        if best is None:
+            continue
+        b, t = best
+        end = t + timedelta(hours=svc)
+        ok = not any(r[:2] == (port, b) and r[2] < end and r[3] > t for r in res)
+        if ok:
+            until[port, b] = end
+        out[port, i] = (b, t, ok)
+    return out
+
+
+@pytest.mark.parametrize("seed,days", [(0, 60), (1, 8), (2, 3)])
+def test_allocate_vs_loop(spark, seed, days):
+    rng = np.random.default_rng(seed)
+    at = lambda: T0 + timedelta(minutes=int(rng.integers(0, days * 24 * 4)) * 15)
+    berths = [("P1", "A", 150.0), ("P1", "B", 250.0), ("P1", "C", 350.0), ("P2", "A", 300.0)]
+    calls = [(["P1", "P1", "P2"][i % 3], i // 2, at(), int(rng.integers(0, 13)), float(rng.choice([100, 200, 300, 400]))) for i in range(90)]
+    calls = list({c[:2]: c for c in calls}.values())
+    res = []
+    for p, b, _ in berths:
+        t = T0
+        for _ in range(int(rng.integers(1, 9))):
+            t += timedelta(minutes=int(rng.choice([0, 1, 2, 300, 1500])))
+            res.append((p, b, t, t + timedelta(hours=int(rng.integers(1, 12)))))
+            t = res[-1][3]
+    q = _queue(spark, [(p, i, 0, h) for p, i, _, h, _ in calls]).drop("eta", "length_m").join(
+        spark.createDataFrame([(p, i, e, n) for p, i, e, _, n in calls], "port_id string, call_id long, eta timestamp_ntz, length_m double"), ["port_id", "call_id"])
+    bs = _berths(spark, [b[:2] for b in berths]).drop("quay_length_m").join(
+        spark.createDataFrame(berths, "port_id string, berth_id string, quay_length_m double"), ["port_id", "berth_id"])
+    out = WF.allocate(q, bs, spark.createDataFrame([(p, None, "X", b, s, e) for p, b, s, e in res], RES))
+    want = _ref_allocate(calls, berths, res)
+    got = {(r.port_id, r.call_id): (r.berth_id, r.scheduled_start, r.accepted) for r in out["plan"].collect()}
+    assert got == want and any(v[2] for v in want.values()) and not all(v[2] for v in want.values())
+    assert {(r.port_id, r.call_id) for r in out["infeasible"].collect()} == {c[:2] for c in calls} - set(want)
+
+
+def test_allocate_rejects_calls_without_time(spark):
+    q = _queue(spark, [("P1", 1, 0, 1), ("P1", 2, 0, 1), ("P1", 3, 0, -1)]).withColumn("eta", F.when(F.col("call_id") != 2, F.col("eta")))
+    out = WF.allocate(q, _berths(spark, [("P1", "A")]), spark.createDataFrame([], RES))
+    assert {r.call_id: r.accepted for r in out["plan"].collect()} == {1: True, 2: False, 3: False}
+
+
 def test_release_frees_the_last_berth_only(spark):
     from berthwise.operators import intervals as IV
     res = spark.createDataFrame([("P1", 1, "X", "A", T0, T0 + timedelta(hours=1)), ("P1", 1, "X", "B", T0 + timedelta(hours=2), T0 + timedelta(hours=3)),
