@@ -1,6 +1,6 @@
 """Document quality by a byte-level convolutional network in numpy.
 
-Filters over ``K`` bytes slide over the whole text.  The text is cut into chunks of ``CHUNK`` bytes that
+Filters over ``K`` bytes slide over the whole text, byte by byte.  The text is cut into chunks of ``CHUNK`` bytes that
 overlap by half; each filter's largest response in a chunk is the chunk's value, and
 the largest and the mean chunk values make the document's features, which a logistic layer
 turns into one probability.  A filter's response is a sum of table entries, one per byte
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from berthwise.llm.langid import in_training
 
-CHUNK, K, STRIDE, FILTERS = 512, 6, 2, 16
+CHUNK, K, FILTERS = 512, 6, 16
 HALF = CHUNK // 2
 
 
@@ -51,23 +51,22 @@ class Net:
         self.out = rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
         self.out_bias = np.zeros(1, dtype=np.float32)
 
-    def halves(self, flat: np.ndarray, where: bool = False, block: int = 64):
+    def halves(self, flat: np.ndarray, where: bool = False, block: int = 32):
         """Largest response of each filter in each half chunk, and with ``where`` its position."""
         n = (len(flat) - K) // HALF
         top = np.empty((n, FILTERS), dtype=np.float32)
         at = np.empty((n, FILTERS), dtype=np.int64) if where else None
-        per = HALF // STRIDE
         for lo in range(0, n, block):                     # responses of one block fit the cache
             hi = min(n, lo + block)
             a, b = lo * HALF, hi * HALF
-            r = self.table[0].take(flat[a:b:STRIDE], axis=0)
+            r = self.table[0].take(flat[a:b], axis=0)
             for k in range(1, K):
-                r += self.table[k].take(flat[a + k:b + k:STRIDE], axis=0)
-            r = r.reshape(hi - lo, per, FILTERS)
+                r += self.table[k].take(flat[a + k:b + k], axis=0)
+            r = r.reshape(hi - lo, HALF, FILTERS)
             if where:
                 arg = r.argmax(axis=1)
                 top[lo:hi] = np.take_along_axis(r, arg[:, None, :], axis=1)[:, 0]
-                at[lo:hi] = (np.arange(lo, hi)[:, None] * per + arg) * STRIDE
+                at[lo:hi] = np.arange(lo, hi)[:, None] * HALF + arg
             else:
                 top[lo:hi] = r.max(axis=1)
         return np.maximum(top + self.bias, 0), at

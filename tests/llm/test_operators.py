@@ -317,6 +317,19 @@ def test_cnn(spark, none):
     assert cnn.quality(none, la.limit(0)).count() == 0 and {r.score for r in cnn.quality(d, la.limit(0)).collect()} == {0.5}
 
 
+def test_cnn_meets_every_offset():
+    net = cnn.Net(2)
+    texts = [b"x" * 7 + b"mark" + b"x" * 300, b"x" * 8 + b"mark" + b"x" * 299, b"y" * 700 + b"odd", b""]
+    flat, first = cnn.laid_out(texts)
+    top, at = net.halves(flat, where=True)
+    for h in range(len(top)):
+        r = np.array([sum(net.table[k, flat[i + k]] for k in range(cnn.K)) for i in range(h * cnn.HALF, (h + 1) * cnn.HALF)])
+        assert np.allclose(top[h], np.maximum(r.max(axis=0) + net.bias, 0), atol=1e-5)
+        assert np.allclose(np.take_along_axis(r, at[h][None] - h * cnn.HALF, axis=0)[0], r.max(axis=0), atol=1e-5)
+    # A mark one byte further on has the same largest response.
+    assert np.allclose(top[first[0]], top[first[1]], atol=1e-5)
+
+
 def test_cnn_gradient():
     net, eps = cnn.Net(1), 1e-2
     texts, y = [b"abcabc" * 200, b"zz top", b""], np.array([1, 0, 1], dtype=np.float32)
