@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berthwise.llm import cnn, exact, langid, mixing, packing, rules, secrets, simhash, substring, warc
+from berthwise.llm import cnn, exact, fim, html, langid, merkle, mixing, packing, rules, secrets, simhash, substring, warc
 from berthwise.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,97 @@ r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (last IS NOT NULL AND last +
   string_agg(x, ' ' ORDER BY i) FILTER (last IS NULL OR last + 19 < i) AS kept FROM mark GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
+
+
+@_query
+def op11_fill_in_middle(spark, sf_dir):
+    made = fim.with_restored(fim.transformed(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, CAST('0x' || x[1:8] AS BIGINT) AS h1,
+  CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b FROM u),
+p AS (SELECT doc_id, t, n, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:n], '') AS s,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+
+@_query
+def op12_html_main_text(spark, sf_dir):
+    return html.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+# The given pages hold their text in one article of headings and paragraphs.
+ORACLES["op12_html_main_text"] = r"""
+WITH a AS (SELECT page_id, url, split_part(split_part(coalesce(html, ''), '<article>', 2), '</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, unnest(string_split_regex(h, '</?(p|h1)>')) AS x, unnest(range(len(string_split_regex(h, '</?(p|h1)>')))) AS i FROM a),
+t AS (SELECT page_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'),
+  '\s+', ' ', 'g'), '&quot;', '"', 'g'), '&amp;?', '&', 'g')) AS x FROM b),
+g AS (SELECT page_id, string_agg(x, chr(10) ORDER BY i) AS text FROM t WHERE x <> '' GROUP BY page_id)
+SELECT a.page_id, a.url, coalesce(g.text, '') AS text, CAST(length(coalesce(g.text, '')) AS BIGINT) AS n_chars
+FROM a LEFT JOIN g ON a.page_id = g.page_id"""
+
+
+def tampered() -> F.Column:
+    """The documents whose character count is raised by one: ids with a CRC-32 that 7 divides."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+
+
+@_query
+def op13_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")))
+    leaf = lambda n: merkle.digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    leaves = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"),
+                         F.when(tampered(), leaf(F.col("n_chars") + 1)).alias("tampered"))
+    m = merkle.manifest(leaves, "leaf", "doc_id", "lang")
+    shown = F.coalesce(F.col("row.tampered"), F.col("row.leaf"))
+    m = m.select("row.doc_id", "row.leaf", "subroot", "root", F.sha2(F.array_join(merkle.siblings(F.col("proof")), ""), 256).alias("proof_sha256"),
+                 merkle.folded(shown, F.col("proof")).alias("folded_root"))
+    return m.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _enc(c: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_enc(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+def _nodes(name: str, base: str) -> str:
+    """All nodes (k: tree, l: level, i: index, n: nodes of the level) above the base's leaves."""
+    return f"""{name}(k, l, i, n, h) AS ({base}
+  UNION ALL SELECT k, l + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY k, l, i // 2, n)"""
+
+
+# zlib's CRC-32, bit by bit; trees level by level; proofs by index; folding step by step.
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE crc(s, b, c) AS (SELECT CAST(doc_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT s, b + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM (
+    SELECT s, b, CASE WHEN b % 8 = 0 THEN xor(c, CAST(ascii(s[b // 8 + 1]) AS BIGINT)) ELSE c END AS x FROM crc WHERE b < 8 * length(s))),
+bad AS (SELECT DISTINCT CAST(s AS BIGINT) AS doc_id FROM crc WHERE b = 8 * length(s) AND xor(c, 4294967295) % 7 = 0),
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS k, {_leaf('n_chars')} AS leaf, {_leaf('n_chars + 1')} AS leaf1 FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d),
+{_nodes('t', "SELECT k, 0, i, n, leaf FROM r")},
+sub AS (SELECT k, l AS high, h, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+{_nodes('u', "SELECT 'all', 0, i, n, h FROM sub")},
+top AS (SELECT h FROM u WHERE n = 1),
+steps AS (SELECT r.doc_id, r.leaf, a.l AS pos, r.i >> a.l AS i, b.h FROM r JOIN (SELECT DISTINCT k, l FROM t WHERE n > 1) a ON a.k = r.k
+    LEFT JOIN t b ON b.k = r.k AND b.l = a.l AND b.i = xor(r.i >> a.l, 1)
+  UNION ALL SELECT r.doc_id, r.leaf, sub.high + a.l, sub.i >> a.l, b.h FROM r JOIN sub ON sub.k = r.k
+    CROSS JOIN (SELECT DISTINCT l FROM u WHERE n > 1) a LEFT JOIN u b ON b.l = a.l AND b.i = xor(sub.i >> a.l, 1)),
+proof AS (SELECT doc_id, sha256(coalesce(string_agg(h, '' ORDER BY pos), '')) AS p, count(*) AS n FROM steps GROUP BY doc_id),
+f(doc_id, pos, h) AS (SELECT d.doc_id, 0, CASE WHEN bad.doc_id IS NULL THEN leaf ELSE leaf1 END FROM d LEFT JOIN bad ON bad.doc_id = d.doc_id
+  UNION ALL SELECT f.doc_id, f.pos + 1, sha256(CASE WHEN s.i % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END)
+    FROM f JOIN steps s ON s.doc_id = f.doc_id AND s.pos = f.pos),
+last AS (SELECT doc_id, arg_max(h, pos) AS h FROM f GROUP BY doc_id)
+SELECT d.doc_id, d.leaf, sub.h AS subroot, top.h AS root, coalesce(proof.p, sha256('')) AS proof_sha256, last.h AS folded_root, last.h = top.h AS verified
+FROM d JOIN sub ON sub.k = d.k CROSS JOIN top JOIN last ON last.doc_id = d.doc_id LEFT JOIN proof ON proof.doc_id = d.doc_id"""
