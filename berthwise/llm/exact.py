@@ -136,11 +136,12 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of rows with one id and text
+    the smallest in column order."""
     stay = (exact_groups(docs, block).where("kept")
             .select(F.struct("doc_id", "_h").alias("_key"), F.lit(True).alias("_stay")))
     own = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"),
                    F.xxhash64(normalised().cast("binary")).alias("_h"))
-    j = docs.withColumn("_key", own).join(stay, "_key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    return j.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    j = docs.select(F.struct("*").alias("row"), own.alias("_key")).join(stay, "_key", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("row"))
+    return j.withColumn("_nth", nth).where("_nth = 1").select("row.*")

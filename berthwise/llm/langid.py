@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
+MOST_FEATURES, LEAST_EXPLAINED = 0.75, 0.5
 # ASCII signs and digits, which no word keeps.
 _DROP = bytes(c for c in range(33, 127) if not chr(c).isalpha())
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD],
@@ -122,6 +123,7 @@ class Crf:
     lexicon: dict[bytes, int]
     trans: np.ndarray
     begin: np.ndarray
+    seen: np.ndarray               # (BUCKETS + labels,): which features training met
 
     def features(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         b, o = grams(words)
@@ -131,18 +133,21 @@ class Crf:
             b, o = np.concatenate([b, x[:, 0]]), np.concatenate([o, x[:, 1]])
         return b, o
 
-    def scores(self, words: list[bytes]) -> np.ndarray:
+    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of each word by label, and whether training met at least ``MOST_FEATURES`` of its features."""
         b, o = self.features(words)
-        return np.stack([np.bincount(o, weights=self.weights[b, k], minlength=len(words)) for k in range(len(self.labels))], axis=1)
+        total = lambda weights=None: np.bincount(o, weights=weights, minlength=len(words))
+        return (np.stack([total(self.weights[b, k]) for k in range(len(self.labels))], axis=1),
+                total(self.seen[b]) >= MOST_FEATURES * total())
 
-    def marginals(self, words: list[bytes], first: np.ndarray) -> np.ndarray:
-        """Label probabilities of each word of a run of documents."""
+    def marginals(self, words: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Label probabilities of each word of a run of documents, and whether training explains it."""
         code, distinct = pd.factorize(np.array(words, dtype=object))
-        s = self.scores(list(distinct))
+        s, known = self.scores(list(distinct))
         e = np.exp(s - s.max(axis=1, keepdims=True)) + 1e-30
         alpha, beta = messages(e[code], first, self.trans, self.begin)
         g = alpha * beta
-        return g / g.sum(axis=1, keepdims=True)
+        return g / g.sum(axis=1, keepdims=True), known[code]
 
 
 def fit(samples: list[tuple[str, str]], rounds: int = 60, rate: float = 0.15, l2: float = 1e-4, seed: int = 0) -> Crf | None:
@@ -177,9 +182,11 @@ def fit(samples: list[tuple[str, str]], rounds: int = 60, rate: float = 0.15, l2
     first = np.zeros(len(words), dtype=bool)
     first[np.cumsum([0] + [len(w) for _, w in stretches[:-1]])[::8]] = True       # eight stretches a sequence
     labels_n = len(labels)
-    m = Crf(labels, np.zeros((BUCKETS + labels_n, labels_n)), lexicon, np.full((labels_n, labels_n), 1 / labels_n), np.full(labels_n, 1 / labels_n))
+    m = Crf(labels, np.zeros((BUCKETS + labels_n, labels_n)), lexicon, np.full((labels_n, labels_n), 1 / labels_n), np.full(labels_n, 1 / labels_n),
+            np.zeros(BUCKETS + labels_n, dtype=bool))
     code, distinct = pd.factorize(np.array(words, dtype=object))
     b, o = m.features(list(distinct))
+    m.seen[b] = True
     seen = np.zeros((len(distinct), labels_n))
     np.add.at(seen, (code, y), 1.0)
     inside = ~first[1:]
@@ -225,8 +232,8 @@ def sample(docs: DataFrame, per_label: int = 100, seed: int = 0) -> list[tuple[s
     return [(r["lang"], r["text"]) for r in known.where(F.col("u") < F.element_at(limit, F.col("lang"))).select("lang", "text").collect()]
 
 
-def _judged(batches: Iterator[pd.DataFrame], crf: Crf | None, batch_words: int) -> Iterator[tuple[pd.DataFrame, list, np.ndarray]]:
-    """(rows, languages, scores); the words of some documents are labelled together."""
+def _judged(batches: Iterator[pd.DataFrame], crf: Crf | None, batch_words: int) -> Iterator[tuple[pd.DataFrame, list, np.ndarray, np.ndarray]]:
+    """(rows, languages, scores, shares of words that training explains); the words of some documents are labelled together."""
     for pdf in batches:
         lo, n, words = 0, 0, []
         for hi, text in enumerate(pdf["text"], 1):
@@ -234,7 +241,7 @@ def _judged(batches: Iterator[pd.DataFrame], crf: Crf | None, batch_words: int)
             words.append(w if w and any(c.isalpha() for c in text) else [])
             n += len(w)
             if n >= batch_words or hi == len(pdf):
-                pred, score = ["und"] * len(words), np.zeros(len(words))
+                pred, score, share = ["und"] * len(words), np.zeros(len(words)), np.zeros(len(words))
                 live = [i for i, x in enumerate(words) if x and crf is not None]
                 if live:
                     sizes = np.array([len(words[i]) for i in live])
@@ -242,11 +249,13 @@ def _judged(batches: Iterator[pd.DataFrame], crf: Crf | None, batch_words: int)
                     run = [x for i in live for x in words[i]]
                     first = np.zeros(len(run), dtype=bool)
                     first[at] = True
-                    mean = np.add.reduceat(crf.marginals(run, first), at, axis=0) / sizes[:, None]
+                    g, known = crf.marginals(run, first)
+                    mean = np.add.reduceat(g, at, axis=0) / sizes[:, None]
+                    share[live] = np.add.reduceat(known.astype(float), at) / sizes
                     score[live] = np.clip(mean.max(axis=1), 0.0, 1.0)
                     for i, k in zip(live, mean.argmax(axis=1)):
                         pred[i] = crf.labels[k]
-                yield pdf.iloc[lo:hi], pred, score
+                yield pdf.iloc[lo:hi], pred, score, share
                 lo, n, words = hi, 0, []
 
 
@@ -255,7 +264,7 @@ def predict(docs: DataFrame, model: Crf | None, batch_words: int = 200_000) -> D
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, pred, score in _judged(batches, sent.value, batch_words):
+        for rows, pred, score, _ in _judged(batches, sent.value, batch_words):
             yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "lang_pred": pred, "score": score})
     src = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = src.mapInPandas(run, "doc_id string, lang_pred string, score double")
@@ -267,14 +276,18 @@ def identified(docs: DataFrame, per_label: int = 100) -> DataFrame:
     return predict(docs, fit(sample(docs, per_label)))
 
 
-def filtered(docs: DataFrame, least: float, per_label: int = 100, batch_words: int = 200_000) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a score of ``least`` or more."""
+def filtered(docs: DataFrame, least: float = LEAST_EXPLAINED, per_label: int = 100, batch_words: int = 50_000, rows: int = 500) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known: it is not ``und``, and at least the share ``least`` of
+    the words are made of what the training languages are made of.  The mixture of languages doesn't matter."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, per_label)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = sent.value
         for batch in batches:
-            text = pd.DataFrame({"text": batch.column("text").cast(pa.string()).to_pandas()})
-            keep = [p != "und" and s >= least for _, pred, score in _judged(iter([text]), sent.value, batch_words)
-                    for p, s in zip(pred, score)]
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
+                text = pd.DataFrame({"text": part.column("text").cast(pa.string()).to_pandas()})
+                keep = [p != "und" and x >= least for _, pred, _, explained in _judged(iter([text]), crf, batch_words)
+                        for p, x in zip(pred, explained)]
+                yield part.filter(pa.array(keep, type=pa.bool_()))
     return docs.mapInArrow(run, docs.schema)

@@ -153,16 +153,17 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: float = MAX_COP
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: rows of ``docs`` repeated as often as ``mixed`` takes them."""
+    """The mix itself: rows of ``docs``, all columns whatever their names, repeated as often as ``mixed`` takes them; rows with
+    one id, source and text are numbered in column order."""
     same = ["doc_id", "source", "_h"]
     chosen = (mixed(docs, **how).groupBy(*same).agg(F.map_from_entries(F.collect_list(F.struct("_dup", "copies"))).alias("_copies"))
               .select(_key(cols=same).alias("_key"), "_copies"))
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").cast("bigint").alias("doc_id"),
-                                             F.col("source").cast("string").alias("source"),
-                                             F.xxhash64(F.col("text")).alias("_h")))
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").cast("bigint").alias("doc_id"),
+                                                             F.col("source").cast("string").alias("source"),
+                                                             F.xxhash64(F.col("text")).alias("_h")).alias("_key"))
     numbered = keyed.join(chosen, "_key").withColumn(
-        "_dup", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))))
+        "_dup", F.row_number().over(Window.partitionBy("_key").orderBy("row")))
     n = F.element_at("_copies", F.col("_dup"))
     return (numbered.withColumn("_n", n).where("_n > 0")
-            .select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_copy"))
-            .select(*docs.columns))
+            .select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_copy"))
+            .select("row.*"))

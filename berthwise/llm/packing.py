@@ -61,9 +61,10 @@ class WordTokenizer:
     @staticmethod
     def part_pattern(spec: dict):
         """The tokenizer's own split pattern, if its parts go to the model as lower-case byte text and nothing else."""
-        norm = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        norm = [n["type"] for n in steps]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        if norm != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in pre] != ["Split", "ByteLevel"] \
+        if norm != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": r"\s+"} or steps[1]["content"].strip() or [p["type"] for p in pre] != ["Split", "ByteLevel"] \
                 or pre[1].get("add_prefix_space") or pre[1].get("use_regex") or spec["model"]["type"] != "BPE":
             return None
         return regex.compile(pre[0]["pattern"]["Regex"])
@@ -145,14 +146,15 @@ class WordTokenizer:
         return out
 
 
-_IN_WORKER: dict[str, WordTokenizer] = {}
+_IN_WORKER: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer_of(path: str) -> WordTokenizer:
-    """The worker process's tokenizer; later tasks find the words of earlier ones."""
-    if path not in _IN_WORKER:
-        _IN_WORKER[path] = WordTokenizer(path)
-    return _IN_WORKER[path]
+def tokenizer_of(path: str, cached: int) -> WordTokenizer:
+    """The worker process's tokenizer; later tasks find the words of earlier ones.  One is held at a time."""
+    if (path, cached) not in _IN_WORKER:
+        _IN_WORKER.clear()
+        _IN_WORKER[path, cached] = WordTokenizer(path, cached)
+    return _IN_WORKER[path, cached]
 
 
 def binary_lengths(total: int, sequence: int = SEQUENCE) -> list[int]:
@@ -161,9 +163,9 @@ def binary_lengths(total: int, sequence: int = SEQUENCE) -> list[int]:
     return [sequence] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, cached: int = CACHED_WORDS) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids, sequence_id, offset) of every piece; ids are little-endian
-    unsigned 32-bit.
+    unsigned 32-bit.  A worker process remembers up to twice ``cached`` words, about 0.25 KB each, until it ends.
 
     A sequence's number has its bucket on top, then the task that made it, then its place in the task:
     buckets lie together, numbers are never shared, and nothing is counted or moved for them."""
@@ -173,7 +175,7 @@ def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
     top = sequence.bit_length()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = tokenizer_of(tokenizer)
+        tok = tokenizer_of(tokenizer, cached)
         task = TaskContext.get().partitionId()
         made = [0] * (top + 1)
         for pdf in batches:

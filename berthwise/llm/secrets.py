@@ -3,14 +3,14 @@
 Every version of every path is addressed by the SHA-256 of its text (its *blob*).  The
 ledger is a table of the (blob, rule, version) pairs scanned so far with their findings.
 A scan takes the blobs of the versions it is given, drops the pairs that the
-ledger has, runs the rules over the distinct texts that are left, adds one row per
+ledger has, runs each rule over just the distinct texts that miss its pair, adds one row per
 scanned pair to the ledger, found something or not, and joins the findings back to all paths
 that hold the blob.  A text copied a thousand times is scanned once; a rule whose
 version changes is run again over every blob, and the other rules are not.
 
 Everything is DataFrame code.  Defined cases: a null text is empty; repeated rows
 are versions like any other; null paths stay null; an empty table gives an empty result;
-extra columns are ignored.
+extra columns are ignored, whatever their names; texts are scanned whole, however long.
 """
 
 from __future__ import annotations
@@ -47,19 +47,24 @@ RULES = (
 LEDGER = "blob binary, kind string, version int, spans array<struct<start:bigint,end:bigint>>"
 
 
-def blobs(versions: DataFrame, text: str = "text") -> DataFrame:
-    return versions.withColumn("_text", empty_if_null(text)).withColumn("blob", F.unhex(F.sha2(F.col("_text"), 256)))
+def blobs(versions: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, text and blob of each version."""
+    t = versions.select(*[F.col(c) for c in keep], empty_if_null(text).alias("text"))
+    return t.withColumn("blob", F.unhex(F.sha2("text", 256)))
 
 
 def findings(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(blob, kind, version, start, end) of each span in distinct (blob, text) rows; code
-    points, end exclusive.
+    points, end exclusive.  Where the rows have ``due``, the kinds to look for, no other rule's pattern is run on them.
 
     Splitting a text at its matches gives what lies between them, so a running sum of
     the lengths of both places every match.  Only texts with a match are split."""
     t = texts
     for r in rules:
-        t = t.withColumn(f"_m_{r.kind}", F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)))
+        m = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))
+        if "due" in texts.columns:
+            m = F.when(F.array_contains("due", r.kind), m).otherwise(F.array().cast("array<string>"))
+        t = t.withColumn(f"_m_{r.kind}", m)
     t = t.where(" or ".join(f"size(_m_{r.kind}) > 0" for r in rules))
 
     def matches(r: Rule) -> Column:
@@ -82,7 +87,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
          text: str = "text") -> DataFrame:
     """New ledger rows: the unseen (blob, rule, version) pairs of ``versions`` with their spans."""
     pairs = F.inline(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]))
-    b = blobs(versions, text).select("blob", F.col("_text").alias("text"))
+    b = blobs(versions, [], text)
     if ledger is None:
         distinct = b.distinct()                       # map-side first: a hot blob crosses once a task
         due = distinct.select("blob").select("blob", pairs)
@@ -91,8 +96,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         seen = ledger.select("blob", "kind", "version").distinct()
         due = saved(b.select("blob").distinct().select("blob", pairs)
                     .join(seen, ["blob", "kind", "version"], "left_anti"), "due")
-        distinct = b.join(due.select("blob").distinct(), "blob", "left_semi").distinct()
-        spans = findings(distinct, rules).join(due, ["blob", "kind", "version"], "left_semi")
+        # Copies meet map-side; the kinds due join where the texts lie.
+        distinct = b.groupBy("blob").agg(F.first("text").alias("text"))
+        spans = findings(distinct.join(due.groupBy("blob").agg(F.collect_set("kind").alias("due")), "blob"), rules)
     grouped = spans.groupBy("blob", "kind", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     return due.join(grouped, ["blob", "kind", "version"], "left").select(
         "blob", "kind", "version", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
@@ -109,7 +115,7 @@ def by_path(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tupl
                 F.col("s.start").alias("start"), F.element_at(order, F.col("kind")).alias("rank"), "kind",
                 F.col("s.end").alias("end")))).alias("found")))
     hits = saved(hits, "findings")                    # a plain exchange below, so a hot blob's paths can be split
-    light = blobs(versions, text).select(*keep, "blob")
+    light = blobs(versions, keep, text).drop("text")
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return light.join(hits, "blob", "left").select(*keep, F.coalesce("found", none).alias("found"))
 

@@ -157,9 +157,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, segmen
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their component; one of rows that repeat it."""
+    """The rows of ``docs``, all columns whatever their names, that stand for their component; of rows that repeat its id
+    and text the smallest in column order."""
     stay = near_duplicates(docs, shingle, max_bits).where("stays").select(F.struct("doc_id", "h").alias("_key"))
     own = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    return (docs.withColumn("_key", own).join(stay, "_key", "left_semi").withColumn("_nth", nth)
-            .where("_nth = 1").select(*docs.columns))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("row"))
+    return (docs.select(F.struct("*").alias("row"), own.alias("_key")).join(stay, "_key", "left_semi").withColumn("_nth", nth)
+            .where("_nth = 1").select("row.*"))

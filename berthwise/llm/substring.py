@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from berthwise.llm.common import saved
 
 WINDOW, GRAM, HOT, SALTS, SHARD_WORDS = 20, 6, 2000, 64, 50_000
-_H, _START, _N = 24, 28, 12                                   # bits of a packed place: text hash, start, windows
+_X, _START, _N = 20, 31, 12                                   # bits of a packed place: more of the row's hash, start, windows
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -208,30 +208,30 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(anchor, doc_id, at) of every segment; at packs text hash, first window and windows."""
+    """(anchor, h, at) of every segment; at packs x, first window and windows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lo = 0
             raw = [t.encode("utf-8") if t else b"" for t in pdf["text"]]
-            ids = pd.array(_ints(pdf["doc_id"]), dtype="Int64")
-            hs = pdf["h"].to_numpy()
+            hs, xs = pdf["h"].to_numpy(), pdf["x"].to_numpy()
             while lo < len(raw):
                 hi, size = lo, 0
                 while hi < len(raw) and (hi == lo or size + len(raw[hi]) < 2 << 20):
                     size += len(raw[hi])
                     hi += 1
                 d, a, start, n = segments(raw[lo:hi], window, gram)
-                at = (hs[lo:hi][d].astype(np.int64) << (_START + _N)) | (start << _N) | n
-                yield pd.DataFrame({"anchor": a, "doc_id": ids[lo:hi][d], "at": at})
+                at = (xs[lo:hi][d] << (_START + _N)) | (start << _N) | n
+                yield pd.DataFrame({"anchor": a, "h": hs[lo:hi][d], "at": at})
                 lo = hi
-    src = keyed(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "h", "text")
-    return src.mapInPandas(run, "anchor bigint, doc_id bigint, at bigint")
+    return keyed(docs).select("h", "x", "text").mapInPandas(run, "anchor bigint, h bigint, at bigint")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and h, bits of a text hash that tell apart texts under one doc_id."""
+    """doc_id, text, and the row's identity: h, 64 bits of a hash of id and text, and x, bits of another.  Segments, which may be many, are
+    known by these 84 bits alone; spans by doc_id and h."""
     t = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return t.withColumn("h", F.xxhash64("text").bitwiseAND(F.lit((1 << (_H - 1)) - 1)))
+    more = F.xxhash64("text", F.lit(1), "doc_id").bitwiseAND(F.lit((1 << _X) - 1))
+    return t.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"), more.alias("x"))
 
 
 def _cut(window: int):
@@ -329,33 +329,30 @@ def _kept(window: int):
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, h) of rows whose whole text also is that of a smaller doc_id."""
-    t = keyed(docs).where("text is not null").select("doc_id", "h", F.unhex(F.sha2("text", 256)).alias("sha"))
+    """(doc_id, h, x) of rows whose whole text also is that of a smaller doc_id."""
+    t = keyed(docs).where("text is not null").select("doc_id", "h", "x", F.unhex(F.sha2("text", 256)).alias("sha"))
     # Null ids come first, so a text that a row without id has is its copy in all others.
     least = t.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none"), F.count("*").alias("c"))
     least = saved(least.where("c > 1").drop("c"), "copied-texts")
-    return t.join(least, "sha").where("doc_id > least or (none and doc_id is not null)").select("doc_id", "h").distinct()
+    return t.join(least, "sha").where("doc_id > least or (none and doc_id is not null)").select("doc_id", "h", "x").distinct()
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, salts: int = SALTS,
                    shard_words: int = SHARD_WORDS, without: DataFrame | None = None) -> DataFrame:
     """(doc_id, h, start, stop): word spans covered by windows that also start earlier; the rows
-    ``without`` (doc_id, h) are not asked, and must repeat smaller rows."""
+    ``without`` (h, x) are not asked, and must repeat smaller rows."""
     occ = anchors(docs, window, gram)
     twice = saved(occ.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
                   .select("anchor", (F.col("c") > hot).alias("hot")), "repeated-anchors")
-    h = F.shiftrightunsigned("at", _START + _N)
+    x = F.shiftrightunsigned("at", _START + _N)
     start = F.shiftrightunsigned("at", _N).bitwiseAND(F.lit((1 << _START) - 1))
-    runs = (occ.join(twice, "anchor").groupBy("doc_id", h.alias("h"))
+    runs = (occ.join(twice, "anchor").groupBy("h", x.alias("x"))
             .agg(F.collect_list(F.struct("anchor", start.cast("int").alias("start"),
                                          F.col("at").bitwiseAND(F.lit((1 << _N) - 1)).cast("short").alias("n"), "hot")).alias("runs")))
-    key = F.struct("doc_id", "h").alias("key")
-    runs = runs.select(key, "runs")
     if without is not None:
-        runs = runs.join(without.select(key), "key", "left_anti")
-    texts = keyed(docs).select(key, "text")
-    cut = (texts.join(runs, "key")
-           .select(F.col("key.doc_id").cast("string").alias("doc_id"), F.col("key.h").alias("h"), "text", "runs")
+        runs = runs.join(without.select("h", "x"), ["h", "x"], "left_anti")
+    cut = (keyed(docs).join(runs, ["h", "x"])
+           .select(F.col("doc_id").cast("string").alias("doc_id"), "h", "text", "runs")
            .mapInPandas(_cut(window), _CUT))
     # By place, not by document: a text of one word repeats one window all along.
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts))).otherwise(0)

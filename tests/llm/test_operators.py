@@ -197,6 +197,10 @@ def test_secrets(docs, rows, none, spark):
     both = ledger.unionByName(again)
     assert secrets.by_path(docs, both, ["doc_id"], newer).where("exists(found, x -> x.kind = 'access')").count() == 1
     assert secrets.scan(none).count() == 0
+    # No rule is run on a seen pair: this pattern can't even be compiled.
+    broken = (*secrets.RULES[:2], secrets.Rule("hex", "(", 0, 32))
+    more = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(-1).cast("bigint")))
+    assert secrets.scan(more, ledger, broken).count() == 0
 
 
 def _normal(t):
@@ -257,6 +261,16 @@ def test_substring(docs, rows, none, hot):
     assert substring.cleaned(none).count() == 0
 
 
+def test_substring_tells_texts_of_one_id_apart(spark):
+    """Thousands of texts without id, most unique, some in part or whole alike."""
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(26)) for _ in range(6000)]
+    texts += [texts[i] + " tail" for i in range(0, 300, 3)] + texts[1:200:7]
+    rows = [(None if i % 3 else 7, t, None, None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id bigint, text string")
+    assert Counter(tuple(x) for x in substring.cleaned(docs).collect()) == _removed(rows)
+
+
 def test_automaton():
     for _ in range(200):
         shard = [([rng.choice("ab") for _ in range(rng.randint(3, 14))], (True, d), rng.randint(0, 2)) for d in range(5)]
@@ -282,8 +296,25 @@ def test_language(docs, rows, none):
             assert r.lang_pred == "und"
     assert langid.identified(none).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
-    left = langid.filtered(docs, 0.4)
+    left = langid.filtered(docs)
     assert left.columns == docs.columns and left.where("text is null").count() == 0 and left.count() >= len(rows) - 6
+    assert langid.filtered(none).count() == 0
+
+
+def test_known_languages_stay_however_mixed(spark):
+    """Evenly code-switched texts stay; random letters, other scripts and texts without letters go."""
+    r = random.Random(11)
+    all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train = all_docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    held = [x.text.split() for x in train.where(~langid.in_training()).where("length(text) > 400").orderBy("doc_id").limit(60).collect()]
+    mixed = [" ".join(w for k in range(4) for w in held[(4 * i + k) % len(held)][:25]) for i in range(60)]
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(60)) for _ in range(40)]
+    script = [" ".join("".join(chr(r.randint(0x3042, 0x3090)) for _ in range(6)) for _ in range(40)) for _ in range(20)]
+    extra = [(10_000_000 + i, t, None) for i, t in enumerate([*mixed, *noise, *script, "", "12 34 !"])]
+    out = langid.filtered(train.unionByName(spark.createDataFrame(extra, train.schema)), per_label=60)
+    got = {x.doc_id for x in out.select("doc_id").collect()}
+    assert {i for i, t, _ in extra if i in got} == {10_000_000 + i for i in range(60)}
+    assert len(got) - 60 == train.where("text rlike '[A-Za-z]'").count()
 
 
 def test_messages_are_exact():
@@ -405,6 +436,79 @@ def test_components(spark):
     assert all(got[k] == 100 for k in range(100, 161)) and got[200] == got[9] == got[7] == got[5] == 5
 
 
+def test_stages_keep_clashing_columns(spark, docs):
+    """Names that the operators use themselves; of rows with one id and text the smallest stays, however the rows lie."""
+    names = ["_key", "_nth", "_dup", "_copies", "_n", "row", "key", "kept", "blob"]
+    wide = docs.drop("_h", "size", "name")
+    for i, n in enumerate(names):
+        wide = wide.withColumn(n, F.concat(F.lit(f"{i}-"), F.col("lang")))
+    wide = wide.unionByName(wide.withColumn("_key", F.lit("9")).limit(20)).cache()
+    for stage in (exact.deduplicated, simhash.deduplicated, mixing.take, langid.filtered):
+        one, two = (stage(wide.repartition(k)) for k in (2, 5))
+        assert one.columns == wide.columns
+        rows = Counter(tuple(r) for r in one.collect())
+        assert rows == Counter(tuple(r) for r in two.collect()) and set(rows) <= {tuple(r) for r in wide.collect()} and rows
+    assert secrets.by_path(wide, secrets.scan(wide), ["doc_id", "blob"]).count() == wide.count()
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """run() against a version of its own: kept ids of the first stages, copies by source, ids of every piece."""
+    import re
+    from tokenizers import Tokenizer
+    src = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    r = random.Random(4)
+    noise = [(9_000_000 + i, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(50)), None, "junk", 1) for i in range(5)]
+    noise += [(9_100_000, None, "en", "a", 0), (9_100_001, "", None, None, None)]
+    kinds = [f.name for f in src.schema]
+    more = spark.createDataFrame([dict(zip(("doc_id", "text", "lang", "source", "n_chars"), x)) for x in noise],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = src.unionByName(more.select(*[F.col(c).cast(src.schema[c].dataType) for c in kinds])).cache()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    rows = {x.doc_id: x for x in docs.collect()}
+    kept = {i: x for i, x in rows.items() if i < 9_000_000 and re.search(r"[^\W\d_]", x.text or "")}
+    first = {}
+    for i in sorted(kept):
+        first.setdefault(_normal(kept[i].text), i)
+    kept = {i: kept[i] for i in first.values()}
+    fps = {i: _fingerprint(x.text) for i, x in kept.items()}
+    root = {i: i for i in kept}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for a in sorted(kept):
+        for b in sorted(kept):
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 3:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    kept = {i: x for i, x in kept.items() if top(i) == i}
+    size = {i: len(_words(x.text)) for i, x in kept.items()}
+    times = Counter()
+    for x in got:
+        times[x.doc_id] += x.start == 0
+    assert set(times) <= set(kept) and max(times.values()) <= 3
+    mix = {x.doc_id: (x.copies, x.target, x.source) for x in mixing.mixed(docs.where(F.col("doc_id").isin(list(kept)))).collect()}
+    assert times == Counter({i: m[0] for i, m in mix.items() if m[0]})
+    for s in {x.source for x in kept.values()}:
+        mine = [i for i, x in kept.items() if x.source == s]
+        assert abs(sum(size[i] * times[i] for i in mine) - mix[mine[0]][1]) <= max(size[i] for i in mine)
+    lib = Tokenizer.from_file(queries.word_bpe())
+    pieces = {}
+    for x in got:
+        pieces.setdefault(x.doc_id, Counter())[(x.start, x.length, x.ids_crc32, x.doc_tokens, x.offset)] += 1
+    for i, n in times.items():
+        ids = np.array([*lib.encode(kept[i].text, add_special_tokens=False).ids, 1], dtype="<u4").tobytes()
+        at, want = 0, Counter()
+        for length in packing.binary_lengths(len(ids) // 4):
+            want[(at, length, zlib.crc32(ids[4 * at:4 * (at + length)]), len(ids) // 4, 0)] += n
+            at += length
+        assert pieces[i] == want
+    assert len({x.sequence_id for x in got}) == len(got)
+
+
 def test_pipeline(spark, docs, none):
     for start in (docs, none):
         cur = start
