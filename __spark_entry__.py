@@ -738,7 +738,26 @@ def q_service_predictions(spark, d):
     return _out(ML.score(model, frame).select("call_id", "predicted_service_hours"))
 
 
-@_register("allocate")
+@_register("allocate", f"""
+WITH RECURSIVE slot AS (
+  SELECT e.port_id, e.call_id, arg_min(e.berth_id, (coalesce(i.isl_e, epoch_us(v.eta)), e.ordinal)) AS berth_id,
+    min(coalesce(i.isl_e, epoch_us(v.eta))) AS s, min(coalesce(i.isl_e, epoch_us(v.eta))) + any_value(v.svc_us) AS e, any_value(v.eta) AS eta
+  FROM v_elig e JOIN v_vessels v ON v.port_id = e.port_id AND v.call_id = e.call_id
+  LEFT JOIN v_islands i ON i.berth_id = e.berth_id AND i.isl_s <= epoch_us(v.eta) + 60000000 AND i.isl_e > epoch_us(v.eta)
+  GROUP BY e.port_id, e.call_id),
+clash AS (SELECT DISTINCT x.call_id FROM slot x JOIN v_res r ON r.berth_id = x.berth_id
+  AND epoch_us(r.start_time) < x.e AND epoch_us(r.end_time) > x.s),
+q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY berth_id ORDER BY eta, call_id) AS n FROM slot
+  WHERE call_id NOT IN (SELECT call_id FROM clash)),
+r AS (
+  SELECT berth_id, n, call_id, true AS ok, [[s, e]] AS slots FROM q WHERE n = 1
+  UNION ALL
+  SELECT q.berth_id, q.n, q.call_id, len(list_filter(r.slots, lambda x: x[1] < q.e AND x[2] > q.s)) = 0,
+    CASE WHEN len(list_filter(r.slots, lambda x: x[1] < q.e AND x[2] > q.s)) = 0 THEN list_append(r.slots, [q.s, q.e]) ELSE r.slots END
+  FROM r JOIN q ON q.berth_id = r.berth_id AND q.n = r.n + 1)
+SELECT slot.port_id, CAST(slot.call_id AS BIGINT) AS call_id, slot.berth_id, {_mts('s')} AS scheduled_start,
+  {_mts('e')} AS predicted_end, coalesce(r.ok, false) AS accepted
+FROM slot LEFT JOIN r ON r.call_id = slot.call_id""")
 def q_allocate(spark, d):
     # Reservations of the call table's berths, each at the port of its berth.
     b = td.berths(spark, d)

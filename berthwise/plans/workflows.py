@@ -21,6 +21,7 @@ from berthwise.operators import replay as RP
 from berthwise.operators import scenarios as SC
 from berthwise.operators import vessels as VS
 from berthwise.plans import dispatch as DP
+from berthwise.plans import repair as RPR
 from berthwise.session import cut_lineage
 
 
@@ -41,13 +42,13 @@ def train_service_model(raw: DataFrame, model_path: str | None, now, production:
 
 
 def allocate(queue: DataFrame, berths: DataFrame, reservations: DataFrame, model=None) -> dict[str, DataFrame]:
-    """Predict service (M8) -> eligibility (J3) -> drop infeasible (F6) -> first come, first served over the
-    whole queue -> enrich (J12).
+    """Predict service (M8) -> eligibility (J3) -> drop infeasible (F6) -> propose each call's earliest slot over its
+    eligible berths (J11) -> test the window against the reservations (J9) -> first come wins among the proposals of a
+    berth, in ``(eta, pos)`` order (Q5) -> enrich (J12).
 
-    The calls of a port are taken in ``(eta, pos)`` order.  Each gets the earliest slot over its eligible berths (J11), a
-    berth being busy until the last call of this run placed there ends: a call that meets another one of the queue
-    waits for it, however long.  Only calls whose slot runs into an older reservation (J8 doesn't test the length), or
-    that have no ETA or no service time of zero or more, are rejected.
+    Every feasible call has one row: its proposal and whether it is accepted.  Refused are proposals that run into a
+    reservation (J8 doesn't test the length) or into an accepted proposal, and calls without an ETA or a service
+    time of zero or more.  To place refused calls, propose again with the accepted ones among the reservations.
 
     ``queue``: typed calls with ``port_id``, ``call_id``, ``eta``; ``reservations`` carry ``port_id``: call and
     berth ids may repeat across ports.  Returns ``plan``, ``accepted``, ``rejected``, ``infeasible``."""
@@ -61,18 +62,24 @@ def allocate(queue: DataFrame, berths: DataFrame, reservations: DataFrame, model
         q = q.withColumn("pos", F.col("call_id"))
     elig = cut_lineage(EL.eligible_pairs(q, berths))
     infeasible = EL.infeasible_calls(q, elig)
-    taken = reservations.withColumn("_berth", DP.berth_key())
-    islands = cut_lineage(IV.merge_busy(taken, key="_berth"))
     feasible = cut_lineage(EL.feasible_calls(q, elig).select("port_id", "call_id", "eta", "svc_us", "pos"))
     usable = F.col("eta").isNotNull() & F.coalesce(F.col("svc_us") >= 0, F.lit(False))
-    done = DP.first_come(feasible.filter(usable), elig, islands)
-    done = done.unionByName(feasible.filter(~usable).select("port_id", "call_id", F.lit(False).alias("accepted")),
-                            allowMissingColumns=True)
+    taken = reservations.withColumn("_berth", DP.berth_key())
+    keyed = elig.withColumn("_berth", DP.berth_key())
+    slots = DP.earliest_slot(keyed, feasible.filter(usable), IV.merge_busy(taken, key="_berth"), key="_berth")
+    asked = slots.join(feasible, ["port_id", "call_id"]).withColumns({
+        "_berth": DP.berth_key(), "_call": F.struct("port_id", "call_id"), "_turn": F.struct("eta", "pos", "call_id"),
+        "predicted_end": from_us(to_us("scheduled_start") + F.col("svc_us"))})
+    free = cut_lineage(IV.is_available(taken, asked, key="_berth", pid="_call", p_start="scheduled_start", p_end="predicted_end"))
+    won = RPR.admit(free.filter("available"), key="_berth", order="_turn", start="scheduled_start", end="predicted_end")
+    cols = ["port_id", "call_id", "berth_id", "scheduled_start", "predicted_end", "accepted"]
+    no = F.lit(False).alias("accepted")
+    done = won.select(*cols).unionByName(free.filter(~F.col("available")).select(*cols[:-1], no)).unionByName(
+        feasible.filter(~usable).select("port_id", "call_id", no), allowMissingColumns=True)
     names = [c for c in ("name", "eta", "svc_us") if c in q.columns]
     terminal = berths.select("port_id", "berth_id", "terminal_name")
     plan = (done.join(q.select("port_id", "call_id", *names), ["port_id", "call_id"])
-            .join(terminal, ["port_id", "berth_id"], "left")
-            .withColumn("predicted_end", from_us(to_us("scheduled_start") + F.col("svc_us"))))
+            .join(terminal, ["port_id", "berth_id"], "left"))
     return {"plan": plan, "accepted": plan.filter("accepted"), "rejected": plan.filter(~F.col("accepted")),
             "infeasible": infeasible}
 

@@ -133,7 +133,13 @@ def test_allocate_does_not_double_book_across_days(spark):
     out = WF.allocate(q, _berths(spark, [("P1", "A")]), spark.createDataFrame([], RES))
     got = {r.call_id: (r.scheduled_start, r.predicted_end, r.accepted) for r in out["plan"].collect()}
     assert got[1] == (T0 + timedelta(hours=4), T0 + timedelta(hours=34), True)
-    assert got[2][0] == T0 + timedelta(hours=34) and got[3][0] == T0 + timedelta(hours=39) and all(r[2] for r in got.values())
+    assert got[2][0] == T0 + timedelta(hours=26) and got[3][0] == T0 + timedelta(hours=27) and not got[2][2] and not got[3][2]
+    # What was refused is proposed again, behind what was accepted.
+    busy = out["accepted"].select("port_id", "call_id", F.lit("X").alias("vessel_name"), "berth_id",
+                                  F.col("scheduled_start").alias("start_time"), F.col("predicted_end").alias("end_time"))
+    again = WF.allocate(q.join(out["rejected"].select("port_id", "call_id"), ["port_id", "call_id"]), _berths(spark, [("P1", "A")]), busy)
+    got = {r.call_id: (r.scheduled_start, r.accepted) for r in again["plan"].collect()}
+    assert got == {2: (T0 + timedelta(hours=34), True), 3: (T0 + timedelta(hours=34), False)}
 
 
 def test_allocate_keeps_ports_apart(spark):
@@ -153,37 +159,28 @@ def test_allocate_rejects_what_runs_into_a_reservation(spark):
     assert none["plan"].count() == 0
 
 
-def test_allocate_keeps_calls_that_met_one_of_the_queue(spark):
-    q = _queue(spark, [("P1", 1, 2, 1), ("P1", 2, 2, 4), ("P1", 3, 3, 1)])
-    q = q.withColumn("eta", F.col("eta") + F.expr("CASE call_id WHEN 2 THEN INTERVAL 5 MINUTES WHEN 3 THEN INTERVAL 30 MINUTES ELSE INTERVAL 0 MINUTES END"))
-    out = WF.allocate(q, _berths(spark, [("P1", "A")]), spark.createDataFrame([], RES))
-    got = {r.call_id: ((r.scheduled_start - T0) / timedelta(hours=1), (r.predicted_end - T0) / timedelta(hours=1)) for r in out["accepted"].collect()}
-    assert got == {1: (2, 3), 2: (3, 7), 3: (7, 8)} and out["rejected"].count() == 0
-
-
 def _ref_allocate(calls, berths, res):
-    """Calls (port, id, eta, hours, length) one after another; berths (port, id, length); res (port, berth, start, end)."""
-    until, out = {}, {}
-    for port, i, eta, svc, length in sorted(calls, key=lambda c: (c[2], c[1])):
-        best = None
-        for p, b, quay in berths:
-            if p != port or quay < length:
-                continue
-            t = max(eta, until.get((p, b), eta))
-            for _, _, s, e in sorted(r for r in res if r[:2] == (p, b)):
-                if s > t + timedelta(minutes=1):
-                    break
-                t = max(t, e)
-            if best is None or t < best[1]:
-                best = b, t
-        if best is None:
-            continue
-        b, t = best
-        end = t + timedelta(hours=svc)
-        ok = not any(r[:2] == (port, b) and r[2] < end and r[3] > t for r in res)
+    """Proposals of calls (port, id, eta, hours, length) over berths (port, id, length) beside res (port, berth, start, end), then
+    first come wins."""
+    asked = []
+    for port, i, eta, svc, length in calls:
+        slots = []
+        for rank, (p, b, quay) in enumerate(berths):
+            if p == port and quay >= length:
+                t = eta
+                for _, _, s, e in sorted(r for r in res if r[:2] == (p, b)):
+                    if s <= t + timedelta(minutes=1):
+                        t = max(t, e)
+                slots.append((t, rank, b))
+        if slots:
+            t, _, b = min(slots)
+            asked.append((eta, i, port, b, t, t + timedelta(hours=svc)))
+    won, out = [r for r in res], {}
+    for _, i, port, b, s, e in sorted(asked):
+        ok = not any(r[:2] == (port, b) and r[2] < e and r[3] > s for r in won)
+        out[port, i] = (b, s, ok)
         if ok:
-            until[port, b] = end
-        out[port, i] = (b, t, ok)
+            won.append((port, b, s, e))
     return out
 
 
