@@ -1034,6 +1034,7 @@ def q_ais_rejects(spark, d):
 
 
 from berthwise.streaming import live as LV  # noqa: E402
+from berthwise.streaming import timeline as TL  # noqa: E402
 
 
 @_register("latest_call_state", f"""
@@ -1052,6 +1053,29 @@ def q_latest_call_state(spark, d):
                               "eta", "draft_m"))
 
 
+@_register("berth_timeline", """
+WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY berth_id ORDER BY t, seq) AS n FROM v_timeline),
+r AS (
+  SELECT berth_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, '' AS kind, CAST(NULL AS VARCHAR) AS reason, CAST([] AS BIGINT[][]) AS slots
+  FROM (SELECT DISTINCT berth_id FROM q) b
+  UNION ALL
+  SELECT q.berth_id, q.n, q.seq, q.kind, x.reason,
+    CASE WHEN x.reason IS NOT NULL THEN r.slots
+         WHEN q.kind = 'release' THEN list_filter(r.slots, lambda y: NOT (y[3] = q.call_id AND y[1] = x.last))
+         ELSE list_append(r.slots, [q.s, q.e, CASE WHEN q.kind = 'assign' THEN q.call_id ELSE -1 END]) END
+  FROM r JOIN q ON q.berth_id = r.berth_id AND q.n = r.n + 1,
+  LATERAL (SELECT list_max(list_transform(list_filter(r.slots, lambda y: y[3] = q.call_id AND y[2] > q.t - 2592000000000), lambda y: y[1])) AS last,
+    CASE WHEN q.kind IN ('assign', 'offline') THEN
+      CASE WHEN q.s IS NULL OR q.e IS NULL OR q.e < q.s THEN 'no valid window' WHEN q.s < q.t - 2592000000000 THEN 'window too old'
+           WHEN len(list_filter(r.slots, lambda y: y[1] < q.e AND y[2] > q.s)) > 0 THEN 'overlaps an accepted slot' END
+    WHEN q.kind = 'release' THEN CASE WHEN len(list_filter(r.slots, lambda y: y[3] = q.call_id AND y[2] > q.t - 2592000000000)) = 0 THEN 'unknown call' END
+    ELSE 'unknown event' END AS reason) x)
+SELECT berth_id, CAST(seq AS BIGINT) AS seq, kind, reason IS NULL AS accepted, reason FROM r WHERE n > 0""")
+def q_berth_timeline(spark, d):
+    out = TL.replay(td.timeline_events(spark, d))
+    return _out(out.select("berth_id", "seq", "kind", "accepted", "reason"))
+
+
 @_register("replan_triggers", """
 WITH a AS (SELECT * FROM v_ais WHERE name IS NOT NULL),
 p AS (SELECT name, arg_min(eta, (eta, msg_id)) AS planned_eta FROM a GROUP BY name)

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from berthwise import schema as S
 from berthwise.functions.scalar import overlaps
 from berthwise.functions.time import HOUR_US, MINUTE_US, from_us, to_us
-from berthwise.operators.scan import DAY_US, bucket_of, running, scan_bucket
+from berthwise.operators.scan import DAY_US, bucket_of, in_blocks, running
 
 GAP_US = S.NEXT_SLOT_GAP_SECONDS * 1_000_000
 
@@ -47,7 +47,7 @@ def merge_busy(res: DataFrame, gap_seconds: int = S.NEXT_SLOT_GAP_SECONDS, key:
     of the earlier reservations plus ``gap``.  Returns ``(key, island_start,
     island_end, n_reservations)``.
 
-    One shuffle of the reservations, two-level: inside a (berth, minute) bucket
+    One shuffle of the reservations, two-level: inside a (berth, block) group
     the local running max end ``lm`` and the local island candidates (start >
     lm + gap); one row per bucket carries ``Cb`` (max end of earlier buckets)
     and the last island start of earlier buckets.  Since starts ascend, the
@@ -55,7 +55,7 @@ def merge_busy(res: DataFrame, gap_seconds: int = S.NEXT_SLOT_GAP_SECONDS, key:
     its last candidate when that clears ``Cb + gap``."""
     gap = gap_seconds * 1_000_000
     unb = Window.unboundedPreceding
-    r = _us(res.select(key, start, end, tie), start, end).withColumn("_bkt", scan_bucket("_s"))
+    r = in_blocks(_us(res.select(key, start, end, tie), start, end), "_s")
     w = Window.partitionBy(key, "_bkt").orderBy("_s", "_e", tie)
     r = r.withColumn("_lm", F.max("_e").over(w.rowsBetween(unb, -1)))
     cand = F.col("_lm").isNull() | (F.col("_s") > F.col("_lm") + F.lit(gap))
@@ -83,7 +83,7 @@ def conflict_flags(res: DataFrame, key: str = "berth_id", start: str = "start_ti
                    end: str = "end_time", tie: str = "call_id") -> DataFrame:
     """J10 (cheap): flag reservations that start before the running maximum
     end of the earlier-ordered reservations on the same berth."""
-    r = _us(res, start, end).withColumn("_bkt", scan_bucket("_s"))
+    r = in_blocks(_us(res, start, end), "_s")
     r = running(r, [key], "_bkt", ["_s", "_e", tie], "_e", "_prev_max", "max", inclusive=False)
     flag = F.coalesce(F.col("_s") < F.col("_prev_max"), F.lit(False))
     return r.withColumn("overlaps_earlier", flag).drop("_s", "_e", "_bkt", "_prev_max")

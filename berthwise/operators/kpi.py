@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.time import HOUR_US, from_us, to_us
-from berthwise.operators.scan import scan_bucket, running
+from berthwise.operators.scan import in_blocks, running
 from berthwise.session import cut_lineage
 
 H = float(HOUR_US)
@@ -203,7 +203,7 @@ def queue_board(queue: DataFrame, t, by: str = "port_id", eta: str = "eta", key:
     holding most of the queue is still ranked by many tasks."""
     tc = F.lit(t).cast("timestamp_ntz") if not isinstance(t, Column) else t
     q = queue.filter(F.col(eta) <= tc).withColumns({"_a": to_us(eta), "_one": F.lit(1)})
-    q = q.withColumn("_bkt", scan_bucket("_a"))
+    q = in_blocks(q, "_a")
     q = running(q, [by], "_bkt", ["_a", key], "_one", "rank", "sum", inclusive=True)
     cargo = F.coalesce(F.nullif(F.col("cargo_import"), F.lit("")), F.col("cargo_export"))
     return q.select(

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.time import HOUR_US, from_us, to_us
-from berthwise.operators.scan import scan_bucket, running
+from berthwise.operators.scan import in_blocks, running
 
 H = float(HOUR_US)
 
@@ -38,7 +38,7 @@ def fifo_one(df: DataFrame, part: list[str], eta: str = "eta", svc_us: str = "sv
     reaches ``thr``, and its last opening is the first row attaining that
     maximum — so busy starts need no second pass over the calls."""
     unb = Window.unboundedPreceding
-    d = df.withColumn("a_us", to_us(eta)).withColumn("_bkt", scan_bucket("a_us"))
+    d = in_blocks(df.withColumn("a_us", to_us(eta)), "a_us")
     w = Window.partitionBy(*part, "_bkt").orderBy("a_us", pos)
     d = d.withColumn("_c", F.coalesce(F.sum(svc_us).over(w.rowsBetween(unb, -1)), F.lit(0)).cast("bigint"))
     d = d.withColumn("_x", F.col("a_us") - F.col("_c"))
@@ -76,7 +76,7 @@ def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str
     """
     pool_cols = [c for c in capacity.columns if c != "k"]
     d = calls.join(capacity, pool_cols, "inner")
-    d = d.withColumns({"_a": to_us(eta), "_one": F.lit(1).cast("bigint")}).withColumn("_bkt", scan_bucket("_a"))
+    d = in_blocks(d.withColumns({"_a": to_us(eta), "_one": F.lit(1).cast("bigint")}), "_a")
     d = running(d, part, "_bkt", ["_a", pos], "_one", "_nth", "sum")
     d = d.withColumn("lane", (F.col("_nth") - 1) % F.greatest(F.col("k"), F.lit(1))).drop("_a", "_one", "_bkt", "_nth")
     out = fifo_one(d, [*part, "lane"], eta, svc_us, pos)

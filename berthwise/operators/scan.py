@@ -4,23 +4,23 @@ A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to
 one task; a berth or pool holding a third of all rows would then run in one
 task.  Prefix max and prefix sum are associative, so we scan in two levels:
 
-1. inside ``(key, bucket)`` partitions (bucket = minute of the order
-   column, :func:`scan_bucket`) with an ordinary window — bounded by the rows of one
-   key in one minute, so a busy key spreads over more groups the more rows it has;
-2. per key over buckets: one row per bucket (bounded by the minutes of the time span, not
-   by the data), giving a carry-in from all earlier buckets, joined back on
-   ``(key, bucket)`` — the same hash partitioning as step 1, so the big side
+1. inside ``(key, block)`` partitions with an ordinary window.  Blocks are ranges of the order
+   column, cut at its approximate quantiles (:func:`in_blocks`): as many as the session has shuffle
+   partitions, each with about as many rows, however the rows lie in time;
+2. per key over blocks: one carry row per block, so at most as many as partitions, joined back on
+   ``(key, block)`` — the same hash partitioning as step 1, so the big side
    is not shuffled again.
 """
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DAY_US = 86_400_000_000
-SCAN_US = 60_000_000
 
 
 def bucket_of(us_col, width_us: int = DAY_US) -> Column:
@@ -29,9 +29,41 @@ def bucket_of(us_col, width_us: int = DAY_US) -> Column:
     return F.floor(c / F.lit(width_us)).cast("bigint")
 
 
-def scan_bucket(us_col) -> Column:
-    """The bucket of the scans below."""
-    return bucket_of(us_col, SCAN_US)
+MOST_BLOCKS = 20_000
+
+
+def block_bounds(df: DataFrame, us_col: str, blocks: int | None = None) -> list[int]:
+    """Ascending inner bounds of ``blocks`` ranges of ``us_col`` with about equal row counts: one aggregate over
+    that column; only the bounds come to the driver."""
+    n = min(blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_BLOCKS)
+    if n < 2:
+        return []
+    got = df.agg(F.percentile_approx(us_col, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]
+    return sorted(set(got or []))
+
+
+def _literal(values: list[int]) -> Column:
+    return F.from_json(F.lit(str(values)), "array<bigint>")
+
+
+def block_of(us: Column, bounds: list[int]) -> Column:
+    """Number of bounds at or before ``us``.  Equal cells of the span tell between which bounds to look, so a row
+    compares itself with the few bounds of its cell."""
+    if len(bounds) < 8:
+        return sum((F.when(us >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0)).cast("int")
+    cells = 4 * len(bounds)
+    lo, width = bounds[0], max(1, -(-(bounds[-1] + 1 - bounds[0]) // cells))
+    before = [bisect.bisect_left(bounds, lo + c * width) for c in range(cells + 1)]
+    cell = F.least(F.greatest(F.floor((us - F.lit(lo)) / F.lit(width)), F.lit(0)), F.lit(cells - 1)).cast("int")
+    start, stop = (F.element_at(_literal(before), cell + F.lit(k)) for k in (1, 2))
+    near = F.filter(F.slice(_literal(bounds), (start + 1).cast("int"), (stop - start).cast("int")), lambda b: b <= us)
+    return (start + F.size(near)).cast("int")
+
+
+def in_blocks(df: DataFrame, us_col: str, out: str = "_bkt") -> DataFrame:
+    """``df`` with the number of each row's block by ``us_col`` (null where that is null)."""
+    us = F.col(us_col)
+    return df.withColumn(out, F.when(us.isNotNull(), block_of(us, block_bounds(df, us_col))))
 
 
 def _carry(df: DataFrame, keys: list[str], bucket: str, value: str, agg, out: str) -> DataFrame:

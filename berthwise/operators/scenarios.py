@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.time import HOUR_US, MINUTE_US, from_us, to_us  # noqa: F401
-from berthwise.operators.scan import scan_bucket, next_value
+from berthwise.operators.scan import in_blocks, next_value
 
 SCENARIOS = ["S1_Baseline", "S2_Congestion", "S3_WeatherClosure", "S4_Maintenance",
              "S5_LateArrival", "S6_Priority", "S7_Conflict"]
@@ -56,7 +56,7 @@ def inter_arrivals(calls: DataFrame, list_by: list[str] | None = None, pos: str
     """For each call, the next call's ETA in list order, the gap in hours
     and the midpoint (NULL for the last call).  Skew-safe lead."""
     keys = list_by or []
-    c = calls.withColumn("_a", to_us("eta")).withColumn("_bkt", scan_bucket("_a"))
+    c = in_blocks(calls.withColumn("_a", to_us("eta")), "_a")
     c = next_value(c, keys, "_bkt", ["_a", pos], "_a", "_next_a")
     half = F.bround((F.col("_next_a") - F.col("_a")) / F.lit(2.0)).cast("bigint")
     return c.select(*calls.columns, from_us("_next_a").alias("next_eta"),
@@ -69,7 +69,7 @@ def wi_densify(calls: DataFrame, list_by: list[str] | None = None, pos: str = "p
     ``name + "_EXTRA"`` at the midpoint between its ETA and the next call's
     ETA (n -> 2n-1).  Clones sort after originals with equal ETA."""
     keys = list_by or []
-    c = calls.withColumn("_a", to_us("eta")).withColumn("_bkt", scan_bucket("_a"))
+    c = in_blocks(calls.withColumn("_a", to_us("eta")), "_a")
     c = next_value(c, keys, "_bkt", ["_a", pos], "_a", "_next_a")
     # half the gap, rounded half-to-even to the microsecond (as timedelta / 2)
     half = F.bround((F.col("_next_a") - F.col("_a")) / F.lit(2.0)).cast("bigint")

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from berthwise.functions.time import from_us, to_us
 from berthwise.operators.intervals import add_offline, is_available
-from berthwise.operators.scan import scan_bucket, running
+from berthwise.operators.scan import in_blocks, running
 
 
 def _check_order(p: np.ndarray, last):
@@ -125,7 +125,7 @@ def admit(requests: DataFrame, key: str = "berth_id", order: str = "pos",
     r = requests.withColumns({"_berth_key": F.to_json(F.struct(key)), "_s": F.when(good, s), "_e": F.when(good, e),
                               "_at": F.when(good, s).otherwise(F.lit(0))})
     by_start = ["_at", "_e", order]
-    r = r.withColumn("_bkt", scan_bucket("_at"))
+    r = in_blocks(r, "_at")
     r = running(r, ["_berth_key"], "_bkt", by_start, "_e", "_before", "max", inclusive=False)
     r = r.withColumn("_opens", F.coalesce(F.col("_at") >= F.col("_before"), F.lit(True)).cast("bigint"))
     r = running(r, ["_berth_key"], "_bkt", by_start, "_opens", "_component", "sum")

@@ -226,3 +226,24 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _hours((k * 3) % 24, F.col("o_orderdate"))
     return o.select(k.alias("call_id"), ((F.col("o_custkey") + 1) % 50).cast("string").alias("berth_id"),
                     s.alias("prop_start"), _hours(1 + k % 12, s).alias("prop_end"))
+
+
+def timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Berth events from ``orders``: every reservation is asked for, some are released, berths go offline; some windows come too
+    late or lack an end, some kinds are unknown."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    k = F.col("o_orderkey")
+    start = _hours(k % 24, F.col("o_orderdate"))
+    end = _hours(1 + k % 40, start)
+    asked = F.when(k % 101 == 0, _hours(F.lit(960), end)).otherwise(_hours(-(k % 72), start))
+
+    def event(i: int, kind, t: Column, call: Column, s: Column, e: Column) -> Column:
+        return F.struct((4 * k + i).cast("bigint").alias("seq"), t.cast("timestamp_ntz").alias("event_time"), kind.alias("kind"),
+                        call.cast("bigint").alias("call_id"), s.cast("timestamp_ntz").alias("start_time"), e.cast("timestamp_ntz").alias("end_time"))
+    no = F.lit(None)
+    ev = F.array(event(0, F.when(k % 97 == 0, F.lit("moved")).otherwise(F.lit("assign")), asked, k, start, F.when(k % 89 != 0, end)),
+                 event(1, F.lit("offline"), _hours(-(k % 10), start), no, _hours(F.lit(1), end), _hours(F.lit(5), end)),
+                 event(2, F.lit("release"), _hours(k % 30, asked), k, no, no))
+    wanted = F.filter(ev, lambda x: (F.pmod(x["seq"], F.lit(4)) == 0) | ((x["kind"] == "offline") & (k % 13 == 0))
+                      | ((x["kind"] == "release") & (k % 3 == 0)))
+    return o.select((F.col("o_custkey") % 50).cast("string").alias("berth_id"), F.inline(wanted))

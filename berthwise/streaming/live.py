@@ -1,5 +1,5 @@
 """Structured Streaming: AIS ingest (X1), latest call state (X2), replan
-triggers (X3), congestion alerts (X4) and the berth timeline (X5).
+triggers (X3) and congestion alerts (X4).  The berth timeline (X5) is in :mod:`berthwise.streaming.timeline`.
 
 Each stream applies the same DataFrame functions as its batch twin, so a
 ``trigger(availableNow=True)`` run over files equals the batch result.
@@ -7,14 +7,8 @@ Each stream applies the same DataFrame functions as its batch twin, so a
 
 from __future__ import annotations
 
-import bisect
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from berthwise import schema as S
 from berthwise.operators.vessels import ais_to_calls
@@ -105,66 +99,3 @@ def congestion_alerts(reports: DataFrame, watermark: str = "2 hours", threshold:
     g = d.groupBy(port, F.window(ts, window).alias("hour")).agg(F.count(F.lit(1)).alias("waiting_calls"))
     return g.filter(F.col("waiting_calls") > threshold).select(
         port, F.col("hour.start").alias("hour_start"), F.col("hour.end").alias("hour_end"), "waiting_calls")
-
-
-# ---------------------------------------------------------------------------
-# X5 berth timeline: stateful per berth
-# ---------------------------------------------------------------------------
-
-TIMELINE_EVENT_SCHEMA = ("berth_id string, seq long, event_time timestamp_ntz, kind string, "
-                         "call_id long, start_time timestamp_ntz, end_time timestamp_ntz")
-TIMELINE_OUT_SCHEMA = ("berth_id string, seq long, kind string, call_id long, start_time timestamp_ntz, "
-                       "end_time timestamp_ntz, accepted boolean, reason string")
-_STATE_SCHEMA = "slots string"
-
-
-def _apply_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    berth = key[0]
-    if state.hasTimedOut:
-        state.remove()
-        return
-    slots = json.loads(state.get[0]) if state.exists else []          # [[start_us, end_us, call_id], ...]
-    rows = []
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["event_time", "seq"], kind="mergesort")
-    for r in batch.itertuples(index=False):
-        s = int(pd.Timestamp(r.start_time).value // 1000) if pd.notna(r.start_time) else None
-        e = int(pd.Timestamp(r.end_time).value // 1000) if pd.notna(r.end_time) else None
-        cid = None if pd.isna(r.call_id) else int(r.call_id)
-        ok, reason = True, None
-        if r.kind in ("assign", "offline"):
-            # accepted slots never overlap: only the latest that starts before this one's end can clash
-            at = None if s is None or e is None or e < s else bisect.bisect_left(slots, e, key=lambda x: x[0])
-            if at is None:
-                ok, reason = False, "no valid window"
-            elif at and slots[at - 1][1] > s:
-                ok, reason = False, "overlaps an accepted slot"
-            else:
-                slots.insert(at, [s, e, cid if r.kind == "assign" else None])
-        elif r.kind == "release":
-            before = len(slots)
-            slots = [x for x in slots if x[2] != cid]
-            if len(slots) == before:
-                ok, reason = False, "unknown call"
-        else:
-            ok, reason = False, "unknown event"
-        rows.append((berth, int(r.seq), r.kind, cid, r.start_time, r.end_time, ok, reason))
-    # drop slots that ended before the watermark: they can no longer clash
-    wm = state.getCurrentWatermarkMs() * 1000
-    slots = [x for x in slots if x[1] > wm]
-    state.update((json.dumps(slots),))
-    if slots:
-        state.setTimeoutTimestamp(max(max(x[1] for x in slots) // 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(rows, columns=["berth_id", "seq", "kind", "call_id", "start_time", "end_time",
-                                      "accepted", "reason"])
-
-
-def berth_timeline(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Assign / release / offline events per berth, applied in
-    ``(event_time, seq)`` order within a micro-batch; an assignment or
-    offline window overlapping an accepted slot, or without a valid window, is rejected with a reason.
-    State per berth holds only slots that end after the watermark.
-    Batch twin: :func:`berthwise.plans.repair.admit`."""
-    return (_event_time(events, "event_time").withWatermark("event_time", watermark)
-            .groupBy("berth_id")
-            .applyInPandasWithState(_apply_events, TIMELINE_OUT_SCHEMA, _STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))

@@ -239,6 +239,20 @@ FROM events
 """
 
 
+VIEWS["v_timeline"] = """
+SELECT berth_id, 4 * k AS seq, asked AS t, CASE WHEN k % 97 = 0 THEN 'moved' ELSE 'assign' END AS kind, k AS call_id, s, CASE WHEN k % 89 <> 0 THEN e END AS e
+FROM (SELECT *, CASE WHEN k % 101 = 0 THEN e + 960 * 3600000000 ELSE s - (k % 72) * 3600000000 END AS asked
+      FROM (SELECT call_id AS k, berth_id, epoch_us(start_time) AS s, epoch_us(end_time) AS e FROM v_res) a) a
+UNION ALL
+SELECT berth_id, 4 * call_id + 1, epoch_us(start_time) - (call_id % 10) * 3600000000, 'offline', NULL,
+  epoch_us(end_time) + 3600000000, epoch_us(end_time) + 5 * 3600000000 FROM v_res WHERE call_id % 13 = 0
+UNION ALL
+SELECT berth_id, 4 * k + 2, asked + (k % 30) * 3600000000, 'release', k, NULL, NULL
+FROM (SELECT *, CASE WHEN k % 101 = 0 THEN e + 960 * 3600000000 ELSE s - (k % 72) * 3600000000 END AS asked
+      FROM (SELECT call_id AS k, berth_id, epoch_us(start_time) AS s, epoch_us(end_time) AS e FROM v_res) a) a WHERE k % 3 = 0
+"""
+
+
 def _deps(sql: str, names: list[str]) -> list[str]:
     order = list(VIEWS)
     need: set[str] = set()

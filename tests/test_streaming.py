@@ -1,13 +1,16 @@
 """Streams over files with trigger(availableNow) equal their batch twins."""
 
 import json
+import random
+import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from berthwise.plans import repair as RPR
 from berthwise.sources import testdata as td
 from berthwise.streaming import live as LV
+from berthwise.streaming import timeline as TL
 from tests.conftest import SF_SMALL
 
 NOW = "2024-01-01 00:00:00"
@@ -76,25 +79,85 @@ def test_congestion_latest_and_replan(spark, tmp_path):
     assert [(t.name, t.delay_hours) for t in trig] == [("C3", 4.0)]
 
 
-def test_berth_timeline_equals_admission(spark, tmp_path):
-    t0 = datetime(2024, 6, 1)
-    ev = [
-        ("70", 1, t0, "assign", 1, t0, t0 + timedelta(hours=8)),
-        ("70", 2, t0 + timedelta(minutes=1), "assign", 2, t0 + timedelta(hours=4), t0 + timedelta(hours=12)),
-        ("70", 3, t0 + timedelta(minutes=2), "assign", 3, t0 + timedelta(hours=8), t0 + timedelta(hours=16)),
-        ("70", 4, t0 + timedelta(minutes=3), "offline", None, t0 + timedelta(hours=16), t0 + timedelta(hours=20)),
-        ("71", 5, t0 + timedelta(minutes=4), "assign", 5, t0, t0 + timedelta(hours=2)),
-        ("71", 6, t0 + timedelta(minutes=5), "release", 5, None, None),
-        ("71", 7, t0 + timedelta(minutes=6), "assign", 7, t0, t0 + timedelta(hours=2)),
-        ("71", 8, t0 + timedelta(minutes=7), "assign", 8, None, t0 + timedelta(hours=2)),
-    ]
-    df = spark.createDataFrame(ev, LV.TIMELINE_EVENT_SCHEMA)
-    src = str(tmp_path / "ev")
-    df.write.parquet(src)
-    stream = spark.readStream.schema(LV.TIMELINE_EVENT_SCHEMA).parquet(src)
-    out = {r.seq: r.accepted for r in _run(LV.berth_timeline(stream), "timeline").collect()}
-    assert out == {1: True, 2: False, 3: True, 4: True, 5: True, 6: True, 7: True, 8: False}
-    # batch twin on the assign/offline requests of berth 70
-    req = df.filter(F.col("kind") != "release").filter(F.col("berth_id") == "70").withColumnRenamed("seq", "pos")
-    batch = {r.pos: r.accepted for r in RPR.admit(req).collect()}
-    assert batch == {1: True, 2: False, 3: True, 4: True}
+T0 = datetime(2024, 6, 1)
+H = timedelta(hours=1)
+
+
+def _timeline_events(seed=3):
+    """Assign, offline, release and odd events of three berths, and one event of a fourth that comes long after."""
+    r = random.Random(seed)
+    out = []
+    for seq in range(150):
+        t = T0 + timedelta(minutes=20 * r.randrange(120))              # several events share a time
+        kind = r.choice(["assign"] * 6 + ["release"] * 3 + ["offline", "odd"])
+        s = t + r.randrange(-10, 60) * H if kind in ("assign", "offline") else None
+        if s is not None and r.random() < 0.1:
+            s -= timedelta(days=40)
+        e = s + r.randrange(0, 12) * H if s is not None and r.random() < 0.9 else None
+        call = None if kind == "offline" else r.randrange(25)
+        out.append((r.choice("ABC"), seq, t, kind, call, s, e))
+    return out, ("Z", 999, T0 + timedelta(days=400), "odd", None, None, None)
+
+
+def _loop(events, horizon=TL.HORIZON):
+    """All events in order against a plain list of slots."""
+    held, out = {}, {}
+    for b, seq, t, kind, call, s, e in sorted(events, key=lambda x: (x[2], x[1])):
+        slots = held.setdefault(b, [])
+        if kind in ("assign", "offline"):
+            reason = ("no valid window" if e is None or e < s else "window too old" if s < t - horizon
+                      else "overlaps an accepted slot" if any(x[0] < e and x[1] > s for x in slots) else None)
+            if reason is None:
+                slots.append((s, e, call if kind == "assign" else None))
+        elif kind == "release":
+            mine = [x for x in slots if x[2] == call and x[1] > t - horizon]
+            reason = None if mine else "unknown call"
+            if mine:
+                slots.remove(max(mine))
+        else:
+            reason = "unknown event"
+        out[b, seq] = reason
+    return out
+
+
+def test_timeline_batch_equals_loop(spark):
+    for seed in range(4):
+        events, _ = _timeline_events(seed)
+        got = TL.replay(spark.createDataFrame(events, TL.EVENT_SCHEMA).repartition(3)).collect()
+        assert {(r.berth_id, r.seq): r.reason for r in got} == _loop(events) and len(got) == len(events)
+        assert all(r.accepted == (r.reason is None) for r in got)
+        assert {r.reason for r in got} >= {None, "no valid window", "window too old", "overlaps an accepted slot", "unknown call", "unknown event"}
+    assert TL.replay(spark.createDataFrame([], TL.EVENT_SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("batches,order", [(1, "time"), (5, "time"), (5, "shuffled"), (9, "backwards")])
+def test_timeline_does_not_depend_on_batches(spark, tmp_path, batches, order):
+    """The same events in any number and order of batches: the answer of the batch twin."""
+    for k, v in TL.STATE_CONF.items():
+        spark.conf.set(k, v)
+    events, last = _timeline_events()
+    want = _loop(events)
+    arrive = sorted(events, key=lambda x: x[2])
+    if order == "shuffled":
+        random.Random(1).shuffle(arrive)
+    elif order == "backwards":
+        arrive.reverse()
+    parts = [arrive[i * len(arrive) // batches:(i + 1) * len(arrive) // batches] for i in range(batches)] + [[last]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, TL.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ev")
+        time.sleep(0.02)                                               # files are taken in order of their times
+    stream = spark.readStream.schema(TL.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ev")
+    got = _run(TL.berth_timeline(stream, watermark="3 days"), f"timeline_{batches}_{order}").collect()
+    assert {(r.berth_id, r.seq): r.reason for r in got} == want and len(got) == len(events)
+    rows = {x[1]: x for x in events}
+    assert all((r.kind, r.call_id, r.start_time, r.end_time) == rows[r.seq][3:] for r in got)
+
+
+def test_timeline_forgets(spark):
+    """Slots that ended a horizon ago leave the state and change nothing."""
+    us = lambda d: int(d.total_seconds() * 1e6)
+    s = TL.Slots(horizon=timedelta(days=2))
+    assert s.apply(0, "assign", 1, us(H), us(2 * H)) is None and s.apply(0, "assign", 2, us(30 * H), us(40 * H)) is None
+    s.forget(us(51 * H))
+    assert s.rows() == [(us(30 * H), us(40 * H), 2)]
+    assert s.apply(us(51 * H), "release", 1, None, None) == "unknown call" and s.apply(us(51 * H), "assign", 3, us(H), us(2 * H)) == "window too old"
