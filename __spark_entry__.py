@@ -8,6 +8,7 @@ doubles rounded to 6 dp) so the oracle can restate the same columns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1037,6 +1038,12 @@ from berthwise.streaming import live as LV  # noqa: E402
 from berthwise.streaming import timeline as TL  # noqa: E402
 
 
+def _ais_updates(spark, d):
+    msgs = td.ais_messages(spark, d)
+    ok, _ = VS.ais_to_calls(msgs, NOW)
+    return ok.select("name", "eta", "draft_m", F.col("call_id").alias("msg_id")).join(msgs.select("msg_id", "received_at"), "msg_id")
+
+
 @_register("latest_call_state", f"""
 SELECT name, CAST(arg_max(msg_id, (received_at, msg_id)) AS BIGINT) AS msg_id,
   {_ts('arg_max(received_at, (received_at, msg_id))')} AS received_at,
@@ -1044,15 +1051,43 @@ SELECT name, CAST(arg_max(msg_id, (received_at, msg_id)) AS BIGINT) AS msg_id,
   round(arg_max(draft_m, (received_at, msg_id)), 6) AS draft_m
 FROM (SELECT *, eta AS received_at FROM v_ais WHERE name IS NOT NULL) a GROUP BY name""")
 def q_latest_call_state(spark, d):
-    msgs = td.ais_messages(spark, d)
-    ok, _ = VS.ais_to_calls(msgs, NOW)
-    upd = ok.select("name", "eta", "draft_m", F.col("call_id").alias("msg_id")) \
-            .join(msgs.select("msg_id", "received_at"), "msg_id")
-    latest = LV.latest_calls(upd, watermark="1 hour")
+    latest = LV.latest_calls(_ais_updates(spark, d), watermark="1 hour")
     return _out(latest.select("name", "msg_id", F.col("received_at").cast("timestamp_ntz").alias("received_at"),
                               "eta", "draft_m"))
 
 
+@_register("latest_call_sessions", f"""
+WITH a AS (SELECT *, eta AS received_at, lag(epoch_us(eta)) OVER (PARTITION BY name ORDER BY eta, msg_id) AS p FROM v_ais WHERE name IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(received_at) - p > 72 * 3600000000 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY name ORDER BY received_at, msg_id ROWS UNBOUNDED PRECEDING) AS n FROM a)
+SELECT name, CAST(arg_max(msg_id, (received_at, msg_id)) AS BIGINT) AS msg_id, {_ts('max(received_at)')} AS received_at,
+  round(arg_max(draft_m, (received_at, msg_id)), 6) AS draft_m, {_ts('min(received_at)')} AS first_seen
+FROM s GROUP BY name, n""")
+def q_latest_call_sessions(spark, d):
+    upd = _ais_updates(spark, d).select("name", "draft_m", "msg_id", "received_at")
+    out = LV.latest_call_sessions(upd, idle="72 hours")
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return _out(out.select("name", "msg_id", ntz("received_at"), "draft_m", ntz("first_seen")))
+
+
+@_register("ais_feed", f"""
+SELECT CAST(row_number() OVER (PARTITION BY name ORDER BY eta, coalesce(vessel_type, 'CARGO_GENERAL'), draft_m) AS BIGINT) AS nth, name, {_ts('eta')} AS received_at,
+  coalesce(vessel_type, 'CARGO_GENERAL') AS vessel_type, {_r('draft_m')} AS draft_m
+FROM v_ais WHERE name IS NOT NULL""")
+def q_ais_feed(spark, d):
+    """The messages as a topic of a log, read back through the data source, typed."""
+    from pyspark.sql.window import Window
+    from berthwise.session import checkpoint_dir
+    from berthwise.sources import feed
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ais-feed-{uuid.uuid4().hex}"
+    feed.append_log(td.ais_messages(spark, d), path)
+    log = feed.read_log(spark, path, stream=False)
+    ok, _ = VS.ais_to_calls(log, NOW)
+    # Within a second several messages of a call are told apart by their text.
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("eta", "vessel_type", "draft_m"))
+    return _out(ok.select(nth.cast("bigint").alias("nth"), "name", F.col("eta").alias("received_at"), "vessel_type", "draft_m"))
+
+
 @_register("berth_timeline", """
 WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY berth_id ORDER BY t, seq) AS n FROM v_timeline),
 r AS (

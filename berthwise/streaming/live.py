@@ -7,6 +7,8 @@ Each stream applies the same DataFrame functions as its batch twin, so a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +35,30 @@ def ais_calls_stream(raw: DataFrame, now) -> tuple[DataFrame, DataFrame]:
     return ais_to_calls(raw, now)
 
 
+def _there(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def start_ais_ingest(raw: DataFrame, now, ok_path: str, reject_path: str, checkpoint: str,
-                     trigger: dict | None = None):
-    """X1 sink: each micro-batch writes accepted calls and rejects to two tables (``foreachBatch``), under
-    ``batch_id=<id>``: a batch that is tried again replaces what its first try wrote."""
+                     trigger: dict | None = None, commits: str | None = None):
+    """X1 sink: each micro-batch writes accepted calls and rejects to two tables (``foreachBatch``) and then, last, one line
+    in ``commits`` (default: beside the checkpoint) that names what it wrote.  :func:`read_committed` shows only what is
+    named there, so both halves of a batch appear together.  A batch that is tried again writes anew under another name,
+    unless its line is there already."""
+    log = commits or commits_of(checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        line = f"{log}/batch_id={batch_id}"
+        if _there(spark, f"{line}/_SUCCESS"):
+            return
+        attempt = uuid.uuid4().hex
         batch = batch.persist()
         try:
             for part, path in zip(ais_to_calls(batch, now), (ok_path, reject_path)):
-                part.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+                part.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}/attempt={attempt}")
+            spark.createDataFrame([(attempt,)], "attempt string").coalesce(1).write.mode("overwrite").json(line)
         finally:
             batch.unpersist()
 
@@ -50,6 +67,19 @@ def start_ais_ingest(raw: DataFrame, now, ok_path: str, reject_path: str, checkp
     return w.start()
 
 
+def commits_of(checkpoint: str) -> str:
+    return checkpoint.rstrip("/") + "-commits"
+
+
+def read_committed(spark, path: str, commits: str) -> DataFrame:
+    """The rows of an ingest table whose batches are committed."""
+    if not _there(spark, commits):
+        return spark.read.parquet(path).limit(0)
+    done = spark.read.schema("attempt string, batch_id long").json(commits)
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.join(done, ["batch_id", "attempt"], "left_semi").drop("batch_id", "attempt")
+
+
 def _event_time(df: DataFrame, ts: str) -> DataFrame:
     """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ); the session clock is
     UTC, so the cast keeps the same instant."""
@@ -74,6 +104,17 @@ def latest_calls(calls: DataFrame, watermark: str = "1 hour", key: str = "name",
             .select(key, *[F.col(f"_s.{c}").alias(c) for c in cols])
 
 
+def latest_call_sessions(calls: DataFrame, idle: str = "6 hours", watermark: str = "1 hour", key: str = "name",
+                         ts: str = "received_at", msg_id: str = "msg_id") -> DataFrame:
+    """X2 with bounded state: the last reported state of each call, once it has been silent for ``idle``.  A call's state
+    leaves with that row; a call that reports again starts anew.  ``append`` mode; repeated deliveries change nothing."""
+    w = _event_time(calls, ts).withWatermark(ts, watermark)
+    cols = [c for c in calls.columns if c != key]
+    g = w.groupBy(key, F.session_window(ts, idle).alias("_w")).agg(
+        F.max_by(F.struct(*cols), F.struct(F.col(ts), F.col(msg_id))).alias("_s"), F.min(ts).alias("first_seen"))
+    return g.select(key, *[F.col(f"_s.{c}").alias(c) for c in cols], "first_seen")
+
+
 def replan_triggers(updates: DataFrame, plan: DataFrame, threshold_hours: float = S.LATE_ARRIVAL_HOURS,
                     key: str = "name", new_eta: str = "eta", planned_eta: str = "planned_eta") -> DataFrame:
     """Updates whose ETA is more than ``threshold`` hours after the

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from berthwise.sources import feed
 from berthwise.sources import testdata as td
 from berthwise.streaming import live as LV
 from berthwise.streaming import timeline as TL
@@ -161,3 +162,86 @@ def test_timeline_forgets(spark):
     s.forget(us(51 * H))
     assert s.rows() == [(us(30 * H), us(40 * H), 2)]
     assert s.apply(us(51 * H), "release", 1, None, None) == "unknown call" and s.apply(us(51 * H), "assign", 3, us(H), us(2 * H)) == "window too old"
+
+
+def _messages(spark, lo, hi):
+    return spark.createDataFrame([(i, T0 + timedelta(minutes=i), f'{{"name": "N{i % 7}", "eta": "2024-06-01T0{i % 9}:00:00"}}') for i in range(lo, hi)],
+                                 "msg_id long, received_at timestamp_ntz, value string")
+
+
+def test_feed_loses_and_repeats_nothing_over_restarts(spark, tmp_path):
+    topic, out, ck = (str(tmp_path / x) for x in ("topic", "out", "ck"))
+    feed.append_log(_messages(spark, 0, 40), topic, partitions=3)
+
+    def run():
+        q = (feed.read_log(spark, topic, group="g", rowsPerTask=7).writeStream.format("parquet").option("checkpointLocation", ck)
+             .trigger(availableNow=True).start(out))
+        q.awaitTermination(120)
+        return spark.read.parquet(out)
+    assert run().count() == 40
+    feed.append_log(_messages(spark, 40, 65), topic, partitions=3)
+    feed.append_log(_messages(spark, 65, 66), topic, partitions=3)
+    got = run()
+    assert run().count() == got.count() == got.select("msg_id").distinct().count() == 66
+    want = _messages(spark, 0, 66)
+    key = lambda r: (r.received_at, r.value)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert sorted(map(key, feed.read_log(spark, topic, stream=False).collect())) == sorted(map(key, want.collect()))
+    with open(f"{topic}/_committed/g.json") as f:
+        assert sum(json.load(f).values()) == 40                 # Spark tells of a commit when the next batch begins
+    # offsets of a partition ascend by one, in time order
+    for p in {r.partition for r in spark.read.parquet(topic).select("partition").collect()}:
+        rows = spark.read.parquet(topic).where(F.col("partition") == p).orderBy("offset").collect()
+        assert [r.offset for r in rows] == list(range(len(rows)))
+    assert feed.read_log(spark, str(tmp_path / "none"), stream=False).count() == 0
+
+
+def test_rows_of_a_topic(spark):
+    """The columns of the Kafka source give the same messages."""
+    rows = spark.createDataFrame([(b"k", b'{"name": "A"}', "ais", 2, 5, T0, 0)],
+                                 "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, timestampType int")
+    assert [tuple(r) for r in feed.as_messages(rows).collect()] == [((2 << 48) + 5, T0, '{"name": "A"}')]
+
+
+def test_sessions_leave_the_state(spark, tmp_path):
+    """A silent call's last report comes out, its state goes, and when it returns it starts anew."""
+    at = lambda h: T0 + h * H
+    parts = [[(1, at(0), "A", 1.0), (2, at(1), "A", 2.0), (3, at(1), "B", 9.0)], [(4, at(4), "A", 3.0), (4, at(4), "A", 3.0)],
+             [(5, at(20), "C", 1.0)], [(6, at(30), "A", 7.0)], [(7, at(60), "C", 2.0)], [(8, at(90), "D", 2.0)]]
+    for i, p in enumerate(parts):
+        spark.createDataFrame(p, "msg_id long, received_at timestamp_ntz, name string, draft_m double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/m")
+        time.sleep(0.02)
+    raw = spark.readStream.schema("msg_id long, received_at timestamp_ntz, name string, draft_m double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/m")
+    df = LV.latest_call_sessions(raw, idle="6 hours")
+    q = df.writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = sorted((r.name, r.msg_id, r.draft_m) for r in spark.table("sessions").collect())
+    assert got == [("A", 4, 3.0), ("A", 6, 7.0), ("B", 3, 9.0), ("C", 5, 1.0), ("C", 7, 2.0)]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda x: json.loads(x.json), q.recentProgress) if p["stateOperators"]]
+    assert max(held) >= 2 and held[-1] == 1
+    twin = LV.latest_call_sessions(spark.read.parquet(f"{tmp_path}/m"), idle="6 hours")
+    assert sorted((r.name, r.msg_id, r.draft_m) for r in twin.collect()) == [*got, ("D", 8, 2.0)]
+
+
+def test_both_tables_appear_together(spark, tmp_path, monkeypatch):
+    """A batch killed between its two writes shows neither half; tried again, it shows both once."""
+    src, ok, bad, ck = (str(tmp_path / x) for x in ("src", "ok", "bad", "ck"))
+    msgs = td.ais_messages(spark, SF_SMALL)
+    msgs.limit(200).write.json(src)
+    raw = LV.read_ais_stream(spark, src)
+    real, calls = LV.ais_to_calls, []
+
+    def broken(batch, now):
+        good, rejects = real(batch, now)
+        calls.append(1)
+        return good, rejects.withColumn("reason", F.raise_error(F.lit("killed")).cast("string")) if len(calls) == 1 else rejects
+    monkeypatch.setattr(LV, "ais_to_calls", broken)
+    shown = lambda: [LV.read_committed(spark, p, LV.commits_of(ck)).count() for p in (ok, bad)]
+    with pytest.raises(Exception):
+        LV.start_ais_ingest(raw, NOW, ok, bad, ck).awaitTermination(120)
+    assert spark.read.parquet(ok).count() > 0 and LV.read_committed(spark, ok, LV.commits_of(ck)).count() == 0
+    LV.start_ais_ingest(raw, NOW, ok, bad, ck).awaitTermination(120)
+    want = [x.count() for x in real(spark.read.schema(LV.AIS_RAW_SCHEMA).json(src), NOW)]
+    assert shown() == want and min(want) > 0
+    LV.start_ais_ingest(raw, NOW, ok, bad, ck).awaitTermination(120)
+    assert shown() == want and spark.read.parquet(ok).count() > want[0]
