@@ -714,6 +714,33 @@ def q_earliest_slot(spark, d):
     return _out(DP.earliest_slot(_elig(spark, d), td.vessels(spark, d), isl))
 
 
+@_register("long_occupancy", f"""
+SELECT {_ts('i.t')} AS t, CAST(count(*) AS BIGINT) AS reservations, CAST(count(DISTINCT r.berth_id) AS BIGINT) AS berths
+FROM v_instants i JOIN v_long r ON r.start_time <= i.t AND i.t < r.end_time GROUP BY i.t""")
+def q_long_occupancy(spark, d):
+    occ = IV.occupancy_at(td.long_reservations(spark, d), td.instants(spark, d))
+    return _out(occ.groupBy("t").agg(F.sum("n_active").alias("reservations"), F.count("*").alias("berths")))
+
+
+@_register("long_availability", """
+SELECT CAST(p.call_id AS BIGINT) AS call_id, NOT EXISTS (SELECT 1 FROM v_long r WHERE r.berth_id = p.berth_id AND r.call_id <> p.call_id
+  AND r.start_time < p.end_time AND r.end_time > p.start_time) AS available
+FROM (SELECT call_id, CAST((call_id + 1) % 3000 AS VARCHAR) AS berth_id, start_time, end_time FROM v_long) p""")
+def q_long_availability(spark, d):
+    res = td.long_reservations(spark, d)
+    asked = res.select("call_id", ((F.col("call_id") + 1) % 3000).cast("string").alias("berth_id"),
+                       F.col("start_time").alias("prop_start"), F.col("end_time").alias("prop_end"))
+    return _out(IV.is_available(res, asked).select("call_id", "available"))
+
+
+@_register("long_conflicts", f"""
+SELECT a.berth_id, CAST(least(a.call_id, b.call_id) AS BIGINT) AS call_id_a, CAST(greatest(a.call_id, b.call_id) AS BIGINT) AS call_id_b,
+  {_ts('greatest(a.start_time, b.start_time)')} AS overlap_start, {_ts('least(a.end_time, b.end_time)')} AS overlap_end
+FROM v_long a JOIN v_long b ON a.berth_id = b.berth_id AND a.call_id < b.call_id AND a.start_time < b.end_time AND a.end_time > b.start_time""")
+def q_long_conflicts(spark, d):
+    return _out(IV.find_conflicts(td.long_reservations(spark, d)))
+
+
 @_register("time_split", """
 SELECT CAST(call_id AS BIGINT) AS call_id,
   row_number() OVER (ORDER BY arrival_datetime, call_id) <= floor(0.8 * count(*) OVER ()) AS is_train

@@ -1,9 +1,10 @@
 """Interval analytics over berth reservations (half-open ``[start, end)``).
 
-Range joins are written as bucketed equi-joins: each interval is emitted once
-per day it covers, probes land in the day of their instant, and the exact
-predicate runs on the candidates of one ``(berth, day)``.  No operator pairs
-every reservation of a berth with every probe of that berth.
+Range joins are equi-joins on dyadic cells: an interval, of minutes or of decades, lies in one or two cells of the
+first level whose cells are no shorter than it, an instant in one cell of each level in use, and the exact predicate
+runs on what meets in a cell.  An interval of a cell spans a good part of it, so few candidates miss, and
+no interval becomes more than two rows.  Disjoint islands need no cells: the last one that starts before an instant is a
+running maximum.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.scalar import overlaps
-from berthwise.functions.time import HOUR_US, MINUTE_US, from_us, to_us
-from berthwise.operators.scan import DAY_US, bucket_of, in_blocks, running
+from berthwise.functions.time import MINUTE_US, from_us, to_us
+from berthwise.operators.scan import in_blocks, running
 
 GAP_US = S.NEXT_SLOT_GAP_SECONDS * 1_000_000
 
@@ -24,16 +25,36 @@ def _us(df: DataFrame, start: str = "start_time", end: str = "end_time") -> Data
     return df.withColumns({"_s": to_us(start), "_e": to_us(end)})
 
 
-def _span(lo: Column, hi_exclusive: Column, width_us: int) -> Column:
-    """Buckets touched by [lo, hi): at least the bucket of lo."""
-    first = bucket_of(lo, width_us)
-    last = F.greatest(first, bucket_of(hi_exclusive - F.lit(1), width_us))
-    return F.sequence(first, last)
+# Cells of 2^32 µs (72 minutes) and, level by level, four times as long.
+FIRST_LEVEL, LEVEL_STEP, LAST_LEVEL = 32, 2, 62
 
 
-def covered_days(df: DataFrame, lo: Column, hi: Column, out: str = "_day", width_us: int = DAY_US) -> DataFrame:
-    """One row per bucket (default: day) an interval covers (guarded: ``sequence`` never counts down)."""
-    return df.withColumn(out, F.explode(_span(lo, hi, width_us)))
+def in_cells(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Rows of ``df`` with the cells of [lo, hi): ``_level``, and ``_cell`` of its first and of its last instant (one row
+    if they are the same).  An empty interval lies where its start does."""
+    last = F.greatest(F.col(hi) - 1, F.col(lo))
+    bits = F.length(F.bin(last - F.col(lo)))                       # 2^bits is more than the length less one
+    steps = F.ceil((bits - FIRST_LEVEL) / LEVEL_STEP)
+    level = F.least(F.lit(FIRST_LEVEL) + F.greatest(steps, F.lit(0)) * LEVEL_STEP, F.lit(LAST_LEVEL)).cast("int")
+    d = df.withColumn("_level", level).withColumn("_last", last)
+    cells = F.array_distinct(F.array(F.expr(f"shiftright(`{lo}`, _level)"), F.expr("shiftright(_last, _level)")))
+    return d.withColumn("_cell", F.explode(cells)).drop("_last")
+
+
+def levels_of(cells: DataFrame) -> list[int]:
+    """The levels in use: at most 16 numbers."""
+    return sorted(r[0] for r in cells.select("_level").where("_level is not null").distinct().collect())
+
+
+def at_levels(df: DataFrame, t: str, levels: list[int]) -> DataFrame:
+    """Rows of ``df`` once for each of ``levels``, with the cell that ``t`` lies in."""
+    here = F.array(*[F.struct(F.lit(n).alias("_level"), F.shiftright(F.col(t), n).alias("_cell")) for n in levels])
+    if not levels:
+        here = F.array().cast("array<struct<_level:int,_cell:bigint>>")
+    return df.select("*", F.inline(here))
+
+
+CELL = ["_level", "_cell"]
 
 
 # ---------------------------------------------------------------------------
@@ -92,18 +113,13 @@ def conflict_flags(res: DataFrame, key: str = "berth_id", start: str = "start_ti
 def find_conflicts(res: DataFrame, key: str = "berth_id", start: str = "start_time",
                    end: str = "end_time", rid: str = "call_id") -> DataFrame:
     """Every pair of overlapping reservations on a berth, once
-    (``rid_a < rid_b``).  Asymmetric range join: the earlier-starting
-    reservation is spread over the days it covers, the later one sits in the
-    day of its start, so a candidate pair needs the later start to fall inside
-    the earlier reservation's days — each overlapping pair is met exactly once,
-    with no all-pairs step per berth."""
+    (``rid_a < rid_b``).  The later one's start lies in the earlier one, which is in one level's cells: each overlapping
+    pair is met exactly once, with no all-pairs step per berth."""
     r = _us(res.select(key, rid, start, end), start, end)
-    a = covered_days(r, F.col("_s"), F.col("_e")).select(
-        F.col(key), F.col("_day"), F.col(rid).alias("a_id"), F.col("_s").alias("a_s"), F.col("_e").alias("a_e"))
-    b = r.select(F.col(key), bucket_of("_s").alias("_day"), F.col(rid).alias("b_id"),
-                 F.col("_s").alias("b_s"), F.col("_e").alias("b_e"))
+    a = in_cells(r, "_s", "_e").select(key, *CELL, F.col(rid).alias("a_id"), F.col("_s").alias("a_s"), F.col("_e").alias("a_e"))
+    b = r.select(key, F.col(rid).alias("b_id"), F.col("_s").alias("b_s"), F.col("_e").alias("b_e"))
     first = (F.col("a_s") < F.col("b_s")) | ((F.col("a_s") == F.col("b_s")) & (F.col("a_id") < F.col("b_id")))
-    j = a.join(b, [key, "_day"]).filter(first & overlaps("a_s", "a_e", "b_s", "b_e"))
+    j = a.join(at_levels(b, "b_s", levels_of(a)), [key, *CELL]).filter(first & overlaps("a_s", "a_e", "b_s", "b_e"))
     return j.select(key, F.least("a_id", "b_id").alias(f"{rid}_a"), F.greatest("a_id", "b_id").alias(f"{rid}_b"),
                     from_us(F.col("b_s")).alias("overlap_start"),
                     from_us(F.least("a_e", "b_e")).alias("overlap_end"))
@@ -122,10 +138,9 @@ def occupancy_at(res: DataFrame, instants: DataFrame, t: str = "t", key: str = "
     ``instants`` holds column ``t`` (and ``key`` when ``per_key``).  Output:
     ``(t, key, rid, start, end, n_active)``."""
     r = _us(res.select(key, rid, start, end), start, end)
-    r = covered_days(r, F.col("_s"), F.col("_e"), "_hour", HOUR_US)
-    i = instants.withColumn("_t", to_us(t)).withColumn("_hour", bucket_of("_t", HOUR_US))
-    on = ["_hour"] + ([key] if per_key else [])
-    j = i.join(r, on).filter((F.col("_s") <= F.col("_t")) & (F.col("_t") < F.col("_e")))
+    r = in_cells(r, "_s", "_e")
+    i = at_levels(instants.withColumn("_t", to_us(t)), "_t", levels_of(r))
+    j = i.join(r, CELL + ([key] if per_key else [])).filter((F.col("_s") <= F.col("_t")) & (F.col("_t") < F.col("_e")))
     first = F.min_by(F.struct(rid, start, end), F.struct("_s", rid))
     g = j.groupBy(t, key).agg(first.alias("_r"), F.count(F.lit(1)).alias("n_active"))
     return g.select(t, key, F.col(f"_r.{rid}").alias(rid), F.col(f"_r.{start}").alias(start),
@@ -182,18 +197,20 @@ def next_slot(islands: DataFrame, probes: DataFrame, t: str = "t", key: str = "b
               gap_seconds: int = S.NEXT_SLOT_GAP_SECONDS, out: str = "next_free") -> DataFrame:
     """Earliest instant >= t at which the berth is free, skipping gaps of
     at most ``gap`` between reservations.  ``islands`` must come from
-    :func:`merge_busy` with the same gap.  At most one island can start
-    within ``t + gap`` and end after ``t``; its end is the answer, else ``t``.
+    :func:`merge_busy` with the same gap.  Islands are disjoint, so only the last one that starts
+    within ``t + gap`` can end after ``t``; its end, the running maximum of the ends, is the answer, else ``t``.
     The service length is not checked against the gap (as in the source)."""
     gap = gap_seconds * 1_000_000
-    isl = _us(islands, "island_start", "island_end")
-    isl = covered_days(isl, F.col("_s") - F.lit(gap), F.col("_e"))
-    isl = isl.select(F.col(key).alias("_k"), "_day", F.col("_s").alias("_is"), F.col("_e").alias("_ie"))
-    p = probes.withColumn("_t", to_us(t)).withColumn("_day", bucket_of("_t"))
-    cond = ((p[key] == isl["_k"]) & (p["_day"] == isl["_day"])
-            & (isl["_is"] <= p["_t"] + F.lit(gap)) & (isl["_ie"] > p["_t"]))
-    j = p.join(isl, cond, "left")
-    return j.select(*probes.columns, F.coalesce(from_us("_ie"), F.col(t)).alias(out))
+    p = probes.select(F.col(key).alias("_k"), (to_us(t) + F.lit(gap)).alias("_at"), F.lit(1).alias("_probe"),
+                      F.lit(None).cast("bigint").alias("_end"), F.struct("*").alias("row"))
+    i = islands.select(F.col(key).alias("_k"), to_us("island_start").alias("_at"), F.lit(0).alias("_probe"), to_us("island_end").alias("_end"))
+    both = in_blocks(p.unionByName(i, allowMissingColumns=True), "_at")
+    found = running(both, ["_k"], "_bkt", ["_at", "_probe"], "_end", "_busy", "max").filter("_probe = 1")
+    # A probe without a berth or an instant meets nothing.
+    lost = p.filter("_k is null or _at is null").withColumn("_busy", F.col("_end"))
+    out_of = found.select("row", "_busy", "_at").unionByName(lost.select("row", "_busy", "_at"))
+    free = F.when(F.col("_busy") > F.col("_at") - F.lit(gap), from_us("_busy")).otherwise(F.col(f"row.{t}"))
+    return out_of.select("row.*", free.alias(out))
 
 
 def is_available(res: DataFrame, proposals: DataFrame, key: str = "berth_id",
@@ -202,24 +219,21 @@ def is_available(res: DataFrame, proposals: DataFrame, key: str = "berth_id",
     """A proposed ``[s, e)`` (identified by ``pid``) is available when no
     reservation on its berth overlaps it.  Two intervals overlap iff one
     starts inside the other, so the clash test is two asymmetric semi-joins:
-    reservations starting inside a proposal (proposal spread over its days,
-    reservation in its start day) and proposals starting inside a
-    reservation (the reverse) — never all pairs of a berth-day."""
+    reservations starting inside a proposal (the proposal in its cells, the
+    reservation's start in one of each level) and proposals starting inside a
+    reservation (the reverse) — never all pairs of a berth."""
     r = _us(res.select(key, start, end), start, end).select(F.col(key).alias("_k"), "_s", "_e")
     p = proposals.select(pid, F.col(key).alias("_pk"), F.col(p_start).alias("_p0"), F.col(p_end).alias("_p1"))
     p = p.withColumns({"_ps": to_us("_p0"), "_pe": to_us("_p1")})
     # (1) a reservation starts inside the proposal
-    p_days = covered_days(p, F.col("_ps"), F.col("_pe"))
-    r_start = r.withColumn("_day", bucket_of("_s"))
-    c1 = p_days.join(r_start, (p_days["_pk"] == r_start["_k"]) & (p_days["_day"] == r_start["_day"])
-                     & overlaps(r_start["_s"], r_start["_e"], p_days["_ps"], p_days["_pe"])
-                     & (r_start["_s"] >= p_days["_ps"]), "left_semi").select(pid)
+    p_cells, r_cells = in_cells(p, "_ps", "_pe"), in_cells(r, "_s", "_e")
+    met = lambda x, y, more: ((x["_pk"] == y["_k"]) & (x["_level"] == y["_level"]) & (x["_cell"] == y["_cell"])
+                              & overlaps(y["_s"], y["_e"], x["_ps"], x["_pe"]) & more)
+    r_at = at_levels(r, "_s", levels_of(p_cells))
+    c1 = p_cells.join(r_at, met(p_cells, r_at, r_at["_s"] >= p_cells["_ps"]), "left_semi").select(pid)
     # (2) the proposal starts inside a reservation
-    r_days = covered_days(r, F.col("_s"), F.col("_e"))
-    p_start_ = p.withColumn("_day", bucket_of("_ps"))
-    c2 = p_start_.join(r_days, (p_start_["_pk"] == r_days["_k"]) & (p_start_["_day"] == r_days["_day"])
-                       & overlaps(r_days["_s"], r_days["_e"], p_start_["_ps"], p_start_["_pe"])
-                       & (r_days["_s"] < p_start_["_ps"]), "left_semi").select(pid)
+    p_at = at_levels(p, "_ps", levels_of(r_cells))
+    c2 = p_at.join(r_cells, met(p_at, r_cells, r_cells["_s"] < p_at["_ps"]), "left_semi").select(pid)
     clash = c1.unionByName(c2).distinct().withColumn("_clash", F.lit(True))
     return (proposals.join(clash, pid, "left")
             .withColumn(out, F.col("_clash").isNull()).drop("_clash"))
@@ -281,5 +295,5 @@ def slot_progress(res: DataFrame, t, start: str = "start_time", end: str = "end_
 __all__ = [
     "merge_busy", "conflict_flags", "find_conflicts", "occupancy_at", "free_berths", "eligible_free",
     "port_snapshot", "next_slot", "is_available", "unknown_berths", "add_offline", "release", "split_at",
-    "slot_progress", "covered_days", "DAY_US", "MINUTE_US", "GAP_US",
+    "slot_progress", "in_cells", "at_levels", "levels_of", "MINUTE_US", "GAP_US",
 ]

@@ -247,3 +247,13 @@ def timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.filter(ev, lambda x: (F.pmod(x["seq"], F.lit(4)) == 0) | ((x["kind"] == "offline") & (k % 13 == 0))
                       | ((x["kind"] == "release") & (k % 3 == 0)))
     return o.select((F.col("o_custkey") % 50).cast("string").alias("berth_id"), F.inline(wanted))
+
+
+def long_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reservations of a minute to a year, a few of thirty years, over 3000 berths, from ``orders``."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    k = F.col("o_orderkey")
+    start = F.timestamp_add("MINUTE", k % 1440, F.col("o_orderdate"))
+    minutes = F.when(k % 997 == 0, F.lit(15768000)).otherwise(F.expr("shiftleft(1, cast(o_orderkey % 20 as int))") + k % 7)
+    return o.select(k.alias("call_id"), (k % 3000).cast("string").alias("berth_id"), start.alias("start_time"),
+                    F.timestamp_add("MINUTE", minutes, start).alias("end_time"))

@@ -239,6 +239,13 @@ FROM events
 """
 
 
+VIEWS["v_long"] = """
+SELECT call_id, berth_id, start_time, start_time + to_minutes(CAST(m AS BIGINT)) AS end_time
+FROM (SELECT o_orderkey AS call_id, CAST(o_orderkey % 3000 AS VARCHAR) AS berth_id,
+  CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 1440 AS BIGINT)) AS start_time,
+  CASE WHEN o_orderkey % 997 = 0 THEN 15768000 ELSE (1 << CAST(o_orderkey % 20 AS INTEGER)) + o_orderkey % 7 END AS m FROM orders) a
+"""
+
 VIEWS["v_timeline"] = """
 SELECT berth_id, 4 * k AS seq, asked AS t, CASE WHEN k % 97 = 0 THEN 'moved' ELSE 'assign' END AS kind, k AS call_id, s, CASE WHEN k % 89 <> 0 THEN e END AS e
 FROM (SELECT *, CASE WHEN k % 101 = 0 THEN e + 960 * 3600000000 ELSE s - (k % 72) * 3600000000 END AS asked
