@@ -651,6 +651,48 @@ def q_scenario_kpis(spark, d):
     return _out(_scenarios(spark, d))
 
 
+def _fleet(spark, d):
+    """The typed calls, close together in time, and service hours of most of them."""
+    k = F.col("call_id")
+    eta = F.timestamp_add("MINUTE", (k * 7919) % 63072, F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"))
+    v = td.vessels(spark, d).withColumns({"eta": eta, "pos": k})
+    return v, v.filter(k % 4 != 0).select("call_id", (1.0 + k % 10).alias("service_hours"))
+
+
+FLEET_CLOSURE = "1995-01-10 00:00:00"
+
+
+def _fleet_sql(head: str) -> str:
+    """The scenario SQL over calls at their terminals: S4 has its own attribution and fewer berths."""
+    head = head.replace("""SELECT pool, call_id, eta, svc_us, call_id AS pos, false AS is_extra,
+         row_number() OVER (ORDER BY eta, call_id) AS rn FROM v_queue""", """SELECT '' AS pool, call_id, eta,
+         CASE WHEN call_id % 4 <> 0 THEN (1 + call_id % 10) * 3600000000 ELSE 43200000000 END AS svc_us, call_id AS pos, false AS is_extra,
+         row_number() OVER (ORDER BY eta, call_id) AS rn
+  FROM (SELECT call_id, TIMESTAMP '1995-01-01 00:00:00' + to_minutes(CAST((call_id * 7919) % 63072 AS BIGINT)) AS eta FROM v_vessels) v""")
+    head = head.replace("sc AS MATERIALIZED (", "sc0 AS MATERIALIZED (", 1).replace(CLOSURE_START, FLEET_CLOSURE)
+    start, end = head.index("cap AS ("), head.index("q AS MATERIALIZED (")
+    off = "berth_id NOT IN ('72', '30')"
+    pools = "port_id || '/' || terminal_name"
+    return head[:start] + f"""att AS MATERIALIZED (
+  SELECT call_id, false AS s4, arg_min({pools}, ordinal) AS pool FROM v_elig GROUP BY call_id
+  UNION ALL SELECT call_id, true, arg_min({pools}, ordinal) FROM v_elig WHERE {off} GROUP BY call_id),
+sc AS MATERIALIZED (SELECT sc0.scenario, att.pool, sc0.call_id, sc0.eta, sc0.svc_us, sc0.pos, sc0.is_extra
+  FROM sc0 JOIN att ON att.call_id = sc0.call_id AND att.s4 = (sc0.scenario = 'S4_Maintenance')),
+cap AS (SELECT s.scenario, {pools} AS pool, count(*) AS k FROM v_berths CROSS JOIN (SELECT DISTINCT scenario FROM sc0) s
+  WHERE s.scenario <> 'S4_Maintenance' OR {off} GROUP BY s.scenario, {pools}),
+""" + head[end:]
+
+
+@_register("fleet_scenarios", _fleet_sql(_SCEN_SQL) + """
+SELECT scenario, CAST(served AS BIGINT) AS served, round(avg_wait_hours, 6) AS avg_wait_hours,
+  round(max_wait_hours, 6) AS max_wait_hours, round(utilization, 6) AS utilization,
+  CAST(zero_wait AS BIGINT) AS zero_wait FROM kp""")
+def q_fleet_scenarios(spark, d):
+    from berthwise.plans import workflows as WF
+    calls, service = _fleet(spark, d)
+    return _out(WF.compare_fleet(calls, td.berths(spark, d), service, FLEET_CLOSURE, ("72", "30"))["kpis"])
+
+
 @_register("scenario_table", _SCEN_SQL + """
 SELECT scenario, CAST(served AS BIGINT) AS served, round(avg_wait_hours, 2) AS avg_wait_h,
   round(max_wait_hours, 2) AS max_wait_h, round(utilization * 100, 1) AS utilization_pct,
@@ -1005,8 +1047,8 @@ def q_one_hot(spark, d):
     return _out(ML.one_hot_wide(_typed(spark, d), "vessel_type", "vtype"))
 
 
-@_register("kpi_report", """
-WITH k AS (
+_REPORT_SQL = _SCEN_SQL + """,
+k AS (
   SELECT plan_id, count(*) AS n, avg(wait_us) / 3600000000.0 AS a, max(wait_us) / 3600000000.0 AS mx,
     min(wait_us) / 3600000000.0 AS mn, count_if(wait_us < 360000000) AS dn, sum(service_us) / 3600000000.0 AS sv
   FROM v_pw GROUP BY plan_id),
@@ -1017,11 +1059,63 @@ l AS (
   UNION ALL SELECT plan_id, 'max_wait_hours', round(mx, 2) FROM k
   UNION ALL SELECT plan_id, 'min_wait_hours', round(mn, 2) FROM k
   UNION ALL SELECT plan_id, 'direct_berth_rate_pct', round(dn / n * 100, 1) FROM k
-  UNION ALL SELECT plan_id, 'total_service_hours', round(sv, 1) FROM k)
-SELECT 'schedule' AS section, CAST(plan_id AS VARCHAR) AS key, metric, round(value, 6) AS value FROM l""")
+  UNION ALL SELECT plan_id, 'total_service_hours', round(sv, 1) FROM k),
+m AS (SELECT sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, 1.0 - sum(e * e) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2, count(*) AS n_test
+  FROM (SELECT service_time_hours AS y, service_time_hours - waiting_time_hours AS e FROM v_clean) x),
+tb AS (SELECT scenario, round(avg_wait_hours, 2) AS aw, round(max_wait_hours, 2) AS mw, round(utilization * 100, 1) AS u, served, zero_wait,
+  round(CASE WHEN served > 0 THEN zero_wait / served * 100 ELSE 0.0 END, 1) AS dr FROM kp)
+SELECT 'schedule' AS section, CAST(plan_id AS VARCHAR) AS key, metric, round(value, 6) AS value FROM l
+UNION ALL SELECT 'model', 'model', metric, round(value, 6) FROM (
+  SELECT 'rmse' AS metric, rmse AS value FROM m UNION ALL SELECT 'mae', mae FROM m UNION ALL SELECT 'r2', r2 FROM m UNION ALL SELECT 'n_test', n_test FROM m) x
+UNION ALL SELECT 'scenarios', scenario, metric, round(value, 6) FROM (
+  SELECT scenario, 'served' AS metric, CAST(served AS DOUBLE) AS value FROM tb UNION ALL SELECT scenario, 'avg_wait_h', aw FROM tb
+  UNION ALL SELECT scenario, 'max_wait_h', mw FROM tb UNION ALL SELECT scenario, 'utilization_pct', u FROM tb
+  UNION ALL SELECT scenario, 'direct_berths', zero_wait FROM tb UNION ALL SELECT scenario, 'direct_berth_rate_pct', dr FROM tb) x"""
+
+
+@_register("kpi_report", _REPORT_SQL)
 def q_kpi_report(spark, d):
+    """All three sections: schedule KPIs, metrics of a prediction, scenario table."""
+    from berthwise.plans import workflows as WF
+    metrics = ML.regression_metrics(_clean(spark, d).withColumn("prediction", F.col(S.WAITING_HOURS)))
+    report = WF.kpi_report(td.plans(spark, d), metrics, RP.scenario_table(_scenarios(spark, d)))
+    return _out(report.withColumn("value", F.col("value").cast("double")))
+
+
+@_register("port_boards", f"""
+WITH known AS (SELECT r.* FROM v_res r WHERE r.berth_id IN (SELECT berth_id FROM v_berths)),
+nb AS (SELECT count(DISTINCT berth_id) AS n FROM v_berths),
+occ AS (SELECT i.t, r.berth_id, arg_min([epoch_us(r.start_time), epoch_us(r.end_time)], [epoch_us(r.start_time), r.call_id]) AS se
+  FROM v_instants i JOIN known r ON r.start_time <= i.t AND i.t < r.end_time GROUP BY i.t, r.berth_id),
+w AS (SELECT i.t, c.call_id, row_number() OVER (PARTITION BY i.t ORDER BY c.arrival_datetime, c.call_id) AS rk
+  FROM v_instants i JOIN v_clean c ON c.arrival_datetime <= i.t AND i.t < c.berthing_datetime),
+sn AS (SELECT i.t, coalesce(o.n, 0) AS n, coalesce(q.n, 0) AS ql FROM v_instants i
+  LEFT JOIN (SELECT t, count(*) AS n FROM occ GROUP BY t) o ON o.t = i.t LEFT JOIN (SELECT t, count(*) AS n FROM w GROUP BY t) q ON q.t = i.t),
+isl AS (SELECT * FROM v_islands0 WHERE berth_id IN (SELECT berth_id FROM v_berths)),
+b AS (SELECT min(isl_s) AS t0, max(isl_e) AS t1 FROM isl),
+tk AS (SELECT t0 + k * 3600000000 AS t FROM b, range(0, (t1 - t0) // 3600000000 + 1) r(k))
+SELECT 'snapshot' AS output, {_ts('t')} AS t, 'occupied_count' AS key, CAST(n AS DOUBLE) AS value FROM sn
+UNION ALL SELECT 'snapshot', {_ts('t')}, 'free_count', CAST(nb.n - sn.n AS DOUBLE) FROM sn, nb
+UNION ALL SELECT 'snapshot', {_ts('t')}, 'queue_length', CAST(ql AS DOUBLE) FROM sn
+UNION ALL SELECT 'snapshot', {_ts('t')}, 'utilization', round(sn.n / CAST(nb.n AS DOUBLE), 6) FROM sn, nb
+UNION ALL SELECT 'queue', {_ts('t')}, CAST(call_id AS VARCHAR), CAST(rk AS DOUBLE) FROM w
+UNION ALL SELECT 'progress', {_ts('t')}, berth_id, round(least(greatest((epoch_us(t) - se[1]) / (se[2] - se[1]) * 100.0, 0.0), 100.0), 6) FROM occ
+UNION ALL SELECT 'occupancy', {_mts('tk.t')}, 'occupied', CAST(count(isl.berth_id) AS DOUBLE) FROM tk
+  LEFT JOIN isl ON isl.isl_s <= tk.t AND tk.t < isl.isl_e GROUP BY tk.t""")
+def q_port_boards(spark, d):
+    """All four outputs of the board at every instant."""
     from berthwise.plans import workflows as WF
-    return _out(WF.kpi_report(td.plans(spark, d)).withColumn("value", F.col("value").cast("double")))
+    return _out(WF.port_boards(td.reservations(spark, d), _clean(spark, d), td.berths(spark, d), td.instants(spark, d)))
+
+
+@_register("eligible_free", f"""
+SELECT e.port_id, CAST(e.call_id AS BIGINT) AS call_id, e.berth_id FROM v_elig e JOIN v_vessels v ON v.call_id = e.call_id
+WHERE NOT EXISTS (SELECT 1 FROM v_res r WHERE r.berth_id = e.berth_id AND r.start_time <= v.eta AND v.eta < r.end_time)""")
+def q_eligible_free(spark, d):
+    v = td.vessels(spark, d)
+    elig = _elig(spark, d).join(v.select("call_id", F.col("eta").alias("t")), "call_id")
+    occ = IV.occupancy_at(td.reservations(spark, d), elig.select("t", "berth_id").distinct(), per_key=True)
+    return _out(IV.eligible_free(elig, occ).select("port_id", "call_id", "berth_id"))
 
 
 @_register("port_board", f"""

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from berthwise import schema as S
 from berthwise.functions.time import from_us, to_us
+from berthwise.operators import berths as BR
 from berthwise.operators import cleaning as CL
 from berthwise.operators import eligibility as EL
 from berthwise.operators import intervals as IV
@@ -20,6 +22,7 @@ from berthwise.operators import ml as ML
 from berthwise.operators import replay as RP
 from berthwise.operators import scenarios as SC
 from berthwise.operators import vessels as VS
+from berthwise.operators.scan import in_blocks, running
 from berthwise.plans import dispatch as DP
 from berthwise.plans import repair as RPR
 from berthwise.session import cut_lineage
@@ -101,6 +104,32 @@ def compare_scenarios(calls: DataFrame, capacity: DataFrame, closure_start, pool
     return {"replay": rep, "kpis": kpis, "table": RP.scenario_table(kpis)}
 
 
+def compare_fleet(calls: DataFrame, berths: DataFrame, service: DataFrame | None, closure_start,
+                  offline: tuple[str, ...] = tuple(S.MAINTENANCE_BERTHS)) -> dict[str, DataFrame]:
+    """C4 from the domain tables: eligibility (J3) -> each call's first terminal (J5), once with all berths and once without
+    the ``offline`` ones for maintenance -> service times looked up, 12 h where unknown (J16) -> seven what-if inputs (U1) ->
+    queues at each terminal's berths (A9, W4) -> KPIs (A6) and comparison table (A5).  Calls without an eligible berth don't queue.
+
+    ``calls``: typed calls with ``port_id``, ``call_id``, ``eta``, ``pos``; ``service``: (call_id, service_hours)."""
+    elig = cut_lineage(EL.eligible_pairs(calls, berths))
+    left = SC.wi_offline(berths, offline)
+    still = elig.join(left.select("port_id", "berth_id"), ["port_id", "berth_id"], "left_semi")
+    pool = ["port_id", "terminal_name"]
+    repair = F.lit("S4_Maintenance")
+    at = EL.attribute_terminal(elig).withColumn("_s4", F.lit(False)).unionByName(
+        EL.attribute_terminal(still).withColumn("_s4", F.lit(True)))
+    arrivals = cut_lineage(SC.with_service(calls.select("port_id", "call_id", "name", "eta", "pos"), service))
+    every = SC.all_scenarios(arrivals, closure_start).withColumn("pos", SC.scenario_order_key())
+    every = cut_lineage(every.withColumn("_s4", F.col("scenario") == repair).join(at, ["port_id", "call_id", "_s4"]).drop("_s4"))
+    sizes = [BR.terminal_capacity(b).select(*pool, F.col("n_berths").cast("int").alias("k")) for b in (berths, left)]
+    names = F.explode(F.array(*[F.lit(n) for n in SC.SCENARIOS])).alias("scenario")
+    capacity = (sizes[0].select(names, "*").filter(F.col("scenario") != repair)
+                .unionByName(sizes[1].withColumn("scenario", repair)))
+    rep = RP.fifo_replay(every, ["scenario", *pool], capacity, horizon_by=["scenario"])
+    kpis = RP.scenario_kpis(rep, capacity.groupBy("scenario").agg(F.sum("k").alias("capacity")))
+    return {"replay": rep, "kpis": kpis, "table": RP.scenario_table(kpis)}
+
+
 def kpi_report(plan: DataFrame, metrics: DataFrame | None = None, scenario_table: DataFrame | None = None,
                by: str = "plan_id") -> DataFrame:
     """One long report table ``(section, key, metric, value)`` combining
@@ -125,6 +154,37 @@ def _long(df: DataFrame, section: str, key: str) -> DataFrame:
                      st.alias("metric", "value"))
 
 
+def waiting_at(calls: DataFrame, instants: DataFrame, t: str = "t", arrival: str = S.ARRIVAL_DT, berthing: str = S.BERTHING_DT,
+               key: str = "call_id") -> DataFrame:
+    """Calls that have arrived at an instant and have no berth yet, ranked by arrival: (t, key, rank, waited_hours)."""
+    c = calls.select(key, to_us(arrival).alias("_a"), to_us(berthing).alias("_b")).filter("_a < _b")
+    cells = IV.in_cells(c, "_a", "_b")
+    i = IV.at_levels(instants.select(t, to_us(t).alias("_t")).distinct(), "_t", IV.levels_of(cells))
+    on = cells.join(i, IV.CELL).filter("_a <= _t and _t < _b").select(t, "_t", key, "_a", F.lit(1).cast("bigint").alias("_one"))
+    on = running(in_blocks(on, "_a"), [t], "_bkt", ["_a", key], "_one", "rank", "sum")
+    return on.select(t, key, "rank", ((F.col("_t") - F.col("_a")) / F.lit(3.6e9)).alias("waited_hours"))
+
+
+def port_boards(reservations: DataFrame, calls: DataFrame, berths: DataFrame, instants: DataFrame, step_hours: float = 1.0) -> DataFrame:
+    """C6 over many instants, as one long table ``(output, t, key, value)``: snapshot (A8: occupied, free and waiting counts,
+    utilization), ranked queue (W1), progress of the slots in use (P14) and occupancy trend (TS2).
+
+    Berths are those of the dimension; reservations of others (J15) are left out."""
+    known = reservations.join(berths.select("berth_id").distinct(), "berth_id", "left_semi")
+    occ = cut_lineage(IV.occupancy_at(known, instants))
+    queue = cut_lineage(waiting_at(calls, instants))
+    snap = IV.port_snapshot(berths, occ, instants, queue_len=queue.groupBy("t").agg(F.count("*").alias("queue_length")))
+    value = lambda c: F.col(c).cast("double").alias("value")
+    counts = ["occupied_count", "free_count", "queue_length", "utilization"]
+    out = snap.select("t", F.stack(F.lit(len(counts)), *[x for c in counts for x in (F.lit(c), F.col(c).cast("double"))]).alias("key", "value"))
+    out = out.select(F.lit("snapshot").alias("output"), "t", "key", "value")
+    out = out.unionByName(queue.select(F.lit("queue").alias("output"), "t", F.col("call_id").cast("string").alias("key"), value("rank")))
+    progress = IV.slot_progress(occ, F.col("t"))
+    out = out.unionByName(progress.select(F.lit("progress").alias("output"), "t", F.col("berth_id").alias("key"), value("progress_pct")))
+    trend = KP.occupancy_series(IV.merge_busy(known, gap_seconds=0), berths.select("berth_id").distinct().count(), step_hours)
+    return out.unionByName(trend.select(F.lit("occupancy").alias("output"), F.col("timestamp").alias("t"), F.lit("occupied").alias("key"), value("occupied")))
+
+
 def port_board(reservations: DataFrame, queue: DataFrame, berths: DataFrame, t, step_hours: float = 1.0
                ) -> dict[str, DataFrame]:
     """The data behind a port board at instant ``t``: snapshot (A8),
