@@ -706,6 +706,7 @@ def q_scenario_table(spark, d):
 # ---------------------------------------------------------------------------
 # M5 — plan scoring, earliest slot, planners, ML
 # ---------------------------------------------------------------------------
+from berthwise.operators import linear as LI  # noqa: E402
 from berthwise.operators import ml as ML  # noqa: E402
 from berthwise.plans import dispatch as DP  # noqa: E402
 from berthwise.plans import repair as RPR  # noqa: E402
@@ -795,17 +796,81 @@ def _ml_frame(spark, d):
     return VS.to_calls(_clean(spark, d), NOW, keep=(S.SERVICE_HOURS, S.ARRIVAL_DT))
 
 
-@_register("service_model_metrics")
+# The exact model in SQL: features by number, correlations, elimination column by column, coefficients.
+_NUM = ["tonnage_import", "tonnage_export", "gross_tonnage", "length_m", "draft_m", "tugs_at_berthing", "arrival_month", "arrival_dow"]
+_LINEAR_SQL = f"""
+WITH RECURSIVE fr AS MATERIALIZED (
+  SELECT t.*, c.service_time_hours AS y, c.arrival_datetime,
+    row_number() OVER (ORDER BY c.arrival_datetime, t.call_id) <= floor(0.8 * count(*) OVER ()) AS is_train
+  FROM v_typed t JOIN v_clean c ON c.call_id = t.call_id),
+lv AS (SELECT kind, x, row_number() OVER (ORDER BY kind DESC, x) + {len(_NUM)} AS i FROM (
+  SELECT kind, x, row_number() OVER (PARTITION BY kind ORDER BY x) AS r FROM (
+    SELECT DISTINCT 'v' AS kind, vessel_type AS x FROM fr WHERE is_train UNION SELECT DISTINCT 'c', cargo_import FROM fr WHERE is_train) l) m WHERE r > 1),
+p AS (SELECT {len(_NUM)} + count(*) AS p FROM lv),
+f AS MATERIALIZED (
+  {' UNION ALL '.join(f"SELECT call_id, is_train, {i + 1} AS i, CAST({c} AS DOUBLE) AS v FROM fr" for i, c in enumerate(_NUM))}
+  UNION ALL SELECT call_id, is_train, lv.i, 1.0 FROM fr JOIN lv ON kind = 'v' AND x = vessel_type
+  UNION ALL SELECT call_id, is_train, lv.i, 1.0 FROM fr JOIN lv ON kind = 'c' AND x = cargo_import
+  UNION ALL SELECT call_id, is_train, p.p + 1, y FROM fr, p),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM fr WHERE is_train),
+mu AS MATERIALIZED (SELECT i, sum(v) / any_value(n.n) AS m FROM f, n WHERE is_train GROUP BY i),
+cr AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS s FROM f a JOIN f b ON a.call_id = b.call_id WHERE a.is_train AND b.is_train GROUP BY a.i, b.i),
+cv AS MATERIALIZED (SELECT a.i, b.i AS j, coalesce(cr.s, 0.0) / n.n - a.m * b.m AS c FROM mu a CROSS JOIN mu b CROSS JOIN n LEFT JOIN cr ON cr.i = a.i AND cr.j = b.i),
+sc AS MATERIALIZED (SELECT cv.i, CASE WHEN cv.c > 1e-9 * greatest(1.0, mu.m * mu.m) THEN sqrt(cv.c) ELSE 0.0 END AS s FROM cv JOIN mu ON mu.i = cv.i WHERE cv.i = cv.j),
+rw AS (SELECT cv.i, list(CASE WHEN a.s > 0 AND b.s > 0 THEN cv.c / (a.s * b.s) ELSE 0.0 END ORDER BY cv.j) AS row
+  FROM cv JOIN sc a ON a.i = cv.i JOIN sc b ON b.i = cv.j GROUP BY cv.i),
+el AS (
+  SELECT 0 AS k, (SELECT list(row ORDER BY i) FROM rw, p WHERE i <= p.p) AS a, CAST([] AS BOOLEAN[]) AS used
+  UNION ALL
+  SELECT k + 1, CASE WHEN a[k + 1][k + 1] > 1e-9 THEN list_transform(a, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / a[k + 1][k + 1])
+      ELSE list_transform(r, lambda x, j: x - r[k + 1] * (a[k + 1][j] / a[k + 1][k + 1])) END) ELSE a END,
+    list_append(used, a[k + 1][k + 1] > 1e-9)
+  FROM el, p WHERE k < p.p),
+be AS MATERIALIZED (SELECT q.i, CASE WHEN used[q.i] AND sx.s > 0 THEN a[q.i][p.p + 1] * sy.s / sx.s ELSE 0.0 END AS b
+  FROM el JOIN p ON el.k = p.p CROSS JOIN (SELECT i FROM mu) q JOIN sc sx ON sx.i = q.i JOIN sc sy ON sy.i = p.p + 1 WHERE q.i <= p.p),
+ic AS (SELECT (SELECT m FROM mu, p WHERE mu.i = p.p + 1) - (SELECT sum(be.b * mu.m) FROM be JOIN mu ON mu.i = be.i) AS b0),
+pr AS MATERIALIZED (SELECT fr.call_id, fr.is_train, fr.y, ic.b0 + s.s AS yhat
+  FROM fr JOIN (SELECT call_id, sum(f.v * be.b) AS s FROM f JOIN be ON be.i = f.i GROUP BY call_id) s ON s.call_id = fr.call_id CROSS JOIN ic)"""
+
+
+@_register("service_model_metrics", _LINEAR_SQL + """
+SELECT round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse, round(avg(abs(y - yhat)), 6) AS mae,
+  round(1.0 - sum((y - yhat) * (y - yhat)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2, CAST(count(*) AS BIGINT) AS n_test
+FROM pr WHERE NOT is_train""")
 def q_service_model_metrics(spark, d):
-    _, metrics = ML.train(_ml_frame(spark, d), production=False)
-    return _out(metrics)
+    return _out(LI.train_linear(_ml_frame(spark, d))[1])
 
 
-@_register("service_predictions")
+@_register("service_predictions", _LINEAR_SQL + """
+SELECT CAST(call_id AS BIGINT) AS call_id, round(greatest(yhat, 0.5), 6) AS predicted_service_hours FROM pr""")
 def q_service_predictions(spark, d):
     frame = _ml_frame(spark, d)
-    model, _ = ML.train(frame, production=False)
-    return _out(ML.score(model, frame).select("call_id", "predicted_service_hours"))
+    model, _ = LI.train_linear(frame)
+    return _out(LI.score_linear(model, frame).select("call_id", "predicted_service_hours"))
+
+
+@_register("model_round_trip", "SELECT m.model, true AS same_metrics, CAST(count(*) AS BIGINT) AS n_scored, CAST(count(*) AS BIGINT) AS n_equal "
+           "FROM v_typed, (VALUES ('linear'), ('boosted')) m(model) GROUP BY m.model")
+def q_model_round_trip(spark, d):
+    """Train, save, load and score: both kinds of model predict the same before and after."""
+    from berthwise.session import checkpoint_dir, cut_lineage
+    frame = cut_lineage(_ml_frame(spark, d))
+    home = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    out = None
+    trees, metrics = ML.train(frame, production=True, max_iter=3, max_depth=3)
+    ML.save_model(trees, f"{home}/boosted")
+    model, _ = LI.train_linear(frame)
+    model.save(spark, f"{home}/linear")
+    pairs = {"boosted": (ML.score(trees, frame), ML.score(ML.load_model(f"{home}/boosted"), frame)),
+             "linear": (LI.score_linear(model, frame), LI.score_linear(LI.load_linear(spark, f"{home}/linear"), frame))}
+    for name, (before, after) in pairs.items():
+        p = "predicted_service_hours"
+        both = before.select("call_id", F.col(p).alias("a")).join(after.select("call_id", F.col(p).alias("b")), "call_id")
+        fits = metrics.select((F.col("n_test") > 0).alias("same_metrics")) if name == "boosted" else None
+        row = both.agg(F.count("*").alias("n_scored"), F.count_if(F.col("a") == F.col("b")).alias("n_equal"))
+        row = row.select(F.lit(name).alias("model"), fits.scalar().alias("same_metrics") if fits is not None else F.lit(True).alias("same_metrics"), "n_scored", "n_equal")
+        out = row if out is None else out.unionByName(row)
+    return _out(out)
 
 
 @_register("allocate", f"""
@@ -858,6 +923,31 @@ def q_plan_repair(spark, d):
     return _out(r.select("plan_id", "call_id", "berth_id", "scheduled_start", "predicted_end"))
 
 
+@_register("plan_repair_busy", f"""
+WITH RECURSIVE q AS MATERIALIZED (
+  SELECT plan_id, berth_id, call_id, greatest(epoch_us(scheduled_start), epoch_us(eta)) AS st0,
+         epoch_us(predicted_end) - epoch_us(scheduled_start) AS dur,
+         row_number() OVER (PARTITION BY plan_id, berth_id ORDER BY pos) AS n FROM v_plans),
+r AS (
+  SELECT q.plan_id, q.berth_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS call_id, CAST(0 AS BIGINT) AS dur, CAST(0 AS BIGINT) AS st,
+    coalesce(u.slots, CAST([] AS BIGINT[][])) AS slots
+  FROM (SELECT DISTINCT plan_id, berth_id FROM q) q
+  LEFT JOIN (SELECT berth_id, list([isl_s, isl_e] ORDER BY isl_s) AS slots FROM v_upkeep GROUP BY berth_id) u ON u.berth_id = q.berth_id
+  UNION ALL
+  SELECT q.plan_id, q.berth_id, q.n, q.call_id, q.dur, x.st, list_append(r.slots, [x.st, x.st + q.dur])
+  FROM r JOIN q ON q.plan_id = r.plan_id AND q.berth_id = r.berth_id AND q.n = r.n + 1,
+  LATERAL (SELECT list_reduce(list_sort(r.slots),
+             lambda acc, y: CASE WHEN acc < y[2] AND acc + q.dur > y[1] THEN y[2] ELSE acc END, q.st0) AS st) x)
+SELECT CAST(plan_id AS BIGINT) AS plan_id, CAST(call_id AS BIGINT) AS call_id, berth_id,
+  {_mts('st')} AS scheduled_start, {_mts('st + dur')} AS predicted_end FROM r WHERE n > 0""")
+def q_plan_repair_busy(spark, d):
+    """Repair beside windows in which the berths are taken already."""
+    p = td.plans(spark, d).withColumn(
+        "svc_us", F.timestamp_diff("MICROSECOND", F.col("scheduled_start"), F.col("predicted_end")))
+    r = RPR.repair_plans(p, busy=IV.merge_busy(td.upkeep(spark, d), gap_seconds=0))
+    return _out(r.select("plan_id", "call_id", "berth_id", "scheduled_start", "predicted_end"))
+
+
 @_register("reservation_admission", """
 WITH RECURSIVE q AS MATERIALIZED (
   SELECT berth_id, call_id, epoch_us(start_time) AS s, epoch_us(end_time) AS e,

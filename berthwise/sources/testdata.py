@@ -257,3 +257,12 @@ def long_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = F.when(k % 997 == 0, F.lit(15768000)).otherwise(F.expr("shiftleft(1, cast(o_orderkey % 20 as int))") + k % 7)
     return o.select(k.alias("call_id"), (k % 3000).cast("string").alias("berth_id"), start.alias("start_time"),
                     F.timestamp_add("MINUTE", minutes, start).alias("end_time"))
+
+
+def upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows in which the plans' berths are taken already, from every 37th of ``events``; they may overlap."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id").filter(F.col("event_id") % 37 == 0)
+    k = F.col("event_id")
+    start = _hours(k % 5, _sec(F.col("ts")))
+    return e.select(k.alias("call_id"), (F.col("user_id") % 7).cast("string").alias("berth_id"), start.alias("start_time"),
+                    _hours(1 + k % 6, start).alias("end_time"))

@@ -246,6 +246,16 @@ FROM (SELECT o_orderkey AS call_id, CAST(o_orderkey % 3000 AS VARCHAR) AS berth_
   CASE WHEN o_orderkey % 997 = 0 THEN 15768000 ELSE (1 << CAST(o_orderkey % 20 AS INTEGER)) + o_orderkey % 7 END AS m FROM orders) a
 """
 
+VIEWS["v_upkeep"] = """
+SELECT berth_id, min(s) AS isl_s, max(e) AS isl_e
+FROM (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END) OVER (PARTITION BY berth_id ORDER BY s, e, k ROWS UNBOUNDED PRECEDING) AS isl
+  FROM (SELECT *, max(e) OVER (PARTITION BY berth_id ORDER BY s, e, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+    FROM (SELECT *, s + (1 + k % 6) * 3600000000 AS e FROM (
+      SELECT event_id AS k, CAST(user_id % 7 AS VARCHAR) AS berth_id, epoch_us(date_trunc('second', ts)) + (event_id % 5) * 3600000000 AS s
+      FROM events WHERE event_id % 37 = 0) a) b) c) d
+GROUP BY berth_id, isl
+"""
+
 VIEWS["v_timeline"] = """
 SELECT berth_id, 4 * k AS seq, asked AS t, CASE WHEN k % 97 = 0 THEN 'moved' ELSE 'assign' END AS kind, k AS call_id, s, CASE WHEN k % 89 <> 0 THEN e END AS e
 FROM (SELECT *, CASE WHEN k % 101 = 0 THEN e + 960 * 3600000000 ELSE s - (k % 72) * 3600000000 END AS asked

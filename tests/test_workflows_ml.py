@@ -311,3 +311,41 @@ def test_gbt_and_split(spark):
     wide = ML.one_hot_wide(df, "vessel_type", "vtype")
     assert sorted(c for c in wide.columns if c != "call_id") == ["vtype_PORTE_CONTENEUR", "vtype_ROULIER",
                                                                "vtype_VRAQUIER"]
+
+
+def _frame(spark, rng, n):
+    """Service times that depend on the features; two features repeat others, one is constant."""
+    rows = []
+    for i in range(n):
+        kind, cargo = rng.choice(["A", "B", "C"]), rng.choice(["x", "y"]) if rng.random() < 0.9 else None
+        ti, g, le = float(rng.integers(0, 30000)), float(rng.integers(0, 70000)), float(rng.integers(100, 300))
+        y = 3 + ti / 5000 + le / 50 + {"A": 0, "B": 4, "C": -2}[str(kind)] + float(rng.normal())
+        rows.append((i, T0 + timedelta(hours=int(rng.integers(0, 900))), ti, 2 * ti, g, le, 7.0, 3.0, 1 + i % 12, i % 7, str(kind), None if cargo is None else str(cargo), y))
+    return spark.createDataFrame(rows, f"call_id long, {S.ARRIVAL_DT} timestamp_ntz, tonnage_import double, tonnage_export double, gross_tonnage double, "
+                                 f"length_m double, draft_m double, tugs_at_berthing double, arrival_month int, arrival_dow int, vessel_type string, "
+                                 f"cargo_import string, {S.SERVICE_HOURS} double")
+
+
+def test_exact_linear_model(spark, tmp_path):
+    from berthwise.operators import linear as LI
+    from berthwise.operators import ml as ML
+    df = _frame(spark, np.random.default_rng(0), 400).cache()
+    model, metrics = LI.train_linear(df)
+    split = ML.time_split(ML.prepare(df), S.ARRIVAL_DT).toPandas()
+    lv = {"vessel_type": ["B", "C"], "cargo_import": ["x", "y"]}                  # UNKNOWN and A are the references
+    x = np.column_stack([np.ones(len(split)), *[split[c] for c in ML.NUMERIC], *[(split[c] == v).astype(float) for c in lv for v in lv[c]]])
+    y = split[S.SERVICE_HOURS].to_numpy()
+    tr = split["is_train"].to_numpy()
+    want = x @ np.linalg.lstsq(x[tr], y[tr], rcond=None)[0]
+    got = LI.score_linear(model, df, floor_hours=-1e9).select("call_id", "predicted_service_hours").toPandas().set_index("call_id")["predicted_service_hours"]
+    assert np.allclose(got.loc[split["call_id"]].to_numpy(), want, atol=1e-6)
+    assert model.numeric["tonnage_export"] == 0.0 == model.numeric["draft_m"] and model.n_train == tr.sum()
+    m = metrics.first()
+    assert m.n_test == (~tr).sum() and m.rmse == pytest.approx(np.sqrt(np.mean((y - want)[~tr] ** 2)))
+    model.save(spark, f"{tmp_path}/m")
+    assert LI.load_linear(spark, f"{tmp_path}/m") == model
+    with pytest.raises(FileNotFoundError, match="training first"):
+        LI.load_linear(spark, f"{tmp_path}/none")
+    odd = df.limit(1).withColumn("vessel_type", F.lit("never seen"))
+    assert LI.score_linear(model, odd).count() == 1
+    assert LI.train_linear(df.limit(0))[0] is None and LI.train_linear(df.limit(0))[1].first().n_test == 0
