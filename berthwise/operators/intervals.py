@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from berthwise import schema as S
 from berthwise.functions.scalar import overlaps
 from berthwise.functions.time import MINUTE_US, from_us, to_us
-from berthwise.operators.scan import in_blocks, running
+from berthwise.operators.scan import block_bounds, in_blocks, running
 
 GAP_US = S.NEXT_SLOT_GAP_SECONDS * 1_000_000
 
@@ -204,7 +204,10 @@ def next_slot(islands: DataFrame, probes: DataFrame, t: str = "t", key: str = "b
     p = probes.select(F.col(key).alias("_k"), (to_us(t) + F.lit(gap)).alias("_at"), F.lit(1).alias("_probe"),
                       F.lit(None).cast("bigint").alias("_end"), F.struct("*").alias("row"))
     i = islands.select(F.col(key).alias("_k"), to_us("island_start").alias("_at"), F.lit(0).alias("_probe"), to_us("island_end").alias("_end"))
-    both = in_blocks(p.unionByName(i, allowMissingColumns=True), "_at")
+    # Blocks follow the probes; islands over before the first or begun after the last can't be met.
+    lo, hi = p.agg(F.min("_at"), F.max("_at")).first()
+    i = i.filter((F.col("_end") > F.lit(lo) - F.lit(gap)) & (F.col("_at") <= F.lit(hi)))
+    both = in_blocks(p.unionByName(i, allowMissingColumns=True), "_at", bounds=block_bounds(p, "_at"))
     found = running(both, ["_k"], "_bkt", ["_at", "_probe"], "_end", "_busy", "max").filter("_probe = 1")
     # A probe without a berth or an instant meets nothing.
     lost = p.filter("_k is null or _at is null").withColumn("_busy", F.col("_end"))

@@ -17,19 +17,19 @@ from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.time import HOUR_US, from_us, to_us
-from berthwise.operators.scan import in_blocks, running
+from berthwise.operators.scan import block_bounds, in_blocks, running
 
 H = float(HOUR_US)
 
 
 def fifo_one(df: DataFrame, part: list[str], eta: str = "eta", svc_us: str = "svc_us",
-             pos: str = "pos") -> DataFrame:
+             pos: str = "pos", bounds: list[int] | None = None) -> DataFrame:
     """Single-server FIFO start times per ``part`` (order ``(eta, pos)``),
     plus ``busy_start`` (µs ETA of the call opening the busy period).
     Adds ``a_us``, ``start_us``, ``end_us``, ``busy_start``.
 
     Closed form ``start_i = C_{i-1} + max_{j<=i}(a_j - C_{j-1})`` evaluated in
-    two levels with one shuffle of the calls.  Inside a (part, day) bucket:
+    two levels with one shuffle of the calls.  Inside a (part, block) group:
     local exclusive service sum ``c``, ``x = a - c`` and its running maxima
     ``m`` (inclusive) / ``mp`` (exclusive).  One row per bucket carries the
     service ``Cc`` and the maximum ``Mc`` of earlier buckets; with
@@ -38,13 +38,13 @@ def fifo_one(df: DataFrame, part: list[str], eta: str = "eta", svc_us: str = "sv
     reaches ``thr``, and its last opening is the first row attaining that
     maximum — so busy starts need no second pass over the calls."""
     unb = Window.unboundedPreceding
-    d = in_blocks(df.withColumn("a_us", to_us(eta)), "a_us")
+    d = in_blocks(df.withColumn("a_us", to_us(eta)), "a_us", bounds=bounds)
     w = Window.partitionBy(*part, "_bkt").orderBy("a_us", pos)
     d = d.withColumn("_c", F.coalesce(F.sum(svc_us).over(w.rowsBetween(unb, -1)), F.lit(0)).cast("bigint"))
     d = d.withColumn("_x", F.col("a_us") - F.col("_c"))
     d = d.withColumns({"_m": F.max("_x").over(w.rowsBetween(unb, 0)),
                        "_mp": F.max("_x").over(w.rowsBetween(unb, -1))})
-    # one row per (part, day): bounded by pools x days, not by calls
+    # one row per (part, block): bounded by pools x blocks, not by calls
     b = d.groupBy(*part, "_bkt").agg(
         F.sum(svc_us).alias("_S"), F.max("_x").alias("_Mt"),
         # first row attaining the bucket maximum = last row setting a strict new running max
@@ -65,7 +65,8 @@ def fifo_one(df: DataFrame, part: list[str], eta: str = "eta", svc_us: str = "sv
 
 
 def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str = "eta",
-                svc_us: str = "svc_us", pos: str = "pos", horizon_by: list[str] | None = None) -> DataFrame:
+                svc_us: str = "svc_us", pos: str = "pos", horizon_by: list[str] | None = None,
+                bounds: list[int] | None = None) -> DataFrame:
     """FIFO queues of a pool's berths, taken in turn: the n-th call of a pool (order ``(eta, pos)``)
     goes to berth ``(n - 1) mod k`` and waits there as in W4.
 
@@ -76,10 +77,12 @@ def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str
     """
     pool_cols = [c for c in capacity.columns if c != "k"]
     d = calls.join(capacity, pool_cols, "inner")
-    d = in_blocks(d.withColumns({"_a": to_us(eta), "_one": F.lit(1).cast("bigint")}), "_a")
+    if bounds is None:
+        bounds = block_bounds(calls.select(to_us(eta).alias("_a")), "_a")
+    d = in_blocks(d.withColumns({"_a": to_us(eta), "_one": F.lit(1).cast("bigint")}), "_a", bounds=bounds)
     d = running(d, part, "_bkt", ["_a", pos], "_one", "_nth", "sum")
     d = d.withColumn("lane", (F.col("_nth") - 1) % F.greatest(F.col("k"), F.lit(1))).drop("_a", "_one", "_bkt", "_nth")
-    out = fifo_one(d, [*part, "lane"], eta, svc_us, pos)
+    out = fifo_one(d, [*part, "lane"], eta, svc_us, pos, bounds)
     hb = horizon_by if horizon_by is not None else [c for c in part if c not in pool_cols]
     horizon = F.max(to_us(eta)) + F.max(svc_us) + F.lit(24 * HOUR_US)
     if hb:

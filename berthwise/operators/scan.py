@@ -38,7 +38,7 @@ def block_bounds(df: DataFrame, us_col: str, blocks: int | None = None) -> list[
     n = min(blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_BLOCKS)
     if n < 2:
         return []
-    got = df.agg(F.percentile_approx(us_col, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]
+    got = df.agg(F.percentile_approx(us_col, [i / n for i in range(1, n)], max(1_000, 10 * n))).first()[0]
     return sorted(set(got or []))
 
 
@@ -60,10 +60,13 @@ def block_of(us: Column, bounds: list[int]) -> Column:
     return (start + F.size(near)).cast("int")
 
 
-def in_blocks(df: DataFrame, us_col: str, out: str = "_bkt") -> DataFrame:
-    """``df`` with the number of each row's block by ``us_col`` (null where that is null)."""
+def in_blocks(df: DataFrame, us_col: str, out: str = "_bkt", bounds: list[int] | None = None) -> DataFrame:
+    """``df`` with the number of each row's block by ``us_col`` (null where that is null); ``bounds`` where they are known
+    already, so the rows aren't computed twice."""
     us = F.col(us_col)
-    return df.withColumn(out, F.when(us.isNotNull(), block_of(us, block_bounds(df, us_col))))
+    if bounds is None:
+        bounds = block_bounds(df, us_col)
+    return df.withColumn(out, F.when(us.isNotNull(), block_of(us, bounds)))
 
 
 def _carry(df: DataFrame, keys: list[str], bucket: str, value: str, agg, out: str) -> DataFrame:

@@ -64,12 +64,12 @@ def inter_arrivals(calls: DataFrame, list_by: list[str] | None = None, pos: str
                     from_us(F.col("_a") + half).alias("midpoint"))
 
 
-def wi_densify(calls: DataFrame, list_by: list[str] | None = None, pos: str = "pos") -> DataFrame:
+def wi_densify(calls: DataFrame, list_by: list[str] | None = None, pos: str = "pos", bounds: list[int] | None = None) -> DataFrame:
     """WI2: for every call but the last in list order, add a clone named
     ``name + "_EXTRA"`` at the midpoint between its ETA and the next call's
     ETA (n -> 2n-1).  Clones sort after originals with equal ETA."""
     keys = list_by or []
-    c = in_blocks(calls.withColumn("_a", to_us("eta")), "_a")
+    c = in_blocks(calls.withColumn("_a", to_us("eta")), "_a", bounds=bounds)
     c = next_value(c, keys, "_bkt", ["_a", pos], "_a", "_next_a")
     # half the gap, rounded half-to-even to the microsecond (as timedelta / 2)
     half = F.bround((F.col("_next_a") - F.col("_a")) / F.lit(2.0)).cast("bigint")
@@ -167,7 +167,7 @@ def pooled_capacity(n_berths: int, removed: int) -> int:
 
 
 def all_scenarios(calls: DataFrame, closure_start, list_by: list[str] | None = None,
-                  pos: str = "pos") -> DataFrame:
+                  pos: str = "pos", bounds: list[int] | None = None) -> DataFrame:
     """The seven scenario inputs in one table tagged ``scenario``.
     S4 changes berths, not arrivals: its rows equal the baseline and the
     caller passes a reduced capacity for it."""
@@ -175,7 +175,7 @@ def all_scenarios(calls: DataFrame, closure_start, list_by: list[str] | None = N
     base = calls.withColumn("is_extra", F.lit(False))
     parts = {
         "S1_Baseline": base,
-        "S2_Congestion": wi_densify(calls, keys, pos),
+        "S2_Congestion": wi_densify(calls, keys, pos, bounds),
         "S3_WeatherClosure": wi_closure(base, closure_start),
         "S4_Maintenance": base,
         "S5_LateArrival": wi_delay(base, list_by=keys, pos=pos),

@@ -22,7 +22,7 @@ from berthwise.operators import ml as ML
 from berthwise.operators import replay as RP
 from berthwise.operators import scenarios as SC
 from berthwise.operators import vessels as VS
-from berthwise.operators.scan import in_blocks, running
+from berthwise.operators.scan import block_bounds, in_blocks, running
 from berthwise.plans import dispatch as DP
 from berthwise.plans import repair as RPR
 from berthwise.session import cut_lineage
@@ -95,10 +95,11 @@ def compare_scenarios(calls: DataFrame, capacity: DataFrame, closure_start, pool
     ``capacity``: (scenario, pool..., k).  The scenario union feeds several
     branches of the replay plan, so it is checkpointed once."""
     calls = cut_lineage(calls)          # read by all seven scenario branches
-    allsc = SC.all_scenarios(calls, closure_start, list_by).withColumn("pos", SC.scenario_order_key())
+    bounds = block_bounds(calls.select(to_us("eta").alias("_a")), "_a")     # the scenarios lie in time much as the calls do
+    allsc = SC.all_scenarios(calls, closure_start, list_by, bounds=bounds).withColumn("pos", SC.scenario_order_key())
     allsc = cut_lineage(allsc)
     part = ["scenario", *pool_cols]
-    rep = RP.fifo_replay(allsc, part, capacity, horizon_by=["scenario"])
+    rep = RP.fifo_replay(allsc, part, capacity, horizon_by=["scenario"], bounds=bounds)
     total = capacity.groupBy("scenario").agg(F.sum("k").alias("capacity"))
     kpis = RP.scenario_kpis(rep, total)
     return {"replay": rep, "kpis": kpis, "table": RP.scenario_table(kpis)}
