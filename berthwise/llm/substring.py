@@ -207,8 +207,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out
 
 
-def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(anchor, h, at) of every segment; at packs x, first window and windows."""
+def anchors(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(anchor, h, at) of every segment of ``keyed`` rows; at packs x, first window and windows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lo = 0
@@ -223,15 +223,24 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 at = (xs[lo:hi][d] << (_START + _N)) | (start << _N) | n
                 yield pd.DataFrame({"anchor": a, "h": hs[lo:hi][d], "at": at})
                 lo = hi
-    return keyed(docs).select("h", "x", "text").mapInPandas(run, "anchor bigint, h bigint, at bigint")
+    return rows.select("h", "x", "text").mapInPandas(run, "anchor bigint, h bigint, at bigint")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the row's identity: h, 64 bits of a hash of id and text, and x, bits of another.  Segments, which may be many, are
-    known by these 84 bits alone; spans by doc_id and h."""
+def shared_ids(docs: DataFrame) -> DataFrame:
+    """The ids that several rows have, as a table."""
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null")
+    return saved(ids.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "shared-ids")
+
+
+def keyed(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, text, and the row's identity (h, x): the id and 0 where no other row has that id; else 64 bits of a hash of id and text,
+    and 20 bits, not 0, of another.  Segments, which may be many, are known by (h, x) alone; spans by doc_id and h."""
     t = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    more = F.xxhash64("text", F.lit(1), "doc_id").bitwiseAND(F.lit((1 << _X) - 1))
-    return t.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"), more.alias("x"))
+    t = t.join(shared.withColumn("_shared", F.lit(True)), "doc_id", "left")
+    own = F.col("doc_id").isNotNull() & F.col("_shared").isNull()
+    more = F.pmod(F.xxhash64("text", F.lit(1), "doc_id"), F.lit((1 << _X) - 1)) + 1
+    return t.select("doc_id", "text", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")).alias("h"),
+                    F.when(own, F.lit(0)).otherwise(more).cast("bigint").alias("x"))
 
 
 def _cut(window: int):
@@ -328,20 +337,20 @@ def _kept(window: int):
     return run
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, x) of rows whose whole text also is that of a smaller doc_id."""
-    t = keyed(docs).where("text is not null").select("doc_id", "h", "x", F.unhex(F.sha2("text", 256)).alias("sha"))
+def copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, h, x) of ``keyed`` rows whose whole text also is that of a smaller doc_id."""
+    t = rows.where("text is not null").select("doc_id", "h", "x", F.unhex(F.sha2("text", 256)).alias("sha"))
     # Null ids come first, so a text that a row without id has is its copy in all others.
     least = t.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none"), F.count("*").alias("c"))
     least = saved(least.where("c > 1").drop("c"), "copied-texts")
     return t.join(least, "sha").where("doc_id > least or (none and doc_id is not null)").select("doc_id", "h", "x").distinct()
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, salts: int = SALTS,
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, salts: int = SALTS,
                    shard_words: int = SHARD_WORDS, without: DataFrame | None = None) -> DataFrame:
-    """(doc_id, h, start, stop): word spans covered by windows that also start earlier; the rows
+    """(doc_id, h, start, stop) in ``keyed`` rows: word spans covered by windows that also start earlier; the rows
     ``without`` (h, x) are not asked, and must repeat smaller rows."""
-    occ = anchors(docs, window, gram)
+    occ = anchors(rows, window, gram)
     twice = saved(occ.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
                   .select("anchor", (F.col("c") > hot).alias("hot")), "repeated-anchors")
     x = F.shiftrightunsigned("at", _START + _N)
@@ -351,7 +360,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
                                          F.col("at").bitwiseAND(F.lit((1 << _N) - 1)).cast("short").alias("n"), "hot")).alias("runs")))
     if without is not None:
         runs = runs.join(without.select("h", "x"), ["h", "x"], "left_anti")
-    cut = (keyed(docs).join(runs, ["h", "x"])
+    cut = (rows.join(runs, ["h", "x"])
            .select(F.col("doc_id").cast("string").alias("doc_id"), "h", "text", "runs")
            .mapInPandas(_cut(window), _CUT))
     # By place, not by document: a text of one word repeats one window all along.
@@ -372,13 +381,14 @@ def cleaned(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed and ``kept``, the words that stay joined by one space.
 
     A row whose whole text a smaller doc_id has repeats all its windows, so it is not cut into segments."""
-    whole = copies(docs)
-    spans = repeated_spans(docs, window, without=whole, **how).unionByName(
+    rows = keyed(docs, shared_ids(docs))
+    whole = copies(rows)
+    spans = repeated_spans(rows, window, without=whole, **how).unionByName(
         whole.select("doc_id", "h", F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("stop")))
     key = F.struct("doc_id", "h").alias("key")
     spans = (spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"),
                                                                      F.col("stop").cast("int").alias("stop"))).alias("spans")).select(key, "spans"))
-    out = (keyed(docs).select(key, "text").join(spans, "key", "left")
+    out = (rows.select(key, "text").join(spans, "key", "left")
            .select(F.col("key.doc_id").cast("string").alias("doc_id"), "text", "spans")
            .mapInPandas(_kept(window), "doc_id string, n_words bigint, n_removed bigint, kept string"))
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
