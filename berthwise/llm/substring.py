@@ -33,13 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from berthwise.llm.common import saved
 
 WINDOW, GRAM, HOT, SALTS, SHARD_WORDS = 20, 6, 2000, 64, 50_000
-_X, _START, _N = 20, 31, 12                                   # bits of a packed place: more of the row's hash, start, windows
+_START, _N = 31, 12                                           # bits of a packed place below x: start, windows
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -233,14 +233,22 @@ def shared_ids(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """doc_id, text, and the row's identity (h, x): the id and 0 where no other row has that id; else 64 bits of a hash of id and text,
-    and 20 bits, not 0, of another.  Segments, which may be many, are known by (h, x) alone; spans by doc_id and h."""
+    """doc_id, text, and the row's identity (h, x): the id and 0 where no other row has that id; else a 64-bit hash of id and text,
+    and 1.  Segments, which may be many, are known by it alone; spans by doc_id and h, which give it back."""
     t = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     t = t.join(shared.withColumn("_shared", F.lit(True)), "doc_id", "left")
     own = F.col("doc_id").isNotNull() & F.col("_shared").isNull()
-    more = F.pmod(F.xxhash64("text", F.lit(1), "doc_id"), F.lit((1 << _X) - 1)) + 1
-    return t.select("doc_id", "text", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")).alias("h"),
-                    F.when(own, F.lit(0)).otherwise(more).cast("bigint").alias("x"))
+    t = t.withColumn("h", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")))
+    return t.select("doc_id", "text", "h", _x())
+
+
+def _x() -> Column:
+    return F.when(F.col("doc_id") == F.col("h"), 0).otherwise(1).cast("bigint").alias("x")
+
+
+# One struct for every join on identity, so that all of them read one exchange of the texts.
+def _key() -> Column:
+    return F.struct("h", "x").alias("key")
 
 
 def _cut(window: int):
@@ -358,10 +366,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     runs = (occ.join(twice, "anchor").groupBy("h", x.alias("x"))
             .agg(F.collect_list(F.struct("anchor", start.cast("int").alias("start"),
                                          F.col("at").bitwiseAND(F.lit((1 << _N) - 1)).cast("short").alias("n"), "hot")).alias("runs")))
+    runs = runs.select(_key(), "runs")
     if without is not None:
-        runs = runs.join(without.select("h", "x"), ["h", "x"], "left_anti")
-    cut = (rows.join(runs, ["h", "x"])
-           .select(F.col("doc_id").cast("string").alias("doc_id"), "h", "text", "runs")
+        runs = runs.join(without.select(_key()), "key", "left_anti")
+    cut = (rows.select(_key(), "doc_id", "text").join(runs, "key")
+           .select(F.col("doc_id").cast("string").alias("doc_id"), F.col("key.h").alias("h"), "text", "runs")
            .mapInPandas(_cut(window), _CUT))
     # By place, not by document: a text of one word repeats one window all along.
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts))).otherwise(0)
@@ -385,10 +394,10 @@ def cleaned(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     whole = copies(rows)
     spans = repeated_spans(rows, window, without=whole, **how).unionByName(
         whole.select("doc_id", "h", F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("stop")))
-    key = F.struct("doc_id", "h").alias("key")
     spans = (spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"),
-                                                                     F.col("stop").cast("int").alias("stop"))).alias("spans")).select(key, "spans"))
-    out = (rows.select(key, "text").join(spans, "key", "left")
-           .select(F.col("key.doc_id").cast("string").alias("doc_id"), "text", "spans")
+                                                                     F.col("stop").cast("int").alias("stop"))).alias("spans"))
+             .select("*", _x()).select(_key(), "spans"))
+    out = (rows.select(_key(), "doc_id", "text").join(spans, "key", "left")
+           .select(F.col("doc_id").cast("string").alias("doc_id"), "text", "spans")
            .mapInPandas(_kept(window), "doc_id string, n_words bigint, n_removed bigint, kept string"))
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
