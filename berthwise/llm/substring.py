@@ -33,13 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from berthwise.llm.common import saved
 
 WINDOW, GRAM, HOT, SALTS, SHARD_WORDS = 20, 6, 2000, 64, 50_000
-_START, _N = 31, 12                                           # bits of a packed place below x: start, windows
+_START, _N = 31, 12                                           # bits of a packed place: start, windows
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -208,22 +208,23 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def anchors(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(anchor, h, at) of every segment of ``keyed`` rows; at packs x, first window and windows."""
+    """(anchor, doc_id, h, at) of every segment of ``keyed`` rows; at packs first window and windows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lo = 0
             raw = [t.encode("utf-8") if t else b"" for t in pdf["text"]]
-            hs, xs = pdf["h"].to_numpy(), pdf["x"].to_numpy()
+            ids = pd.array(_ints(pdf["doc_id"]), dtype="Int64")
+            hs = pdf["h"].to_numpy()
             while lo < len(raw):
                 hi, size = lo, 0
                 while hi < len(raw) and (hi == lo or size + len(raw[hi]) < 2 << 20):
                     size += len(raw[hi])
                     hi += 1
                 d, a, start, n = segments(raw[lo:hi], window, gram)
-                at = (xs[lo:hi][d] << (_START + _N)) | (start << _N) | n
-                yield pd.DataFrame({"anchor": a, "h": hs[lo:hi][d], "at": at})
+                yield pd.DataFrame({"anchor": a, "doc_id": ids[lo:hi][d], "h": hs[lo:hi][d], "at": (start << _N) | n})
                 lo = hi
-    return rows.select("h", "x", "text").mapInPandas(run, "anchor bigint, h bigint, at bigint")
+    src = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "h", "text")
+    return src.mapInPandas(run, "anchor bigint, doc_id bigint, h bigint, at bigint")
 
 
 def shared_ids(docs: DataFrame) -> DataFrame:
@@ -233,22 +234,12 @@ def shared_ids(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """doc_id, text, and the row's identity (h, x): the id and 0 where no other row has that id; else a 64-bit hash of id and text,
-    and 1.  Segments, which may be many, are known by it alone; spans by doc_id and h, which give it back."""
+    """doc_id, text and h, which tells apart texts under one doc_id or none: 0 where no other row has the id, else a
+    64-bit hash of the text."""
     t = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     t = t.join(shared.withColumn("_shared", F.lit(True)), "doc_id", "left")
     own = F.col("doc_id").isNotNull() & F.col("_shared").isNull()
-    t = t.withColumn("h", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")))
-    return t.select("doc_id", "text", "h", _x())
-
-
-def _x() -> Column:
-    return F.when(F.col("doc_id") == F.col("h"), 0).otherwise(1).cast("bigint").alias("x")
-
-
-# One struct for every join on identity, so that all of them read one exchange of the texts.
-def _key() -> Column:
-    return F.struct("h", "x").alias("key")
+    return t.select("doc_id", "text", F.when(own, F.lit(0).cast("bigint")).otherwise(F.xxhash64("text")).alias("h"))
 
 
 def _cut(window: int):
@@ -346,31 +337,32 @@ def _kept(window: int):
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, x) of ``keyed`` rows whose whole text also is that of a smaller doc_id."""
-    t = rows.where("text is not null").select("doc_id", "h", "x", F.unhex(F.sha2("text", 256)).alias("sha"))
+    """(doc_id, h) of ``keyed`` rows whose whole text also is that of a smaller doc_id."""
+    t = rows.where("text is not null").select("doc_id", "h", F.unhex(F.sha2("text", 256)).alias("sha"))
     # Null ids come first, so a text that a row without id has is its copy in all others.
     least = t.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none"), F.count("*").alias("c"))
     least = saved(least.where("c > 1").drop("c"), "copied-texts")
-    return t.join(least, "sha").where("doc_id > least or (none and doc_id is not null)").select("doc_id", "h", "x").distinct()
+    return t.join(least, "sha").where("doc_id > least or (none and doc_id is not null)").select("doc_id", "h").distinct()
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, salts: int = SALTS,
                    shard_words: int = SHARD_WORDS, without: DataFrame | None = None) -> DataFrame:
     """(doc_id, h, start, stop) in ``keyed`` rows: word spans covered by windows that also start earlier; the rows
-    ``without`` (h, x) are not asked, and must repeat smaller rows."""
+    ``without`` (doc_id, h) are not asked, and must repeat smaller rows."""
     occ = anchors(rows, window, gram)
     twice = saved(occ.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
                   .select("anchor", (F.col("c") > hot).alias("hot")), "repeated-anchors")
-    x = F.shiftrightunsigned("at", _START + _N)
     start = F.shiftrightunsigned("at", _N).bitwiseAND(F.lit((1 << _START) - 1))
-    runs = (occ.join(twice, "anchor").groupBy("h", x.alias("x"))
+    runs = (occ.join(twice, "anchor").groupBy("doc_id", "h")
             .agg(F.collect_list(F.struct("anchor", start.cast("int").alias("start"),
                                          F.col("at").bitwiseAND(F.lit((1 << _N) - 1)).cast("short").alias("n"), "hot")).alias("runs")))
-    runs = runs.select(_key(), "runs")
+    key = F.struct("doc_id", "h").alias("key")
+    runs = runs.select(key, "runs")
     if without is not None:
-        runs = runs.join(without.select(_key()), "key", "left_anti")
-    cut = (rows.select(_key(), "doc_id", "text").join(runs, "key")
-           .select(F.col("doc_id").cast("string").alias("doc_id"), F.col("key.h").alias("h"), "text", "runs")
+        runs = runs.join(without.select(key), "key", "left_anti")
+    texts = rows.select(key, "text")
+    cut = (texts.join(runs, "key")
+           .select(F.col("key.doc_id").cast("string").alias("doc_id"), F.col("key.h").alias("h"), "text", "runs")
            .mapInPandas(_cut(window), _CUT))
     # By place, not by document: a text of one word repeats one window all along.
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts))).otherwise(0)
@@ -394,10 +386,10 @@ def cleaned(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     whole = copies(rows)
     spans = repeated_spans(rows, window, without=whole, **how).unionByName(
         whole.select("doc_id", "h", F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("stop")))
+    key = F.struct("doc_id", "h").alias("key")
     spans = (spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"),
-                                                                     F.col("stop").cast("int").alias("stop"))).alias("spans"))
-             .select("*", _x()).select(_key(), "spans"))
-    out = (rows.select(_key(), "doc_id", "text").join(spans, "key", "left")
-           .select(F.col("doc_id").cast("string").alias("doc_id"), "text", "spans")
+                                                                     F.col("stop").cast("int").alias("stop"))).alias("spans")).select(key, "spans"))
+    out = (rows.select(key, "text").join(spans, "key", "left")
+           .select(F.col("key.doc_id").cast("string").alias("doc_id"), "text", "spans")
            .mapInPandas(_kept(window), "doc_id string, n_words bigint, n_removed bigint, kept string"))
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
