@@ -124,6 +124,7 @@ def q_call_kpis_rollup(spark, d):
 # M2 — typed calls, profiles, berth dimension, eligibility
 # ---------------------------------------------------------------------------
 from berthwise.operators import berths as BR  # noqa: E402
+from berthwise.operators import dominance as DM  # noqa: E402
 from berthwise.operators import eligibility as EL  # noqa: E402
 from berthwise.operators import vessels as VS  # noqa: E402
 
@@ -224,6 +225,25 @@ def q_violation_counts(spark, d):
     return _out(EL.violation_counts(td.vessels(spark, d), td.berths(spark, d)))
 
 
+@_register("eligibility_counts", """
+WITH judged AS (
+  SELECT v.port_id, v.call_id,
+    CASE WHEN NOT (b.depth_m >= v.draft_m) THEN 'depth'
+         WHEN NOT (b.quay_length_m >= v.length_m) THEN 'length'
+         WHEN NOT (len(b.allowed_cargos) = 0 OR len(v.cargos) = 0 OR len(list_intersect(b.allowed_cargos, v.cargos)) > 0) THEN 'cargo'
+         WHEN NOT (len(b.allowed_types) = 0 OR list_contains(b.allowed_types, v.vessel_type)) THEN 'type'
+         WHEN b.berth_id IS NOT NULL THEN 'fits' END AS r
+  FROM v_vcargo v LEFT JOIN v_berths b ON v.port_id = b.port_id)
+SELECT port_id, CAST(call_id AS BIGINT) AS call_id, CAST(count_if(r = 'fits') AS BIGINT) AS eligible_count,
+  count_if(r = 'fits') > 0 AS has_eligible,
+  CAST(count_if(r = 'depth') AS BIGINT) AS n_depth, CAST(count_if(r = 'length') AS BIGINT) AS n_length,
+  CAST(count_if(r = 'cargo') AS BIGINT) AS n_cargo, CAST(count_if(r = 'type') AS BIGINT) AS n_type
+FROM judged GROUP BY port_id, call_id""")
+def q_eligibility_counts(spark, d):
+    """A13 and J4 as counts, by dominance: no (call, berth) row."""
+    return _out(DM.eligibility_counts(td.vessels(spark, d), td.berths(spark, d)))
+
+
 @_register("terminal_attribution", """
 SELECT port_id, CAST(call_id AS BIGINT) AS call_id, arg_min(terminal_name, ordinal) AS terminal_name
 FROM v_elig GROUP BY port_id, call_id""")
@@ -944,7 +964,7 @@ def q_plan_repair_busy(spark, d):
     """Repair beside windows in which the berths are taken already."""
     p = td.plans(spark, d).withColumn(
         "svc_us", F.timestamp_diff("MICROSECOND", F.col("scheduled_start"), F.col("predicted_end")))
-    r = RPR.repair_plans(p, busy=IV.merge_busy(td.upkeep(spark, d), gap_seconds=0))
+    r = RPR.repair_plans(p, busy=IV.merge_busy(td.upkeep(spark, d), gap_seconds=0), split=True)
     return _out(r.select("plan_id", "call_id", "berth_id", "scheduled_start", "predicted_end"))
 
 

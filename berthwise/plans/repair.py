@@ -1,79 +1,124 @@
 """Plan repair (Q4) and reservation admission (Q5).
 
 Both are first-come-wins folds over one berth's rows: rows on different berths
-never interact, and different plans never interact.  Repair runs per ``(plan,
-berth)`` group, admission per overlap component of a berth.  Each group streams
-through the fold in row order (secondary sort), so a busy berth is never
-materialised as one pandas frame.
+never interact, and different plans never interact.  Both run per component, a stretch of
+time whose rows can meet, of a plan's berth or a berth.  Components stream through sorted
+partitions (secondary sort), so a busy berth is many groups and no frame of its own.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
-from typing import Tuple
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from berthwise.functions.time import from_us, to_us
 from berthwise.operators.intervals import add_offline, is_available
-from berthwise.operators.scan import in_blocks, running
-
-
-def _check_order(p: np.ndarray, last):
-    if len(p) and ((np.any(p[1:] < p[:-1])) or (last is not None and int(p[0]) < last)):
-        raise RuntimeError("grouped input is not in row order")
-    return int(p[-1]) if len(p) else last
-
-
-def _repair_group(key: Tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    # Accepted slots never overlap (a proposal only moves later, past each
-    # overlapping slot in start order), so starts and ends are both sorted:
-    # the one-pass scan reduces to a binary search for the first slot ending
-    # after the proposal, then pushes until a slot starts after it ends.
-    pairs: list[tuple[int, int]] = []   # (start, end), sorted like the source's tuple sort
-    ss: list[int] = []
-    es: list[int] = []
-    last = None
-    for pdf in batches:
-        last = _check_order(pdf["pos"].to_numpy(np.int64), last)
-        starts = np.empty(len(pdf), dtype=np.int64)
-        for i, r in enumerate(pdf.itertuples(index=False)):
-            st = max(int(r.start_us), int(r.eta_us))    # never before the ETA
-            dur = int(r.svc_us)
-            j = bisect.bisect_right(es, st)             # slots ending <= st cannot overlap
-            while j < len(ss) and ss[j] < st + dur:
-                if es[j] > st:                          # overlap: move past this slot
-                    st = es[j]
+from berthwise.operators.scan import block_bounds, in_blocks, running
+from berthwise.session import cut_lineage
+
+
+def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First fit over rows sorted by ``_group`` and ``pos``: each row moves past the accepted slots it overlaps, in start
+    order, and is accepted there.  Only the slots of the group at hand are kept.
+
+    Accepted slots never overlap, so starts and ends are both sorted and the first slot that ends after the proposal
+    is found by bisection."""
+    group, last = None, None
+    slots: list[tuple[int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for batch in batches:
+        put = []
+        for g, pos, at, dur in zip(*(batch.column(c).to_pylist() for c in ("_group", "pos", "_s", "svc_us"))):
+            if g != group:
+                group, last, slots, starts, ends = g, None, [], [], []
+            if last is not None and pos < last:
+                raise RuntimeError("grouped input is not in row order")
+            last = pos
+            j = bisect.bisect_right(ends, at)
+            while j < len(starts) and starts[j] < at + dur:
+                at = max(at, ends[j])
                 j += 1
-            at = bisect.bisect_left(pairs, (st, st + dur))
-            pairs.insert(at, (st, st + dur))
-            ss.insert(at, st)
-            es.insert(at, st + dur)
-            starts[i] = st
-        out = pdf.copy()
-        out["start_us"] = starts
-        out["end_us"] = starts + pdf["svc_us"].to_numpy(np.int64)
-        yield out
+            k = bisect.bisect_left(slots, (at, at + dur))
+            slots.insert(k, (at, at + dur))
+            starts.insert(k, at)
+            ends.insert(k, at + dur)
+            put.append(at)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(put, pa.int64())], names=[*batch.schema.names, "_put"])
 
 
 _FIRST = -(1 << 63)      # position of existing reservations: before every plan row
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_put``, the repaired start, per ``_group``."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("_put", T.LongType())])
+    return rows.repartition("_group").sortWithinPartitions("_group", "pos", "call_id").mapInArrow(_place_rows, schema)
+
+
+def _merges(placed: DataFrame, bounds: list[int]) -> DataFrame:
+    """Old component to new one and how often it grew, where a component is reached by an earlier one or reaches a
+    later one.  One that grew more than twice counts a multiple of its span as reached, so a long cascade takes few
+    rounds; the other reaches are exact."""
+    order = ["_lo", "_component"]
+    span = F.col("_hi") - F.col("_lo")
+    again = F.pow(F.lit(2.0), F.least(F.greatest(F.col("_grown") - 2, F.lit(0)), F.lit(20))).cast("bigint") - 1
+    c = placed.groupBy("_key", "_component").agg(F.min("_s").alias("_lo"), F.max(F.col("_put") + F.col("svc_us")).alias("_hi"),
+                                                 F.max("_grown").alias("_grown"))
+    c = in_blocks(c.withColumn("_reach", F.col("_hi") + again * span), "_lo", bounds=bounds)
+    c = running(c, ["_key"], "_bkt", order, "_reach", "_before", "max", inclusive=False)
+    c = c.withColumn("_opens", F.when(F.coalesce(F.col("_lo") >= F.col("_before"), F.lit(True)), F.col("_component")))
+    c = running(c, ["_key"], "_bkt", order, "_opens", "_into", "max").select("_key", "_component", "_into", "_grown")
+    joined = c.filter("_into != _component").groupBy("_key", "_into").agg(F.max("_grown").alias("_most"))
+    return cut_lineage(c.join(joined, ["_key", "_into"]).select(
+        "_key", "_component", "_into", (F.greatest("_grown", "_most") + 1).alias("_now")))
+
+
+def _group_of() -> Column:
+    return F.to_json(F.struct("_key", "_component"))
+
+
+def _settled(p: DataFrame) -> DataFrame:
+    """Rows placed by component, components merged until none reaches a later one."""
+    order = ["_s", "pos", "call_id"]
+    bounds = block_bounds(p, "_s")
+    p = in_blocks(p, "_s", bounds=bounds)
+    p = running(p, ["_key"], "_bkt", order, "svc_us", "_work", "sum", inclusive=False)
+    p = p.withColumn("_slack", F.col("_s") - F.col("_work"))       # grows exactly where the queue runs empty
+    p = running(p, ["_key"], "_bkt", order, "_slack", "_component", "max").drop("_bkt", "_work", "_slack")
+    placed = cut_lineage(_placed(p.withColumns({"_group": _group_of(), "_grown": F.lit(0)})))
+    while True:
+        into = _merges(placed, bounds)
+        if into.isEmpty():
+            return placed
+        both = placed.join(into, ["_key", "_component"], "left").select(*placed.columns, "_into", "_now")
+        moved = both.filter("_into is not null").withColumns({"_component": F.col("_into"), "_grown": F.col("_now")})
+        moved = _placed(moved.withColumn("_group", _group_of()).drop("_into", "_now", "_put"))
+        placed = cut_lineage(both.filter("_into is null").select(*placed.columns).unionByName(moved))
+
+
 def repair_plans(plans: DataFrame, by: tuple[str, ...] = ("plan_id", "berth_id"), busy: DataFrame | None = None,
-                 key: str = "berth_id") -> DataFrame:
+                 key: str = "berth_id", split: bool = False) -> DataFrame:
     """Q4: per plan and berth, in plan row order (``pos``): start no earlier
     than the ETA, then scan the berth's accepted slots in start order and push
     the start past each overlapping one; accept.
 
-    ``plans``: by columns, pos, call_id, eta, scheduled_start, svc_us.  ``busy``: the berths' existing
+    ``plans``: by columns, pos, call_id, eta, scheduled_start, svc_us (not negative).  ``busy``: the berths' existing
     reservations as disjoint islands (``merge_busy(res, gap_seconds=0)``); they are accepted before any
-    plan row, in every plan."""
+    plan row, in every plan.
+
+    A group is a berth of a plan; its accepted slots are held by one task.  With ``split`` it is a component, for
+    berths with long histories: a few more passes, any number of groups.  A row only moves later, so rows can only meet
+    inside a stretch of work.  Components start as the busy periods of a queue that serves the rows one after
+    another.  A pushed row may skip gaps too short for it and end beyond its period: while a component reaches past the
+    start of a later one, those are merged and repaired again, the others stay.  When none does, no two
+    components' slots can overlap, so the result is that of the whole berth.  A berth that is never idle is one component.  Rows without any time, or without
+    a service time, come back without a window."""
     p = plans.select(*by, F.col("pos").cast("bigint").alias("pos"), "call_id", to_us("eta").alias("eta_us"),
                      to_us("scheduled_start").alias("start_us"), "svc_us")
     if busy is not None:
@@ -82,11 +127,19 @@ def repair_plans(plans: DataFrame, by: tuple[str, ...] = ("plan_id", "berth_id")
         p = p.unionByName(kept.select(
             *by, F.lit(_FIRST).cast("bigint").alias("pos"), F.lit(0).cast(p.schema["call_id"].dataType).alias("call_id"),
             lo.alias("eta_us"), lo.alias("start_us"), (hi - lo).cast(p.schema["svc_us"].dataType).alias("svc_us")))
-    schema = ", ".join(f"`{c}` {t}" for c, t in p.dtypes) + ", end_us bigint"
-    # secondary sort: each (plan, berth) group streams in row order
-    p = p.repartition(*by).sortWithinPartitions(*by, "pos")
-    out = p.groupBy(*by).applyInPandas(_repair_group, schema).filter(F.col("pos") != F.lit(_FIRST))
-    return out.withColumns({"scheduled_start": from_us("start_us"), "predicted_end": from_us("end_us")})
+    p = p.withColumns({"_key": F.to_json(F.struct(*by)), "_s": F.greatest("start_us", "eta_us")})
+    open_ended = F.col("_s").isNull() | F.col("svc_us").isNull()
+    unplaced = p.filter(open_ended).drop("_key", "_s").withColumns(
+        {"start_us": F.lit(None).cast("bigint"), "end_us": F.lit(None).cast("bigint")})
+    p = p.filter(~open_ended)
+    if split:
+        placed = _settled(p)
+    else:
+        placed = _placed(p.withColumn("_component", F.lit(0)).withColumn("_group", _group_of()))
+    out = placed.filter(F.col("pos") != F.lit(_FIRST)).withColumn("start_us", F.col("_put")).withColumn(
+        "end_us", F.col("_put") + F.col("svc_us")).drop("_key", "_s", "_component", "_group", "_grown", "_put")
+    return out.unionByName(unplaced).withColumns(
+        {"scheduled_start": from_us("start_us"), "predicted_end": from_us("end_us")})
 
 
 def _admit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,9 +183,10 @@ def test_repair_vs_loop(spark, seed):
     df = spark.createDataFrame([(p, pos, c, b, _ts(e), _ts(s), v) for p, pos, c, b, e, s, v in rows],
                                "plan_id long, pos long, call_id long, berth_id string, eta timestamp_ntz, "
                                "scheduled_start timestamp_ntz, svc_us long")
-    got = {(r.plan_id, r.call_id): r.scheduled_start for r in RPR.repair_plans(df).collect()}
     exp = {k: _ts(v) for k, v in _ref_repair(rows).items()}
-    assert got == exp
+    for split in (False, True):
+        got = {(r.plan_id, r.call_id): r.scheduled_start for r in RPR.repair_plans(df, split=split).collect()}
+        assert got == exp
 
 
 def test_admission_vs_loop(spark):
@@ -299,3 +300,19 @@ def test_availability_vs_loop(spark):
     for pid, b, s, e in props:
         exp = not any(rb == b and rs < e and re > s for _, rb, rs, re in rows)
         assert got[pid] == exp, (pid, b, s, e)
+
+
+def test_repair_beyond_its_component(spark):
+    """A long row skips gaps that are too short and ends far beyond its busy period; sparse rows stay apart."""
+    rows = [(0, i, i, "0", 10 * i * H, 10 * i * H, 4 * H) for i in range(20)]      # gaps of six hours
+    rows += [(0, 20, 20, "0", 0, 0, 7 * H), (0, 21, 21, "0", 45 * H, 45 * H, 6 * H), (0, 22, 22, "0", 46 * H, 0, 7 * H)]
+    rows += [(1, i, i, "0", 100 * i * H, 0, H) for i in range(9)]
+    df = spark.createDataFrame([(p, pos, c, b, _ts(e), _ts(s), v) for p, pos, c, b, e, s, v in rows],
+                               "plan_id long, pos long, call_id long, berth_id string, eta timestamp_ntz, "
+                               "scheduled_start timestamp_ntz, svc_us long")
+    got = {(r.plan_id, r.call_id): r.scheduled_start for r in RPR.repair_plans(df, split=True).collect()}
+    assert got == {k: _ts(v) for k, v in _ref_repair(rows).items()}
+    assert got[(0, 20)] == _ts(194 * H)
+    assert RPR.repair_plans(df.limit(0), split=True).count() == 0
+    lost = df.limit(1).withColumns({"eta": F.lit(None).cast("timestamp_ntz"), "scheduled_start": F.lit(None).cast("timestamp_ntz")})
+    assert [r.scheduled_start for r in RPR.repair_plans(lost, split=True).collect()] == [None]

@@ -134,7 +134,8 @@ def test_repair_respects_existing_reservations(spark):
     plans = spark.createDataFrame(
         [(p, pos, pos, "70", h(0), h(start), svc * hour) for p in (1, 2) for pos, start, svc in ((1, 1, 2), (2, 2, 3), (3, 0, 1))],
         "plan_id long, pos long, call_id long, berth_id string, eta timestamp_ntz, scheduled_start timestamp_ntz, svc_us long")
-    out = RPR.repair_plans(plans, busy=IV.merge_busy(res, gap_seconds=0)).collect()
-    got = {(r.plan_id, r.call_id): r.scheduled_start for r in out}
     one = {1: h(2), 2: h(7), 3: h(10)}                    # busy 0-2 and 4-7; the 2-hour call fills 2-4
-    assert len(out) == 6 and got == {(p, c): t for p in (1, 2) for c, t in one.items()}
+    for split in (False, True):
+        out = RPR.repair_plans(plans, busy=IV.merge_busy(res, gap_seconds=0), split=split).collect()
+        got = {(r.plan_id, r.call_id): r.scheduled_start for r in out}
+        assert len(out) == 6 and got == {(p, c): t for p in (1, 2) for c, t in one.items()}
