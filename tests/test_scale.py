@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from berthwise.operators import intervals as IV
 from berthwise.plans import repair as RPR
 
@@ -64,3 +66,60 @@ def test_first_fit_skips_chunks(monkeypatch):
         free = RPR._Free()
         assert [free.take(at, dur) for at, dur in rows] == _scan(rows)
         assert len(free.first) > 5
+
+
+@pytest.mark.parametrize("seed,cell", [(21, 100_000), (22, 40)])
+def test_earliest_slot_without_pairs(spark, monkeypatch, seed, cell):
+    """As over eligible pairs, with nulls, ties and several blocks of time; no join of calls with berths."""
+    from berthwise.operators import dominance as DM
+    from berthwise.operators import eligibility as EL
+    from berthwise.operators import intervals as IV
+    from berthwise.plans import dispatch as DP
+    from tests.test_dominance import BERTHS, CALLS, _random
+    monkeypatch.setattr(DM, "CELL_QUERIES", cell)
+    rng = random.Random(seed)
+    calls, berths = _random(rng, 150, 30)
+    berths = [(*b[:3], None if b[3] == 7 else b[3], *b[4:]) for b in berths]
+    base = datetime(2024, 1, 1)
+    etas = [(c[0], c[1], None if rng.random() < .1 else base + timedelta(minutes=rng.randrange(3000))) for c in calls]
+    res = [(i, rng.choice("AB"), str(rng.randrange(32)), base + timedelta(minutes=(m := rng.randrange(3000))), base + timedelta(minutes=m + rng.randrange(1, 90)))
+           for i in range(400)]
+    c, b = spark.createDataFrame(calls, CALLS), spark.createDataFrame(berths, BERTHS)
+    e = spark.createDataFrame(etas, "port_id string, call_id long, eta timestamp_ntz")
+    res = spark.createDataFrame(res, "call_id long, port_id string, berth_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    elig = EL.eligible_pairs(c, b)
+    for key in ("berth_id", "_berth"):
+        isl = IV.merge_busy(res.withColumn("_berth", DP.berth_key()), key=key)
+        want = DP.earliest_slot(elig.withColumn("_berth", DP.berth_key()), e, isl, key=key)
+        got = DP.earliest_eligible(c, b, isl, e, key=key)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        assert "_b_port" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_starts_by_halves():
+    """Points that change within the queries' time, halved down to few pairs, against a loop."""
+    import numpy as np
+    import pyarrow as pa
+    from berthwise.operators import cells as CE
+    rng = random.Random(24)
+    n, m = 25, 60
+    taken = []
+    for _ in range(n):
+        cuts = sorted(rng.sample(range(1000), 2 * rng.randrange(6)))
+        taken.append([{"from": a, "to": z} for a, z in zip(cuts[::2], cuts[1::2])])
+    xs, ys = [float(rng.randrange(6)) for _ in range(n)], [float(rng.randrange(6)) for _ in range(n)]
+    asked = [(float(rng.randrange(6)), float(rng.randrange(6)), rng.randrange(1000)) for _ in range(m)]
+    table = pa.table({"_x": xs, "_y": ys, "_turn": pa.array(range(n), pa.int32()),
+                      "_taken": pa.array(taken, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))})
+
+    def loop(x, y, t):
+        fits = [(next((s["to"] for s in taken[i] if s["from"] <= t < s["to"]), t), i) for i in range(n) if xs[i] >= x and ys[i] >= y]
+        return min(fits, default=(None, -1))
+    kept = CE.PAIRS
+    try:
+        for CE.PAIRS in (0, 10, 1 << 20):
+            spot, start = CE.Berths(table).starts(*(np.array(c) for c in zip(*asked)))
+            for q, s, at in zip(asked, spot, start):
+                assert loop(*q) == (int(at) if s >= 0 else None, int(s))
+    finally:
+        CE.PAIRS = kept
