@@ -123,3 +123,60 @@ def test_starts_by_halves():
                 assert loop(*q) == (int(at) if s >= 0 else None, int(s))
     finally:
         CE.PAIRS = kept
+
+
+def test_offline_windows_are_judged_once(spark):
+    """The admission reads the tested windows from storage: its plan tests none of them again."""
+    res = spark.createDataFrame(_windows(random.Random(31), 60), "call_id long, berth_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    _, judged = RPR.take_offline(res, res.withColumnRenamed("call_id", "window_id").select("window_id", "berth_id", "start_time", "end_time"))
+    assert "_clash" not in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert judged.count() == 60
+
+
+def test_release_finds_the_last_slot_of_a_call():
+    """A release looks at its call's slots alone, empty ones and those of equal start among them."""
+    from berthwise.streaming.timeline import Slots
+    rng = random.Random(32)
+    slots, plain = Slots(), []
+    for t in range(3000):
+        call, s = rng.randrange(40), rng.randrange(400)
+        if rng.random() < .5:
+            e = s + rng.randrange(4)
+            if slots.apply(0, "assign", call, s, e) is None:
+                plain = sorted([*plain, (s, e, call)], key=lambda r: r[:2])
+        else:
+            mine = [r for r in plain if r[2] == call]
+            assert (slots.apply(0, "release", call, None, None) is None) == bool(mine)
+            if mine:
+                plain.remove(mine[-1])
+        assert sorted(slots.rows()) == sorted(plain)
+    slots.apply(0, "assign", 99, 10_000, 10_001)
+    for _ in range(50_000 - len(slots.calls)):
+        slots.apply(0, "offline", None, 20_000 + 2 * len(slots.calls), 20_001 + 2 * len(slots.calls))
+    began = datetime.now()
+    for _ in range(2000):
+        assert slots.apply(0, "release", 12345, None, None) == "unknown call"
+    assert datetime.now() - began < timedelta(seconds=1)
+
+
+@pytest.mark.parametrize("seed", [41, 42])
+def test_eligible_free_without_instants(spark, monkeypatch, seed):
+    """As the anti-join of all pairs, with nulls, rows that come twice, several blocks; no pair goes through a shuffle."""
+    from berthwise.operators import eligibility as EL
+    from berthwise.plans import dispatch as DP
+    from tests.test_dominance import BERTHS, CALLS, _random
+    monkeypatch.setattr(DP, "BLOCK_CALLS", 30)
+    rng = random.Random(seed)
+    calls, berths = _random(rng, 120, 25)
+    c, b = spark.createDataFrame(calls + calls[:4], CALLS), spark.createDataFrame(berths + berths[:3], BERTHS)
+    e = spark.createDataFrame([(x[1], None if rng.random() < .1 else T0 + timedelta(minutes=rng.randrange(2000))) for x in calls],
+                              "call_id long, eta timestamp_ntz")
+    rows = [(i, str(rng.randrange(27)), *w[2:]) for i, w in enumerate(_windows(rng, 150))]
+    res = spark.createDataFrame(rows, "call_id long, berth_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    elig = EL.eligible_pairs(c, b).join(e.withColumnRenamed("eta", "t"), "call_id")
+    occ = IV.occupancy_at(res, elig.select("t", "berth_id").distinct(), per_key=True)
+    want = IV.eligible_free(elig, occ).select("port_id", "call_id", "berth_id")
+    got = DP.eligible_free(c, b, res, e)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    top = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Join Inner" in "".join(top[:2]) and "LeftAnti" not in "".join(top)
