@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from berthwise.operators import intervals as IV
 from berthwise.plans import repair as RPR
@@ -180,3 +181,21 @@ def test_eligible_free_without_instants(spark, monkeypatch, seed):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     top = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert "Join Inner" in "".join(top[:2]) and "LeftAnti" not in "".join(top)
+
+
+def test_conflicts_show_instants_once_per_reservation(spark):
+    """Texts come from the sides of the join, and a long interval lies in cells shorter than itself: few candidates miss."""
+    rng = random.Random(51)
+    rows = [(c, b, s, e) for c, b, s, e in _windows(rng, 120)] + [(900 + i, "A", T0, T0 + timedelta(days=40 * i)) for i in range(3)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    res = spark.createDataFrame(rows, "call_id long, berth_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    out = IV.find_conflicts(res, shown=lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+    top = _plan(out).split("SortMergeJoin")[0]
+    assert "date_format" not in top and "date_format" in _plan(out)
+    want = [(b, min(i, j), max(i, j), str(max(s, s2)), str(min(e, e2))) for i, b, s, e in rows for j, b2, s2, e2 in rows
+            if i < j and b is not None and b == b2 and None not in (s, e, s2, e2) and s < e2 and e > s2]
+    assert len(want) > 100 and sorted(map(tuple, out.collect())) == sorted(want)
+    plain = [(r.call_id_a, r.call_id_b, str(r.overlap_start), str(r.overlap_end)) for r in IV.find_conflicts(res).collect()]
+    assert sorted(plain) == sorted(w[1:] for w in want)
+    cells = IV.in_cells(spark.createDataFrame([(0, 25 * 10 ** 10)], "s long, e long"), "s", "e", finer=2)
+    assert 3 <= cells.select("_cell").distinct().count() <= 5 and cells.select("_level").distinct().count() == 1
