@@ -17,11 +17,49 @@ from pyspark.sql.window import Window
 
 from berthwise import schema as S
 from berthwise.functions.time import HOUR_US, from_us, to_us
-from berthwise.operators.scan import block_bounds, in_blocks, running
+from berthwise.operators.scan import ROWS_PER_BLOCK, ROWS_PER_TASK, block_bounds, in_blocks, shares
 
 H = float(HOUR_US)
 
 
+UNB = Window.unboundedPreceding
+
+
+def _inside(d: DataFrame, keys: list[str], svc_us: str, pos: str) -> DataFrame:
+    """What a call needs of those before it in its group ``keys``: service ``_c``, ``_x = a - c`` and its running maxima."""
+    w = Window.partitionBy(*keys).orderBy("a_us", pos)
+    d = d.withColumn("_c", F.coalesce(F.sum(svc_us).over(w.rowsBetween(UNB, -1)), F.lit(0)).cast("bigint"))
+    d = d.withColumn("_x", F.col("a_us") - F.col("_c"))
+    return d.withColumns({"_m": F.max("_x").over(w.rowsBetween(UNB, 0)), "_mp": F.max("_x").over(w.rowsBetween(UNB, -1))})
+
+
+def _group_totals(svc_us: str) -> list:
+    return [F.sum(svc_us).alias("_S"), F.max("_x").alias("_Mt"),
+            # first row attaining the bucket maximum = last row setting a strict new running max
+            F.max(F.when(F.col("_mp").isNull() | (F.col("_x") > F.col("_mp")), F.col("a_us"))).alias("_At")]
+
+
+def _carried(b: DataFrame, part: list[str]) -> DataFrame:
+    """Threshold and last opening that a block gets from the blocks before it."""
+    wb = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(UNB, -1)
+    b = b.withColumn("_Cc", F.coalesce(F.sum("_S").over(wb), F.lit(0)).cast("bigint"))
+    b = b.withColumn("_Mc", F.max(F.col("_Mt") - F.col("_Cc")).over(wb))
+    b = b.withColumn("_thr", F.col("_Mc") + F.col("_Cc"))
+    b = b.withColumn("_open_a", F.when(F.coalesce(F.col("_Mt") >= F.col("_thr"), F.lit(True)), F.col("_At")))
+    return b.withColumn("_last_open", F.max("_open_a").over(wb))
+
+
+def _served(d: DataFrame, keys: list[str], svc_us: str, pos: str) -> DataFrame:
+    """Start, end and opening of the busy period from what came inside the group and from before it."""
+    d = d.withColumn("start_us", F.col("_c") + F.greatest(F.col("_thr"), F.col("_m")))
+    d = d.withColumn("end_us", F.col("start_us") + F.col(svc_us))
+    opens = F.coalesce(F.col("_x") >= F.greatest(F.col("_thr"), F.col("_mp")), F.lit(True))
+    d = d.withColumn("_opens", F.when(opens, F.col("a_us")))
+    w = Window.partitionBy(*keys).orderBy("a_us", pos).rowsBetween(UNB, 0)
+    d = d.withColumn("busy_start", F.greatest(F.max("_opens").over(w), F.col("_last_open")))
+    return d.drop("_c", "_x", "_m", "_mp", "_thr", "_last_open", "_opens", "_bkt")
+
+
 def fifo_one(df: DataFrame, part: list[str], eta: str = "eta", svc_us: str = "svc_us",
              pos: str = "pos", bounds: list[int] | None = None) -> DataFrame:
     """Single-server FIFO start times per ``part`` (order ``(eta, pos)``),
@@ -37,36 +75,16 @@ def fifo_one(df: DataFrame, part: list[str], eta: str = "eta", svc_us: str = "sv
     iff ``x >= max(thr, mp)``; a bucket holds an opening iff its maximum
     reaches ``thr``, and its last opening is the first row attaining that
     maximum — so busy starts need no second pass over the calls."""
-    unb = Window.unboundedPreceding
-    d = in_blocks(df.withColumn("a_us", to_us(eta)), "a_us", bounds=bounds)
-    w = Window.partitionBy(*part, "_bkt").orderBy("a_us", pos)
-    d = d.withColumn("_c", F.coalesce(F.sum(svc_us).over(w.rowsBetween(unb, -1)), F.lit(0)).cast("bigint"))
-    d = d.withColumn("_x", F.col("a_us") - F.col("_c"))
-    d = d.withColumns({"_m": F.max("_x").over(w.rowsBetween(unb, 0)),
-                       "_mp": F.max("_x").over(w.rowsBetween(unb, -1))})
+    block = [*part, "_bkt"]
+    d = _inside(in_blocks(df.withColumn("a_us", to_us(eta)), "a_us", bounds=bounds), block, svc_us, pos)
     # one row per (part, block): bounded by pools x blocks, not by calls
-    b = d.groupBy(*part, "_bkt").agg(
-        F.sum(svc_us).alias("_S"), F.max("_x").alias("_Mt"),
-        # first row attaining the bucket maximum = last row setting a strict new running max
-        F.max(F.when(F.col("_mp").isNull() | (F.col("_x") > F.col("_mp")), F.col("a_us"))).alias("_At"))
-    wb = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(unb, -1)
-    b = b.withColumn("_Cc", F.coalesce(F.sum("_S").over(wb), F.lit(0)).cast("bigint"))
-    b = b.withColumn("_Mc", F.max(F.col("_Mt") - F.col("_Cc")).over(wb))
-    b = b.withColumn("_thr", F.col("_Mc") + F.col("_Cc"))
-    b = b.withColumn("_open_a", F.when(F.coalesce(F.col("_Mt") >= F.col("_thr"), F.lit(True)), F.col("_At")))
-    b = b.withColumn("_last_open", F.max("_open_a").over(wb))
-    d = d.join(b.select(*part, "_bkt", "_thr", "_last_open"), [*part, "_bkt"], "inner")
-    d = d.withColumn("start_us", F.col("_c") + F.greatest(F.col("_thr"), F.col("_m")))
-    d = d.withColumn("end_us", F.col("start_us") + F.col(svc_us))
-    opens = F.coalesce(F.col("_x") >= F.greatest(F.col("_thr"), F.col("_mp")), F.lit(True))
-    d = d.withColumn("_opens", F.when(opens, F.col("a_us")))
-    d = d.withColumn("busy_start", F.greatest(F.max("_opens").over(w.rowsBetween(unb, 0)), F.col("_last_open")))
-    return d.drop("_c", "_x", "_m", "_mp", "_thr", "_last_open", "_opens", "_bkt")
+    b = _carried(d.groupBy(*block).agg(*_group_totals(svc_us)), part)
+    return _served(d.join(b.select(*block, "_thr", "_last_open"), block, "inner"), block, svc_us, pos)
 
 
 def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str = "eta",
                 svc_us: str = "svc_us", pos: str = "pos", horizon_by: list[str] | None = None,
-                bounds: list[int] | None = None) -> DataFrame:
+                bounds: list[int] | None = None, tasks: int | None = None) -> DataFrame:
     """FIFO queues of a pool's berths, taken in turn: the n-th call of a pool (order ``(eta, pos)``)
     goes to berth ``(n - 1) mod k`` and waits there as in W4.
 
@@ -74,15 +92,31 @@ def fifo_replay(calls: DataFrame, part: list[str], capacity: DataFrame, eta: str
     ETAs).  ``capacity`` maps the pool columns (a subset of ``part``) to ``k``.  ``horizon_by`` (default: ``part``
     minus the pool columns) scopes the horizon; rows starting at or after it are not served.  Output
     adds ``lane`` (the berth's number in the pool), ``start_time``, ``end_time``, ``wait_hours``.
+
+    One shuffle of the calls, by block.  There the calls of a block take turns; a turn is a berth, whose number in the pool is
+    known when the blocks before are counted.  Counts and W4's carries are rows per block and turn, and come back to the calls as one
+    row per block.  Blocks and ``tasks`` follow the number of calls.
     """
     pool_cols = [c for c in capacity.columns if c != "k"]
-    d = calls.join(capacity, pool_cols, "inner")
     if bounds is None:
-        bounds = block_bounds(calls.select(to_us(eta).alias("_a")), "_a")
-    d = in_blocks(d.withColumns({"_a": to_us(eta), "_one": F.lit(1).cast("bigint")}), "_a", bounds=bounds)
-    d = running(d, part, "_bkt", ["_a", pos], "_one", "_nth", "sum")
-    d = d.withColumn("lane", (F.col("_nth") - 1) % F.greatest(F.col("k"), F.lit(1))).drop("_a", "_one", "_bkt", "_nth")
-    out = fifo_one(d, [*part, "lane"], eta, svc_us, pos, bounds)
+        rows = calls.count()
+        bounds = block_bounds(calls.select(to_us(eta).alias("_a")), "_a", shares(calls, rows, ROWS_PER_BLOCK))
+        tasks = tasks or shares(calls, rows, ROWS_PER_TASK)
+    d = in_blocks(calls.join(F.broadcast(capacity), pool_cols, "inner").withColumn("a_us", to_us(eta)), "a_us", bounds=bounds)
+    d = d.filter("_bkt is not null")           # capacity: one row per pool and scenario, a bounded broadcast
+    block = ["_bkt", *part]
+    if tasks:
+        d = d.repartition(tasks, *block)
+    nth = F.row_number().over(Window.partitionBy(*block).orderBy("a_us", pos))
+    d = d.withColumn("_turn", (nth.cast("bigint") - 1) % F.greatest(F.col("k"), F.lit(1)))
+    d = _inside(d, [*block, "_turn"], svc_us, pos)
+    b = d.groupBy(*block, "_turn", "k").agg(F.count(F.lit(1)).alias("_n"), *_group_totals(svc_us))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy("_bkt").rangeBetween(UNB, -1)), F.lit(0))
+    b = _carried(b.withColumn("lane", (F.col("_turn") + before) % F.greatest(F.col("k"), F.lit(1))), [*part, "lane"])
+    b = b.groupBy(*block).agg(F.sort_array(F.collect_list(F.struct("_turn", "lane", "_thr", "_last_open"))).alias("_of"))
+    here = F.get("_of", F.col("_turn").cast("int"))         # a block's turns are 0, 1, ... without gaps
+    d = d.join(b, block, "inner").withColumns({c: here[c] for c in ("lane", "_thr", "_last_open")}).drop("_of")
+    out = _served(d, [*block, "_turn"], svc_us, pos).drop("_turn")
     hb = horizon_by if horizon_by is not None else [c for c in part if c not in pool_cols]
     horizon = F.max(to_us(eta)) + F.max(svc_us) + F.lit(24 * HOUR_US)
     if hb:

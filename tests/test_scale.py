@@ -199,3 +199,52 @@ def test_conflicts_show_instants_once_per_reservation(spark):
     assert sorted(plain) == sorted(w[1:] for w in want)
     cells = IV.in_cells(spark.createDataFrame([(0, 25 * 10 ** 10)], "s long, e long"), "s", "e", finer=2)
     assert 3 <= cells.select("_cell").distinct().count() <= 5 and cells.select("_level").distinct().count() == 1
+
+
+@pytest.mark.parametrize("seed", [61, 62])
+def test_replay_tasks_follow_the_calls(spark, monkeypatch, seed):
+    """Queues of several berths over many blocks against a loop, nulls among the calls; one shuffle, in as many tasks as the calls ask for."""
+    from berthwise.operators import replay as RP
+    from berthwise.operators import scan as SN
+    monkeypatch.setattr(RP, "ROWS_PER_BLOCK", 9)
+    monkeypatch.setattr(RP, "ROWS_PER_TASK", 20)
+    rng = random.Random(seed)
+    size = {"A": 1, "B": 2, "C": 5}
+    rows = [(i, rng.choice(["A", "B", "C", "D", None]), None if rng.random() < .05 else T0 + timedelta(minutes=rng.randrange(900)), rng.randrange(40) * 60_000_000)
+            for i in range(300)]
+    calls = spark.createDataFrame(rows, "pos long, pool string, eta timestamp_ntz, svc_us long")
+    out = RP.fifo_replay(calls, ["pool"], spark.createDataFrame(list(size.items()), "pool string, k int"))
+    assert "REPARTITION_BY_NUM" in _plan(out) and f", {SN.shares(calls, 300, 20)})" in _plan(out) and SN.shares(calls, 300, 20) == 15
+    want = {}
+    for p, k in size.items():
+        free = [datetime.min] * k
+        for n, (pos, _, eta, svc) in enumerate(sorted((r for r in rows if r[1] == p and r[2]), key=lambda r: (r[2], r[0]))):
+            start = max(eta, free[n % k])
+            want[pos] = (n % k, start)
+            free[n % k] = start + timedelta(microseconds=svc)
+    last = max(r[2] for r in rows if r[2]) + timedelta(microseconds=max(r[3] for r in rows)) + timedelta(hours=24)
+    assert {r.pos: (r.lane, r.start_time) for r in out.collect()} == {p: x for p, x in want.items() if x[1] < last}
+
+
+def test_scenarios_without_sorting_for_first_calls(spark):
+    """No task sorts its calls to find a list's first ones, and the scenarios aren't stored."""
+    from berthwise.operators import scenarios as SC
+    from berthwise.plans import workflows as WF
+    calls = spark.createDataFrame([(i, "E", "A", T0 + timedelta(minutes=7 * i % 50), 60_000_000, i) for i in range(40)],
+                                  "call_id long, name string, pool string, eta timestamp_ntz, svc_us long, pos long")
+    names = [(n, "A", 2) for n in SC.SCENARIOS]
+    kpis = WF.compare_scenarios(calls, spark.createDataFrame(names, "scenario string, pool string, k int"), "2024-01-01 00:10:00")["kpis"]
+    assert {r.scenario: r.served for r in kpis.collect()}["S2_Congestion"] == 79
+    plan = _plan(kpis)
+    assert "WindowGroupLimit" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_block_numbers_of_crowded_cells(spark):
+    """Cells with no, one and many bounds."""
+    import bisect
+    from berthwise.operators.scan import block_of
+    rng = random.Random(63)
+    for bounds in (sorted({rng.randrange(1000) for _ in range(60)}), sorted({rng.randrange(40) for _ in range(25)} | {10 ** 15, -10 ** 15})):
+        ids = spark.createDataFrame([(b + k,) for b in [*bounds, 500] for k in (-1, 0, 1)], "id long")
+        rows = ids.select("id", block_of(F.col("id"), bounds).alias("b")).collect()
+        assert all(r.b == bisect.bisect_right(bounds, r.id) for r in rows)
