@@ -183,6 +183,52 @@ def test_eligible_free_without_instants(spark, monkeypatch, seed):
     assert "Join Inner" in "".join(top[:2]) and "LeftAnti" not in "".join(top)
 
 
+@pytest.mark.parametrize("seed,sizes", [(43, (1000, 1000, 1000)), (44, (20, 2, 4)), (45, (7, 1000, 3)), (46, (500, 1, 1000))])
+def test_eligible_free_compares_in_cells(spark, monkeypatch, seed, sizes):
+    """Calls meet berths of their list entries alone, by comparisons compiled with the join; against a loop, however many blocks, parts and
+    bands there are.  Berths list a cargo twice or both of a call's, keys are null or come twice, some calls have no cargo, type or eta."""
+    from berthwise.plans import dispatch as DP
+    from tests.test_dominance import BERTHS, CALLS, _random
+    for name, value in zip(("BLOCK_CALLS", "CELL_BERTHS", "BAND_BERTHS"), sizes):
+        monkeypatch.setattr(DP, name, value)
+    rng = random.Random(seed)
+    calls, berths = _random(rng, 90, 30)
+    calls, berths = calls + calls[:3], berths + berths[:2] + [(*b[:6], ["oil", "grain", "oil"], b[7]) for b in berths[5:15]]
+    at = {c[1]: None if rng.random() < .1 else T0 + timedelta(minutes=rng.randrange(2000)) for c in calls}
+    res = [(i, None if rng.random() < .05 else str(rng.randrange(33)), *w[2:]) for i, w in enumerate(_windows(rng, 120))]
+    c, b = spark.createDataFrame(calls, CALLS), spark.createDataFrame(berths, BERTHS)
+    e = spark.createDataFrame([*at.items()], "call_id long, eta timestamp_ntz")
+    r = spark.createDataFrame(res, "call_id long, berth_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    got = DP.eligible_free(c, b, r, e)
+
+    def fits(call, berth):
+        port, i, kind, length, draft, *cargos = call
+        where, name, _, _, quay, depth, takes, kinds = berth
+        cargos = {x for x in cargos if x not in (None, "", "nan")}
+        takes, kinds = ({x for x in v or () if x is not None} for v in (takes, kinds))
+        return (port is not None and port == where and None not in (length, draft, quay, depth) and depth >= draft and quay >= length
+                and (not takes or not cargos or bool(takes & cargos)) and (not kinds or kind in kinds)
+                and not any(k == name and None not in (k, s, z, at[i]) and s <= at[i] < z for _, k, s, z in res))
+    want = [(x[0], x[1], y[1]) for x in calls for y in berths if fits(x, y)]
+    assert len(want) > 50 and sorted(map(tuple, got.collect())) == sorted(want)
+    join = [x for x in _plan(got).split("Initial Plan")[0].splitlines() if "SortMergeJoin" in x and "_depth" in x]
+    assert len(join) == 1 and "*(" in join[0].split("SortMergeJoin")[0] and "lambda" not in join[0] and "port_id" not in join[0]
+    pairs = next(x for x in got._jdf.queryExecution().analyzed().toString().splitlines() if "Join Inner" in x)
+    assert "_cell" in pairs and "exists" not in pairs
+
+
+def test_berths_of_other_lists_are_not_met(spark):
+    """A call and a berth share a list entry just where the cargo and type rules let them, and the first of several counts once."""
+    from berthwise.operators import eligibility as EL
+    from tests.test_dominance import BERTHS, CALLS, _random
+    calls, berths = _random(random.Random(47), 60, 60)
+    c, b = EL._prep_calls(spark.createDataFrame(calls, CALLS)), EL._prep_berths(spark.createDataFrame(berths, BERTHS))
+    met = EL.call_entries(c).select(*EL.ENTRY, "_but", "call_id").join(EL.berth_entries(b).select(*EL.ENTRY, "_listed", "berth_id"), EL.ENTRY)
+    got = [tuple(r) for r in met.filter(EL.first_entry()).select("call_id", "berth_id").collect()]
+    want = [tuple(r) for r in c.crossJoin(b).filter(EL.cargo_ok() & EL.type_ok()).select("call_id", "berth_id").collect()]
+    assert met.count() > len(want) and sorted(got) == sorted(want)
+
+
 def test_conflicts_show_instants_once_per_reservation(spark):
     """Texts come from the sides of the join, and a long interval lies in cells shorter than itself: few candidates miss."""
     rng = random.Random(51)
