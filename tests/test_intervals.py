@@ -83,3 +83,20 @@ def test_blocks_follow_the_rows(spark, how):
         assert x.top == best[x.k]
     carry = scan._carry(scan.in_blocks(df.where("us is not null"), "us"), ["k"], "_bkt", "i", F.max, "c")
     assert carry.count() <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_islands_of_rows_that_come_twice(spark):
+    """Equal rows stay in one island whatever order they are sorted in."""
+    rng = random.Random(71)
+    rows = [(i, str(rng.randrange(20)), T0 + timedelta(minutes=(m := rng.randrange(40_000))), T0 + timedelta(minutes=m + rng.randrange(1, 200)))
+            for i in range(1500)] * 3
+    want = []
+    for _, berth, s, e in sorted(rows, key=lambda r: r[1:]):
+        if want and want[-1][0] == berth and s <= want[-1][2]:
+            want[-1] = (berth, want[-1][1], max(want[-1][2], e), want[-1][3] + 1)
+        else:
+            want.append((berth, s, e, 1))
+    for _ in range(3):
+        rng.shuffle(rows)
+        res = spark.createDataFrame(rows, RES)
+        assert sorted(map(tuple, IV.merge_busy(res, gap_seconds=0).collect())) == want
